@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..runtime import table
-from . import lm, minhash, mixing, packing, quality, sharding, simhash, urls
+from . import lm, minhash, mixing, packing, quality, sharding, simhash, tokens, topk, urls
 
 #: Fixed values of the contract: verdict, host, start of the path.
 URL_RULES = [
@@ -52,6 +52,11 @@ def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", quality.held_out(F.col("doc_id"), 5, 0).alias("held_out"), "score", "predicted")
 
 
+def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), topk.binary_code(F.col("embedding")).alias("code"))
+    return topk.top_k(vectors, vectors.where(F.col("id") % 100 == 0), k=10)
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").withColumn("text_crc32", F.crc32(F.coalesce(F.col("text"), F.lit("")).cast("binary")))
     return sharding.shards(docs, count=16).select(
@@ -59,7 +64,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash, op2_packing, op3_lm, op4_mixing, op5_urls, op6_simhash, op8_quality, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op1_minhash, op2_packing, op3_lm, op4_mixing, op5_urls, op6_simhash, op8_quality, op9_topk, op10_sharding)}
 
 _HOST = "regexp_extract(substr(url, instr(url, '://') + 3), '^([^/?#]*)', 1)"
 _LOWER = f"translate({_HOST}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
