@@ -46,6 +46,25 @@ def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hex_of(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four edits to every document: a tenth in its middle gives way to its opening, words are inserted at a
+    quarter, its last tenth goes, and a line is set before it."""
+    docs = table(spark, sf_dir, "documents")
+    n = F.length(F.coalesce(F.col("text"), F.lit(""))).cast("long")
+    tenth, at = F.floor(n / 10), lambda share: F.floor(n * share).cast("long")
+
+    def edit(start, end, text):
+        return F.struct(start.cast("long").alias("start"), end.cast("long").alias("end"), text.alias("text"))
+
+    edits = F.array(
+        edit(at(0.5), at(0.5) + tenth, F.substring(F.col("text"), F.lit(1), tenth.cast("int"))),
+        edit(at(0.25), at(0.25), F.lit(" some new words,  set in ")),
+        edit(n - tenth, n + 1000, F.lit("")),
+        edit(F.lit(0), F.lit(0), F.lit("A line before the text\n")),
+    )
+    return tokens.edited_counts(docs, edits)
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     scored = quality.classify(docs, table(spark, sf_dir, "labels"))
@@ -64,7 +83,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash, op2_packing, op3_lm, op4_mixing, op5_urls, op6_simhash, op8_quality, op9_topk, op10_sharding)}
+QUERIES = {f.__name__: f for f in (op1_minhash, op2_packing, op3_lm, op4_mixing, op5_urls, op6_simhash, op7_token_counts, op8_quality, op9_topk, op10_sharding)}
 
 _HOST = "regexp_extract(substr(url, instr(url, '://') + 3), '^([^/?#]*)', 1)"
 _LOWER = f"translate({_HOST}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"

@@ -88,6 +88,20 @@ class Encoder:
     def _plain(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def counts(self, parts: list[str]) -> list[int]:
+        """Number of ids of each part of a text."""
+        known = self.parts
+        if missing := set(parts).difference(known):
+            self.learn(missing)
+            if self.emptied:
+                self.emptied = False
+                self.learn(set(parts).difference(known))
+        out = [len(known[p]) // 4 for p in parts]
+        for p in missing:
+            if len(p) > 64:
+                del known[p]
+        return out
+
     def many(self, texts: list[bytes | None]) -> list[bytes]:
         """The ids of each text; null has none."""
         out = []
@@ -106,3 +120,143 @@ class Encoder:
                 if len(p) > 64:
                     del known[p]
         return out
+
+
+class EditedCount:
+    """Token count of one document that follows its edits.
+
+    Pre-tokens (with their counts) are kept in chunks, the leaves of an array-shaped sum tree of code points and
+    tokens. ``edit`` finds its chunks by descending the tree, re-encodes the pre-tokens that the edit touches and the
+    one or two before it whose end the pre-tokenizer could now see otherwise, and updates the sums above. A chunk
+    that has grown eight times as large makes the tree be laid out anew, which encodes nothing.
+    """
+
+    CHUNK = 32
+
+    def __init__(self, encoder: Encoder, text: str):
+        self.encoder = encoder
+        self.reencoded = 0
+        self._lay_out(self._count(text))
+        self.first = self.leaves
+
+    def _count(self, text: str) -> list[tuple[str, int]]:
+        parts = [p for p in self.encoder.split(text) if p]
+        return list(zip(parts, self.encoder.counts(parts)))
+
+    def _lay_out(self, leaves: list[tuple[str, int]]) -> None:
+        self.chunks = [leaves[i : i + self.CHUNK] for i in range(0, len(leaves), self.CHUNK)] or [[]]
+        m = 1 << (len(self.chunks) - 1).bit_length()
+        self.m, self.leaves = m, len(leaves)
+        self.chars, self.sums = [0] * (2 * m), [0] * (2 * m)
+        for i, c in enumerate(self.chunks):
+            self.chars[m + i] = sum(len(p) for p, _ in c)
+            self.sums[m + i] = sum(n for _, n in c)
+        for i in range(m - 1, 0, -1):
+            self.chars[i] = self.chars[2 * i] + self.chars[2 * i + 1]
+            self.sums[i] = self.sums[2 * i] + self.sums[2 * i + 1]
+
+    @property
+    def tokens(self) -> int:
+        return self.sums[1]
+
+    def text(self) -> str:
+        return "".join(p for c in self.chunks for p, _ in c)
+
+    def _find(self, at: int) -> tuple[int, int, int]:
+        """(chunk, leaf, its first code point) of the leaf that holds code point ``at``, or of the last one."""
+        i, before = 1, 0
+        while i < self.m:
+            i *= 2
+            if at - before >= self.chars[i] and self.chars[i + 1]:
+                before += self.chars[i]
+                i += 1
+        chunk = i - self.m
+        own = self.chunks[chunk]
+        for k, (p, _) in enumerate(own):
+            if at - before < len(p) or k == len(own) - 1:
+                return chunk, k, before
+            before += len(p)
+        return chunk, 0, before
+
+    def _update(self, chunk: int) -> None:
+        i = self.m + chunk
+        self.chars[i] = sum(len(p) for p, _ in self.chunks[chunk])
+        self.sums[i] = sum(n for _, n in self.chunks[chunk])
+        while i > 1:
+            i //= 2
+            self.chars[i] = self.chars[2 * i] + self.chars[2 * i + 1]
+            self.sums[i] = self.sums[2 * i] + self.sums[2 * i + 1]
+
+    def edit(self, start: int, end: int, new: str) -> None:
+        """Replace the code points from ``start`` up to ``end`` by ``new``; places beyond the text mean its end, an
+        ``end`` before ``start`` means ``start``."""
+        n = self.chars[1]
+        start = min(max(start, 0), n)
+        end = min(max(end, start), n)
+        if start == end and not new:
+            return
+        # a cut is made by a space and the character after it, so one that ends just before the edit may go
+        c0, k0, at0 = self._find(max(0, start - 1))
+        if at0 and at0 == start - 1:
+            c0, k0, at0 = self._find(at0 - 1)
+        if end < n:
+            c1, k1, at1 = self._find(end)
+            if at1 == end and end > at0:  # a cut there stays: it depends on what follows
+                c1, k1, at1 = self._find(end - 1)
+        else:
+            c1, k1, at1 = self._find(max(0, n - 1))
+        if c0 == c1:
+            old = self.chunks[c0][k0 : k1 + 1]
+        else:
+            old = self.chunks[c0][k0:] + [x for c in range(c0 + 1, c1) for x in self.chunks[c]] + self.chunks[c1][: k1 + 1]
+        was = "".join(p for p, _ in old)
+        fresh = self._count(was[: start - at0] + new + was[end - at0 :])
+        self.reencoded += len(fresh)
+        self.leaves += len(fresh) - len(old)
+        if c0 == c1:
+            self.chunks[c0][k0 : k1 + 1] = fresh
+        else:
+            self.chunks[c0][k0:] = fresh
+            for c in range(c0 + 1, c1):
+                self.chunks[c] = []
+            del self.chunks[c1][: k1 + 1]
+        if len(self.chunks[c0]) > 8 * self.CHUNK:
+            self._lay_out([x for c in self.chunks for x in c])
+        else:
+            for c in range(c0, c1 + 1):
+                self._update(c)
+
+
+EDIT = "array<struct<start:bigint,end:bigint,text:string>>"
+
+
+def edited_counts(docs, edits, tokenizer: str | None = None, doc_id: str = "doc_id", text: str = "text"):
+    """One row per document: ``doc_id``, ``tokens`` of its text, ``edited_tokens`` after its edits, ``edited_chars`` (code
+    points), ``pretokens`` (before) and ``reencoded`` (pre-tokens encoded for the edits).
+
+    ``edits``: a column of array<struct<start, end, text>>, applied in order, each at code points of the text as the
+    ones before left it: from ``start`` up to ``end`` is replaced by ``text``. A null array has none, a null edit or one with a
+    null place is skipped, a null text is empty, places beyond the text mean its end. A null document text is empty.
+    Repeated rows are counted each, an empty table gives an empty result, other columns are ignored.
+    """
+    import pyarrow as pa
+    from pyspark.sql import functions as F
+
+    src = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").cast("binary").alias("text"), edits.cast(EDIT).alias("edits"))
+
+    def run(batches):
+        encoder = Encoder.cached(tokenizer)
+        for batch in batches:
+            out = [[] for _ in range(5)]
+            for raw, changes in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
+                tree = EditedCount(encoder, (raw or b"").decode())
+                before = tree.tokens
+                for e in changes or []:
+                    if e is not None and e["start"] is not None and e["end"] is not None:
+                        tree.edit(e["start"], e["end"], e["text"] or "")
+                for c, v in zip(out, (before, tree.tokens, tree.chars[1], tree.first, tree.reencoded)):
+                    c.append(v)
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in out)], ["doc_id", "tokens", "edited_tokens", "edited_chars", "pretokens", "reencoded"])
+
+    kind = dict(src.dtypes)["doc_id"]
+    return src.mapInArrow(run, f"doc_id {kind}, tokens long, edited_tokens long, edited_chars long, pretokens long, reencoded long")
