@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from itertools import combinations  # noqa: F401  (re-exported for blocks)
-
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,6 +15,39 @@ def words(text: bytes | None) -> list[bytes]:
     return text.lower().split() if text else []
 
 
+class _WordHash(dict):
+    """Hashes of the words seen last, as many as a worker may remember."""
+
+    LIMIT = 300_000
+
+    def __missing__(self, word: bytes) -> int:
+        import xxhash
+
+        if len(self) >= self.LIMIT:
+            self.clear()
+        h = self[word] = xxhash.xxh64_intdigest(word, 7)
+        return h
+
+
+_hashes = _WordHash()
+
+
+def shingles(text: bytes | None, size: int) -> np.ndarray:
+    """64-bit hashes of a text's word shingles, repeats included; a text with fewer words has one
+    shingle of all of them, a wordless one none."""
+    w = words(text)
+    if not w:
+        return np.empty(0, np.uint64)
+    h = np.fromiter(map(_hashes.__getitem__, w), np.uint64, len(w))
+    k = min(size, len(w))
+    n = len(w) - k + 1
+    acc = np.full(n, k, np.uint64)
+    for j in range(k):
+        acc = (acc ^ h[j : n + j]) * np.uint64(0x9E3779B97F4A7C15)
+        acc ^= acc >> np.uint64(29)
+    return acc
+
+
 def word_count(text: Column) -> Column:
     """Number of words, JVM-side; null has none.
 

@@ -21,25 +21,11 @@ from pyspark.sql import functions as F
 
 from ..operators.graph import connected_components
 from ..runtime import settle
-from .common import partitions, without, words
+from .common import partitions, shingles, words
 
 PERMUTATIONS = 128
 SHINGLE = 5
 EMPTY = np.uint32(0xFFFFFFFF)
-_WORDS = 300_000  # words whose hashes a worker remembers
-
-
-class _WordHash(dict):
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
-
-        if len(self) >= _WORDS:
-            self.clear()
-        h = self[word] = xxhash.xxh64_intdigest(word, 7)
-        return h
-
-
-_hashes = _WordHash()
 
 
 def coefficients(count: int = PERMUTATIONS, seed: int = 1) -> tuple[np.ndarray, np.ndarray]:
@@ -49,19 +35,8 @@ def coefficients(count: int = PERMUTATIONS, seed: int = 1) -> tuple[np.ndarray,
 
 
 def shingle_hashes(text: bytes | None, shingle: int = SHINGLE) -> np.ndarray:
-    """32-bit hashes (as uint64) of the word shingles, repeats included; a text with fewer words
-    has one shingle of all of them, a wordless one none."""
-    w = words(text)
-    if not w:
-        return np.empty(0, np.uint64)
-    h = np.fromiter(map(_hashes.__getitem__, w), np.uint64, len(w))
-    k = min(shingle, len(w))
-    n = len(w) - k + 1
-    acc = np.full(n, k, np.uint64)
-    for j in range(k):
-        acc = (acc ^ h[j : n + j]) * np.uint64(0x9E3779B97F4A7C15)
-        acc ^= acc >> np.uint64(29)
-    return acc >> np.uint64(32)
+    """32-bit hashes (as uint64) of the word shingles, repeats included."""
+    return shingles(text, shingle) >> np.uint64(32)
 
 
 def signature(x: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:

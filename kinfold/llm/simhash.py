@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from ..operators.graph import connected_components
 from ..runtime import settle
-from .common import words
+from .common import shingles, words
 
 BITS = 64
 LIMIT = 2048  # fingerprints compared in one task at once
@@ -84,7 +84,8 @@ def forest(fps: np.ndarray, distance: int) -> list[tuple[int, int]]:
         todo = [root]
         while todo:
             i = todo.pop()
-            near = np.flatnonzero(left & (np.bitwise_count(fps ^ fps[i]) <= distance))
+            apart = np.bitwise_count(fps ^ fps[i])
+            near = np.flatnonzero(left & ((apart if apart.ndim == 1 else apart.sum(1)) <= distance))
             left[near] = False
             out += [(i, int(j)) for j in near]
             todo += near.tolist()
@@ -112,12 +113,9 @@ def _groups(batches, keys: list[str]):
         yield kept.column("fp").to_numpy(), np.array([], np.int64)
 
 
-def links(fps: DataFrame, distance: int = 3, blocks: int = 6, limit: int = LIMIT) -> DataFrame:
-    """(src, dst) longs that connect the distinct ``fp`` values of ``fps`` which chains of
-    steps of at most ``distance`` bits connect: a spanning subset of all links."""
-    tables = fps.select("fp").distinct().select(
-        "fp", F.explode(F.array(*[F.struct(F.lit(i).alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("k")) for i, m in enumerate(masks(blocks, distance))])).alias("x")
-    ).select("fp", "x.t", "x.k")
+def _dealt(tables: DataFrame, limit: int) -> tuple[DataFrame, list[str]]:
+    """``tables`` (t, k, fp) with chunk numbers lo and hi, and the keys of what is compared together: whole
+    buckets, or pairs of chunks of a bucket with more than ``limit`` fingerprints."""
     counts = tables.groupBy("t", "k").agg(F.count("*").alias("n")).where(F.col("n") > limit)
     hot = settle(counts, "hot-blocks")
     chunks = F.coalesce(F.ceil(F.col("n") / F.lit(limit // 2)), F.lit(1)).cast("int")
@@ -128,7 +126,16 @@ def links(fps: DataFrame, distance: int = 3, blocks: int = 6, limit: int = LIMIT
         .withColumn("d", F.explode(F.sequence(F.lit(0), F.col("of") - 1)))
         .select("t", "k", F.least("c", "d").alias("lo"), F.greatest("c", "d").alias("hi"), "fp")
     )
-    keys = ["t", "k", "lo", "hi"]
+    return dealt, ["t", "k", "lo", "hi"]
+
+
+def links(fps: DataFrame, distance: int = 3, blocks: int = 6, limit: int = LIMIT) -> DataFrame:
+    """(src, dst) longs that connect the distinct ``fp`` values of ``fps`` which chains of
+    steps of at most ``distance`` bits connect: a spanning subset of all links."""
+    tables = fps.select("fp").distinct().select(
+        "fp", F.explode(F.array(*[F.struct(F.lit(i).alias("t"), F.col("fp").bitwiseAND(F.lit(m)).alias("k")) for i, m in enumerate(masks(blocks, distance))])).alias("x")
+    ).select("fp", "x.t", "x.k")
+    dealt, keys = _dealt(tables, limit)
 
     def compare(batches):
         for fp, cut in _groups(batches, keys):
@@ -176,15 +183,94 @@ def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shin
     return _components_of(slim, distance, blocks).select("doc_id", "fp", "component_id")
 
 
-def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5, distance: int = 3, blocks: int = 6) -> DataFrame:
+# Near copies of a similarity of 0.8 differ in about a seventh of the bits, beyond what 64 bits can separate
+# or blocks of them can catch. They are found with 256 bits, whose bits are shuffled a few times and each time cut
+# into blocks: pairs that differ in fewer bits than there are blocks share one in every shuffle,
+# farther ones up to ``NEAR`` bits share one in some shuffle with a probability of about 0.95 at 0.8.
+WIDTH, NEAR, BLOCK, SHUFFLES = 256, 46, 18, 4
+
+
+def wide_fingerprint(text: bytes | None, shingle: int = 5) -> bytes:
+    """``WIDTH``-bit SimHash over shingles of five words; all zeros for null and wordless texts."""
+    x = shingles(text, shingle)
+    if not len(x):
+        return bytes(WIDTH // 8)
+    ones = np.zeros(WIDTH, np.int64)
+    for at in range(0, len(x), 255):
+        part = x[at : at + 255]
+        y = part[:, None] + np.arange(1, WIDTH // 64 + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)
+        y = (y ^ (y >> np.uint64(32))) * np.uint64(0xBF58476D1CE4E5B9)
+        y ^= y >> np.uint64(29)
+        ones += np.unpackbits(y.view(np.uint8), axis=1, bitorder="little").sum(0, dtype=np.uint8)
+    return np.packbits(ones * 2 > len(x), bitorder="little").tobytes()
+
+
+def wide_simhash(text: Column, shingle: int = 5) -> Column:
+    @F.arrow_udf("binary")
+    def of(texts: pa.Array) -> pa.Array:
+        return pa.array([wide_fingerprint(t, shingle) for t in texts.cast(pa.binary()).to_pylist()], pa.binary())
+
+    return of(text)
+
+
+def block_bits(seed: int = 21) -> np.ndarray:
+    """Bit numbers of each table's block: ``SHUFFLES`` shuffles of all bits, each cut into whole blocks."""
+    rng, per = np.random.default_rng(seed), WIDTH // BLOCK
+    return np.concatenate([rng.permutation(WIDTH)[: per * BLOCK].reshape(per, BLOCK) for _ in range(SHUFFLES)])
+
+
+def wide_links(fps: DataFrame, near: int = NEAR, limit: int = LIMIT) -> DataFrame:
+    """(src, dst): pairs of 64-bit hashes of ``fp`` values that span what chains of steps of at most ``near`` bits
+    connect, among fingerprints that share a block."""
+    bits = block_bits()
+
+    def blocks(batches):
+        for b in batches:
+            if not b.num_rows:
+                continue
+            fp = b.column(0)
+            raw = np.frombuffer(b"".join(fp.to_pylist()), np.uint8).reshape(b.num_rows, -1)
+            each = np.unpackbits(raw, axis=1, bitorder="little")
+            for t, own in enumerate(bits):
+                key = each[:, own].astype(np.int64) @ (1 << np.arange(BLOCK, dtype=np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(b.num_rows, t, np.int32)), pa.array(key.astype(np.int32)), fp], ["t", "k", "fp"])
+
+    tables = fps.select("fp").distinct().mapInArrow(blocks, "t int, k int, fp binary")
+    dealt, keys = _dealt(tables, limit)
+
+    def compare(batches):
+        for fp, cut in _groups(batches, keys):
+            if not len(fp):
+                continue
+            each = np.frombuffer(b"".join(fp), "<u8").reshape(len(fp), -1)
+            start, stop = np.concatenate([[0], cut]).astype(np.int64), np.concatenate([cut, [len(fp)]]).astype(np.int64)
+            out = ([], [])
+            for a, b in zip(start[stop - start > 1].tolist(), stop[stop - start > 1].tolist()):
+                for i, j in forest(each[a:b], near):
+                    out[0].append(fp[a + i])
+                    out[1].append(fp[a + j])
+            if out[0]:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in out], ["src", "dst"])
+
+    met = dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(compare, "src binary, dst binary")
+    return met.select(F.xxhash64("src").alias("src"), F.xxhash64("dst").alias("dst"))
+
+
+def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5) -> DataFrame:
     """``docs`` with one document of each near-duplicate group, all its columns kept.
 
-    The one kept has the smallest id (among rows that repeat that id, the least text hash;
-    whole repeats count once). Rows with a null id stay: nothing names them.
+    Near-duplicates have a similarity of about 0.8 or more over shingles of five words, told by ``WIDTH``-bit
+    fingerprints at most ``NEAR`` bits apart; groups are what their links connect. The one kept has the smallest id
+    (among rows that repeat that id, the least text hash; whole repeats count once). Rows with a null id stay:
+    nothing names them. Wordless and null texts have one fingerprint and are copies of each other.
+    An empty table gives an empty result.
     """
-    slim = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("h"), simhash(F.col(text), shingle).alias("fp"))
+    slim = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("h"), wide_simhash(F.col(text), shingle).alias("fp"))
     slim = settle(slim.where("doc_id is not null"), "fingerprints")
-    keep = _components_of(slim, distance, blocks).groupBy("component_id").agg(F.min(F.struct("doc_id", "h")).alias("k"))
+    met = slim.groupBy("fp").agg(F.count("*").alias("n"))
+    comps = connected_components(wide_links(met)).select(F.col("node").alias("i"), "component")
+    slim = slim.select("doc_id", "h", F.xxhash64("fp").alias("i")).join(comps, "i", "left")
+    keep = slim.groupBy(F.coalesce("component", "i").alias("root")).agg(F.min(F.struct("doc_id", "h")).alias("k"))
     keep = keep.select(F.col("k.doc_id").alias("__id"), F.col("k.h").alias("__kh"))
     keyed = docs.withColumn("__h", F.xxhash64(text))
     kept = keyed.join(keep, (keyed[doc_id] == keep["__id"]) & (keyed["__h"] == keep["__kh"]), "left_semi")
