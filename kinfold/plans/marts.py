@@ -20,7 +20,6 @@ KEYS = ["tenant_id", "canonical_customer_id"]
 class Marts:
     def __init__(self, domain: Domain):
         self.d = domain
-        self._keep: dict[str, DataFrame] = {}
 
     def _mapped(self, df: DataFrame, how: str = "left") -> DataFrame:
         """Source rows with their tenant and customer."""
@@ -63,31 +62,32 @@ class Marts:
 
     # -- health and the customer view
 
-    def health(self) -> DataFrame:
-        c = self.d.customers().select(*KEYS)
-        o = self.order_totals().select(*KEYS, "paid_total", "refunded_orders")
-        a = self.activity_rollup().select(*KEYS, "event_count", "open_cases", "low_csat_cases")
-        m = c.join(o, KEYS, "left").join(a, KEYS, "left")
-        n = lambda x: F.coalesce(x, F.lit(0))
-        revenue = F.coalesce(F.col("paid_total"), F.lit(0.0)) / REVENUE_UNIT
-        points = F.lit(55) + F.least(n("event_count"), F.lit(30)) + F.least(F.round(revenue / 50, 0).cast("int"), F.lit(20)) - 15 * n("open_cases") - 20 * n("low_csat_cases") - 10 * n("refunded_orders")
-        score = clamp(points, 0, 100).cast("int")
-        out = m.select(*KEYS, score.alias("health_score"), F.round(revenue, 6).alias("revenue"), n("event_count").cast("bigint").alias("event_count"), n("open_cases").alias("open_cases"), n("low_csat_cases").alias("low_csat_cases"), n("refunded_orders").alias("refunded_orders"))
+    def features(self) -> DataFrame:
+        """Customers with their order totals and activity: the one star join that health and the view both read."""
+        o = self.order_totals().select(*KEYS, "order_count", "paid_total", "refunded_orders", "last_order_at")
+        a = self.activity_rollup().select(*KEYS, "event_count", "session_minutes", "support_cases", "open_cases", "low_csat_cases", "last_activity_at")
+        n = {c: F.coalesce(c, F.lit(0)).cast("bigint") for c in ("order_count", "refunded_orders", "event_count", "support_cases", "open_cases", "low_csat_cases")}
+        m = self.d.customers().join(o, KEYS, "left").join(a, KEYS, "left").withColumns(n)
+        return m.withColumn("revenue", F.coalesce(F.col("paid_total"), F.lit(0.0)) / REVENUE_UNIT)
+
+    @staticmethod
+    def _scored(m: DataFrame) -> DataFrame:
+        points = F.lit(55) + F.least("event_count", F.lit(30)) + F.least(F.round(F.col("revenue") / 50, 0).cast("int"), F.lit(20)) - 15 * F.col("open_cases") - 20 * F.col("low_csat_cases") - 10 * F.col("refunded_orders")
+        m = m.withColumn("health_score", clamp(points, 0, 100).cast("int"))
         churn = 100 - F.col("health_score")
-        return out.withColumns({"churn_risk_score": churn, "churn_risk_band": health_band(churn), "feature_payload": F.to_json(F.struct("revenue", "event_count", "open_cases", "low_csat_cases", "refunded_orders"))})
+        return m.withColumns({"churn_risk_score": churn, "churn_risk_band": health_band(churn), "revenue": F.round("revenue", 6)})
+
+    def health(self) -> DataFrame:
+        m = self._scored(self.features())
+        parts = ["revenue", "event_count", "open_cases", "low_csat_cases", "refunded_orders"]
+        return m.select(*KEYS, "health_score", *parts, "churn_risk_score", "churn_risk_band", F.to_json(F.struct(*parts)).alias("feature_payload"))
 
     def customer_360(self) -> DataFrame:
-        c = self.d.customers().select(*KEYS, "customer_id", "business_unit", "email", "phone", "customer_status", "identity_confidence")
-        s = self.current_subscription()
-        o = self.order_totals().select(*KEYS, "order_count", "paid_total", "last_order_at")
-        a = self.activity_rollup().select(*KEYS, "event_count", "session_minutes", "support_cases", "open_cases", "last_activity_at")
-        h = self.health().select(*KEYS, "health_score", "churn_risk_score", "churn_risk_band")
-        m = c.join(s, KEYS, "left").join(o, KEYS, "left").join(a, KEYS, "left").join(h, KEYS, "left")
-        n = lambda x: F.coalesce(F.col(x), F.lit(0)).cast("bigint").alias(x)
+        m = self._scored(self.features()).join(self.current_subscription(), KEYS, "left")
         return m.select(
             *KEYS, "customer_id", "business_unit", "email", "phone", "customer_status", "plan_name", F.coalesce("subscription_status", F.lit("none")).alias("subscription_status"), lifecycle_stage(F.col("subscription_status")).alias("lifecycle_stage"),
-            F.coalesce(F.col("mrr").cast("double"), F.lit(0.0)).alias("mrr"), n("order_count"), F.round(F.coalesce("paid_total", F.lit(0.0)) / REVENUE_UNIT, 6).alias("revenue"), n("event_count"), n("support_cases"), n("open_cases"),
-            "health_score", "churn_risk_score", "churn_risk_band", F.greatest(micros(F.col("last_order_at")), micros(F.col("last_activity_at"))).alias("last_seen_us"),
+            F.coalesce(F.col("mrr").cast("double"), F.lit(0.0)).alias("mrr"), "order_count", "revenue", "event_count", "support_cases", "open_cases", "health_score", "churn_risk_score", "churn_risk_band",
+            F.greatest(micros(F.col("last_order_at")), micros(F.col("last_activity_at"))).alias("last_seen_us"),
         )
 
     def customer_360_masked(self) -> DataFrame:

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import columns as C
 from ..operators import cdc, history, identity, merge, quality
+from ..runtime import settle
 from ..sources.bridge import Domain, oracle
 from . import activation as A
 from . import marts as M
@@ -198,9 +199,11 @@ def identity_quality(d):
 # -- exports, syncs, reconciliation -------------------------------------------------------------------------------------
 
 
-def rows_of(d: Domain) -> DataFrame:
+def rows_of(d: Domain, often: bool = False) -> DataFrame:
+    """Rows to export; written to the shared folder first where several branches of a plan read them."""
     m = M.Marts(d)
-    return M.activation_rows(m.customer_360(), m.eligibility())
+    rows = M.activation_rows(m.customer_360(), m.eligibility())
+    return settle(rows, "activation-rows") if often else rows
 
 
 def _export(name: str) -> None:
@@ -232,7 +235,7 @@ EXTRA.append(
 
 def synced(d: Domain) -> tuple[DataFrame, DataFrame]:
     """(outcomes, exported rows) of a first sync to all destinations."""
-    rows = rows_of(d)
+    rows = rows_of(d, often=True)
     out = exported = None
     for dest in A.DESTINATIONS:
         e = M.export(rows, dest[1])
@@ -268,12 +271,12 @@ def reconciliation(d):
 @query("SELECT 'missing_hashed_identifier' AS finding, 'medium' AS severity, destination, tenant_id, canonical_customer_id FROM sy JOIN ar USING (tenant_id, canonical_customer_id) WHERE hashed_email IS NULL AND hashed_phone IS NULL")
 def reconciliation_findings(d):
     out, exported = synced(d)
-    return A.findings(exported, out, M.Marts(d).eligibility())
+    return A.findings(settle(exported, "exported"), settle(out, "outcomes"), settle(M.Marts(d).eligibility(), "eligibility"))
 
 
 @query(" UNION ALL ".join(f"SELECT '{n}' AS export_name, count(*) AS rows, CASE WHEN count(*) > 0 THEN CAST(90 AS BIGINT) END AS lag_minutes, CASE WHEN count(*) = 0 THEN 'missing' ELSE 'fresh' END AS status FROM ar" for n in M.EXPORTS))
 def activation_freshness(d):
-    rows = rows_of(d)
+    rows = rows_of(d, often=True)
     at, now = (F.lit(x).cast("timestamp_ntz") for x in ("2024-02-01 00:00:00", "2024-02-01 01:30:00"))
     return M.export_freshness({n: M.export(rows, n) for n in M.EXPORTS}, at, now)
 
@@ -283,7 +286,7 @@ def activation_freshness(d):
     UNION ALL SELECT 'fresh_activation_export_count', CAST(CASE WHEN count(*) > 0 THEN 6 ELSE 0 END AS DOUBLE) FROM ar UNION ALL SELECT 'unhealthy_sync_destination_count', CAST(count(*) FILTER (WHERE failed_count > 0 OR rate_limit_events > 0) AS DOUBLE) FROM sl""")
 def semantic_metrics(d):
     rate = classified(d).agg(F.round(F.avg(F.col("reject_category").isNotNull().cast("double")), 6).alias("rejected_event_rate"))
-    rows = rows_of(d)
+    rows = rows_of(d, often=True)
     at, now = (F.lit(x).cast("timestamp_ntz") for x in ("2024-02-01 00:00:00", "2024-02-01 01:30:00"))
     fresh = M.export_freshness({n: M.export(rows, n) for n in M.EXPORTS}, at, now)
     return M.Marts(d).semantic_metrics(rate, A.sync_health(A.sync_log(synced(d)[0])), fresh)
@@ -292,7 +295,7 @@ def semantic_metrics(d):
 @query("""SELECT *, CASE WHEN 'x' = '' THEN '' END AS none FROM (SELECT 1 AS one) WHERE 1 = 0""")
 def sync_unchanged_repeats(d):
     """A second sync of the same rows updates nothing: rows that would be sent again, none."""
-    rows = rows_of(d)
+    rows = rows_of(d, often=True)
     dest = A.DESTINATIONS[0]
     first = A.sync_rows(M.export(rows, dest[1]), None, dest)
     again = A.sync_rows(M.export(rows, dest[1]), A.sync_state(None, first), dest)
