@@ -146,6 +146,10 @@ def rejection_records(classified: DataFrame, stage: str, rejected_at: Column) ->
     )
 
 
+def _without(payload: Column, field: str) -> Column:
+    return F.map_filter(payload, lambda k, v: k != field)
+
+
 def repair(rejected: DataFrame, defaults: dict[str, dict[str, str]]) -> DataFrame:
     """Rejected events mended where that is safe, with ``repair_actions``: ``upsert`` becomes update (with a before image) or
     insert, blank payload fields of ``defaults[table]`` are filled, the batch is marked."""
@@ -156,7 +160,7 @@ def repair(rejected: DataFrame, defaults: dict[str, dict[str, str]]) -> DataFram
     for t, fields in defaults.items():
         for f, value in fields.items():
             need = (F.col("source_table") == t) & F.col("payload_after").isNotNull() & (F.coalesce(F.trim(F.get_json_object("payload_after", f"$.{f}")), F.lit("")) == "")
-            payload = F.when(need, F.map_concat(F.map_filter(payload, lambda k, v, f=f: k != f), F.create_map(F.lit(f), F.lit(value)))).otherwise(payload)
+            payload = F.when(need, F.map_concat(_without(payload, f), F.create_map(F.lit(f), F.lit(value)))).otherwise(payload)
             actions.append(F.when(need, F.lit(f"default_{f}")))
     fixed = F.when(F.col("payload_after").isNotNull(), F.to_json(payload))
     return rejected.withColumns(
