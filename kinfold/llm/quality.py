@@ -105,8 +105,9 @@ class Model:
         return (self.emb @ (self.out[1] - self.out[0])).astype(np.float64), float(self.bias[1] - self.bias[0])
 
 
-def train(texts: list[bytes | None], labels: list[int], epochs: int = 6, rate: float = 2.0, seed: int = 5) -> Model:
-    """Stochastic gradient descent over the documents in a seeded order, the rate falling to 0. Without
+def train(texts: list[bytes | None], labels: list[int], epochs: int = 6, updates: int = 5_000, rate: float = 2.0, seed: int = 5) -> Model:
+    """Stochastic gradient descent over the documents in a seeded order, the rate falling to 0, for ``epochs`` rounds, or
+    more until ``updates`` steps are made where rows are few. Without
     rows, or with one class only, the bias holds the (smoothed) share of the classes."""
     rng = np.random.default_rng(seed)
     emb = rng.uniform(-1 / DIM, 1 / DIM, (BUCKETS, DIM)).astype(np.float32)
@@ -115,6 +116,7 @@ def train(texts: list[bytes | None], labels: list[int], epochs: int = 6, rate: f
     bias = np.log(np.array([len(labels) - ones + 0.5, ones + 0.5], np.float32) / (len(labels) + 1))
     if 0 < ones < len(labels):
         rows = [features(t) for t in texts]
+        epochs = max(epochs, -(-updates // len(rows)))
         steps, done = epochs * len(rows), 0
         for _ in range(epochs):
             for r in rng.permutation(len(rows)):
