@@ -16,12 +16,13 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.graph import connected_components
 from ..runtime import settle
 from .common import partitions, shingles, words
+from .simhash import _dealt, _groups
 
 PERMUTATIONS = 128
 SHINGLE = 5
@@ -143,3 +144,77 @@ def edited(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", count: i
             yield flush()
 
     return dealt.mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+
+
+def _set(text: Column, shingle: int) -> Column:
+    """The distinct shingle hashes of a text, sorted, as binary."""
+
+    @F.arrow_udf("binary")
+    def of(texts: pa.Array) -> pa.Array:
+        return pa.array([np.unique(shingles(t, shingle)).tobytes() for t in texts.cast(pa.binary()).to_pylist()], pa.binary())
+
+    return of(text)
+
+
+def _signed(sets: Column, count: int, seed: int) -> Column:
+    a, b = coefficients(count, seed)
+
+    @F.arrow_udf("binary")
+    def of(raw: pa.Array) -> pa.Array:
+        return pa.array([signature(np.frombuffer(r, np.uint64) >> np.uint64(32), a, b).astype(">u4").tobytes() for r in raw.to_pylist()], pa.binary())
+
+    return of(sets)
+
+
+def jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    """Of two sorted arrays without repeats; 1 for two empty ones."""
+    if not len(a) and not len(b):
+        return 1.0
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / (len(a) + len(b) - both)
+
+
+def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = 25, rows: int = 5, shingle: int = SHINGLE, seed: int = 1, limit: int = 512, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row per document: ``doc_id`` and ``class_id``, the smallest id that links of a Jaccard similarity of at least
+    ``threshold`` (over distinct shingles) reach, its own included.
+
+    Fingerprints are cut into ``bands`` of ``rows`` values; shingle sets that agree in a band meet there and are verified
+    exactly. A pair at the threshold of 0.8 misses all 25 bands of 5 with a probability of 0.00005. Equal shingle
+    sets are one entry, so copies never meet; a bucket of more than ``limit`` sets is dealt out in pairs of chunks; each task
+    emits a spanning forest of its links. Null and wordless texts have the empty set and are copies of each other. A null id is
+    never a class unless all its class is. Repeated rows stay, an empty table gives an empty result.
+    """
+    own = docs.select(F.col(doc_id).alias("doc_id"), _set(F.col(text), shingle).alias("set")).withColumn("key", F.sha2("set", 256))
+    slim = settle(own, "shingle-sets")
+    kinds = settle(slim.groupBy("key").agg(F.first("set").alias("set")).withColumn("sig", _signed(F.col("set"), bands * rows, seed)), "minhash-sets")
+    each = F.array(*[F.struct(F.lit(i).alias("t"), F.xxhash64(F.substring("sig", 4 * rows * i + 1, 4 * rows)).alias("k")) for i in range(bands)])
+    tables = kinds.select(F.col("key").alias("fp"), F.explode(each).alias("x")).select("fp", "x.t", "x.k")
+    shared = tables.groupBy("t", "k").agg(F.count("*").alias("n")).where("n > 1").drop("n")
+    dealt, keys = _dealt(settle(tables.join(shared, ["t", "k"], "left_semi"), "minhash-bands"), limit)
+    met = dealt.join(kinds.select(F.col("key").alias("fp"), "set"), "fp").select(*keys, "fp", "set")
+
+    def verify(batches):
+        for part, cut in _groups(batches, keys):
+            if not len(part):
+                continue
+            names, sets = part.column("fp").to_pylist(), [np.frombuffer(s, np.uint64) for s in part.column("set").to_pylist()]
+            src, dst = [], []
+            for a, b in zip([0, *cut.tolist()], [*cut.tolist(), len(names)]):
+                left = set(range(a, b))
+                while left:
+                    todo = [left.pop()]
+                    while todo:
+                        i = todo.pop()
+                        near = [j for j in left if jaccard(sets[i], sets[j]) >= threshold]
+                        left.difference_update(near)
+                        todo += near
+                        src += [names[i]] * len(near)
+                        dst += [names[j] for j in near]
+            if src:
+                yield pa.RecordBatch.from_arrays([pa.array(src), pa.array(dst)], ["src", "dst"])
+
+    links = met.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(verify, "src string, dst string")
+    comps = connected_components(links).select(F.col("node").alias("key"), "component")
+    placed = slim.select("doc_id", "key").join(comps, "key", "left").withColumn("root", F.coalesce("component", "key"))
+    heads = placed.groupBy("root").agg(F.min("doc_id").alias("class_id"))
+    return placed.join(heads, "root").select("doc_id", "class_id")

@@ -93,7 +93,7 @@ def forest(fps: np.ndarray, distance: int) -> list[tuple[int, int]]:
 
 
 def _groups(batches, keys: list[str]):
-    """Whole groups of rows that are sorted by ``keys``, across batch borders."""
+    """Tables of whole groups of rows that are sorted by ``keys``, across batch borders, and where groups begin."""
     kept = None
     for batch in batches:
         t = pa.Table.from_batches([batch])
@@ -107,10 +107,10 @@ def _groups(batches, keys: list[str]):
             new[1:] |= c[1:] != c[:-1]
         cut = np.flatnonzero(new)
         last = int(cut[-1]) if len(cut) else 0
-        yield t.column("fp").to_numpy()[:last], cut[:-1] if len(cut) else cut
+        yield t.slice(0, last), cut[:-1] if len(cut) else cut
         kept = t.slice(last)
     if kept is not None:
-        yield kept.column("fp").to_numpy(), np.array([], np.int64)
+        yield kept, np.array([], np.int64)
 
 
 def _dealt(tables: DataFrame, limit: int) -> tuple[DataFrame, list[str]]:
@@ -138,8 +138,8 @@ def links(fps: DataFrame, distance: int = 3, blocks: int = 6, limit: int = LIMIT
     dealt, keys = _dealt(tables, limit)
 
     def compare(batches):
-        for fp, cut in _groups(batches, keys):
-            fp = np.ascontiguousarray(fp).view(np.uint64)
+        for rows, cut in _groups(batches, keys):
+            fp = np.ascontiguousarray(rows.column("fp").to_numpy()).view(np.uint64)
             start = np.concatenate([[0], cut]).astype(np.int64)
             stop = np.concatenate([cut, [len(fp)]]).astype(np.int64)
             src, dst = [], []
@@ -239,9 +239,10 @@ def wide_links(fps: DataFrame, near: int = NEAR, limit: int = LIMIT) -> DataFram
     dealt, keys = _dealt(tables, limit)
 
     def compare(batches):
-        for fp, cut in _groups(batches, keys):
-            if not len(fp):
+        for rows, cut in _groups(batches, keys):
+            if not len(rows):
                 continue
+            fp = rows.column("fp").to_pylist()
             each = np.frombuffer(b"".join(fp), "<u8").reshape(len(fp), -1)
             start, stop = np.concatenate([[0], cut]).astype(np.int64), np.concatenate([cut, [len(fp)]]).astype(np.int64)
             out = ([], [])
