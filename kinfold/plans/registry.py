@@ -12,6 +12,7 @@ from ..operators import cdc, history, identity, merge, quality
 from ..runtime import settle
 from ..sources.bridge import Domain, oracle
 from . import activation as A
+from . import analyst
 from . import marts as M
 
 KEYS = ["tenant_id", "canonical_customer_id"]
@@ -625,5 +626,56 @@ def tenant_scoped_customers(d):
     return scoped(d.customers().select(*KEYS, "email"), Principal("analyst", frozenset({"tenant_asia", "tenant_europe"})))
 
 
+@query(" UNION ALL ".join(f"SELECT '{t}' AS test, CAST(0 AS BIGINT) AS failures" for t in ("exports_are_eligible", "export_counts_match", "deleted_subscription_not_current", "order_keys_unique", "no_orphan_exports", "no_overlapping_intervals", "eligibility_fails_closed", "one_current_subscription", "valid_windows")))
+def data_tests(d):
+    m, rows = M.Marts(d), rows_of(d, often=True)
+    return analyst.data_tests({n: M.export(rows, n) for n in M.EXPORTS}, settle(m.eligibility(), "eligibility"), d.customers(), m.order_history(), settle(m.subscription_history(), "subscriptions"))
+
+
+@query(f"SELECT {K}, {_LIFE.format('subscription_status')} AS lifecycle_stage FROM (SELECT *, coalesce(valid_to, lead(valid_from) OVER (PARTITION BY {K} ORDER BY valid_from, event_id)) AS ended FROM sh) WHERE valid_from <= TIMESTAMP '{AT}' AND (ended IS NULL OR ended > TIMESTAMP '{AT}')")
+def lifecycle_as_of(d):
+    return analyst.run(d.spark, "lifecycle_as_of", {"lifecycle_history": M.Marts(d).lifecycle_history()}, at=AT)
+
+
+@query("SELECT tenant_id, suppression_reason, count(*) AS customers FROM el WHERE NOT activation_eligible GROUP BY ALL")
+def analyst_suppression(d):
+    return analyst.run(d.spark, "suppression_by_reason", {"eligibility": M.Marts(d).eligibility()})
+
+
+@query(f"SELECT {K}, order_id FROM oh WHERE epoch_us(TIMESTAMP '2001-01-01') - epoch_us(ordered_at) > CASE tenant_id WHEN 'tenant_europe' THEN 365 ELSE 1825 END * CAST(86400000000 AS BIGINT)")
+def retention_due(d):
+    policy = d.tenants().select("tenant_id").distinct().withColumn("retention_days", F.when(F.col("tenant_id") == "tenant_europe", 365).otherwise(1825))
+    return analyst.retention_due(M.Marts(d).order_history(), policy, "ordered_at", F.lit("2001-01-01").cast("timestamp_ntz")).select(*KEYS, "order_id")
+
+
+@query("SELECT kafka_topic, count(*) AS messages FROM (SELECT source_table AS kafka_topic FROM ok) GROUP BY ALL")
+def publish_dry_run(d):
+    from ..streaming.ingest import dry_run_counts
+
+    return dry_run_counts(landed(d))
+
+
+@query(f"SELECT event_id, source_system, payload_k, is_delete FROM (SELECT event_id, source_system, k AS payload_k, operation_type = 'delete' AS is_delete, source_table FROM env) WHERE source_table = 'subscriptions'")
+def staging_projection(d):
+    """The envelope's payload is the after image, else the before image; typed leniently, filtered at the scan."""
+    e = d.envelopes().where("source_table = 'subscriptions'")
+    payload = F.coalesce("payload_after", "payload_before")
+    return e.select("event_id", "source_system", C.json_field(payload, "k").try_cast("int").alias("payload_k"), (F.col("operation_type") == "delete").alias("is_delete"))
+
+
+@query("SELECT region, status, n FROM (SELECT r_name AS region, CASE WHEN c_acctbal < 0 THEN 'debt' ELSE 'credit' END AS status, count(*) AS n FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY ALL)")
+def balances_by_region(d):
+    c, n, r = d.raw("customer"), d.raw("nation"), d.raw("region")
+    j = c.join(n, c.c_nationkey == n.n_nationkey).join(r, n.n_regionkey == r.r_regionkey)
+    return j.groupBy(F.col("r_name").alias("region"), F.when(F.col("c_acctbal") < 0, "debt").otherwise("credit").alias("status")).agg(F.count("*").alias("n"))
+
+
+@query(f"SELECT {K}, order_id, CAST(gross_amount AS DOUBLE) AS gross_amount FROM (SELECT *, row_number() OVER (PARTITION BY {K} ORDER BY gross_amount DESC, order_id) AS rn FROM oh) WHERE rn <= 3")
+def top_orders_per_customer(d):
+    """A report of three; the ranking keeps three rows per key in each task before the shuffle."""
+    w = Window.partitionBy(*KEYS).orderBy(F.col("gross_amount").desc(), "order_id")
+    return M.Marts(d).order_history().withColumn("rn", F.row_number().over(w)).where("rn <= 3").select(*KEYS, "order_id", F.col("gross_amount").cast("double").alias("gross_amount"))
+
+
 def oracle_sql() -> dict[str, str]:
     return {name: oracle(sql, *EXTRA) for name, sql in _SQL.items()}
