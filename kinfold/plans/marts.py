@@ -31,17 +31,24 @@ class Marts:
     def order_history(self) -> DataFrame:
         return self._mapped(self.d.orders())
 
+    def _rolled(self, rows: DataFrame, sums: dict[str, Column], latest: dict[str, Column]) -> DataFrame:
+        """Sums and maxima per customer: first per source key, where each task pre-aggregates its rows, so that the join to
+        customers and the second shuffle move one row per key instead of every fact."""
+        per_key = rows.groupBy("custkey").agg(*[F.sum(c).alias(n) for n, c in sums.items()], *[F.max(c).alias(n) for n, c in latest.items()])
+        return self._mapped(per_key).groupBy(*KEYS).agg(*[F.sum(n).alias(n) for n in sums], *[F.max(n).alias(n) for n in latest])
+
     def order_totals(self) -> DataFrame:
-        paid = F.col("order_status") == "paid"
-        return self.order_history().groupBy(*KEYS).agg(
-            F.count("*").alias("order_count"), F.sum(F.when(paid, F.col("gross_amount")).otherwise(0)).cast("double").alias("paid_total"), F.count_if(paid).alias("paid_orders"), F.count_if(F.col("order_status") == "refunded").alias("refunded_orders"), F.max("ordered_at").alias("last_order_at")
-        )
+        paid, refunded = F.col("order_status") == "paid", F.col("order_status") == "refunded"
+        sums = {"order_count": F.lit(1), "paid_total": F.when(paid, F.col("gross_amount")).otherwise(0), "paid_orders": paid.cast("int"), "refunded_orders": refunded.cast("int")}
+        return self._rolled(self.d.orders(), sums, {"last_order_at": F.col("ordered_at")}).withColumn("paid_total", F.col("paid_total").cast("double"))
 
     def activity_rollup(self) -> DataFrame:
         """Engagement and support, each summed by customer, met in a full outer join."""
-        e = self._mapped(self.d.engagement()).groupBy(*KEYS).agg(F.count("*").alias("engagement_events"), F.sum(F.coalesce("event_count", F.lit(0))).alias("event_count"), F.sum(F.coalesce("session_minutes", F.lit(0))).alias("session_minutes"), F.max("activity_at").alias("last_engagement_at"))
-        s = self._mapped(self.d.support()).groupBy(*KEYS).agg(F.count("*").alias("support_cases"), F.count_if(F.col("status") == "open").alias("open_cases"), F.count_if(F.col("csat_score") <= 2).alias("low_csat_cases"), F.max("created_at").alias("last_support_at"))
-        zero = {c: F.coalesce(c, F.lit(0)) for c in ("engagement_events", "event_count", "session_minutes", "support_cases", "open_cases", "low_csat_cases")}
+        n = lambda x: F.coalesce(x, F.lit(0))
+        flag = lambda c: F.coalesce(c.cast("int"), F.lit(0))
+        e = self._rolled(self.d.engagement(), {"engagement_events": F.lit(1), "event_count": n("event_count"), "session_minutes": n("session_minutes")}, {"last_engagement_at": F.col("activity_at")})
+        s = self._rolled(self.d.support(), {"support_cases": F.lit(1), "open_cases": flag(F.col("status") == "open"), "low_csat_cases": flag(F.col("csat_score") <= 2)}, {"last_support_at": F.col("created_at")})
+        zero = {c: n(c) for c in ("engagement_events", "event_count", "session_minutes", "support_cases", "open_cases", "low_csat_cases")}
         return e.join(s, KEYS, "full_outer").withColumns(zero).withColumn("last_activity_at", F.greatest("last_engagement_at", "last_support_at"))
 
     def subscription_history(self) -> DataFrame:
