@@ -36,11 +36,15 @@ def shared_dir(spark: SparkSession) -> str:
     return named.rstrip("/")
 
 
+_settled: list[str] = []
+
+
 def settle(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: later jobs start from files that
-    outlive any executor, and lineage is cut there."""
+    outlive any executor, and lineage is cut there. ``sweep`` deletes what is left at the end."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _settled.append(path)
     df.write.parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out._settled_at = path
@@ -52,10 +56,24 @@ def discard(df: DataFrame | None) -> None:
     path = getattr(df, "_settled_at", None)
     if path is None:
         return
-    spark = df.sparkSession
+    _delete(df.sparkSession, path)
+    if path in _settled:
+        _settled.remove(path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
     target = spark._jvm.org.apache.hadoop.fs.Path(path)
     target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def sweep(spark: SparkSession) -> int:
+    """Delete every settled table of this driver; call it when no result that reads them is needed any more."""
+    paths = list(_settled)
+    _settled.clear()
+    for path in paths:
+        _delete(spark, path)
+    return len(paths)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
