@@ -5,8 +5,9 @@ one bit per free space that some open bin has serves as the index: the tightest
 takes a piece is the lowest set bit at or above the piece's length. When a new bin would
 exceed the limit, the fullest open bin closes first.
 
-Each task packs the documents it reads, in the order in which it reads them, with no
-shuffle and bounded memory; a task leaves at most its open bins partly filled.
+Each task packs the documents it reads as they come, with no shuffle and bounded memory: a window of
+``WINDOW`` pieces at a time, the longest of a window first, since short pieces then fill what long ones leave.
+A task leaves at most its open bins partly filled.
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ from .tokens import Encoder
 
 LENGTH = 1024
 OPEN = 1024
+WINDOW = 1024
 MADE = {
     "piece": IntegerType(), "start": LongType(), "length": LongType(), "ids_crc32": LongType(), "sequence_id": LongType(), "offset": LongType(), "ids": ArrayType(IntegerType())
 }
@@ -101,18 +103,23 @@ def pack(docs: DataFrame, tokenizer: str | None = None, keep: list[str] | None =
         for batch in batches:
             names = batch.schema.names
             encoded = encode.many(batch.column(len(keep)).to_pylist())
-            row, out = [], [[] for _ in range(6)]
+            row, out = [], [[] for _ in range(4)]
             parts = []
             for r, data in enumerate(encoded):
                 data += end
                 for k, (start, n) in enumerate(pieces(len(data) // 4, length)):
                     own = data[4 * start : 4 * (start + n)]
-                    seq, off = bins.put(n)
                     row.append(r)
-                    for c, v in zip(out, (k, start, n, zlib.crc32(own), part + seq, off)):
+                    for c, v in zip(out, (k, start, n, zlib.crc32(own))):
                         c.append(v)
                     if ids:
                         parts.append(np.frombuffer(own, "<i4"))
+            sizes, seqs, offs = out[2], [0] * len(row), [0] * len(row)
+            for at in range(0, len(row), WINDOW):
+                for i in sorted(range(at, min(at + WINDOW, len(row))), key=lambda i: -sizes[i]):
+                    seq, offs[i] = bins.put(sizes[i])
+                    seqs[i] = part + seq
+            out += [seqs, offs]
             take = pa.array(row, pa.int32())
             cols = [batch.column(i).take(take) for i in range(len(keep))] + [pa.array(c, pa.int32() if i == 0 else pa.int64()) for i, c in enumerate(out)]
             if ids:
