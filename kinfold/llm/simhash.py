@@ -75,20 +75,20 @@ def masks(blocks: int = 6, distance: int = 3) -> list[int]:
 
 
 def forest(fps: np.ndarray, distance: int) -> list[tuple[int, int]]:
-    """Index pairs that span the components of ``fps`` under Hamming distance <= ``distance``."""
-    left, out = np.ones(len(fps), bool), []
-    for root in range(len(fps)):
-        if not left[root]:
-            continue
-        left[root] = False
-        todo = [root]
-        while todo:
+    """Index pairs that span the components of ``fps`` (a row of words each, or one word) under Hamming distance <=
+    ``distance``. Only what isn't reached yet is compared, so a group of copies costs one pass, not one for each."""
+    rest, out = np.arange(len(fps)), []
+    while len(rest):
+        todo, rest = [int(rest[0])], rest[1:]
+        while todo and len(rest):
             i = todo.pop()
-            apart = np.bitwise_count(fps ^ fps[i])
-            near = np.flatnonzero(left & ((apart if apart.ndim == 1 else apart.sum(1)) <= distance))
-            left[near] = False
-            out += [(i, int(j)) for j in near]
-            todo += near.tolist()
+            apart = np.bitwise_count(fps[rest] ^ fps[i])
+            near = (apart if apart.ndim == 1 else apart.sum(1)) <= distance
+            if near.any():
+                new = rest[near].tolist()
+                rest = rest[~near]
+                out += [(i, j) for j in new]
+                todo += new
     return out
 
 
