@@ -80,10 +80,12 @@ def top_k(index: DataFrame, queries: DataFrame, k: int = 10, bits: int = BITS, s
     codes = settle(ranked.groupBy("code").agg(F.sort_array(F.collect_list("id")).alias("ids")), "topk-codes")  # at most k a code
     size = codes.count()
     asked = queries.select(F.col(id).alias("query_id"), F.col(code).alias("q")).where("query_id is not null and q is not null").distinct()
-    todo = settle(asked.select("q").distinct(), "topk-queries")  # equal queries are answered once
+    # equal queries are answered once; nothing farther than ``bound`` can be among a query's k nearest
+    todo = settle(asked.select("q").distinct().withColumn("bound", F.lit(bits)), "topk-queries")
     found, answers, seen_all, probed = None, [], False, 0
     widest = max(bits * (i + 1) // segments - bits * i // segments for i in range(segments))
     parted = codes.select("code", "ids", F.explode(_segments(F.col("code"), bits, segments)).alias("x")).select("code", "ids", "x.*")
+    apart = F.bit_count(F.col("q").bitwiseXOR(F.col("code"))).cast("int")
     for r in range(widest + 1):
         if not size or todo.isEmpty():
             break
@@ -92,21 +94,25 @@ def top_k(index: DataFrame, queries: DataFrame, k: int = 10, bits: int = BITS, s
             hits, seen_all = _all(todo, codes, k), True
         else:
             flips = F.array(*[F.lit(sum(1 << b for b in c)) for c in combinations(range(widest), r)]).cast("array<bigint>")
-            probes = todo.select("q", F.explode(_segments(F.col("q"), bits, segments)).alias("x")).select("q", "x.segment", "x.value", F.explode(flips).alias("flip"))
-            probes = probes.select("q", "segment", F.col("value").bitwiseXOR(F.col("flip")).alias("value"))
-            hits = probes.join(parted, ["segment", "value"]).select("q", "code", "ids").dropDuplicates(["q", "code"])
-            hits = hits.select("q", F.bit_count(F.col("q").bitwiseXOR(F.col("code"))).cast("int").alias("distance"), F.explode("ids").alias("neighbor_id"))
+            probes = todo.select("q", "bound", F.explode(_segments(F.col("q"), bits, segments)).alias("x")).select("q", "bound", "x.segment", "x.value", F.explode(flips).alias("flip"))
+            probes = probes.select("q", "bound", F.col("segment").alias("s"), F.col("value").bitwiseXOR(F.col("flip")).alias("v"))
+            # the distance is verified inside the join, so what is met but too far is never a row
+            near = (F.col("segment") == F.col("s")) & (F.col("value") == F.col("v")) & (apart <= F.col("bound"))
+            hits = probes.join(parted, near).select("q", "code", "ids").dropDuplicates(["q", "code"])
+            hits = hits.select("q", apart.alias("distance"), F.explode("ids").alias("neighbor_id"))
         if found is not None and not seen_all:
             hits = hits.unionByName(found.join(todo, "q", "left_semi").select("q", "distance", "neighbor_id")).distinct()
         by = Window.partitionBy("q").orderBy("distance", "neighbor_id")
         then = settle(hits.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k), "topk-found")
         covered = bits if seen_all else segments * (r + 1) - 1  # every code up to this distance has been met
-        done = then.groupBy("q").agg(F.count("*").alias("n"), F.max("distance").alias("d")).where((F.col("n") >= k) & (F.col("d") <= covered))
         if seen_all or r == widest:
             answers.append(then)
             break
+        kth = then.groupBy("q").agg(F.count("*").alias("n"), F.max("distance").alias("d")).where(F.col("n") >= k)
+        done = kth.where(F.col("d") <= covered)
         answers.append(then.join(done, "q", "left_semi"))
-        rest = settle(todo.join(done, "q", "left_anti"), "topk-queries")
+        rest = todo.join(done, "q", "left_anti").join(kth, "q", "left").select("q", F.coalesce("d", "bound").alias("bound"))
+        rest = settle(rest, "topk-queries")
         discard(todo)
         todo, found = rest, then
     if not answers:
@@ -118,7 +124,7 @@ def top_k(index: DataFrame, queries: DataFrame, k: int = 10, bits: int = BITS, s
 
 
 def _all(todo: DataFrame, codes: DataFrame, k: int, block: int = 2048) -> DataFrame:
-    """(q, distance, neighbor_id) of the ``k`` nearest of all codes in each chunk of the index: every query
+    """(q, distance, neighbor_id) of the ``k`` nearest codes within its bound in each chunk of the index: every query
     against every code, both in blocks, a pair of blocks to a task."""
     queries = todo.count()
     q_blocks, c_blocks = -(-queries // block), -(-codes.count() // block)
@@ -126,12 +132,12 @@ def _all(todo: DataFrame, codes: DataFrame, k: int, block: int = 2048) -> DataFr
     c = codes.withColumn("j", F.pmod(F.xxhash64("code"), F.lit(c_blocks)).cast("int")).withColumn("i", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(q_blocks - 1).cast("bigint"))))
 
     def nearest(key, left, right):
-        qs, cs = left["q"].to_numpy(), right["code"].to_numpy()
+        cs = right["code"].to_numpy()
         ids, out = right["ids"].to_pylist(), ([], [], [])
-        for query in qs.tolist():
+        for query, bound in zip(left["q"].to_pylist(), left["bound"].to_pylist()):
             d = np.bitwise_count(cs.view(np.uint64) ^ np.int64(query).view(np.uint64)).astype(int)
             if len(d):
-                most = np.partition(d, min(k, len(d)) - 1)[min(k, len(d)) - 1]
+                most = min(bound, np.partition(d, min(k, len(d)) - 1)[min(k, len(d)) - 1])
                 best = sorted((int(d[x]), n) for x in np.flatnonzero(d <= most) for n in ids[x])[:k]
                 for dist, n in best:
                     for column, v in zip(out, (query, dist, n)):
