@@ -89,6 +89,25 @@ def _rows(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
         return settle(docs.select(*named), "lm-docs").select("doc_id", "text", *place)
 
 
+def squeeze(x: np.ndarray, sorted_keys: bool = False) -> bytes:
+    """Whole numbers as compressed byte planes; sorted keys as the differences between neighbours."""
+    import zstandard
+
+    if sorted_keys:
+        x = np.diff(x, prepend=x.dtype.type(0))
+    planes = np.ascontiguousarray(np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.itemsize).T)
+    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
+
+
+def expand(blob: bytes, kind: str, sorted_keys: bool = False) -> np.ndarray:
+    import zstandard
+
+    size = np.dtype(kind).itemsize
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8).reshape(size, -1)
+    x = np.ascontiguousarray(planes.T).view(kind).ravel()
+    return np.cumsum(x, dtype=x.dtype) if sorted_keys else x
+
+
 class Automaton:
     """States and arcs of one block, from its n-grams and their training counts by order.
 
@@ -157,9 +176,9 @@ def score(docs: DataFrame, order: int = ORDER, mu: float = MU, held_modulus: int
             ends = [0, *np.searchsorted(keys, bounds).tolist(), len(keys)]
             blobs.append((keys, counts, ends))
         for s in range(shards):
-            own = [(k[e[s] : e[s + 1]].tobytes(), c[e[s] : e[s + 1]].tobytes()) for k, c, e in blobs]
-            if any(k for k, _ in own):
-                cut.append((s, [k for k, _ in own], [c for _, c in own]))
+            own = [(k[e[s] : e[s + 1]], c[e[s] : e[s + 1]]) for k, c, e in blobs]
+            if any(len(k) for k, _ in own):
+                cut.append((s, [squeeze(k, True) for k, _ in own], [squeeze(c) for _, c in own]))
         s, k, c = zip(*cut)
         binary = pa.list_(pa.binary())
         return pa.RecordBatch.from_arrays([pa.array([block] * len(cut), pa.int64()), pa.array(s, pa.int32()), pa.array(k, binary), pa.array(c, binary)], ["block", "shard", "keys", "counts"])
@@ -187,15 +206,15 @@ def score(docs: DataFrame, order: int = ORDER, mu: float = MU, held_modulus: int
         answers = [[] for _ in got]
         stats = [0, 0]
         for m in range(order):
-            each = [np.frombuffer(g[1][m], "<u8") for g in got]
+            each = [expand(g[1][m], "<u8", True) for g in got]
             keys, inv = np.unique(np.concatenate(each), return_inverse=True)
-            counts = np.bincount(inv, np.concatenate([np.frombuffer(g[2][m], "<u4") for g in got]), len(keys))
+            counts = np.bincount(inv, np.concatenate([expand(g[2][m], "<u4") for g in got]), len(keys))
             if m == 0:
                 stats = [int(counts.sum()), int((counts > 0).sum())]
             all_ = np.minimum(counts[inv], 0xFFFFFFFF).astype("<u4")
             at = 0
             for a, e in zip(answers, each):
-                a.append(all_[at : at + len(e)].tobytes())
+                a.append(squeeze(all_[at : at + len(e)]))
                 at += len(e)
         shard = key[0].as_py()
         return pa.Table.from_arrays(
@@ -218,7 +237,7 @@ def score(docs: DataFrame, order: int = ORDER, mu: float = MU, held_modulus: int
         at = grams(h, size, order)
         totals = right["totals"].to_pylist()
         keys = [np.unique(x[ok]) for x, ok in at]
-        counts = [np.frombuffer(b"".join(t[m] for t in totals), "<u4") for m in range(order)]
+        counts = [np.concatenate([expand(t[m], "<u4") for t in totals]) for m in range(order)]
         machine = Automaton(keys, counts, tokens, types, mu)
         x, ok = at[0]
         own = np.searchsorted(keys[0], x[ok])
