@@ -30,7 +30,7 @@ from .common import partitions, words
 from .quality import held_out
 
 ORDER = 2
-MU = 5.0
+MU = 500.0  # about where held-out likelihood is best on samples of 1,000 and of 50,000 documents
 BLOCK_BYTES = 8 << 20
 SHARD_BYTES = 8 << 20
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
