@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from ..operators.graph import connected_components
 from ..runtime import settle
 from .common import partitions, shingles, words
-from .simhash import _dealt, _groups
+from .simhash import _groups
 
 PERMUTATIONS = 128
 SHINGLE = 5
@@ -156,14 +156,20 @@ def _set(text: Column, shingle: int) -> Column:
     return of(text)
 
 
-def _signed(sets: Column, count: int, seed: int) -> Column:
+def _signed(text: Column, shingle: int, count: int, seed: int) -> Column:
+    """``key``, a hash of the set of shingles (equal for equal sets), and ``sig``, its signature."""
     a, b = coefficients(count, seed)
 
-    @F.arrow_udf("binary")
-    def of(raw: pa.Array) -> pa.Array:
-        return pa.array([signature(np.frombuffer(r, np.uint64) >> np.uint64(32), a, b).astype(">u4").tobytes() for r in raw.to_pylist()], pa.binary())
+    @F.arrow_udf("struct<key: long, sig: binary>")
+    def of(texts: pa.Array) -> pa.Array:
+        import xxhash
 
-    return of(sets)
+        sets = [np.unique(shingles(t, shingle)) for t in texts.cast(pa.binary()).to_pylist()]
+        keys = np.fromiter((xxhash.xxh64_intdigest(x.tobytes(), 5) for x in sets), np.uint64, len(sets)).view(np.int64)
+        sigs = [signature(x >> np.uint64(32), a, b).astype(">u4").tobytes() for x in sets]
+        return pa.StructArray.from_arrays([pa.array(keys), pa.array(sigs, pa.binary())], ["key", "sig"])
+
+    return of(text)
 
 
 def jaccard(a: np.ndarray, b: np.ndarray) -> float:
@@ -174,47 +180,110 @@ def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(a) + len(b) - both)
 
 
-def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = 25, rows: int = 5, shingle: int = SHINGLE, seed: int = 1, limit: int = 512, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per document: ``doc_id`` and ``class_id``, the smallest id that links of a Jaccard similarity of at least
-    ``threshold`` (over distinct shingles) reach, its own included.
+def _alike(a: np.ndarray, b: np.ndarray, threshold: float) -> bool:
+    """Whether ``jaccard`` is at least ``threshold``; sizes alone often tell that it isn't."""
+    less, more = sorted((len(a), len(b)))
+    return (not more or less / more >= threshold) and jaccard(a, b) >= threshold
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """(src, dst): the pairs of keys (a, b) whose sets are alike."""
+
+    @F.arrow_udf("boolean")
+    def alike(x: pa.Array, y: pa.Array) -> pa.Array:
+        each = zip(x.to_pylist(), y.to_pylist())
+        return pa.array([_alike(np.frombuffer(s, np.uint64), np.frombuffer(t, np.uint64), threshold) for s, t in each], pa.bool_())
+
+    met = pairs.join(sets.select(F.col("key").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("key").alias("b"), F.col("set").alias("y")), "b")
+    return met.where(alike("x", "y")).select(F.col("a").alias("src"), F.col("b").alias("dst"))
+
+
+def _chunked(rest: DataFrame, limit: int) -> DataFrame:
+    """``rest`` (t, k, key, comp, n) as (t, k, lo, hi, side, key, comp): whole buckets, or pairs of chunks of a bucket of
+    more than ``limit`` sets. A component that would fill chunks has its own, which are never paired with each other."""
+    half = max(1, limit // 2)
+    whole = rest.where(F.col("n") <= limit).select("t", "k", F.lit(0).alias("lo"), F.lit(0).alias("hi"), F.lit(0).alias("side"), "key", "comp")
+    hot = rest.where(F.col("n") > limit)
+    sizes = hot.groupBy("t", "k", "comp").agg(F.count("*").alias("m"))
+    big = F.col("m") > half
+    number = F.when(big, F.pmod(F.xxhash64("key"), F.ceil(F.col("m") / half))).otherwise(F.pmod(F.xxhash64("comp"), F.ceil(F.col("n") / half)))
+    placed = hot.join(sizes, ["t", "k", "comp"]).withColumn("c", F.struct(big.alias("big"), F.when(big, F.col("comp")).otherwise(0).alias("of"), number.alias("number")))
+    lists = placed.groupBy("t", "k").agg(F.array_sort(F.collect_set("c")).alias("all"))  # a few entries for each bucket
+    pairs = placed.join(lists, ["t", "k"]).withColumn("own", (F.array_position("all", F.col("c")) - 1).cast("int"))
+    pairs = pairs.select("t", "k", "key", "comp", "own", "c", F.posexplode("all").alias("p", "d")).where(~(F.col("c.big") & F.col("d.big") & (F.col("c.of") == F.col("d.of"))))
+    lo = F.least("own", "p")
+    return whole.unionByName(pairs.select("t", "k", lo.alias("lo"), F.greatest("own", "p").alias("hi"), F.when(F.col("own") == lo, 0).otherwise(1).alias("side"), "key", "comp"))
+
+
+def _joins(comp: np.ndarray, side: np.ndarray, across: bool, sets: list[np.ndarray], threshold: float) -> list[tuple[int, int]]:
+    """Index pairs that are alike and connect components (of each side with the other only, if ``across``), as few as
+    connect all that such pairs connect."""
+    comp, at, out = comp.copy(), np.arange(len(comp)), []
+    for i in range(len(comp)):
+        for j in np.flatnonzero((at > i) & (comp != comp[i]) & ((side != side[i]) if across else True)).tolist():
+            if comp[j] != comp[i] and _alike(sets[i], sets[j], threshold):
+                out.append((i, j))
+                comp[comp == comp[j]] = comp[i]
+    return out
+
 
-    Fingerprints are cut into ``bands`` of ``rows`` values; shingle sets that agree in a band meet there and are verified
-    exactly. A pair at the threshold of 0.8 misses all 25 bands of 5 with a probability of 0.00005. Equal shingle
-    sets are one entry, so copies never meet; a bucket of more than ``limit`` sets is dealt out in pairs of chunks; each task
-    emits a spanning forest of its links. Null and wordless texts have the empty set and are copies of each other. A null id is
-    never a class unless all its class is. Repeated rows stay, an empty table gives an empty result.
+def classes(docs: DataFrame, threshold: float = 0.8, bands: int = 25, rows: int = 5, shingle: int = SHINGLE, seed: int = 1, limit: int = 512, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row per document: ``doc_id``, ``h`` (XXH64 of its text) and ``root``, which is equal for documents that links of
+    a Jaccard similarity of at least ``threshold`` (over distinct shingles) connect.
+
+    Signatures are cut into ``bands`` of ``rows`` values; equal shingle sets are one entry, so copies never meet. First the
+    sets of each bucket are compared with one of them, which costs a large group of near copies one pass. Where more
+    than one component is left in a bucket, all its pairs between components are compared. Every link is an exact
+    similarity; a pair that shares a band is left out only when links already connect it.
     """
-    own = docs.select(F.col(doc_id).alias("doc_id"), _set(F.col(text), shingle).alias("set")).withColumn("key", F.sha2("set", 256))
-    slim = settle(own, "shingle-sets")
-    kinds = settle(slim.groupBy("key").agg(F.first("set").alias("set")).withColumn("sig", _signed(F.col("set"), bands * rows, seed)), "minhash-sets")
+    slim = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("h"), _signed(F.col(text), shingle, bands * rows, seed).alias("x"))
+    slim = settle(slim.select("doc_id", "h", "x.key", "x.sig"), "signatures")
     each = F.array(*[F.struct(F.lit(i).alias("t"), F.xxhash64(F.substring("sig", 4 * rows * i + 1, 4 * rows)).alias("k")) for i in range(bands)])
-    tables = kinds.select(F.col("key").alias("fp"), F.explode(each).alias("x")).select("fp", "x.t", "x.k")
-    shared = tables.groupBy("t", "k").agg(F.count("*").alias("n")).where("n > 1").drop("n")
-    dealt, keys = _dealt(settle(tables.join(shared, ["t", "k"], "left_semi"), "minhash-bands"), limit)
-    met = dealt.join(kinds.select(F.col("key").alias("fp"), "set"), "fp").select(*keys, "fp", "set")
-
-    def verify(batches):
+    tables = slim.groupBy("key").agg(F.first("sig").alias("sig")).select("key", F.explode(each).alias("x")).select("key", "x.t", "x.k")
+    shared = tables.groupBy("t", "k").agg(F.count("*").alias("n"), F.min("key").alias("pivot")).where("n > 1")
+    met = settle(tables.join(shared, ["t", "k"]), "minhash-bands")
+
+    named = slim.join(met.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.min(F.struct("doc_id", "h")).alias("r"))
+    named = named.select("key", F.col("r.doc_id").alias("__id"), F.col("r.h").alias("__h"))
+    texts = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("h"), F.col(text).alias("text"))
+    sets = texts.join(named, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("h") == F.col("__h")))
+    sets = settle(sets.dropDuplicates(["key"]).select("key", _set(F.col("text"), shingle).alias("set")), "shingle-sets")
+
+    first = settle(_verified(met.where("key <> pivot").select(F.col("key").alias("a"), F.col("pivot").alias("b")).distinct(), sets, threshold), "minhash-links")
+    comps = settle(connected_components(first).select(F.col("node").alias("key"), "component"), "minhash-components")
+    left = met.where("n > 2").join(comps, "key", "left").select("t", "k", "key", "n", F.coalesce("component", "key").alias("comp"))
+    mixed = left.groupBy("t", "k").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a < b").select("t", "k")
+    rest = settle(left.join(mixed, ["t", "k"], "left_semi"), "minhash-rest")
+    keys = ["t", "k", "lo", "hi"]
+    dealt = _chunked(rest, limit).join(sets, "key").select(*keys, "side", "key", "comp", "set")
+
+    def compare(batches):
         for part, cut in _groups(batches, keys):
             if not len(part):
                 continue
-            names, sets = part.column("fp").to_pylist(), [np.frombuffer(s, np.uint64) for s in part.column("set").to_pylist()]
+            lo, hi, side, key, comp = (part.column(c).to_numpy() for c in ("lo", "hi", "side", "key", "comp"))
+            sets = [np.frombuffer(s, np.uint64) for s in part.column("set").to_pylist()]
             src, dst = [], []
-            for a, b in zip([0, *cut.tolist()], [*cut.tolist(), len(names)]):
-                left = set(range(a, b))
-                while left:
-                    todo = [left.pop()]
-                    while todo:
-                        i = todo.pop()
-                        near = [j for j in left if jaccard(sets[i], sets[j]) >= threshold]
-                        left.difference_update(near)
-                        todo += near
-                        src += [names[i]] * len(near)
-                        dst += [names[j] for j in near]
+            for a, b in zip([0, *cut.tolist()], [*cut.tolist(), len(key)]):
+                for i, j in _joins(comp[a:b], side[a:b], lo[a] != hi[a], sets[a:b], threshold):
+                    src.append(key[a + i])
+                    dst.append(key[a + j])
             if src:
-                yield pa.RecordBatch.from_arrays([pa.array(src), pa.array(dst)], ["src", "dst"])
+                yield pa.RecordBatch.from_arrays([pa.array(src, pa.int64()), pa.array(dst, pa.int64())], ["src", "dst"])
+
+    then = dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(compare, "src long, dst long")
+    roots = connected_components(first.unionByName(then)).select(F.col("node").alias("key"), "component")
+    return slim.select("doc_id", "h", "key").join(roots, "key", "left").select("doc_id", "h", F.coalesce("component", "key").alias("root"))
 
-    links = met.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(verify, "src string, dst string")
-    comps = connected_components(links).select(F.col("node").alias("key"), "component")
-    placed = slim.select("doc_id", "key").join(comps, "key", "left").withColumn("root", F.coalesce("component", "key"))
+
+def near_duplicates(docs: DataFrame, threshold: float = 0.8, bands: int = 25, rows: int = 5, shingle: int = SHINGLE, seed: int = 1, limit: int = 512, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row per document: ``doc_id`` and ``class_id``, the smallest id that links of a Jaccard similarity of at least
+    ``threshold`` (over distinct shingles) reach, its own included.
+
+    See ``classes``: sets that agree in a band meet and are verified exactly. A pair at the threshold of 0.8 misses all
+    25 bands of 5 with a probability of 0.00005. Null and wordless texts have the empty set and are copies of each
+    other. A null id is never a class unless all its class is. Repeated rows stay, an empty table gives an empty result.
+    """
+    placed = classes(docs, threshold, bands, rows, shingle, seed, limit, doc_id, text)
     heads = placed.groupBy("root").agg(F.min("doc_id").alias("class_id"))
     return placed.join(heads, "root").select("doc_id", "class_id")

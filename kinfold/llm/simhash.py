@@ -183,10 +183,10 @@ def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shin
     return _components_of(slim, distance, blocks).select("doc_id", "fp", "component_id")
 
 
-# Near copies of a similarity of 0.8 differ in about a seventh of the bits, beyond what 64 bits can separate
-# or blocks of them can catch. They are found with 256 bits, whose bits are shuffled a few times and each time cut
-# into blocks: pairs that differ in fewer bits than there are blocks share one in every shuffle,
-# farther ones up to ``NEAR`` bits share one in some shuffle with a probability of about 0.95 at 0.8.
+# Wide fingerprints find pairs that are near by Hamming distance: 256 bits, shuffled a few times and each time cut
+# into blocks. Pairs that differ in fewer bits than there are blocks share one in every shuffle, farther ones up
+# to ``NEAR`` bits with a probability. A similarity of 0.8 differs in 39 bits on average and in more than ``NEAR``
+# in 9 % of cases, so these decide nothing in ``deduplicate``.
 WIDTH, NEAR, BLOCK, SHUFFLES = 256, 46, 18, 4
 
 
@@ -260,18 +260,16 @@ def wide_links(fps: DataFrame, near: int = NEAR, limit: int = LIMIT) -> DataFram
 def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5) -> DataFrame:
     """``docs`` with one document of each near-duplicate group, all its columns kept.
 
-    Near-duplicates have a similarity of about 0.8 or more over shingles of five words, told by ``WIDTH``-bit
-    fingerprints at most ``NEAR`` bits apart; groups are what their links connect. The one kept has the smallest id
-    (among rows that repeat that id, the least text hash; whole repeats count once). Rows with a null id stay:
-    nothing names them. Wordless and null texts have one fingerprint and are copies of each other.
-    An empty table gives an empty result.
+    Near-duplicates have a Jaccard similarity of 0.8 or more over distinct shingles of five words. Hamming distances
+    can't tell that, so pairs are found by ``minhash.classes`` and each link is verified exactly; groups are what the
+    links connect. The one kept has the smallest id (among rows that repeat that id, the least text hash; whole
+    repeats count once). Rows with a null id stay: nothing names them. Wordless and null texts are copies of each
+    other. An empty table gives an empty result.
     """
-    slim = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("h"), wide_simhash(F.col(text), shingle).alias("fp"))
-    slim = settle(slim.where("doc_id is not null"), "fingerprints")
-    met = slim.groupBy("fp").agg(F.count("*").alias("n"))
-    comps = connected_components(wide_links(met)).select(F.col("node").alias("i"), "component")
-    slim = slim.select("doc_id", "h", F.xxhash64("fp").alias("i")).join(comps, "i", "left")
-    keep = slim.groupBy(F.coalesce("component", "i").alias("root")).agg(F.min(F.struct("doc_id", "h")).alias("k"))
+    from .minhash import classes
+
+    slim = classes(docs.where(F.col(doc_id).isNotNull()), shingle=shingle, doc_id=doc_id, text=text)
+    keep = slim.groupBy("root").agg(F.min(F.struct("doc_id", "h")).alias("k"))
     keep = keep.select(F.col("k.doc_id").alias("__id"), F.col("k.h").alias("__kh"))
     keyed = docs.withColumn("__h", F.xxhash64(text))
     kept = keyed.join(keep, (keyed[doc_id] == keep["__id"]) & (keyed["__h"] == keep["__kh"]), "left_semi")

@@ -100,3 +100,18 @@ def test_blocks_cover():
 def test_forest_spans(n):
     fps = np.arange(n, dtype=np.uint64)
     assert len(simhash.forest(fps, 64)) == n - 1
+
+
+def pairs_at(shared, own, count, seed):
+    """Texts of pairs of documents that have ``shared`` shingles of five words in common and ``own`` each besides."""
+    rng, out = np.random.default_rng(seed), []
+    for p in range(count):
+        same = [f"p{p}s{x}" for x in rng.permutation(shared + 4)]
+        out += [" ".join(same + [f"p{p}{side}{x}" for x in range(own)]) for side in "ab"]
+    return out
+
+
+def test_every_pair_at_080_is_caught(spark):
+    texts = pairs_at(160, 20, 300, 5)  # 160 of 200: exactly 0.8
+    kept = {r.doc_id for r in simhash.deduplicate(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert kept == set(range(0, 600, 2))
