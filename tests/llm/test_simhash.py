@@ -115,3 +115,10 @@ def test_every_pair_at_080_is_caught(spark):
     texts = pairs_at(160, 20, 300, 5)  # 160 of 200: exactly 0.8
     kept = {r.doc_id for r in simhash.deduplicate(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
     assert kept == set(range(0, 600, 2))
+
+
+def test_pairs_below_080_are_left_alone(spark):
+    texts = pairs_at(150, 25, 100, 6) + pairs_at(159, 20, 100, 7)  # 0.75, and just below 0.8
+    texts = [t.replace("p", f"g{i // 200}p") for i, t in enumerate(texts)]  # the two lists have no word in common
+    kept = simhash.deduplicate(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).count()
+    assert kept == len(texts)
