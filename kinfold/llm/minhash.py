@@ -243,7 +243,7 @@ def classes(docs: DataFrame, threshold: float = 0.8, bands: int = 25, rows: int
     shared = tables.groupBy("t", "k").agg(F.count("*").alias("n"), F.min("key").alias("pivot")).where("n > 1")
     met = settle(tables.join(shared, ["t", "k"]), "minhash-bands")
 
-    named = slim.join(met.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.min(F.struct("doc_id", "h")).alias("r"))
+    named = slim.join(met.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")).alias("r"))
     named = named.select("key", F.col("r.doc_id").alias("__id"), F.col("r.h").alias("__h"))
     texts = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("h"), F.col(text).alias("text"))
     sets = texts.join(named, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("h") == F.col("__h")))

@@ -263,14 +263,15 @@ def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shi
     Near-duplicates have a Jaccard similarity of 0.8 or more over distinct shingles of five words. Hamming distances
     can't tell that, so pairs are found by ``minhash.classes`` and each link is verified exactly; groups are what the
     links connect. The one kept has the smallest id (among rows that repeat that id, the least text hash; whole
-    repeats count once). Rows with a null id stay: nothing names them. Wordless and null texts are copies of each
-    other. An empty table gives an empty result.
+    repeats count once). Rows with a null id are grouped like any other; nothing names them, so each group also keeps one
+    of its own, the one of the least text hash. Wordless and null texts are copies of each other. An empty table gives an
+    empty result.
     """
     from .minhash import classes
 
-    slim = classes(docs.where(F.col(doc_id).isNotNull()), shingle=shingle, doc_id=doc_id, text=text)
-    keep = slim.groupBy("root").agg(F.min(F.struct("doc_id", "h")).alias("k"))
+    slim = classes(docs, shingle=shingle, doc_id=doc_id, text=text)
+    keep = slim.groupBy("root", F.col("doc_id").isNull()).agg(F.min(F.struct("doc_id", "h")).alias("k"))
     keep = keep.select(F.col("k.doc_id").alias("__id"), F.col("k.h").alias("__kh"))
     keyed = docs.withColumn("__h", F.xxhash64(text))
-    kept = keyed.join(keep, (keyed[doc_id] == keep["__id"]) & (keyed["__h"] == keep["__kh"]), "left_semi")
-    return kept.dropDuplicates([doc_id, "__h"]).drop("__h").unionByName(docs.where(F.col(doc_id).isNull()))
+    kept = keyed.join(keep, keyed[doc_id].eqNullSafe(keep["__id"]) & (keyed["__h"] == keep["__kh"]), "left_semi")
+    return kept.dropDuplicates([doc_id, "__h"]).drop("__h")

@@ -122,3 +122,10 @@ def test_pairs_below_080_are_left_alone(spark):
     texts = [t.replace("p", f"g{i // 200}p") for i, t in enumerate(texts)]  # the two lists have no word in common
     kept = simhash.deduplicate(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).count()
     assert kept == len(texts)
+
+
+def test_copies_without_an_id_are_kept_once(spark):
+    a, b, c, d = pairs_at(160, 20, 2, 8)  # a and b are near copies, and so are c and d
+    rows = [(1, a)] + [(None, a)] * 3 + [(None, b)] + [(None, c)] * 4 + [(None, d)]
+    kept = simhash.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert [r.doc_id for r in kept].count(1) == 1 and len(kept) == 3 and sum(r.text in (c, d) for r in kept) == 1
