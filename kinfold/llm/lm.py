@@ -1,17 +1,21 @@
 """LM scoring: n-grams smoothed by backoff, as a weighted automaton with failure arcs.
 
-Every context seen in training is a state. It has an arc for each word seen after it, weighing
-``(c(h w) + mu p(w | h')) / (c(h) + mu)``, and a failure arc, weighing ``mu / (c(h) + mu)``, to the state
-of the context less its first word, h'; below all is the base, add-one over words (Dirichlet smoothing, so
-each state's probabilities sum to one). A text is traversed once from left to right: the state carried
-over a word is the longest context known, a missing arc takes failure arcs down, weights are summed as
-logarithms.
-
-Scale: no model of the corpus is gathered anywhere. Documents form blocks of bounded bytes. Each block sends
-its distinct n-grams (64-bit hashes, with its own training counts) to shards of the hash range, a shard
-adds up the counts of all blocks and answers each with the totals of what it sent. Block and answer meet
-again, the block builds the automaton of just its own n-grams, and traverses its texts. So each n-gram moves
-once per block, not once per occurrence; a frequent word is one entry of each block.
+Every context seen in training is a state; the root is the empty context. A state has an arc for each word
+seen after it, weighing ``(c(h w) + mu p(w | h')) / (c(h) + mu)``, and a failure arc, weighing
+``mu / (c(h) + mu)``, to the state of the context less its first word, h'; the root has an arc for every word, the
+add-one share (Dirichlet smoothing, so each state's probabilities sum to one). A text is traversed once from
+left to right: the state is carried over each word, a missing arc takes failure arcs down to a state that has
+one, and the logarithms of the weights are summed.
+
+Scale: no model of the corpus is gathered anywhere. Each task cuts the texts it reads into blocks of bounded bytes,
+which are written once, as word numbers; all that follows reads these, so it doesn't matter how the
+rows were ordered or dealt, nor whether they would come in the same order again. Each block sends its distinct
+n-grams (64-bit hashes, with its own training counts) to shards of the hash range, a shard adds up the counts of
+all blocks and answers each with the totals of what it sent. Block and answer meet again, the block builds the
+automaton of just its own n-grams, and its texts traverse it. So each n-gram moves once per block, not once
+per occurrence; a frequent word is one entry of each block. A block sends a row to each shard that it has an n-gram
+for; blocks grow with the square root of the input up to ``MOST_BLOCK_BYTES``, so rows are few, and never more than
+n-grams.
 """
 
 from __future__ import annotations
@@ -21,7 +25,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.errors import AnalysisException
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,8 +35,9 @@ from .quality import held_out
 
 ORDER = 2
 MU = 500.0  # about where held-out likelihood is best on samples of 1,000 and of 50,000 documents
-BLOCK_BYTES = 8 << 20
-SHARD_BYTES = 8 << 20
+LEAST_BLOCK_BYTES, MOST_BLOCK_BYTES = 8 << 20, 24 << 20
+SHARD_BYTES = 32 << 20
+LANE = 256  # words that are traversed in one go; a longer text is traversed in several lanes at once
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 END = 0x243F6A8885A308D3  # the hash of the end of a text, which also precedes its first word
 _REMEMBERED = 300_000
@@ -79,16 +84,6 @@ def grams(h: np.ndarray, size: np.ndarray, order: int) -> list[tuple[np.ndarray,
     return out
 
 
-def _rows(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """(file, part, row, doc_id, text): rows of files, by their place in them, which stays the same in every scan."""
-    named = [F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").cast("binary").alias("text")]
-    place = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("part"), F.col("_metadata.row_index").alias("row")]
-    try:
-        return docs.select(*named, *place)
-    except AnalysisException:  # not read from files: make it so
-        return settle(docs.select(*named), "lm-docs").select("doc_id", "text", *place)
-
-
 def squeeze(x: np.ndarray, sorted_keys: bool = False) -> bytes:
     """Whole numbers as compressed byte planes; sorted keys as the differences between neighbours."""
     import zstandard
@@ -109,96 +104,193 @@ def expand(blob: bytes, kind: str, sorted_keys: bool = False) -> np.ndarray:
 
 
 class Automaton:
-    """States and arcs of one block, from its n-grams and their training counts by order.
+    """States, arcs and failure arcs for the texts of one block.
 
-    ``weights`` is indexed by order, then by the block's sorted n-grams. Contexts are n-grams too, so an arc's
-    state is found by the hash of the n-gram one place before.
+    State 0 is the root. Every other state is an n-gram of at most ``order - 1`` tokens with a training count.
+    ``arc_key`` holds ``state * words + word`` of all arcs but the root's, sorted, with ``arc_weight`` (log10) and
+    ``arc_to``; the root's are ``root_weight`` and ``root_to``, by word. ``fail_to`` and ``fail_weight`` are the
+    failure arcs, by state. ``start`` is the state of the opening END.
     """
 
-    def __init__(self, keys: list[np.ndarray], counts: list[np.ndarray], tokens: int, types: int, mu: float):
-        self.keys, self.counts, self.mu = keys, counts, mu
-        self.base = np.log10((counts[0] + 1.0) / (tokens + types + 1.0))
-
-    def traverse(self, at: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
-        """log10 probability of the token at each place (0 where none is predicted), for all places at once: the
-        state that a left-to-right traversal carries to a place is told by the n-grams that end before it."""
-        x, ok = at[0]
-        low = np.searchsorted(self.keys[0], x[ok])
-        p = np.zeros(len(x))
-        p[ok] = self.base[low]
-        seen = np.zeros(len(x))  # count of the n-gram of the order below that ends here
-        seen[ok] = self.counts[0][low]
-        # the opening END is no token, but a context; it is as frequent as the closing one
-        end = np.searchsorted(self.keys[0], np.uint64(END))
-        seen[~ok] = self.counts[0][end] if end < len(self.keys[0]) else 0
-        for m in range(1, len(self.keys)):
-            x, ok = at[m]
+    def __init__(self, at: list[tuple[np.ndarray, np.ndarray]], counts: list[np.ndarray], tokens: int, types: int, mu: float):
+        """``at``: what ``grams`` gives for the block; ``counts``: training counts of its sorted distinct n-grams."""
+        order = len(at)
+        keys, first = [], []
+        for x, ok in at:
             where = np.flatnonzero(ok)
-            found = np.searchsorted(self.keys[m], x[where])
-            own, context = self.counts[m][found].astype(float), seen[where - 1]
-            arc = own > 0
-            fail = np.log10(self.mu / (context + self.mu))
-            q = fail + p[where]
-            q[arc] = np.log10((own[arc] + self.mu * 10.0 ** p[where][arc]) / (context[arc] + self.mu))
-            p[where] = q
-            seen = np.zeros(len(x))
-            seen[where] = own
-        return p
-
-
-def score(docs: DataFrame, order: int = ORDER, mu: float = MU, held_modulus: int = 7, held_remainder: int = 2, doc_id: str = "doc_id", text: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+            k, f = np.unique(x[where], return_index=True)
+            keys.append(k)
+            first.append(where[f])  # a place where the n-gram ends
+        self.words, n = keys[0], len(keys[0])
+        self.root_weight = np.log10((counts[0] + 1.0) / (tokens + types + 1.0))
+        # states: n-grams of each order below the last that training has seen
+        state, made = [], 1
+        for m in range(order - 1):
+            s = np.zeros(len(keys[m]), np.int64)
+            seen = counts[m] > 0
+            s[seen] = np.arange(made, made + int(seen.sum()))
+            made += int(seen.sum())
+            state.append(s)
+        self.states = made
+        self.root_to = state[0] if state else np.zeros(n, np.int64)
+        self.fail_to, self.fail_weight = np.zeros(made, np.int64), np.zeros(made)
+        arc_key, arc_weight, arc_to, low = [], [], [], self.root_weight
+        for m in range(1, order):  # n-grams of order m + 1 are arcs of the states of order m
+            before = np.searchsorted(keys[m - 1], at[m - 1][0][first[m] - 1])  # the context
+            suffix = np.searchsorted(keys[m - 1], at[m - 1][0][first[m]])  # the n-gram less its first token
+            word = np.searchsorted(keys[0], at[0][0][first[m]])
+            context = counts[m - 1][before].astype(float)
+            weight = np.log10((counts[m] + mu * 10.0 ** low[suffix]) / (context + mu))
+            arc = counts[m] > 0
+            to = state[m] if m < order - 1 else state[m - 1][suffix]
+            arc_key.append((state[m - 1][before] * n + word)[arc])
+            arc_weight.append(weight[arc])
+            arc_to.append(to[arc])
+            own = state[m - 1] > 0
+            self.fail_weight[state[m - 1][own]] = np.log10(mu / (counts[m - 1][own] + mu))
+            if m < order - 1:
+                self.fail_to[state[m][arc]] = state[m - 1][suffix[arc]]
+            low = weight
+        by = np.argsort(np.concatenate(arc_key)) if arc_key else np.empty(0, np.int64)
+        self.arc_key, self.arc_weight, self.arc_to = (np.concatenate(x)[by] if x else np.empty(0) for x in (arc_key, arc_weight, arc_to))
+        self.depth = order - 1
+        end = np.searchsorted(keys[0], np.uint64(END))
+        self.start = int(self.root_to[end]) if end < n and keys[0][end] == END else 0
+
+    def step(self, state: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Weights of reading ``word`` in ``state`` (failure arcs included), and the states it leads to."""
+        weight, to, n = np.zeros(len(state)), np.zeros(len(state), np.int64), len(self.words)
+        open_, at = np.arange(len(state)), state
+        while len(open_) and len(self.arc_key):
+            inner = at > 0
+            if not inner.all():
+                rooted = open_[~inner]
+                weight[rooted] += self.root_weight[word[rooted]]
+                to[rooted] = self.root_to[word[rooted]]
+                open_, at = open_[inner], at[inner]
+            key = at * n + word[open_]
+            found = np.minimum(np.searchsorted(self.arc_key, key), len(self.arc_key) - 1)
+            hit = self.arc_key[found] == key
+            weight[open_[hit]] += self.arc_weight[found[hit]]
+            to[open_[hit]] = self.arc_to[found[hit]]
+            open_, at = open_[~hit], at[~hit]
+            weight[open_] += self.fail_weight[at]
+            at = self.fail_to[at]
+        weight[open_] += self.root_weight[word[open_]]
+        to[open_] = self.root_to[word[open_]]
+        return weight, to
+
+    def traverse(self, word: np.ndarray, size: np.ndarray, lane: int = LANE) -> np.ndarray:
+        """Sum of log10 weights of each text. ``word``: word numbers of all texts, each with its opening END, one after
+        another; ``size``: their lengths.
+
+        Texts are lanes that advance together, one word a step, each carrying its state. A long text is cut into lanes of ``lane``
+        words; a later one first reads, from the root and unweighed, the ``order - 1`` words before it, after which its
+        state is the one that the lane before would have carried there.
+        """
+        begin = np.cumsum(size) - size
+        many = np.maximum(-(-(size - 1) // lane), 1)
+        text = np.repeat(np.arange(len(size)), many)
+        nth = np.arange(len(text)) - np.repeat(np.cumsum(many) - many, many)
+        a = begin[text] + 1 + nth * lane
+        b = np.minimum(a + lane, (begin + size)[text])
+        by = np.argsort(a - b, kind="stable")  # the longest first: those still open are the first ones
+        a, b, text, nth = a[by], b[by], text[by], nth[by]
+        state = np.where(nth == 0, self.start, 0)
+        for back in range(self.depth, 0, -1):
+            i = np.flatnonzero(nth > 0)
+            at = a[i] - back
+            ok = at > begin[text[i]]
+            opening = at == begin[text[i]]
+            state[i[opening]] = self.start
+            i, at = i[ok], at[ok]
+            if len(i):
+                state[i] = self.step(state[i], word[at])[1]
+        total = np.zeros(len(a))
+        for t in range(int((b - a).max(initial=0))):
+            live = int(np.searchsorted(-(b - a), -t, "left"))
+            weight, state[:live] = self.step(state[:live], word[a[:live] + t])
+            total[:live] += weight
+        return np.bincount(text, total, len(size))
+
+
+def block_bytes_for(total: int) -> int:
+    return int(min(MOST_BLOCK_BYTES, max(LEAST_BLOCK_BYTES, math.sqrt(total * 128e3))))
+
+
+def score(docs: DataFrame, order: int = ORDER, mu: float = MU, held_modulus: int = 7, held_remainder: int = 2, doc_id: str = "doc_id", text: str = "text", block_bytes: int | None = None) -> DataFrame:
     """One row per document: ``doc_id``, ``held_out``, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score``, ``score``.
 
     The model learns from all documents that are not held out: those whose crc32(doc_id as text) modulo
     ``held_modulus`` is not ``held_remainder`` (a null id is not held out). A text's tokens are its words, A-Z
     lower-cased, and one end; a null text is empty. ``n_known`` counts tokens seen in training, ``base_score`` is the
-    add-one unigram score, ``score`` the automaton's. Repeated rows each count; without training rows all
-    counts are 0; an empty table gives an empty result; other columns are ignored.
+    add-one unigram score, ``score`` the automaton's. The order and the partitions of ``docs`` don't matter. Repeated rows each
+    count; without training rows all counts are 0; an empty table gives an empty result; other columns are ignored.
     """
-    spark = docs.sparkSession
-    rows = _rows(docs, doc_id, text)
-    n, total = rows.agg(F.count("*"), F.sum(F.octet_length("text"))).first()
-    per_block = max(1, int(block_bytes * (n or 1) / max(1, total or 0)))
-    shards = max(partitions(docs), math.ceil((total or 0) / SHARD_BYTES))
-    block = F.xxhash64("file", "part", F.floor(F.col("row") / per_block))
-    rows = rows.select(block.alias("block"), "row", "doc_id", "text", held_out(F.col("doc_id"), held_modulus, held_remainder).alias("held"))
+    own = F.col(f"`{doc_id}`").alias("doc_id")
+    rows = docs.select(own, F.col(f"`{text}`").cast("binary").alias("text"))
+    total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    most = block_bytes or block_bytes_for(total)
+    shards = max(partitions(docs), math.ceil(total / SHARD_BYTES))
+    rows = rows.withColumn("held", held_out(F.col("doc_id"), held_modulus, held_remainder))
+    kind = dict(rows.dtypes)["doc_id"]
     step = (1 << 64) // shards + 1
     bounds = np.array([step * i for i in range(1, shards)], np.uint64)
 
-    def sent(block: int, texts: list, held: np.ndarray):
-        """The block's distinct n-grams with its training counts, cut by shard."""
-        h, size = stream(texts)
-        free = np.repeat(~held, size)
-        cut, blobs = [], []
-        for x, ok in grams(h, size, order):
-            keys, inv = np.unique(x[ok], return_inverse=True)
-            counts = np.bincount(inv, free[ok], len(keys)).astype("<u4")
-            ends = [0, *np.searchsorted(keys, bounds).tolist(), len(keys)]
-            blobs.append((keys, counts, ends))
-        for s in range(shards):
-            own = [(k[e[s] : e[s + 1]], c[e[s] : e[s + 1]]) for k, c, e in blobs]
-            if any(len(k) for k, _ in own):
-                cut.append((s, [squeeze(k, True) for k, _ in own], [squeeze(c) for _, c in own]))
-        s, k, c = zip(*cut)
-        binary = pa.list_(pa.binary())
-        return pa.RecordBatch.from_arrays([pa.array([block] * len(cut), pa.int64()), pa.array(s, pa.int32()), pa.array(k, binary), pa.array(c, binary)], ["block", "shard", "keys", "counts"])
-
-    def gather(batches):
-        kept: dict[int, tuple[list, list]] = {}
+    def cut(batches):
+        """Blocks of texts: their ids, and their words as numbers into the block's sorted word hashes."""
+        ids, texts, held, held_bytes, made = [], [], [], 0, TaskContext.get().partitionId() << 32
+
+        def block():
+            h, size = stream(texts)
+            known, word = np.unique(h, return_inverse=True)
+            each = pa.concat_arrays(ids)
+            return pa.RecordBatch.from_arrays(
+                [
+                    pa.array([made], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(each)], pa.int32()), each), pa.array([squeeze(np.array(held, np.uint8))], pa.binary()),
+                    pa.array([squeeze(size)], pa.binary()), pa.array([squeeze(known, True)], pa.binary()), pa.array([squeeze(word.astype("<u4"))], pa.binary()),
+                ],
+                ["block", "ids", "held", "sizes", "known", "words"],
+            )
+
         for b in batches:
-            blocks = b.column(0).to_numpy()
-            texts, held = b.column(1).to_pylist(), b.column(2).to_pylist()
-            for k in np.unique(blocks).tolist():
-                t, hd = kept.setdefault(k, ([], []))
-                for i in np.flatnonzero(blocks == k).tolist():
-                    t.append(texts[i])
-                    hd.append(held[i])
-            # rows come in the order of the files, so all blocks but the last are whole
-            last = int(blocks[-1]) if len(blocks) else None
-            for k in [k for k in kept if k != last]:
-                yield sent(k, kept[k][0], np.array(kept.pop(k)[1], bool))
-        for k, (t, hd) in kept.items():
-            yield sent(k, t, np.array(hd, bool))
+            some, flags = b.column(1).to_pylist(), b.column(2).to_pylist()
+            at = 0
+            for i, t in enumerate(some):
+                texts.append(t)
+                held.append(flags[i])
+                held_bytes += len(t or b"") + 8
+                if held_bytes >= most:
+                    ids.append(b.column(0).slice(at, i + 1 - at))
+                    yield block()
+                    made, at, held_bytes = made + 1, i + 1, 0
+                    ids.clear(), texts.clear(), held.clear()
+            if at < len(some):
+                ids.append(b.column(0).slice(at))
+        if texts:
+            yield block()
+
+    blocks = settle(rows.mapInArrow(cut, f"block long, ids array<{kind}>, held binary, sizes binary, known binary, words binary"), "lm-blocks")
+
+    def ask(batches):
+        """Each block's distinct n-grams with its training counts, cut by shard."""
+        for b in batches:
+            for number, held, sizes, known, word in zip(*(b.column(i).to_pylist() for i in range(5))):
+                size = expand(sizes, "<i8")
+                free = np.repeat(expand(held, "u1") == 0, size)
+                each = []
+                for x, ok in grams(expand(known, "<u8", True)[expand(word, "<u4")], size, order):
+                    keys, inv = np.unique(x[ok], return_inverse=True)
+                    counts = np.bincount(inv, free[ok], len(keys)).astype("<u4")
+                    each.append((keys, counts, [0, *np.searchsorted(keys, bounds).tolist(), len(keys)]))
+                sent = []
+                for s in range(shards):
+                    own = [(k[e[s] : e[s + 1]], c[e[s] : e[s + 1]]) for k, c, e in each]
+                    if any(len(k) for k, _ in own):
+                        sent.append((s, [squeeze(k, True) for k, _ in own], [squeeze(c) for _, c in own]))
+                s, k, c = zip(*sent)
+                binary = pa.list_(pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array([number] * len(sent), pa.int64()), pa.array(s, pa.int32()), pa.array(k, binary), pa.array(c, binary)], ["block", "shard", "keys", "counts"])
 
     def add_up(key, sent_here):
         """One shard: totals of each n-gram over the blocks, answered in the order in which each block sent."""
@@ -225,32 +317,33 @@ def score(docs: DataFrame, order: int = ORDER, mu: float = MU, held_modulus: int
             ["block", "shard", "totals", "tokens", "types"],
         )
 
-    asked = rows.select("block", "text", "held").mapInArrow(gather, "block long, shard int, keys array<binary>, counts array<binary>")
+    asked = blocks.select("block", "held", "sizes", "known", "words").mapInArrow(ask, "block long, shard int, keys array<binary>, counts array<binary>")
     answers = asked.repartition(shards, "shard").groupBy("shard").applyInArrow(add_up, "block long, shard int, totals array<binary>, tokens long, types long")
     answers = settle(answers, "lm-answers")
     tokens, types = answers.where("block is null").agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("types"), F.lit(0))).first()
 
     def read(key, left, right):
-        left, right = left.sort_by("row"), right.sort_by("shard")
-        texts = left["text"].to_pylist()
-        h, size = stream(texts)
-        at = grams(h, size, order)
-        totals = right["totals"].to_pylist()
-        keys = [np.unique(x[ok]) for x, ok in at]
+        row = {c: left[c][0].as_py() for c in ("held", "sizes", "known", "words")}
+        size, known = expand(row["sizes"], "<i8"), expand(row["known"], "<u8", True)
+        word = expand(row["words"], "<u4").astype(np.int64)
+        at = grams(known[word], size, order)
+        totals = right.sort_by("shard")["totals"].to_pylist()
         counts = [np.concatenate([expand(t[m], "<u4") for t in totals]) for m in range(order)]
-        machine = Automaton(keys, counts, tokens, types, mu)
-        x, ok = at[0]
-        own = np.searchsorted(keys[0], x[ok])
+        machine = Automaton(at, counts, tokens, types, mu)
+        for (x, ok), c, m in zip(at, counts, range(order)):
+            if m == 0 and len(c) != len(machine.words):
+                raise RuntimeError("a block's answers are not for its n-grams")
+        ok = at[0][1]
         doc = np.repeat(np.arange(len(size)), size)
-        p = machine.traverse(at)
-        base = np.bincount(doc[ok], machine.base[own], len(size))
-        known = np.bincount(doc[ok], counts[0][own] > 0, len(size)).astype(np.int64)
+        base = np.bincount(doc[ok], machine.root_weight[word[ok]], len(size))
+        seen = np.bincount(doc[ok], counts[0][word[ok]] > 0, len(size)).astype(np.int64)
+        held = expand(row["held"], "u1").astype(bool)
+        ids = left["ids"].combine_chunks().flatten()
         return pa.Table.from_arrays(
-            [left["doc_id"].combine_chunks(), left["held"].combine_chunks(), pa.array(size - 1), pa.array(known), pa.array(np.full(len(size), tokens, np.int64)), pa.array(base), pa.array(np.bincount(doc, p, len(size)))],
+            [ids, pa.array(held), pa.array(size - 1), pa.array(seen), pa.array(np.full(len(size), tokens, np.int64)), pa.array(base), pa.array(machine.traverse(word, size))],
             ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
         )
 
-    kind = dict(rows.dtypes)["doc_id"]
     schema = f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     replies = answers.where("block is not null").select("block", "shard", "totals")
-    return rows.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(read, schema)
+    return blocks.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(read, schema)

@@ -157,3 +157,49 @@ def test_features_are_shared_by_training_and_scoring():
         assert z == pytest.approx(bias + float(each[at] @ share), abs=1e-4)
     again = quality.Model.load(m.dump())
     assert np.allclose(again.emb, m.emb) and np.allclose(again.bias, m.bias)
+
+
+@pytest.mark.parametrize("order", [1, 2, 3, 4])
+def test_traversal_in_lanes_equals_one_lane_and_the_definition(order):
+    rng = np.random.default_rng(order)
+    texts = [" ".join(rng.choice(list("abcdefgh"), n)).encode() for n in (0, 1, 2, 5, 40, 300)] + [None]
+    h, size = lm.stream(texts)
+    at = lm.grams(h, size, order)
+    counts = [np.where(rng.random(len(np.unique(x[ok]))) < 0.3, 0, np.unique(x[ok], return_counts=True)[1]) for x, ok in at]
+    for m in range(1, order):  # an n-gram is as frequent as its parts at most
+        for i, x in enumerate(np.unique(at[m][0][at[m][1]])):
+            p = int(np.flatnonzero((at[m][0] == x) & at[m][1])[0])
+            low = np.unique(at[m - 1][0][at[m - 1][1]])
+            parts = [counts[m - 1][np.searchsorted(low, at[m - 1][0][q])] for q in (p - 1, p)]
+            counts[m][i] = min(counts[m][i], *parts)
+    machine = lm.Automaton(at, counts, int(counts[0].sum()), int((counts[0] > 0).sum()), 3.0)
+    word = np.searchsorted(machine.words, h)
+    whole = machine.traverse(word, size, lane=10**6)
+    for lane in (max(1, order - 1), 7, 64):
+        assert np.allclose(machine.traverse(word, size, lane), whole)
+    # one text at a time, word by word, with one state
+    begin = np.cumsum(size) - size
+    for i in range(len(texts)):
+        state, total = np.array([machine.start]), 0.0
+        for w in word[begin[i] + 1 : begin[i] + size[i]]:
+            weight, state = machine.step(state, np.array([w]))
+            total += weight[0]
+        assert total == pytest.approx(whole[i])
+    assert (machine.fail_to[1:] < np.arange(1, machine.states)).all() and machine.states == 1 + sum(int((c > 0).sum()) for c in counts[: order - 1])
+
+
+def test_scores_do_not_depend_on_order_or_partitions(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    rows = [(i, " ".join(rng.choice([f"w{j}" for j in range(50)], rng.integers(0, 60)))) for i in range(300)]
+    path = f"file://{tmp_path}/docs"
+    spark.createDataFrame(rows, "doc_id long, text string").repartition(3).write.parquet(path)
+    df = spark.read.parquet(path)
+    other = spark.createDataFrame([(i, i) for i in range(300)], "k long, v long")
+
+    def told(d, **how):
+        return {r.doc_id: (r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6), round(r.score, 6)) for r in lm.score(d, **how).collect()}
+
+    whole = told(df)
+    assert len(whole) == 300
+    for d in (df.repartition(7), df.orderBy("text"), df.join(other, df.doc_id == other.k, "left"), df.repartition(1), df.coalesce(1).sortWithinPartitions("text")):
+        assert told(d) == whole and told(d, block_bytes=2000) == whole
