@@ -1,22 +1,25 @@
 """Exact top-k search over binary codes: incremental multi-index hashing.
 
-A code of ``bits`` bits is cut into ``segments``. Two codes at Hamming distance below
+A code of ``bits`` bits is cut into segments. Two codes at Hamming distance below
 ``segments * (r + 1)`` agree in some segment up to ``r`` bits. So the search probes, for each
-segment, all values at 0, then 1, 2, ... bits from the query's own, verifies what it
+segment, all values up to 1, then 2, 3, ... bits from the query's own, verifies what it
 meets, and a query is done as soon as its kth verified distance is below ``segments * (r + 1)``:
-nothing nearer, nor as near, can be missing. Every other query goes on to the next radius.
+nothing nearer, nor as near, can be missing. Every other query goes on to the next radius, the widest
+of which covers every code. There is no other path.
 
 Scale: the index holds each distinct code once, with its ``k`` least ids, found by a ranking
 that keeps at most k rows a code in each task before the shuffle; so thousands of copies of a vector
-are one entry. Probes meet the index in an equi-join on (segment, value). A query that would have to probe
-more values than the index has codes, or a quarter of all values there are, is compared with all codes
-instead, in blocks: still exact.
+are one entry. Segments have about log2(codes) bits, so that a value has about one code and few radii are
+needed at any size. Each segment's table is dealt by the first bits of its values into parts of about ``PART``
+codes. A query is sent to the parts whose first bits are within the radius, with what is left of it; the probes
+themselves are made inside a part and are never rows. Parts with more codes or queries than that are cut, on both
+sides. A part answers with at most k rows a query.
 """
 
 from __future__ import annotations
 
-from itertools import combinations
-from math import comb
+import math
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +28,8 @@ from pyspark.sql import functions as F
 
 from ..runtime import discard, settle
 
-BITS, SEGMENTS = 64, 4
+BITS = 64
+PART = 1 << 16  # codes of a segment, or queries, that are compared in one task
 
 
 def binary_code(embedding: Column, bits: int = BITS, seed: int = 9) -> Column:
@@ -56,93 +60,134 @@ def binary_code(embedding: Column, bits: int = BITS, seed: int = 9) -> Column:
     return of(embedding)
 
 
-def _segments(code: Column, bits: int, segments: int) -> Column:
-    """Array of (segment number, its value) of a code."""
-    edges = [bits * i // segments for i in range(segments + 1)]
-    parts = [
-        F.struct(F.lit(i).alias("segment"), F.shiftrightunsigned(code, a).bitwiseAND(F.lit((1 << (b - a)) - 1)).alias("value"))
-        for i, (a, b) in enumerate(zip(edges, edges[1:]))
-    ]
+def segment_count(size: int, bits: int = BITS) -> int:
+    """Segments of about log2(size) bits each, so a value of a segment has about one code on average."""
+    return max(1, min(bits, round(bits / max(4.0, min(32.0, math.log2(max(size, 2)))))))
+
+
+def _edges(bits: int, segments: int) -> list[int]:
+    return [bits * i // segments for i in range(segments + 1)]
+
+
+def _segments(code: Column, bits: int, segments: int, prefix: int) -> Column:
+    """Array of (segment number, the first ``prefix`` bits of its value, the others) of a code."""
+    edges = _edges(bits, segments)
+    parts = []
+    for i, (a, b) in enumerate(zip(edges, edges[1:])):
+        value = F.shiftrightunsigned(code, a).bitwiseAND(F.lit((1 << (b - a)) - 1))
+        low = b - a - prefix
+        parts.append(F.struct(F.lit(i).alias("s"), F.shiftrightunsigned(value, low).alias("p"), value.bitwiseAND(F.lit((1 << low) - 1)).alias("low")))
     return F.array(*parts)
 
 
-def top_k(index: DataFrame, queries: DataFrame, k: int = 10, bits: int = BITS, segments: int = SEGMENTS, id: str = "id", code: str = "code") -> DataFrame:
+@lru_cache(maxsize=64)
+def flips(width: int, ones: int) -> np.ndarray:
+    """All values of ``width`` bits with ``ones`` bits set."""
+    if not 0 <= ones <= width:
+        return np.empty(0, np.int64)
+    if ones == 0:
+        return np.zeros(1, np.int64)
+    return np.concatenate([flips(width - 1, ones), flips(width - 1, ones - 1) | (1 << (width - 1))])
+
+
+def _nearest(index: pa.Table, queries: pa.Table, widths: list[int], k: int) -> pa.Table:
+    """One part of the index against the queries that probe it: the values of its table at ``least`` to ``most`` bits
+    from each query's own are looked up, what they hold is verified, and each query keeps its k nearest."""
+    out: tuple[list, list, list] = ([], [], [])
+    if len(index) and len(queries):
+        width = widths[queries["s"][0].as_py()]
+        by = np.argsort(index["low"].to_numpy(), kind="stable")
+        low, code = index["low"].to_numpy()[by], index["code"].to_numpy()[by].view(np.uint64)
+        ids = index["ids"]
+        values, begin = np.unique(low, return_index=True)
+        end = np.append(begin[1:], len(low))
+        for q, bound, own, least, most in zip(*(queries[c].to_pylist() for c in ("q", "bound", "low", "least", "most"))):
+            probes = np.concatenate([np.empty(0, np.int64), *(own ^ flips(width, r) for r in range(max(least, 0), min(most, width) + 1))])
+            slot = np.minimum(np.searchsorted(values, probes), len(values) - 1)
+            slot = slot[values[slot] == probes]
+            n = end[slot] - begin[slot]
+            if not n.sum():
+                continue
+            met = np.repeat(begin[slot] - np.cumsum(n) + n, n) + np.arange(n.sum())
+            far = np.bitwise_count(code[met] ^ np.int64(q).view(np.uint64)).astype(np.int64)
+            if len(far) > k:
+                bound = min(bound, int(np.partition(far, k - 1)[k - 1]))
+            near = np.flatnonzero(far <= bound)
+            best = sorted((int(far[i]), x) for i in near.tolist() for x in ids[int(by[met[i]])].as_py())[:k]
+            for d, x in best:
+                out[0].append(q)
+                out[1].append(d)
+                out[2].append(x)
+    return pa.table({"q": pa.array(out[0], pa.int64()), "distance": pa.array(out[1], pa.int32()), "neighbor_id": pa.array(out[2], index["ids"].type.value_type)})
+
+
+def top_k(index: DataFrame, queries: DataFrame, k: int = 10, bits: int = BITS, segments: int | None = None, id: str = "id", code: str = "code", part: int = PART) -> DataFrame:
     """(query_id, rank, neighbor_id, distance): for each query its ``k`` nearest rows of ``index``.
 
     Nearest by Hamming distance, then by smaller id; a row is its own neighbour too where it is in
     the index. Rows with a null id or code take no part, on either side. Repeated index rows count once
     per (id, code); a repeated query row is answered once. With fewer than ``k`` rows all are returned; empty
-    inputs give an empty result. Other columns are ignored.
+    inputs give an empty result. Other columns are ignored. ``segments``: by default such that each has about
+    log2 of the number of codes in bits.
     """
     # per code its k least ids, ranked before the shuffle and after it
-    rows = index.select(F.col(id).alias("id"), F.col(code).alias("code")).where("id is not null and code is not null").distinct()
+    rows = index.select(F.col(f"`{id}`").alias("id"), F.col(f"`{code}`").alias("code")).where("id is not null and code is not null").distinct()
     ranked = rows.withColumn("n", F.row_number().over(Window.partitionBy("code").orderBy("id"))).where(F.col("n") <= k)
     codes = settle(ranked.groupBy("code").agg(F.sort_array(F.collect_list("id")).alias("ids")), "topk-codes")  # at most k a code
     size = codes.count()
-    asked = queries.select(F.col(id).alias("query_id"), F.col(code).alias("q")).where("query_id is not null and q is not null").distinct()
+    asked = queries.select(F.col(f"`{id}`").alias("query_id"), F.col(f"`{code}`").alias("q")).where("query_id is not null and q is not null").distinct()
+    kind = dict(rows.dtypes)["id"]
+    if not size:
+        return asked.sparkSession.createDataFrame([], f"query_id {dict(asked.dtypes)['query_id']}, rank int, neighbor_id {kind}, distance int")
+    segments = segments or segment_count(size, bits)
+    edges = _edges(bits, segments)
+    # the index is dealt by segment and the first bits of its value; the rest is looked up inside a part
+    narrowest = min(b - a for a, b in zip(edges, edges[1:]))
+    prefix = max(0, min(narrowest - 1, math.ceil(math.log2(max(1, size * segments / part)))))
+    widths = [b - a - prefix for a, b in zip(edges, edges[1:])]
+    widest = max(widths) + prefix
+    parts = codes.select("code", "ids", F.explode(_segments(F.col("code"), bits, segments, prefix)).alias("x")).select("code", "ids", "x.*")
     # equal queries are answered once; nothing farther than ``bound`` can be among a query's k nearest
     todo = settle(asked.select("q").distinct().withColumn("bound", F.lit(bits)), "topk-queries")
-    found, answers, seen_all, probed = None, [], False, 0
-    widest = max(bits * (i + 1) // segments - bits * i // segments for i in range(segments))
-    parted = codes.select("code", "ids", F.explode(_segments(F.col("code"), bits, segments)).alias("x")).select("code", "ids", "x.*")
-    apart = F.bit_count(F.col("q").bitwiseXOR(F.col("code"))).cast("int")
-    for r in range(widest + 1):
-        if not size or todo.isEmpty():
+    found, answers, done = None, [], -1
+    for radius in range(min(1, widest), widest + 1):
+        if todo.isEmpty():
             break
-        probed += comb(widest, r)
-        if segments * probed > min(size, (1 << widest) // 4):
-            hits, seen_all = _all(todo, codes, k), True
-        else:
-            flips = F.array(*[F.lit(sum(1 << b for b in c)) for c in combinations(range(widest), r)]).cast("array<bigint>")
-            probes = todo.select("q", "bound", F.explode(_segments(F.col("q"), bits, segments)).alias("x")).select("q", "bound", "x.segment", "x.value", F.explode(flips).alias("flip"))
-            probes = probes.select("q", "bound", F.col("segment").alias("s"), F.col("value").bitwiseXOR(F.col("flip")).alias("v"))
-            # the distance is verified inside the join, so what is met but too far is never a row
-            near = (F.col("segment") == F.col("s")) & (F.col("value") == F.col("v")) & (apart <= F.col("bound"))
-            hits = probes.join(parted, near).select("q", "code", "ids").dropDuplicates(["q", "code"])
-            hits = hits.select("q", apart.alias("distance"), F.explode("ids").alias("neighbor_id"))
-        if found is not None and not seen_all:
-            hits = hits.unionByName(found.join(todo, "q", "left_semi").select("q", "distance", "neighbor_id")).distinct()
+        # a part whose prefix is f bits away is probed at the rest of the radius
+        ways = F.filter(F.sequence(F.lit(0), F.lit((1 << prefix) - 1)), lambda f: F.bit_count(f) <= radius)
+        routes = todo.select("q", "bound", F.explode(_segments(F.col("q"), bits, segments, prefix)).alias("x")).select("q", "bound", "x.*", F.explode(ways).alias("f"))
+        routes = routes.select("q", "bound", "s", F.col("p").bitwiseXOR(F.col("f").cast("long")).alias("p"), "low", (done + 1 - F.bit_count("f")).alias("least"), (radius - F.bit_count("f")).alias("most"))
+        # both sides of a hot part are cut, and each cut of one meets each of the other
+        pairs = routes.groupBy("s", "p").agg(F.count("*").alias("asking")).join(parts.groupBy("s", "p").agg(F.count("*").alias("held")), ["s", "p"])
+        cuts = settle(pairs.select("s", "p", F.ceil(F.col("asking") / part).cast("int").alias("of_q"), F.ceil(F.col("held") / (2 * part)).cast("int").alias("of_c")), "topk-parts")
+        upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+        left = parts.join(cuts, ["s", "p"]).withColumn("c", F.pmod(F.xxhash64("code"), F.col("of_c")).cast("int")).select("s", "p", "c", upto("of_q").alias("d"), "low", "code", "ids")
+        right = routes.join(cuts, ["s", "p"]).withColumn("d", F.pmod(F.xxhash64("q"), F.col("of_q")).cast("int")).select("s", "p", upto("of_c").alias("c"), "d", "q", "bound", "low", "least", "most")
+        keys = ["s", "p", "c", "d"]
+        hits = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(lambda key, x, y: _nearest(x, y, widths, k), f"q bigint, distance int, neighbor_id {kind}")
+        if found is not None:
+            hits = hits.unionByName(found.join(todo, "q", "left_semi"))
+        # a code may be met in several segments; each query's rows are thinned in slices before they meet
+        sliced = Window.partitionBy("q", "slice").orderBy("distance", "neighbor_id")
+        thin = hits.distinct().withColumn("slice", F.pmod(F.xxhash64("neighbor_id"), F.lit(8))).withColumn("rank", F.row_number().over(sliced)).where(F.col("rank") <= k)
         by = Window.partitionBy("q").orderBy("distance", "neighbor_id")
-        then = settle(hits.withColumn("rank", F.row_number().over(by)).where(F.col("rank") <= k), "topk-found")
-        covered = bits if seen_all else segments * (r + 1) - 1  # every code up to this distance has been met
-        if seen_all or r == widest:
+        best = thin.select("q", "distance", "neighbor_id", F.row_number().over(by).alias("rank")).where(F.col("rank") <= k)
+        then = settle(best, "topk-found")
+        done = radius
+        covered = segments * (radius + 1) - 1  # every code up to this distance has been met
+        if covered >= bits or radius == widest:
             answers.append(then)
             break
-        kth = then.groupBy("q").agg(F.count("*").alias("n"), F.max("distance").alias("d")).where(F.col("n") >= k)
-        done = kth.where(F.col("d") <= covered)
-        answers.append(then.join(done, "q", "left_semi"))
-        rest = todo.join(done, "q", "left_anti").join(kth, "q", "left").select("q", F.coalesce("d", "bound").alias("bound"))
+        kth = then.where(F.col("rank") == k).select("q", F.col("distance").alias("kth"))
+        answers.append(then.join(kth.where(F.col("kth") <= covered), "q", "left_semi"))
+        rest = todo.join(kth, "q", "left").where(F.col("kth").isNull() | (F.col("kth") > covered)).select("q", F.coalesce("kth", "bound").alias("bound"))
         rest = settle(rest, "topk-queries")
         discard(todo)
-        todo, found = rest, then
-    if not answers:
-        return asked.sparkSession.createDataFrame([], f"query_id {dict(asked.dtypes)['query_id']}, rank int, neighbor_id {dict(rows.dtypes)['id']}, distance int")
+        discard(cuts)
+        todo, found = rest, then.drop("rank")
+    if not answers:  # nothing was asked
+        return asked.sparkSession.createDataFrame([], f"query_id {dict(asked.dtypes)['query_id']}, rank int, neighbor_id {kind}, distance int")
     out = answers[0]
     for a in answers[1:]:
         out = out.unionByName(a)
     return asked.join(out, "q").select("query_id", "rank", "neighbor_id", "distance")
-
-
-def _all(todo: DataFrame, codes: DataFrame, k: int, block: int = 2048) -> DataFrame:
-    """(q, distance, neighbor_id) of the ``k`` nearest codes within its bound in each chunk of the index: every query
-    against every code, both in blocks, a pair of blocks to a task."""
-    queries = todo.count()
-    q_blocks, c_blocks = -(-queries // block), -(-codes.count() // block)
-    q = todo.withColumn("i", F.pmod(F.xxhash64("q"), F.lit(q_blocks))).withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(c_blocks - 1))))
-    c = codes.withColumn("j", F.pmod(F.xxhash64("code"), F.lit(c_blocks)).cast("int")).withColumn("i", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(q_blocks - 1).cast("bigint"))))
-
-    def nearest(key, left, right):
-        cs = right["code"].to_numpy()
-        ids, out = right["ids"].to_pylist(), ([], [], [])
-        for query, bound in zip(left["q"].to_pylist(), left["bound"].to_pylist()):
-            d = np.bitwise_count(cs.view(np.uint64) ^ np.int64(query).view(np.uint64)).astype(int)
-            if len(d):
-                most = min(bound, np.partition(d, min(k, len(d)) - 1)[min(k, len(d)) - 1])
-                best = sorted((int(d[x]), n) for x in np.flatnonzero(d <= most) for n in ids[x])[:k]
-                for dist, n in best:
-                    for column, v in zip(out, (query, dist, n)):
-                        column.append(v)
-        return pa.table({"q": pa.array(out[0], pa.int64()), "distance": pa.array(out[1], pa.int32()), "neighbor_id": pa.array(out[2], right["ids"].type.value_type)})
-
-    kind = dict(codes.dtypes)["ids"].removeprefix("array<").removesuffix(">")
-    return q.groupBy("i", "j").cogroup(c.groupBy("i", "j")).applyInArrow(nearest, f"q bigint, distance int, neighbor_id {kind}")
