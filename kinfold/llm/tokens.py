@@ -2,12 +2,12 @@
 
 ``Encoder`` gives exactly the tokenizer's ids. The pre-tokenizer starts a new pre-token at
 every space that precedes a character other than white space, whatever stands around it,
-so a text can be cut there and each part looked up in a bounded cache; parts that miss are
-encoded together.
+so a text can be cut there and each part looked up in a bounded cache; a part that misses is put together
+from its pre-tokens where it has plain characters only, and what is still unknown is encoded together.
 
-``EditedCount`` keeps the pre-tokens of one document as leaves of a sum tree. An edit re-encodes
-the leaves that it touches plus the boundary context that the pre-tokenizer looks at, and
-updates the sums above them.
+``EditedCount`` keeps the pre-tokens of one document as leaves of a sum tree: those between two such spaces
+are one leaf unless they are long. An edit re-encodes the leaves that it touches plus the boundary context that the
+pre-tokenizer looks at, and updates the sums above them.
 """
 
 from __future__ import annotations
@@ -21,6 +21,21 @@ import numpy as np
 CUT = re.compile(r" (?=\S)")
 ODD = re.compile(r" \s| \Z")
 CACHE = 400_000
+LONG = 64  # characters
+
+# Characters whose class (letter, digit, other) every version of the pre-tokenizer's tables agrees on: ASCII, and ranges that
+# Unicode has had from its start.
+_L = "A-Za-zÀ-ÖØ-öø-ǵΑ-ΡΣ-ωА-яא-תء-غف-يぁ-ゔァ-ヺ一-龥가-힣"
+_D = "0-9"
+_P = "!-&(-/:-@\\[-`{-~、。〈-』！，：；？"  # without the apostrophe
+UNCERTAIN = re.compile(f"[^ \n\t\r{_L}{_D}{_P}]")
+#: The pre-tokens of a text without uncertain characters.
+PRETOKEN = re.compile(rf" ?[{_L}]+| ?[{_D}]+| ?[{_P}]+|\s+(?!\S)|\s+")
+#: Places where a pre-token ends whatever stands around, told by the two characters before and the one behind. The last
+#: character of a longer run of white space is a pre-token of its own, so no cut is made after one.
+FIRM = re.compile(rf"(?<=\S)(?=[\n\t\r])|(?<=\S[\n\t\r])(?=\S)|(?<=[{_L}])(?=[{_P}{_D}'])|(?<=[{_D}])(?=[{_L}{_P}'])|(?<=[{_P}])(?=[{_L}{_D}])")
+#: What lies in one pre-token.
+ONE = re.compile(f" ?(?:[{_L}]+|[{_D}]+|[{_P}]+)")
 
 
 def default_path() -> str:
@@ -32,7 +47,7 @@ def default_path() -> str:
 class Encoder:
     """Ids (as little-endian unsigned 32-bit bytes) of whole UTF-8 texts.
 
-    Special tokens' strings in a text are ordinary text. At most ``CACHE`` parts are remembered, and
+    Special tokens' strings in a text are ordinary text. About twice ``CACHE`` parts are remembered, those used last, and
     none that is longer than 64 characters.
     """
 
@@ -45,7 +60,7 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.parts: dict[str, bytes] = {}
-        self.emptied = False
+        self.before: dict[str, bytes] = {}  # an older generation
         with open(path) as f:
             vocabulary = json.load(f)["model"]["vocab"]
         # byte-level vocabularies write each byte as one character
@@ -67,90 +82,155 @@ class Encoder:
         parts = CUT.split(text) if ODD.search(text) else text.split(" ")
         return parts[:1] + [" " + p for p in parts[1:]]
 
-    def learn(self, missing: set[str]) -> None:
-        """Encode the parts together, as one text in which each is its own run of pre-tokens."""
-        if self.parts and len(self.parts) + len(missing) > CACHE:
-            self.parts.clear()
-            self.emptied = True
-        later = [p for p in missing if p[:1] == " " and len(p) > 1 and not p[1].isspace() and len(p) <= 64]
-        for at in range(0, len(later), 20_000):
-            some = later[at : at + 20_000]
-            ids = np.array(self.tokenizer.encode_batch_fast(["".join(some)], add_special_tokens=False)[0].ids, "<u4")
-            ends = np.cumsum(self.bytes_of[ids])
-            stop = np.searchsorted(ends, np.cumsum([len(p.encode()) for p in some]), "left") + 1
-            data, start = ids.tobytes(), 0
-            for p, b in zip(some, (stop * 4).tolist()):
-                self.parts[p] = data[start:b]
-                start = b
-        rest = [p for p in missing if p not in self.parts]
-        self.parts.update(zip(rest, self._plain(rest)))
-
-    def _plain(self, texts: list[str]) -> list[bytes]:
+    def _keep(self, found: dict[str, bytes]) -> None:
+        if len(self.parts) + len(found) > CACHE:
+            self.before, self.parts = self.parts, {}
+        self.parts.update((p, v) for p, v in found.items() if len(p) <= LONG)
+
+    def learn(self, missing: set[str]) -> dict[str, bytes]:
+        """The ids of parts that ``parts`` doesn't have."""
+        old, known = self.before, self.parts
+        out = {p: old[p] for p in missing if p in old} if old else {}
+        whole, built = [], []
+        for p in missing.difference(out) if out else missing:
+            some = None if UNCERTAIN.search(p) else PRETOKEN.findall(p)
+            if some is None or len(some) < 2:
+                whole.append(p)
+            else:
+                built.append((p, some))
+        new = dict.fromkeys(whole)
+        units = {u for _, some in built for u in some}.difference(new)
+        have = {}
+        for u in units:
+            v = known.get(u) or old.get(u)
+            if v is None:
+                new[u] = None
+            else:
+                have[u] = v
+        new = self._encoded(list(new))
+        have.update(new)
+        get = have.__getitem__
+        for p, some in built:
+            new[p] = b"".join(map(get, some))
+        out.update(new)
+        self._keep(out)
+        return out
+
+    def _encoded(self, parts: list[str]) -> dict[str, bytes]:
+        """Short parts are encoded together, as one text in which each is its own run of pre-tokens."""
+        spaced, bare, rest = [], [], []
+        for p in parts:
+            if len(p) > LONG or not p:
+                rest.append(p)
+            elif p[0] == " ":
+                (rest if len(p) < 2 or p[1].isspace() else spaced).append(p)
+            else:
+                (bare if ONE.fullmatch(p) else rest).append(p)
+        out = {}
+        for some, between in ((spaced, ""), (bare, "\n")):  # a single line feed is one token of one byte
+            for at in range(0, len(some), 20_000):
+                own = some[at : at + 20_000]
+                ids = np.array(self.tokenizer.encode_batch_fast([between.join(own)], add_special_tokens=False)[0].ids, "<u4")
+                ends = np.cumsum(self.bytes_of[ids])
+                size = np.fromiter((len(p.encode()) for p in own), np.int64, len(own)) + len(between)
+                stop = np.cumsum(size) - len(between)
+                last = np.searchsorted(ends, stop, "left") + 1
+                first = np.concatenate([[0], last[:-1] + len(between)])
+                data = ids.tobytes()
+                for p, a, b in zip(own, (first * 4).tolist(), (last * 4).tolist()):
+                    out[p] = data[a:b]
+        out.update(zip(rest, self.plain(rest)))
+        return out
+
+    def plain(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def values(self, parts: list[str]) -> list[bytes]:
+        """The ids of each part of a text or several."""
+        out = list(map(self.parts.get, parts))
+        if None in out:
+            got = self.learn({p for p, v in zip(parts, out) if v is None})
+            out = [got[p] if v is None else v for p, v in zip(parts, out)]
+        return out
+
     def counts(self, parts: list[str]) -> list[int]:
         """Number of ids of each part of a text."""
-        known = self.parts
-        if missing := set(parts).difference(known):
-            self.learn(missing)
-            if self.emptied:
-                self.emptied = False
-                self.learn(set(parts).difference(known))
-        out = [len(known[p]) // 4 for p in parts]
-        for p in missing:
-            if len(p) > 64:
-                del known[p]
-        return out
+        return [len(v) // 4 for v in self.values(parts)]
 
     def many(self, texts: list[bytes | None]) -> list[bytes]:
         """The ids of each text; null has none."""
         out = []
         for at in range(0, len(texts), 64):
             split = [self.split(t.decode()) if t else [] for t in texts[at : at + 64]]
-            known = self.parts
-            missing = set(chain.from_iterable(split)).difference(known)
-            if missing:
-                self.learn(missing)
-            if self.emptied:
-                self.emptied = False
-                self.learn(set(chain.from_iterable(split)).difference(known))
-            get = known.__getitem__
-            out += [b"".join(map(get, s)) for s in split]
-            for p in missing:
-                if len(p) > 64:
-                    del known[p]
+            each = self.values(list(chain.from_iterable(split)))
+            a = 0
+            for s in split:
+                out.append(b"".join(each[a : a + len(s)]))
+                a += len(s)
+        return out
+
+    def pieces(self, run: str, size: int = 32) -> list[tuple[str, int]]:
+        """One long pre-token cut between tokens into pieces of about ``size`` tokens, with their counts. Any stretch of
+        a BPE encoding is the encoding of its own text."""
+        raw = run.encode()
+        ids = np.frombuffer(self.plain([run])[0], "<u4")
+        ends = np.cumsum(self.bytes_of[ids]).tolist()
+        out, a, k = [], 0, 0
+        for i, b in enumerate(ends, 1):
+            if i == len(ends) or (i - k >= size and raw[b] & 0xC0 != 0x80):  # no character is cut
+                out.append((raw[a:b].decode(), i - k))
+                a, k = b, i
         return out
 
 
 class EditedCount:
     """Token count of one document that follows its edits.
 
-    Pre-tokens (with their counts) are kept in chunks, the leaves of an array-shaped sum tree of code points and
-    tokens. ``edit`` finds its chunks by descending the tree, re-encodes the pre-tokens that the edit touches and the
-    one or two before it whose end the pre-tokenizer could now see otherwise, and updates the sums above. A chunk
-    that has grown eight times as large makes the tree be laid out anew, which encodes nothing.
+    A leaf is (text, tokens, inside). Leaves end at spaces, so a leaf is one word's pre-tokens; where that is longer than
+    ``LONG`` characters (lines, tabs, scripts without spaces) it ends at every place where a pre-token surely ends; a longer pre-token
+    still, of letters, digits or marks, is cut between its tokens, and all its pieces but the first are ``inside``. Two such
+    neighbours stay valid where they are encoded together as they are apart, since a BPE encoding is valid if every two
+    adjacent tokens are; else the next pieces are encoded again too (all of them where a pattern's phase shifts). Only a long run of white space, or of characters whose class is
+    uncertain, is one leaf.
+
+    Leaves are kept in chunks, the leaves of an array-shaped sum tree of code points and
+    tokens. ``edit`` finds its chunks by descending the tree, re-encodes the leaves that the edit touches and the
+    one or two beside it whose end the pre-tokenizer could now see otherwise, and updates the sums above. A chunk
+    that has grown eight times as large makes the tree be laid out anew, which encodes nothing. ``reencoded`` counts leaves,
+    ``chars`` characters that edits have had encoded, comparisons included.
     """
 
     CHUNK = 32
 
     def __init__(self, encoder: Encoder, text: str):
         self.encoder = encoder
-        self.reencoded = 0
+        self.reencoded = self.reread = 0
         self._lay_out(self._count(text))
         self.first = self.leaves
 
-    def _count(self, text: str) -> list[tuple[str, int]]:
+    def _count(self, text: str) -> list[tuple[str, int, bool]]:
         parts = [p for p in self.encoder.split(text) if p]
-        return list(zip(parts, self.encoder.counts(parts)))
-
-    def _lay_out(self, leaves: list[tuple[str, int]]) -> None:
+        if not any(len(p) > LONG for p in parts):
+            return list(zip(parts, self.encoder.counts(parts), (False,) * len(parts)))
+        out: list = []
+        for p in parts:
+            for x in FIRM.split(p) if len(p) > LONG else (p,):
+                if len(x) > LONG and ONE.fullmatch(x):
+                    out += [(y, n, i > 0) for i, (y, n) in enumerate(self.encoder.pieces(x))]
+                else:
+                    out.append(x)
+        plain = [x for x in out if isinstance(x, str)]
+        counts = iter(self.encoder.counts(plain))
+        return [(x, next(counts), False) if isinstance(x, str) else x for x in out]
+
+    def _lay_out(self, leaves: list[tuple[str, int, bool]]) -> None:
         self.chunks = [leaves[i : i + self.CHUNK] for i in range(0, len(leaves), self.CHUNK)] or [[]]
         m = 1 << (len(self.chunks) - 1).bit_length()
         self.m, self.leaves = m, len(leaves)
         self.chars, self.sums = [0] * (2 * m), [0] * (2 * m)
         for i, c in enumerate(self.chunks):
-            self.chars[m + i] = sum(len(p) for p, _ in c)
-            self.sums[m + i] = sum(n for _, n in c)
+            self.chars[m + i] = sum(len(x[0]) for x in c)
+            self.sums[m + i] = sum(x[1] for x in c)
         for i in range(m - 1, 0, -1):
             self.chars[i] = self.chars[2 * i] + self.chars[2 * i + 1]
             self.sums[i] = self.sums[2 * i] + self.sums[2 * i + 1]
@@ -160,7 +240,7 @@ class EditedCount:
         return self.sums[1]
 
     def text(self) -> str:
-        return "".join(p for c in self.chunks for p, _ in c)
+        return "".join(x[0] for c in self.chunks for x in c)
 
     def _find(self, at: int) -> tuple[int, int, int]:
         """(chunk, leaf, its first code point) of the leaf that holds code point ``at``, or of the last one."""
@@ -172,21 +252,27 @@ class EditedCount:
                 i += 1
         chunk = i - self.m
         own = self.chunks[chunk]
-        for k, (p, _) in enumerate(own):
-            if at - before < len(p) or k == len(own) - 1:
+        for k, x in enumerate(own):
+            if at - before < len(x[0]) or k == len(own) - 1:
                 return chunk, k, before
-            before += len(p)
+            before += len(x[0])
         return chunk, 0, before
 
     def _update(self, chunk: int) -> None:
         i = self.m + chunk
-        self.chars[i] = sum(len(p) for p, _ in self.chunks[chunk])
-        self.sums[i] = sum(n for _, n in self.chunks[chunk])
+        self.chars[i] = sum(len(x[0]) for x in self.chunks[chunk])
+        self.sums[i] = sum(x[1] for x in self.chunks[chunk])
         while i > 1:
             i //= 2
             self.chars[i] = self.chars[2 * i] + self.chars[2 * i + 1]
             self.sums[i] = self.sums[2 * i] + self.sums[2 * i + 1]
 
+    def _apart(self, left: str, right: str) -> bool:
+        """Whether two texts inside a pre-token are encoded together as they are apart."""
+        self.reread += 2 * (len(left) + len(right))
+        both, a, b = self.encoder.plain([left + right, left, right])
+        return both == a + b
+
     def edit(self, start: int, end: int, new: str) -> None:
         """Replace the code points from ``start`` up to ``end`` by ``new``; places beyond the text mean its end, an
         ``end`` before ``start`` means ``start``."""
@@ -195,23 +281,45 @@ class EditedCount:
         end = min(max(end, start), n)
         if start == end and not new:
             return
-        # a cut is made by a space and the character after it, so one that ends just before the edit may go
-        c0, k0, at0 = self._find(max(0, start - 1))
-        if at0 and at0 == start - 1:
-            c0, k0, at0 = self._find(at0 - 1)
-        if end < n:
-            c1, k1, at1 = self._find(end)
-            if at1 == end and end > at0:  # a cut there stays: it depends on what follows
-                c1, k1, at1 = self._find(end - 1)
-        else:
-            c1, k1, at1 = self._find(max(0, n - 1))
-        if c0 == c1:
-            old = self.chunks[c0][k0 : k1 + 1]
-        else:
-            old = self.chunks[c0][k0:] + [x for c in range(c0 + 1, c1) for x in self.chunks[c]] + self.chunks[c1][: k1 + 1]
-        was = "".join(p for p, _ in old)
-        fresh = self._count(was[: start - at0] + new + was[end - at0 :])
-        self.reencoded += len(fresh)
+        # whether a cut is one depends on the two characters before it and the two behind it
+        c0, k0, a = self._find(max(0, start - 2))
+        c1, k1, b = self._find(max(0, min(end + 1, n - 1)))
+        if self.chunks[c1]:
+            b += len(self.chunks[c1][k1][0])
+        wider = 1  # leaves; doubled, so where all of a long pre-token changes, that costs no more than twice its length
+        while True:
+            if c0 == c1:
+                old = self.chunks[c0][k0 : k1 + 1]
+            else:
+                old = self.chunks[c0][k0:] + [x for c in range(c0 + 1, c1) for x in self.chunks[c]] + self.chunks[c1][: k1 + 1]
+            was = "".join(x[0] for x in old)
+            fresh = self._count(was[: start - a] + new + was[end - a :])
+            self.reencoded += len(fresh)
+            self.reread += len(was) - (end - start) + len(new)
+            if old and old[0][2]:  # the pre-token began before
+                c, k, at = self._find(a - 1)
+                if not self._apart(self.chunks[c][k][0], fresh[0][0]):
+                    for _ in range(wider):
+                        c0, k0, a = c, k, at
+                        if not self.chunks[c][k][2]:
+                            break
+                        c, k, at = self._find(a - 1)
+                    wider *= 2
+                    continue
+                fresh[0] = (*fresh[0][:2], True)
+            if b < n:
+                c, k, at = self._find(b)
+                if self.chunks[c][k][2] and not self._apart(fresh[-1][0], self.chunks[c][k][0]):
+                    for _ in range(wider):
+                        c1, k1, b = c, k, at + len(self.chunks[c][k][0])
+                        if b == n:
+                            break
+                        c, k, at = self._find(b)
+                        if not self.chunks[c][k][2]:
+                            break
+                    wider *= 2
+                    continue
+            break
         self.leaves += len(fresh) - len(old)
         if c0 == c1:
             self.chunks[c0][k0 : k1 + 1] = fresh
@@ -232,7 +340,8 @@ EDIT = "array<struct<start:bigint,end:bigint,text:string>>"
 
 def edited_counts(docs, edits, tokenizer: str | None = None, doc_id: str = "doc_id", text: str = "text"):
     """One row per document: ``doc_id``, ``tokens`` of its text, ``edited_tokens`` after its edits, ``edited_chars`` (code
-    points), ``pretokens`` (before) and ``reencoded`` (pre-tokens encoded for the edits).
+    points), ``leaves`` (of the tree, before), ``reencoded`` (leaves encoded for the edits) and ``reencoded_chars`` (their characters, with
+    those compared).
 
     ``edits``: a column of array<struct<start, end, text>>, applied in order, each at code points of the text as the
     ones before left it: from ``start`` up to ``end`` is replaced by ``text``. A null array has none, a null edit or one with a
@@ -243,20 +352,21 @@ def edited_counts(docs, edits, tokenizer: str | None = None, doc_id: str = "doc_
     from pyspark.sql import functions as F
 
     src = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").cast("binary").alias("text"), edits.cast(EDIT).alias("edits"))
+    names = ["tokens", "edited_tokens", "edited_chars", "leaves", "reencoded", "reencoded_chars"]
 
     def run(batches):
         encoder = Encoder.cached(tokenizer)
         for batch in batches:
-            out = [[] for _ in range(5)]
+            out = [[] for _ in names]
             for raw, changes in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 tree = EditedCount(encoder, (raw or b"").decode())
                 before = tree.tokens
                 for e in changes or []:
                     if e is not None and e["start"] is not None and e["end"] is not None:
                         tree.edit(e["start"], e["end"], e["text"] or "")
-                for c, v in zip(out, (before, tree.tokens, tree.chars[1], tree.first, tree.reencoded)):
+                for c, v in zip(out, (before, tree.tokens, tree.chars[1], tree.first, tree.reencoded, tree.reread)):
                     c.append(v)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in out)], ["doc_id", "tokens", "edited_tokens", "edited_chars", "pretokens", "reencoded"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, pa.int64()) for c in out)], ["doc_id", *names])
 
     kind = dict(src.dtypes)["doc_id"]
-    return src.mapInArrow(run, f"doc_id {kind}, tokens long, edited_tokens long, edited_chars long, pretokens long, reencoded long")
+    return src.mapInArrow(run, f"doc_id {kind}, " + ", ".join(f"{x} long" for x in names))

@@ -1,8 +1,10 @@
 import random
+import re
 import zlib
 from collections import defaultdict
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from kinfold.llm import packing, tokens
@@ -26,6 +28,15 @@ def test_encoder_equals_the_tokenizer():
     assert e.many([None]) == [b""] and all(len(p) <= 64 for p in e.parts)
 
 
+def test_character_classes_are_the_tokenizers():
+    cut = tokens.Encoder.cached().tokenizer.pre_tokenizer.pre_tokenize_str
+    for own, others in ((tokens._L, "b5!"), (tokens._D, "7b!"), (tokens._P, "?b5")):
+        chars = [chr(c) for c in range(33, 0x10000) if not 0xD800 <= c < 0xE000 and re.fullmatch(f"[{own}]", chr(c))]
+        same, *apart = others
+        assert len(chars) > 9 and len(cut("".join(chars))) == 1
+        assert len(cut("".join(f"{c}{same}{x}" for c in chars for x in apart))) == 2 * 2 * len(chars)
+
+
 def test_encoder_with_a_full_cache(monkeypatch):
     monkeypatch.setattr(tokens, "CACHE", 20)
     rnd, e = random.Random(2), tokens.Encoder()
@@ -50,11 +61,40 @@ def test_edits_equal_whole_encoding():
             assert tree.text() == t and tree.tokens == len(plain(t)) and tree.leaves == sum(map(len, tree.chunks))
 
 
+LONGER = ["漢字", "かな", "、", "word", "ward" * 9, "x" * 50, "7" * 20, "!?" * 30, "\n", "\t", "ж" * 40, "'s", "'", " ", "한국", "\u0378", "é" * 33, "\r\n", "=" * 70, " " * 9, "aAbB"]
+
+
+def test_edits_of_long_pretokens_equal_whole_encoding(monkeypatch):
+    rnd, e = random.Random(5), tokens.Encoder.cached()
+    for trial in range(200):
+        few = rnd.sample(LONGER, rnd.randrange(1, 6))
+        t = "".join(rnd.choice(few) for _ in range(rnd.randrange(200)))
+        tree = tokens.EditedCount(e, t)
+        tree.CHUNK = rnd.choice([1, 2, 32])
+        for _ in range(6):
+            a = rnd.randrange(-1, len(t) + 3)
+            b = a + rnd.choice([0, 0, 1, 2, 3, 40, 400])
+            new = "".join(rnd.choice(few + ["", "Z"]) for _ in range(rnd.randrange(3)))
+            tree.edit(a, b, new)
+            a = min(max(a, 0), len(t))
+            b = min(max(b, a), len(t))
+            t = t[:a] + new + t[b:]
+            assert tree.text() == t and tree.tokens == len(plain(t)) and tree.leaves == sum(map(len, tree.chunks))
+
+
 def test_a_small_edit_reencodes_little():
-    t = " ".join(f"word{i}" for i in range(5000))
-    tree = tokens.EditedCount(tokens.Encoder.cached(), t)
-    tree.edit(20_000, 20_005, "new")
-    assert tree.reencoded <= 4 and tree.tokens == len(plain(tree.text()))
+    rnd = random.Random(11)
+    han = "".join(chr(rnd.randrange(0x4E00, 0x9F00)) for _ in range(25_000))
+    letters = "".join(rnd.choice("abcdefghij") for _ in range(25_000))
+    for t in (" ".join(f"word{i}" for i in range(5000)), "\n".join(f"word{i}" for i in range(3000)), "\t".join(f"{i}" for i in range(6000)), han, letters, "、".join(han[i : i + 30] for i in range(0, 20_000, 30))):
+        for at in (0, 12_000, 20_000, len(t) - 3):
+            tree = tokens.EditedCount(tokens.Encoder.cached(), t)
+            tree.edit(at, at + 3, "new")
+            assert tree.reencoded <= 30 and tree.reread <= 2_000 and tree.tokens == len(plain(tree.text()))
+    # a pattern whose phase the edit shifts is another encoding up to its end
+    tree = tokens.EditedCount(tokens.Encoder.cached(), "-=" * 13_000)
+    tree.edit(13_000, 13_001, "")
+    assert tree.reread <= 26_000 * 5 and tree.tokens == len(plain(tree.text()))
 
 
 def test_edited_counts_query(spark):
@@ -110,3 +150,23 @@ def test_packing_round_trip(spark):
         assert [r.offset for r in s] == [sum(q.length for q in s[:k]) for k in range(len(s))] and sum(r.length for r in s) <= 1024
     total = sum(r.length for r in rows)
     assert len(seqs) <= total / 1024 * 1.3 + 1 and packing.pack(df.limit(0)).count() == 0
+    with pytest.raises(ValueError):
+        packing.pack(df, keep=["doc_id", "piece"])
+
+
+def test_sequences_hardly_depend_on_partitions(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    docs = docs.unionByName(docs.withColumn("doc_id", F.col("doc_id") + 10**6).withColumn("text", F.substring("text", 1, 700)))
+    for d, rest in ((docs.coalesce(1), packing.REST), (docs.repartition(211), packing.REST), (docs.repartition(50), 200_000)):
+        rows = packing.pack(d, rest=rest).collect()
+        seqs = defaultdict(list)
+        for r in rows:
+            seqs[r.sequence_id].append(r)
+        for s in seqs.values():
+            s.sort(key=lambda r: r.offset)
+            assert [r.offset for r in s] == [sum(q.length for q in s[:k]) for k in range(len(s))] and sum(r.length for r in s) <= 1024
+        pieces = defaultdict(list)
+        for r in rows:
+            pieces[r.doc_id].append((r.piece, r.start, r.length))
+        assert len(pieces) == 2000 and all([(k, sum(x[2] for x in p[:k])) for k in range(len(p))] == [x[:2] for x in sorted(p)] for p in map(sorted, pieces.values()))
+        assert len(seqs) <= 1.02 * sum(r.length for r in rows) / 1024 + 1
