@@ -34,7 +34,7 @@ def test_scores_equal_a_plain_model(spark, order):
             for m in range(1, order + 1):
                 grams[m - 1].update(tuple(s[k - m + 1 : k + 1]) for k in range(max(1, m - 1), len(s)))
     n, v = sum(grams[0].values()), len(grams[0])
-    got = {r.doc_id: r for r in lm.score(df, order=order, mu=5.0, block_bytes=3000).collect()}
+    got = {r.doc_id: r for r in lm.score(df, order=order, mu=5.0, power=0.6, block_bytes=3000).collect()}
     assert len(got) == len(rows) and any(held.values())
     for i, t in rows:
         s, base, total = [None, *toks(t)], 0.0, 0.0
@@ -44,7 +44,8 @@ def test_scores_equal_a_plain_model(spark, order):
             for m in range(2, order + 1):
                 if k >= m - 1:
                     ctx = tuple(s[k - m + 1 : k])
-                    p = (grams[m - 1][(*ctx, s[k])] + 5 * p) / (grams[m - 2][ctx] + 5)
+                    mass = 5 * max(1, grams[m - 2][ctx]) ** 0.6
+                    p = (grams[m - 1][(*ctx, s[k])] + mass * p) / (grams[m - 2][ctx] + mass)
             total += math.log10(p)
         r = got[i]
         assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held[i], len(s) - 1, sum(grams[0][(x,)] > 0 for x in s[1:]), n)
