@@ -110,7 +110,6 @@ def pack(docs: DataFrame, tokenizer: str | None = None, keep: list[str] | None =
     def run(batches):
         encode = Encoder.cached(tokenizer)
         bins, part = BestFit(length, open_bins), TaskContext.get().partitionId() << 40
-        end = np.array([end_id], "<u4").tobytes()
         kept = None  # rows of open bins
 
         def placed(table: pa.Table, close: bool) -> pa.Table:
@@ -120,15 +119,15 @@ def pack(docs: DataFrame, tokenizer: str | None = None, keep: list[str] | None =
 
         for batch in batches:
             row, out, parts = [], [[] for _ in range(6)], []
-            for r, data in enumerate(encode.many(batch.column(made).to_pylist())):
-                data += end
-                for k, (start, n) in enumerate(pieces(len(data) // 4, length)):
-                    own = data[4 * start : 4 * (start + n)]
+            data, size = encode.column(batch.column(made), end_id)
+            for r, (begin, total) in enumerate(zip((np.cumsum(size) - size).tolist(), size.tolist())):
+                for k, (start, n) in enumerate(pieces(total, length)):
+                    own = data[begin + start : begin + start + n]
                     row.append(r)
                     for c, v in zip(out, (k, start, n, zlib.crc32(own), *bins.put(n))):
                         c.append(v)
                     if ids:
-                        parts.append(np.frombuffer(own, "<i4"))
+                        parts.append(own.view("<i4"))
             take = pa.array(row, pa.int32())
             cols = [batch.column(i).take(take) for i in range(made)] + [pa.array(c, pa.int32() if i == 0 else pa.int64()) for i, c in enumerate(out)]
             if ids:

@@ -17,10 +17,15 @@ import re
 from itertools import chain
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 CUT = re.compile(r" (?=\S)")
 ODD = re.compile(r" \s| \Z")
-CACHE = 400_000
+#: The same for RE2, whose \s is ASCII.
+ODD_RE2 = r" [\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]| \z"
+BATCH_BYTES = 8 << 20
+CACHE = 600_000
 LONG = 64  # characters
 
 # Characters whose class (letter, digit, other) every version of the pre-tokenizer's tables agrees on: ASCII, and ranges that
@@ -85,34 +90,35 @@ class Encoder:
     def _keep(self, found: dict[str, bytes]) -> None:
         if len(self.parts) + len(found) > CACHE:
             self.before, self.parts = self.parts, {}
-        self.parts.update((p, v) for p, v in found.items() if len(p) <= LONG)
+        self.parts.update(found)
+        for p in [p for p in found if len(p) > LONG]:
+            del self.parts[p]
 
     def learn(self, missing: set[str]) -> dict[str, bytes]:
         """The ids of parts that ``parts`` doesn't have."""
-        old, known = self.before, self.parts
-        out = {p: old[p] for p in missing if p in old} if old else {}
-        whole, built = [], []
-        for p in missing.difference(out) if out else missing:
-            some = None if UNCERTAIN.search(p) else PRETOKEN.findall(p)
-            if some is None or len(some) < 2:
-                whole.append(p)
+        old, known = self.before.get, self.parts.get
+        out, new, built = {}, {}, []
+        for p in missing:
+            v = old(p)
+            if v is not None:
+                out[p] = v
+            elif p[1:].isalpha() or UNCERTAIN.search(p) or len(some := PRETOKEN.findall(p)) < 2:
+                new[p] = None
             else:
                 built.append((p, some))
-        new = dict.fromkeys(whole)
-        units = {u for _, some in built for u in some}.difference(new)
         have = {}
-        for u in units:
-            v = known.get(u) or old.get(u)
-            if v is None:
-                new[u] = None
-            else:
-                have[u] = v
-        new = self._encoded(list(new))
-        have.update(new)
+        for u in {u for _, some in built for u in some}:
+            if u not in new:
+                v = known(u) or old(u)
+                if v is None:
+                    new[u] = None
+                else:
+                    have[u] = v
+        out.update(self._encoded(list(new)))
+        have.update(out)
         get = have.__getitem__
         for p, some in built:
-            new[p] = b"".join(map(get, some))
-        out.update(new)
+            out[p] = b"".join(map(get, some))
         self._keep(out)
         return out
 
@@ -159,15 +165,62 @@ class Encoder:
 
     def many(self, texts: list[bytes | None]) -> list[bytes]:
         """The ids of each text; null has none."""
-        out = []
-        for at in range(0, len(texts), 64):
-            split = [self.split(t.decode()) if t else [] for t in texts[at : at + 64]]
-            each = self.values(list(chain.from_iterable(split)))
-            a = 0
-            for s in split:
-                out.append(b"".join(each[a : a + len(s)]))
-                a += len(s)
-        return out
+        ids, size = self.column(pa.array(texts, pa.binary()))
+        data, ends = ids.tobytes(), (np.cumsum(size) * 4).tolist()
+        return [data[a:b] for a, b in zip([0, *ends], ends)]
+
+    def column(self, texts: pa.Array, end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts, one after another, and how many each has; null has none. ``end`` is put behind each."""
+        texts = pc.fill_null(texts.cast(pa.string()), "")
+        bytes_ = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
+        cuts = [0, *np.flatnonzero(np.diff(bytes_ // BATCH_BYTES)).tolist(), len(texts)]
+        each = [self._some(texts.slice(a, b - a), end) for a, b in zip(cuts, cuts[1:]) if b > a]
+        if not each:
+            return np.empty(0, "<u4"), np.empty(0, np.int64)
+        return np.concatenate([x for x, _ in each]), np.concatenate([n for _, n in each])
+
+    def _some(self, texts: pa.Array, end: int | None) -> tuple[np.ndarray, np.ndarray]:
+        odd = pc.match_substring_regex(texts, ODD_RE2).to_numpy(zero_copy_only=False)
+        even = np.flatnonzero(~odd)
+        size = np.zeros(len(texts), np.int64)
+        ids, size[even] = self._even(texts.take(pa.array(even)))
+        rest = [self.split(t) for t in texts.filter(pa.array(odd)).to_pylist()]
+        values = self.values(list(chain.from_iterable(rest)))
+        a, joined = 0, []
+        for s in rest:
+            joined.append(b"".join(values[a : a + len(s)]))
+            a += len(s)
+        size[odd] = [len(x) // 4 for x in joined]
+        more = int(end is not None)
+        begin = np.cumsum(size + more) - size - more
+        out = np.full(int((size + more).sum()), end or 0, "<u4")
+        for where, own in ((even, ids), (np.flatnonzero(odd), np.frombuffer(b"".join(joined), "<u4"))):
+            n = size[where]
+            out[np.repeat(begin[where] - (np.cumsum(n) - n), n) + np.arange(len(own))] = own
+        return out, size + more
+
+    def _even(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of texts that are cut at every space: each distinct part is looked up once."""
+        if not len(texts):
+            return np.empty(0, "<u4"), np.empty(0, np.int64)
+        lists = pc.split_pattern(texts, " ")
+        parts, first = lists.flatten(), lists.offsets.to_numpy()[:-1].astype(np.int64) - lists.offsets[0].as_py()
+        coded = parts.dictionary_encode()
+        at = coded.indices.to_numpy().astype(np.int64)
+        later = np.ones(len(at), bool)
+        later[first] = False
+        used = np.zeros(len(coded.dictionary), bool)
+        used[at[later]] = True
+        names = [" " + p for p in coded.dictionary.filter(pa.array(used)).to_pylist()]
+        place = np.cumsum(used) - 1
+        at = place[at]
+        at[first] = len(names) + np.arange(len(texts))  # the first part of a text has no space before it
+        values = self.values(names + parts.take(pa.array(first)).to_pylist())
+        size = np.fromiter(map(len, values), np.int64, len(values)) // 4
+        begin = np.cumsum(size) - size
+        n = size[at]
+        ids = np.frombuffer(b"".join(values), "<u4")[np.repeat(begin[at] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
+        return ids, np.add.reduceat(n, first)
 
     def pieces(self, run: str, size: int = 32) -> list[tuple[str, int]]:
         """One long pre-token cut between tokens into pieces of about ``size`` tokens, with their counts. Any stretch of
@@ -348,7 +401,6 @@ def edited_counts(docs, edits, tokenizer: str | None = None, doc_id: str = "doc_
     null place is skipped, a null text is empty, places beyond the text mean its end. A null document text is empty.
     Repeated rows are counted each, an empty table gives an empty result, other columns are ignored.
     """
-    import pyarrow as pa
     from pyspark.sql import functions as F
 
     src = docs.select(F.col(f"`{doc_id}`").alias("doc_id"), F.col(f"`{text}`").cast("binary").alias("text"), edits.cast(EDIT).alias("edits"))
