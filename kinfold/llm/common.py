@@ -49,11 +49,7 @@ def shingles(text: bytes | None, size: int) -> np.ndarray:
 
 
 def word_count(text: Column) -> Column:
-    """Number of words, JVM-side; null has none.
-
-    A word starts at each word character that opens the text or follows white space, so only
-    lengths are compared and no array of words is built.
-    """
+    """Number of words, JVM-side; null has none. White space is made one kind, then runs of anything else are counted."""
     flat = F.translate(F.coalesce(text, F.lit("")), "\t\n\x0b\x0c\r", "     ")
     return F.regexp_count(flat, F.lit("[^ ]+")).cast("long")
 
@@ -69,5 +65,16 @@ def without(df: DataFrame, *names: str) -> DataFrame:
     return df.select(*[F.col(f"`{c}`") for c in df.columns if c.lower() not in taken])
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """``names``, each with as many underscores behind as make it unlike every column of ``df``."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))

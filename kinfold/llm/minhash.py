@@ -7,12 +7,13 @@ of two shingle sets. Equal texts have equal fingerprints.
 
 ``near_duplicates`` cuts fingerprints into bands, joins them in Spark and verifies
 the Jaccard similarity of what meets. ``edited`` compares every text with the next one and
-with an edit that borrows from it; texts are moved once, in ranges of ids.
+with an edit that borrows from it; texts are moved once, in ranges of ids and text hashes.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +27,7 @@ from .simhash import _groups
 
 PERMUTATIONS = 128
 SHINGLE = 5
+RANGE_BYTES = 64 << 20
 EMPTY = np.uint32(0xFFFFFFFF)
 
 
@@ -64,42 +66,56 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
     return float(np.mean(a == b))
 
 
+def _ranges(rows: DataFrame, least: int) -> list:
+    """The greatest key of each of at least about ``least`` ranges of about equal bytes, in descending order, for ``rows`` (key, bytes);
+    more ranges where they would have more than ``RANGE_BYTES``. One row for a fine range is gathered."""
+    total = rows.agg(F.sum("bytes")).first()[0] or 0
+    count = max(least, math.ceil(total / RANGE_BYTES))
+    fine = rows.repartitionByRange(8 * count, "key").groupBy(F.spark_partition_id().alias("p")).agg(F.max("key").alias("top"), F.sum("bytes").alias("bytes"))
+    tops, held = [], math.inf
+    for row in sorted(fine.collect(), key=lambda r: -r.p):
+        if held + row.bytes / 2 > total / count:
+            tops.append(row.top)
+            held = 0
+        held += row.bytes
+    return tops
+
+
 def edited(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", count: int = PERMUTATIONS, shingle: int = SHINGLE, seed: int = 1) -> DataFrame:
     """One row per document: ``doc_id``, ``n_chars`` (code points of its text), ``edited_sha256``,
     ``fingerprint``, ``edited_fingerprint`` (hexadecimal), ``near_edited``, ``near_next``.
 
     The edited text is the text with its last floor(n_chars / 3) code points replaced by the
-    first as many (or all) of the next document's, in descending order of ids; after the
-    last comes the first. Null ids come last, ties are ordered by the text. A null text is
+    first as many (or all) of the next document's, in descending order of ids (of any type that has an order); after the
+    last comes the first. Null ids come last, ties are in descending order of the text's XXH64. A null text is
     empty. A single document is its own next. Repeated rows stay, an empty table gives
     an empty result, other columns are ignored.
 
-    Texts move once: to ranges of ids whose bounds come from a quantile sketch of the ids alone.
-    The first document of each range is also sent to the range before it, so every task sees
+    Texts move once, to ranges of (id, hash) of about equal bytes; so an id of many rows has many ranges, only rows that are equal
+    share one. The first document of each range is also sent to the range before it, so every task sees
     its rows with their successors, in order and as a stream.
     """
-    spark = docs.sparkSession
-    slim = docs.select(F.col(doc_id).cast("long").alias("id"), F.col(text).alias("text"))
-    parts = max(2, partitions(docs))
-    at = [i / parts for i in range(1, parts)]
-    bounds = slim.agg(F.percentile_approx("id", at, 10_000)).first()[0] or []
-    bounds = sorted(set(bounds), reverse=True)
-    # range 0 has the largest ids; nulls come after all
-    below = F.array(*[F.lit(b) for b in bounds]).cast("array<bigint>")
-    range_ = F.when(F.col("id").isNull(), F.lit(len(bounds) + 1)).otherwise(F.size(F.filter(below, lambda b: b > F.col("id"))))
-    ranged = slim.withColumn("r", range_.cast("int"))
-    heads = {r.r: r.id for r in ranged.groupBy("r").agg(F.max("id").alias("id")).collect()}  # one row per range
-    order = sorted(heads)
-    before = {r: order[i - 1] for i, r in enumerate(order)}
+    own, body = F.col(f"`{doc_id}`"), F.col(f"`{text}`")
+    key = F.struct(own.alias("id"), F.xxhash64(F.coalesce(body, F.lit(""))).alias("h"))
+    kind = dict(docs.select(own.alias("id")).dtypes)["id"]
+    slim = docs.select(key.alias("key"), body.cast("binary").alias("text"))
+    tops = _ranges(docs.select(key.alias("key"), (F.coalesce(F.octet_length(body), F.lit(0)) + 64).alias("bytes")), max(2, partitions(docs)))
+    last = len(tops) - 1
+    # range r holds the keys from tops[r] down to above tops[r + 1]; it is found among every wide-th top, then among those behind it
+    wide = max(1, math.isqrt(len(tops)))
+    bounds = F.array(*[F.struct(F.lit(t.id).cast(kind).alias("id"), F.lit(t.h).cast("bigint").alias("h")) for t in tops])
+    some = F.array(*[F.struct(F.lit(t.id).cast(kind).alias("id"), F.lit(t.h).cast("bigint").alias("h")) for t in tops[::wide]])
+    if not tops:
+        bounds = some = F.array().cast(f"array<struct<id:{kind},h:bigint>>")
+    reached = lambda these: F.size(F.filter(these, lambda t: t >= F.col("key")))
+    ranged = slim.withColumn("coarse", F.greatest((reached(some) - 1) * wide, F.lit(0)))
+    ranged = ranged.withColumn("r", F.col("coarse") + reached(F.slice(bounds, F.col("coarse") + 1, F.lit(wide))) - 1)
     # rows that may open their range go to the range before as guests; there the first of them counts
-    guests = F.create_map(*[F.lit(x) for r in order for x in (r, before[r])]) if order else F.lit(None).cast("map<int,int>")
-    tops = F.create_map(*[x for r in order for x in (F.lit(r), F.lit(heads[r]).cast("long"))]) if order else F.lit(None).cast("map<int,bigint>")
-    opens = F.col("id").eqNullSafe(F.element_at(tops, F.col("r")))
-    to = F.when(opens, F.array(F.struct(F.col("r").alias("r"), F.lit(0).alias("guest")), F.struct(F.element_at(guests, F.col("r")).alias("r"), F.lit(1).alias("guest")))).otherwise(
-        F.array(F.struct(F.col("r").alias("r"), F.lit(0).alias("guest")))
-    )
-    dealt = ranged.withColumn("to", F.explode(to)).select("to.r", "to.guest", "id", F.col("text").cast("binary").alias("text"))
-    dealt = dealt.repartition(parts, "r").sortWithinPartitions("r", "guest", F.col("id").desc_nulls_last(), "text")
+    here = F.struct(F.col("r").cast("int").alias("r"), F.lit(0).alias("guest"))
+    before = F.struct(F.when(F.col("r") > 0, F.col("r") - 1).otherwise(last).cast("int").alias("r"), F.lit(1).alias("guest"))
+    to = F.when(F.col("key").eqNullSafe(F.get(bounds, F.col("r"))), F.array(here, before)).otherwise(F.array(here))
+    dealt = ranged.withColumn("to", F.explode(to)).select("to.r", "to.guest", "key", "text")
+    dealt = dealt.repartitionById(max(1, len(tops)), "r").sortWithinPartitions("r", "guest", F.col("key").desc(), "text").select("r", "guest", F.col("key.id").alias("id"), "text")
     a, b = coefficients(count, seed)
 
     def run(batches):
@@ -118,14 +134,15 @@ def edited(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", count: i
             rows.append((id_, len(txt), hashlib.sha256(raw).hexdigest(), sig.astype(">u4").tobytes().hex(), esig.astype(">u4").tobytes().hex(), likeness(sig, esig), likeness(sig, then_sig)))
 
         names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
-        kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
+        kinds = [None, pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
 
         def flush():
-            out = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
+            out = pa.RecordBatch.from_arrays([pa.array(c, k or id_kind) for c, k in zip(zip(*rows), kinds)], names)
             rows.clear()
             return out
 
         for batch in batches:
+            id_kind = batch.schema.field("id").type
             for r, guest, id_, raw in zip(*(batch.column(i).to_pylist() for i in range(4))):
                 if guest and (open_ is None or open_[0] != r):
                     continue  # a later guest of a range that is closed
@@ -143,7 +160,7 @@ def edited(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", count: i
         if rows:
             yield flush()
 
-    return dealt.mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    return dealt.mapInArrow(run, f"doc_id {kind}, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
 
 
 def _set(text: Column, shingle: int) -> Column:

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..runtime import settle
-from .common import without, word_count
+from .common import fresh, without, word_count
 
 BUCKETS = 4096
 MADE = ("size", "source_size", "target", "reps", "taken")
@@ -57,9 +57,10 @@ def mix(docs: DataFrame, weights: DataFrame, max_epochs: float = 3.0, seed: int
     empty result. The same seed and rows give the same mix, whatever the partitioning.
     """
     rows = without(docs, *MADE)
-    rows = rows.withColumn("size", word_count(F.col(text))).withColumn("__u", F.xxhash64(F.lit(seed), F.col(doc_id), F.col(text)))
-    rows = rows.withColumn("__b", F.pmod(F.col("__u"), F.lit(BUCKETS)))
-    slim = settle(rows.select(F.col(source).alias("s"), "size", F.col("__u").alias("u"), F.col("__b").alias("b")), "sizes")
+    u, b, s, whole_, cut_b, last_ = fresh(docs, "__u", "__b", "__s", "__w", "__cb", "__last")
+    rows = rows.withColumn("size", word_count(F.col(f"`{text}`"))).withColumn(u, F.xxhash64(F.lit(seed), F.col(f"`{doc_id}`"), F.col(f"`{text}`")))
+    rows = rows.withColumn(b, F.pmod(F.col(u), F.lit(BUCKETS)))
+    slim = settle(rows.select(F.col(f"`{source}`").alias("s"), "size", F.col(u).alias("u"), F.col(b).alias("b")), "sizes")
     held = slim.groupBy("s").agg(F.sum("size").alias("held"))
     weighed = held.alias("h").join(weights.select(F.col("source").alias("ws"), "weight").alias("w"), F.col("h.s").eqNullSafe(F.col("w.ws")), "left")
     filled = settle(water_fill(settle(weighed.select("s", "weight", "held"), "held"), max_epochs).select("s", "held", "target"), "targets")
@@ -87,24 +88,25 @@ def mix(docs: DataFrame, weights: DataFrame, max_epochs: float = 3.0, seed: int
     cuts = cut.alias("p").join(last.alias("q"), same, "left").select("p.s", F.col("p.b").alias("cut_b"), "q.last")
     plan = (
         plan.alias("p").join(cuts.alias("q"), same, "left")
-        .select(F.col("p.s").alias("__s"), F.col("p.held").alias("source_size"), F.col("p.target").alias("target"), F.col("p.whole").alias("__w"), F.col("q.cut_b").alias("__cb"), F.col("q.last").alias("__last"))
+        .select(F.col("p.s").alias(s), F.col("p.held").alias("source_size"), F.col("p.target").alias("target"), F.col("p.whole").alias(whole_), F.col("q.cut_b").alias(cut_b), F.col("q.last").alias(last_))
     )
-    extra = (F.col("__b") < F.col("__cb")) | ((F.col("__b") == F.col("__cb")) & (F.col("__u") <= F.col("__last")))
-    out = rows.join(settle(plan, "mix-plan"), F.col(f"`{source}`").eqNullSafe(F.col("__s")))
+    extra = (F.col(b) < F.col(cut_b)) | ((F.col(b) == F.col(cut_b)) & (F.col(u) <= F.col(last_)))
+    out = rows.join(settle(plan, "mix-plan"), F.col(f"`{source}`").eqNullSafe(F.col(s)))
     out = out.withColumn("source_size", F.col("source_size").cast("long"))
-    out = out.withColumn("reps", F.col("__w") + F.coalesce(extra.cast("int"), F.lit(0)))
-    return out.withColumn("taken", F.col("size") * F.col("reps")).drop("__u", "__b", "__s", "__w", "__cb", "__last")
+    out = out.withColumn("reps", F.col(whole_) + F.coalesce(extra.cast("int"), F.lit(0)))
+    return out.withColumn("taken", F.col("size") * F.col("reps")).drop(u, b, s, whole_, cut_b, last_)
 
 
 def ranked_weights(docs: DataFrame, source: str = "source") -> DataFrame:
     """(source, weight): sources in the order of their code points, null last, weigh 1, 2, 3,
     repeating. The order runs over one row per source."""
-    kinds = docs.select(F.col(source).alias("source")).distinct()
+    kinds = docs.select(F.col(f"`{source}`").alias("source")).distinct()
     rank = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last()))
     return kinds.withColumn("weight", ((rank - 1) % 3 + 1).cast("double"))
 
 
 def expand(mixed: DataFrame) -> DataFrame:
     """Each row as often as ``reps`` says; the columns made by ``mix`` go."""
-    rows = mixed.where(F.col("reps") > 0).withColumn("__i", F.explode(F.array_repeat(F.lit(0), F.col("reps"))))
-    return without(rows, *MADE, "__i")
+    (i,) = fresh(mixed, "__i")
+    rows = mixed.where(F.col("reps") > 0).withColumn(i, F.explode(F.array_repeat(F.lit(0), F.col("reps"))))
+    return without(rows, *MADE, i)

@@ -8,7 +8,8 @@ text hash in the same way, so equal texts stay in one leaf, unless a group of th
 heavy that the leaf would be off by more than ``tolerance``; such a group is cut by id.
 
 Scale: a pass moves one row per node and bin out of each task; the driver keeps one row per
-node (as many as there are leaves). No shard is ever ordered as a whole: numbers inside a
+node (as many as there are leaves). Each point's node is written after every level, so a level costs one
+pass of its own, whatever its depth. No shard is ever ordered as a whole: numbers inside a
 shard are dealt in hash buckets, each offset by the sizes of those before it.
 """
 
@@ -19,7 +20,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..runtime import settle
+from ..runtime import discard, settle
 from .common import without
 
 BINS = 2048
@@ -66,33 +67,41 @@ def _small(spark, rows: list[tuple], schema: str) -> DataFrame:
     return F.broadcast(df) if len(rows) <= 100_000 else df
 
 
+def _dims(points: DataFrame) -> list[str]:
+    return [c for c in points.columns if c.startswith("__d")]
+
+
+def _step(points: DataFrame, cuts: list[tuple]) -> DataFrame:
+    """``points`` with ``__node`` one level down where ``cuts`` has a cut of it. Of the input's columns only ``row`` is there,
+    so none can be taken for one of these."""
+    c = _small(points.sparkSession, cuts, "__node long, __cdim int, __cv long, __ct long, __ci long")
+    v = F.coalesce(*[F.when(F.col("__cdim") == j, F.col(d)) for j, d in enumerate(_dims(points))])
+    t, i = F.col("__t"), F.col("__i")
+    right = (v > F.col("__cv")) | ((v == F.col("__cv")) & ((t > F.col("__ct")) | ((t == F.col("__ct")) & (i > F.col("__ci")))))
+    step = F.when(F.col("__cdim").isNull(), F.col("__node")).otherwise(F.col("__node") * 2 + F.coalesce(right.cast("int"), F.lit(0)))
+    keep = [F.col(x) for x in points.columns if x != "__node"]
+    return points.join(c, "__node", "left").select(*keep, step.alias("__node"))
+
+
 def _place(points: DataFrame, levels: list[list[tuple]]) -> DataFrame:
-    """``points`` with ``__node``: the leaf or open node each falls into."""
+    """``points`` with ``__node``: the leaf each falls into."""
     out = points.withColumn("__node", F.lit(1).cast("long"))
-    dims = [c for c in points.columns if c.startswith("__d")]
     for cuts in levels:
-        c = _small(out.sparkSession, cuts, "__node long, __cdim int, __cv long, __ct long, __ci long")
-        v = F.coalesce(*[F.when(F.col("__cdim") == j, F.col(d)) for j, d in enumerate(dims)])
-        t, i = F.col("__t"), F.col("__i")
-        right = (v > F.col("__cv")) | ((v == F.col("__cv")) & ((t > F.col("__ct")) | ((t == F.col("__ct")) & (i > F.col("__ci")))))
-        step = F.when(F.col("__cdim").isNull(), F.col("__node")).otherwise(F.col("__node") * 2 + F.coalesce(right.cast("int"), F.lit(0)))
-        keep = [F.col(f"`{x}`") for x in out.columns if x != "__node"]
-        out = out.join(c, "__node", "left").select(*keep, step.alias("__node"))
+        out = _step(out, cuts)
     return out
 
 
 def grow(points: DataFrame, leaves: int, tolerance: float = 0.01) -> tuple[list[list[tuple]], dict[int, int]]:
     """The cuts of each level and leaf node -> shard number, for ``points`` with longs
     ``__d0..`` (dimensions), ``__t`` (text hash), ``__i`` (id hash) and ``__w`` (bytes)."""
-    dims = [c for c in points.columns if c.startswith("__d")]
+    dims = _dims(points)
     levels, open_, done = [], {1: leaves}, {}
-    span = None
+    span, placed, owned = None, _place(points, []), None
     while True:
         done.update({n: k for n, k in open_.items() if k <= 1})
         open_ = {n: k for n, k in open_.items() if k > 1}
         if not open_:
             break
-        placed = _place(points, levels)
         stats = placed.groupBy(F.col("__node").alias("node")).agg(F.sum("__w").alias("w"), *[f(d).alias(f"{n}{d}") for d in dims for n, f in (("lo", F.min), ("hi", F.max))]).collect()
         stats = {s.node: s for s in stats if s.node in open_}
         if span is None:
@@ -143,6 +152,11 @@ def grow(points: DataFrame, leaves: int, tolerance: float = 0.01) -> tuple[list[
             if n in cuts:
                 grown |= {2 * n: k // 2, 2 * n + 1: k - k // 2}
         open_ = grown
+        if any(k > 1 for k in open_.values()):
+            placed = settle(_step(placed, this), "kd-nodes")
+            discard(owned)
+            owned = placed
+    discard(owned)
 
     def order(n: int) -> str:
         return bin(n)[3:]
@@ -162,17 +176,20 @@ def shards(docs: DataFrame, count: int | None = 16, target_bytes: int | None = N
     only together. Tables with fewer rows than leaves leave leaves empty; an empty table gives an
     empty result. Input columns with the names made here give way to them.
     """
-    rows = without(docs, *MADE).withColumn("size", F.coalesce(F.octet_length(text), F.lit(0)).cast("long") + 1)
+    body = F.col(f"`{text}`")
+    rows = without(docs, *MADE)
+    given = [F.col(f"`{c}`") for c in rows.columns]
+    rows = rows.withColumn("size", F.coalesce(F.octet_length(body), F.lit(0)).cast("long") + 1)
     if dims is None:
         named = {c.lower(): c for c in docs.columns}
         dims = {"size": F.col("size")} | {c: prefix_number(F.col(f"`{named[c]}`")) for c in ("source", "lang") if c in named}
-    points = rows.withColumns(
-        {f"__d{i}": F.coalesce(d.cast("long"), F.lit(-(1 << 62))) for i, d in enumerate(dims.values())}
-        | {"__t": F.xxhash64(F.coalesce(F.col(text), F.lit(""))), "__i": F.xxhash64(F.col(doc_id)), "__w": F.col("size")}
-    )
-    keys = [c for c in points.columns if c.startswith("__")]
+    points = rows.select(
+        F.struct(*given).alias("row"), "size", *[F.coalesce(d.cast("long"), F.lit(-(1 << 62))).alias(f"__d{i}") for i, d in enumerate(dims.values())],
+        F.xxhash64(F.coalesce(body, F.lit(""))).alias("__t"), F.xxhash64(F.col(f"`{doc_id}`")).alias("__i"), F.col("size").alias("__w"),
+    )
+    keys = points.columns[2:]
     # a group of equal texts is one place: the least of each dimension over its documents
-    own = [c for c in keys if c.startswith("__d")]
+    own = _dims(points)
     group = settle(points.groupBy("__t").agg(*[F.min(c).alias(c) for c in own]), "kd-groups")
     points = points.drop(*own).join(group, "__t")
     slim = settle(points.select(*keys), "kd-points")
@@ -193,4 +210,4 @@ def shards(docs: DataFrame, count: int | None = 16, target_bytes: int | None = N
     inner = Window.partitionBy("shard", "__b").orderBy("__i", "__t")
     out = placed(points).join(settle(counts, "kd-slots"), ["shard", "__b"])
     out = out.withColumn("slot", (F.col("__from") + F.row_number().over(inner) - 1).cast("long"))
-    return out.drop("__node", "__b", "__from", *keys)
+    return out.select("row.*", "size", "shard", "slot")

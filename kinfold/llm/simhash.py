@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from ..operators.graph import connected_components
 from ..runtime import settle
-from .common import shingles, words
+from .common import fresh, shingles, words
 
 BITS = 64
 LIMIT = 2048  # fingerprints compared in one task at once
@@ -271,7 +271,8 @@ def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shi
 
     slim = classes(docs, shingle=shingle, doc_id=doc_id, text=text)
     keep = slim.groupBy("root", F.col("doc_id").isNull()).agg(F.min(F.struct("doc_id", "h")).alias("k"))
-    keep = keep.select(F.col("k.doc_id").alias("__id"), F.col("k.h").alias("__kh"))
-    keyed = docs.withColumn("__h", F.xxhash64(text))
-    kept = keyed.join(keep, keyed[doc_id].eqNullSafe(keep["__id"]) & (keyed["__h"] == keep["__kh"]), "left_semi")
-    return kept.dropDuplicates([doc_id, "__h"]).drop("__h")
+    i, h, kept_h = fresh(docs, "__id", "__h", "__kh")
+    keep = keep.select(F.col("k.doc_id").alias(i), F.col("k.h").alias(kept_h))
+    keyed = docs.withColumn(h, F.xxhash64(F.col(f"`{text}`")))
+    kept = keyed.join(keep, F.col(f"`{doc_id}`").eqNullSafe(F.col(i)) & (F.col(h) == F.col(kept_h)), "left_semi")
+    return kept.dropDuplicates([doc_id, h]).drop(h)

@@ -3,7 +3,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from kinfold.llm import mixing, sharding
+from kinfold.llm import mixing, sharding, simhash
 
 
 def filled(held, weights, cap=3.0):
@@ -96,3 +96,70 @@ def test_shards_of_odd_rows(spark):
     rows = sharding.shards(d, count=4).collect()
     assert sorted(r.size for r in rows) == [1, 1, 3, 3] and sharding.shards(d.limit(0), count=4).count() == 0
     assert sharding.shards(d, target_bytes=4).select("shard").distinct().count() == 2 and len({r.shard for r in sharding.shards(d, count=1).collect()}) == 1
+
+
+def plain_tree(points, leaves, tolerance=0.01):
+    """Leaf numbers by a plain k-d tree over (dims, text hash, id hash, weight)."""
+    span = [max(1, max(p[0][j] for p in points) - min(p[0][j] for p in points)) for j in range(len(points[0][0]))]
+    out, leaf = {}, [0]
+
+    def crossing(rows, key, before, aim):
+        sums = {}
+        for p in rows:
+            sums[key(p)] = sums.get(key(p), 0) + p[3]
+        for k in sorted(sums):
+            if before + sums[k] >= aim or k == max(sums):
+                return k, before, sums[k]
+            before += sums[k]
+
+    def cut(rows, k):
+        if k <= 1 or not rows:
+            out.update({id(p): leaf[0] for p in rows})
+            leaf[0] += 1
+            return
+        wide = [(max(p[0][j] for p in rows) - min(p[0][j] for p in rows)) / span[j] for j in range(len(span))]
+        j, total = wide.index(max(wide)), sum(p[3] for p in rows)
+        aim = total * (k // 2) / k
+        v, before, _ = crossing(rows, lambda p: p[0][j], 0, aim)
+        tied = [p for p in rows if p[0][j] == v]
+        t, before, weight = crossing(tied, lambda p: p[1], before, aim)
+        if min(aim - before, before + weight - aim) <= tolerance * total / k:
+            upto = (v, t, 1 << 64) if before + weight - aim <= aim - before else (v, t, -(1 << 64))
+        else:
+            i, before, weight = crossing([p for p in tied if p[1] == t], lambda p: p[2], before, aim)
+            upto = (v, t, i if before + weight - aim <= aim - before else i - 1)
+        cut([p for p in rows if (p[0][j], p[1], p[2]) <= upto], k // 2)
+        cut([p for p in rows if (p[0][j], p[1], p[2]) > upto], k - k // 2)
+
+    cut(points, leaves)
+    return out
+
+
+@pytest.mark.parametrize("count", [2, 7, 16])
+def test_shards_equal_a_plain_tree(spark, count):
+    rnd = random.Random(count)
+    rows = [(i, f"t{rnd.randrange(900)} " * rnd.randrange(1, 9), rnd.randrange(-50, 50), rnd.randrange(10)) for i in range(1500)]
+    rows += [(2000 + i, "hot " * 20, 7, 3) for i in range(700)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, a long, b long")
+    got = sharding.shards(d, count=count, dims={"a": F.col("a"), "b": F.col("b")}).withColumns({"t": F.xxhash64("text"), "i": F.xxhash64("doc_id")}).collect()
+    place = {}
+    for r in got:  # equal texts have one place, the least of each dimension
+        a, b = place.get(r.t, (r.a, r.b))
+        place[r.t] = (min(a, r.a), min(b, r.b))
+    points = [(place[r.t], r.t, r.i, r.size) for r in got]
+    want = plain_tree(points, count)
+    assert [r.shard for r in got] == [want[id(p)] for p in points]
+
+
+def test_columns_named_like_the_operators_own_stay(spark):
+    names = ["__d0", "__index_level_0__", "__node", "__t", "row", "__u", "__b", "__s", "__i", "__h", "__id", "source_size"]
+    d = docs(spark, 60).withColumns({n: F.concat(F.lit(n), "doc_id") for n in names})
+    out = sharding.shards(d, count=4)
+    assert set(out.columns) == {*d.columns, "size", "shard", "slot"}
+    assert all(r["__d0"] == f"__d0{r.doc_id}" and r["row"] == f"row{r.doc_id}" for r in out.collect())
+    mixed = mixing.mix(d, mixing.ranked_weights(d))
+    assert set(mixed.columns) == {*d.columns, "size", "source_size", "target", "reps", "taken"}
+    assert all(r["__u"] == f"__u{r.doc_id}" and r["__b"] == f"__b{r.doc_id}" for r in mixed.collect())
+    assert all(r["__i"] == f"__i{r.doc_id}" for r in mixing.expand(mixed).collect())
+    kept = simhash.deduplicate(d)
+    assert kept.columns == d.columns and all(r["__h"] == f"__h{r.doc_id}" and r["__id"] == f"__id{r.doc_id}" for r in kept.collect())

@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+import xxhash
 
 from kinfold.llm import lm, minhash, quality
 
@@ -69,17 +70,31 @@ def jaccard(a, b):
     return len(a & b) / len(a | b) if a | b else 1.0
 
 
+def signature_of(t):
+    """The least of each permutation, one by one, over the hashes of the text's shingles."""
+    x = [int(v) for v in minhash.shingle_hashes(t.encode())]
+    a, b = (v.tolist() for v in minhash.coefficients())
+    return "".join(f"{min(((p * v + q) % (1 << 64) >> 32 for v in x), default=0xFFFFFFFF):08x}" for p, q in zip(a, b))
+
+
 def test_edited_fingerprints(spark):
     rnd = random.Random(8)
     texts = TEXTS + [" ".join(f"w{rnd.randrange(300)}" for _ in range(rnd.randrange(5, 300))) for _ in range(80)]
     texts += [t + " tail" for t in texts[-20:]]
-    df = table(spark, texts).unionByName(spark.createDataFrame([(5, "x", "")], "doc_id long, text string, score string"))
-    rows = sorted([(i, t) for i, t in enumerate(texts)] + [(5, "x"), (None, "null id here")], key=lambda r: (r[0] is None, -(r[0] or 0), r[1] or ""))
+    more = [(5, "x")] + [(None, f"w{i} w{i + 1} w{i // 3}") for i in range(60)] + [(7, "same")] * 9
+    df = table(spark, texts).unionByName(spark.createDataFrame([(*r, "") for r in more], "doc_id long, text string, score string"))
+    plain = [(i, t) for i, t in enumerate(texts)] + more + [(None, "null id here")]
+    rows = sorted(plain, key=lambda r: (r[0] is None, -(r[0] or 0), -xxhash.xxh64_intdigest((r[1] or "").encode(), 42) + ((1 << 64) if xxhash.xxh64_intdigest((r[1] or "").encode(), 42) >> 63 else 0)))
+    texts_of = spark.createDataFrame([(None if i is None else f"{i:05d}", t) for i, t in plain], "k string, text string")
     for parts in ("2", "5", "40"):
         spark.conf.set("spark.sql.shuffle.partitions", parts)
         got = {}
         for r in minhash.edited(df).collect():
             got.setdefault(r.doc_id, []).append(r)
+        by_name = {}
+        for r in minhash.edited(texts_of, doc_id="k").collect():
+            by_name.setdefault(r.doc_id, []).append(tuple(r)[1:])
+        assert {k and int(k): sorted(v) for k, v in by_name.items()} == {k: sorted(tuple(r)[1:] for r in v) for k, v in got.items()}
         spark.conf.set("spark.sql.shuffle.partitions", "4")
         assert sum(map(len, got.values())) == len(rows)
         for k, (i, t) in enumerate(rows):
@@ -87,7 +102,7 @@ def test_edited_fingerprints(spark):
             c = len(t) // 3
             e = t[: len(t) - c] + nxt[:c]
             own = [r for r in got[i] if r.n_chars == len(t) and r.edited_sha256 == hashlib.sha256(e.encode()).hexdigest()]
-            assert own and abs(own[0].near_edited - jaccard(t, e)) < 0.2 and any(abs(r.near_next - jaccard(t, nxt)) < 0.2 for r in own)
+            assert own and own[0].fingerprint == signature_of(t) and own[0].edited_fingerprint == signature_of(e) and abs(own[0].near_edited - jaccard(t, e)) < 0.2 and any(abs(r.near_next - jaccard(t, nxt)) < 0.2 for r in own)
     a, b = minhash.coefficients()
     assert minhash.signature(minhash.shingle_hashes(b"a b c d e f"), a, b).tolist() == minhash.signature(minhash.shingle_hashes(b"A b c  d e F"), a, b).tolist()
 
@@ -204,3 +219,34 @@ def test_scores_do_not_depend_on_order_or_partitions(spark, tmp_path):
     assert len(whole) == 300
     for d in (df.repartition(7), df.orderBy("text"), df.join(other, df.doc_id == other.k, "left"), df.repartition(1), df.coalesce(1).sortWithinPartitions("text")):
         assert told(d) == whole and told(d, block_bytes=2000) == whole
+
+
+def test_training_equals_plain_gradient_steps():
+    texts = [b"a good text of words", b"bad BAD $$$ click", b"good words again", b"click click now", None, b"a b a b a"]
+    labels, rate, seed = [1, 0, 1, 0, 1, 0], 1.5, 3
+    got = quality.train(texts, labels, epochs=3, updates=1, rate=rate, seed=seed)
+    rng = np.random.default_rng(seed)
+    emb = rng.uniform(-1 / quality.DIM, 1 / quality.DIM, (quality.BUCKETS, quality.DIM)).astype(np.float32)
+    vec = {int(b): [float(x) for x in emb[b]] for t in texts for b in quality.features(t)[0]}
+    out = [[0.0] * quality.DIM for _ in range(2)]
+    bias = [math.log(3.5 / 7), math.log(3.5 / 7)]
+    done, steps = 0, 18
+    for _ in range(3):
+        for r in rng.permutation(6):
+            at, share = (x.tolist() for x in quality.features(texts[r]))
+            lr = rate * (1 - done / steps)
+            done += 1
+            hidden = [sum(s * vec[b][d] for b, s in zip(at, share)) for d in range(quality.DIM)]
+            z = [sum(o * h for o, h in zip(out[c], hidden)) + bias[c] for c in range(2)]
+            e = [math.exp(x - max(z)) for x in z]
+            p = [x / sum(e) - (c == labels[r]) for c, x in enumerate(e)]
+            back = [sum(p[c] * out[c][d] for c in range(2)) for d in range(quality.DIM)]
+            for c in range(2):
+                for d in range(quality.DIM):
+                    out[c][d] -= lr * p[c] * hidden[d]
+                bias[c] -= lr * 0.1 * p[c]
+            for b, s in zip(at, share):
+                for d in range(quality.DIM):
+                    vec[b][d] -= lr * math.sqrt(s) * back[d]
+    assert np.allclose(got.out, out, atol=1e-4) and np.allclose(got.bias, bias, atol=1e-4)
+    assert all(np.allclose(got.emb[b], v, atol=1e-4) for b, v in vec.items())

@@ -87,3 +87,9 @@ def test_probes_are_made_by_radius(monkeypatch):
     index = topk.pa.table({"low": topk.pa.array([5, 4, 2], topk.pa.int64()), "code": topk.pa.array([5, 4, 2], topk.pa.int64()), "ids": topk.pa.array([[1], [2], [3]])})
     asked = topk.pa.table({"s": [0], "q": topk.pa.array([5], topk.pa.int64()), "bound": [64], "low": [5], "least": [0], "most": [1]})
     assert topk._nearest(index, asked, [4], 10).to_pydict() == {"q": [5, 5], "distance": [0, 1], "neighbor_id": [1, 2]}
+
+
+def test_very_long_hosts(spark):
+    df = spark.createDataFrame([(1, "http://" + "a." * 200_000 + "example.com/en/7x"), (2, "http://" + "." * 100_000 + "net/de/"), (3, "http://" + "x" * 300_000)], "page_id long, url string")
+    got = {r.page_id: (r.rule, r.verdict) for r in urls.judge(df, spark.createDataFrame(URL_RULES, RULES)).collect()}
+    assert got == {1: ("example.com/en/7", "allow"), 2: ("net/de/", "block"), 3: (None, "allow")}
