@@ -109,11 +109,6 @@ def hash_bucket(x: Column, n: int) -> Column:
     return F.conv(F.substring(F.sha2(x.cast("string"), 256), 1, 8), 16, 10).cast("bigint") % n
 
 
-def round_half_up_int(x: Column) -> Column:
-    """Rounded, not truncated, to an integer."""
-    return F.round(x, 0).cast("int")
-
-
 def micros(ts: Column) -> Column:
     """Microseconds since 1970 of a zoneless timestamp, whatever the session's zone."""
     return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), ts)
@@ -133,6 +128,20 @@ def lifecycle_stage(status: Column) -> Column:
     )
 
 
+def iso_to_utc(x: Column) -> Column:
+    """An ISO 8601 text (``Z`` or an offset; without one, UTC) as the same instant in UTC, ending in ``Z``; null where it is none."""
+    at = F.try_to_timestamp(F.regexp_replace(F.regexp_replace(F.trim(x), "[zZ]$", "+00:00"), "^([0-9-]{10}) ", "$1T"))
+    has_zone = F.trim(x).rlike("([zZ]|[+-][0-9]{2}:?[0-9]{2})$")
+    utc = F.when(has_zone, at).otherwise(F.to_utc_timestamp(at.cast("timestamp_ntz").cast("string"), F.lit("UTC")))
+    text = F.date_format(F.convert_timezone(F.current_timezone(), F.lit("UTC"), utc.cast("timestamp_ntz")), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS")
+    return F.concat(F.regexp_replace(text, r"\.000000$", ""), F.lit("Z"))
+
+
+def json_text_object(*pairs: tuple[str, Column]) -> Column:
+    """JSON text of (name, column) pairs in their order, nulls kept as null."""
+    return F.to_json(F.struct(*[c.alias(n) for n, c in pairs]), {"ignoreNullFields": "false"})
+
+
 def ordered_json(**fields: Column) -> Column:
     """Canonical JSON of named columns: keys in order, nulls kept."""
     return F.to_json(F.struct(*[fields[k].alias(k) for k in sorted(fields)]), {"ignoreNullFields": "false"})

@@ -16,6 +16,23 @@ from pyspark.sql import functions as F
 from ..runtime import discard, settle
 
 
+def named_components(edges: DataFrame, nodes: DataFrame, src: str = "src", dst: str = "dst", node: str = "node") -> DataFrame:
+    """(node, component) for every node of ``nodes``, named by text; ``component`` is one key for each component.
+
+    Rounds carry 64-bit hashes of the names, not the names. Whether two names share a hash is looked up first; in that
+    (unlikely) case the names themselves are carried.
+    """
+    short = settle(edges.select(F.xxhash64(src).alias("src"), F.xxhash64(dst).alias("dst"), F.col(src).alias("a"), F.col(dst).alias("b")), "named-edges")
+    own = nodes.select(F.col(node).alias("node")).distinct()
+    names = short.select(F.col("a").alias("node")).union(short.select(F.col("b").alias("node"))).union(own).distinct()
+    clash = names.groupBy(F.xxhash64("node").alias("key")).agg(F.count("*").alias("n")).where("n > 1")
+    if clash.isEmpty():
+        found = connected_components(short).withColumnRenamed("node", "key")
+        return own.withColumn("key", F.xxhash64("node")).join(found, "key", "left").select("node", F.coalesce("component", "key").alias("component"))
+    found = connected_components(short.select(F.col("a").alias("src"), F.col("b").alias("dst")))
+    return own.join(found, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+
+
 def _mark(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v")), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)"))).first())
 

@@ -31,15 +31,24 @@ def as_of(history: DataFrame, keys: list[str], at: Column, deleted: str | None =
 
 
 def as_of_join(facts: DataFrame, history: DataFrame, on: list[str], at: str) -> DataFrame:
-    """Each fact with the interval that held at its time (left join): an equi-join on the keys with the range as
-    its residual condition, so a key's intervals are looked at, not all."""
-    h = history.alias("h")
-    cond = [F.col(f"f.{k}") == F.col(f"h.{k}") for k in on] + [F.col("h.valid_from") <= F.col(f"f.{at}"), F.coalesce(F.col("h.valid_to") > F.col(f"f.{at}"), F.lit(True))]
-    joined = facts.alias("f")
-    for c in cond[1:]:
-        cond[0] = cond[0] & c
-    keep = [F.col(f"h.{c}") for c in history.columns if c not in on]
-    return joined.join(h, cond[0], "left").select("f.*", *keep)
+    """Each fact with the interval that held at its time, or nulls; a key's intervals don't overlap (as ``scd2`` builds them).
+
+    Facts and starts of intervals are one stream per key, in which each fact takes the last start before it: linear in both,
+    where a join would look at every interval of a fact's key. Facts with a null key or time take no part in it.
+    """
+    rest = [c for c in history.columns if c not in on]
+    keyed = " and ".join(f"`{c}` is not null" for c in [*on, at])
+    none = F.lit(None)
+    f, h = F.struct(*[F.col(f"`{c}`") for c in facts.columns]), F.struct(*[F.col(f"`{c}`") for c in rest])
+    fact_type, hist_type = facts.select(f.alias("x")).schema[0].dataType, history.select(h.alias("x")).schema[0].dataType
+    starts = history.where(" and ".join(f"`{c}` is not null" for c in [*on, "valid_from"])).select(*on, F.col("valid_from").alias("__t"), F.lit(0).alias("__side"), none.cast(fact_type).alias("__f"), h.alias("__h"))
+    asked = facts.where(keyed).select(*on, F.col(at).alias("__t"), F.lit(1).alias("__side"), f.alias("__f"), none.cast(hist_type).alias("__h"))
+    by = Window.partitionBy(*on).orderBy("__t", "__side").rowsBetween(Window.unboundedPreceding, 0)
+    met = starts.unionByName(asked).withColumn("__last", F.last("__h", ignorenulls=True).over(by)).where("__side = 1")
+    holds = F.col("__last.valid_to").isNull() | (F.col("__last.valid_to") > F.col("__t"))
+    met = met.select("__f.*", *[F.when(holds, F.col(f"__last.`{c}`")).alias(c) for c in rest])
+    apart = facts.where(f"not ({keyed})").select(*[F.col(f"`{c}`") for c in facts.columns], *[none.cast(hist_type[c].dataType).alias(c) for c in rest])
+    return met.unionByName(apart)
 
 
 def invariants(history: DataFrame, keys: list[str], tie: str) -> DataFrame:

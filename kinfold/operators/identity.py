@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from ..functions.columns import normalize_email, normalize_phone, plain_text
-from .graph import connected_components
+from .graph import named_components
 from .merge import latest
 
 #: Confidence by kind of identifier; those at or above MERGE join records, those in [REVIEW, MERGE) are reviewed.
@@ -64,8 +64,8 @@ def resolve(toks: DataFrame, records: DataFrame) -> DataFrame:
     """
     strong = toks.where(F.col("confidence") >= MERGE)
     node, tok = F.concat_ws("|", F.lit("r"), "tenant_id", "record_id"), F.concat_ws("|", F.lit("t"), "tenant_id", "token")
-    comp = connected_components(strong.select(node.alias("src"), tok.alias("dst")))
-    placed = records.select("tenant_id", "record_id").distinct().withColumn("node", node).join(comp, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    placed = records.select("tenant_id", "record_id").distinct().withColumn("node", node)
+    placed = placed.join(named_components(strong.select(node.alias("src"), tok.alias("dst")), placed), "node")
     kinds = placed.join(toks, ["tenant_id", "record_id"], "left").groupBy("tenant_id", "component").agg(
         F.min(F.when(F.col("confidence") >= MERGE, F.struct((-lookup(WEIGHT, F.col("kind"), 1)).alias("w"), "token"))).alias("best"), F.min("record_id").alias("any_record"),
         F.collect_set("kind").alias("kinds"), F.sha2(F.array_join(F.sort_array(F.collect_set("token")), "|"), 256).alias("fingerprint"),
@@ -99,10 +99,11 @@ def review_cases(links: DataFrame) -> DataFrame:
 
 def survivors(records: DataFrame, resolved: DataFrame, fields: list[str]) -> DataFrame:
     """Per customer the surviving value of each field: not null or blank, of the source with the highest priority, then
-    the newest, then the first. Deleted records give none. One aggregate for all fields."""
+    the newest, then of the first record. Deleted records give none. One aggregate for all fields."""
     rows = records.where(~F.coalesce("is_delete", F.lit(False))).join(resolved.select("tenant_id", "record_id", "canonical_customer_id"), ["tenant_id", "record_id"])
-    rank = F.struct(lookup(PRIORITY, F.col("source_system"), 0).alias("p"), F.col("updated_at"), F.col("record_id"))
-    best = [F.max_by(F.when(F.trim(f) != "", F.col(f)), F.when(F.trim(f) != "", rank)).alias(f) for f in fields]
+    age = F.coalesce(-F.unix_micros(F.col("updated_at").cast("timestamp")), F.lit((1 << 63) - 1))
+    rank = F.struct((-lookup(PRIORITY, F.col("source_system"), 0)).alias("p"), age.alias("age"), F.col("record_id"))
+    best = [F.min_by(F.when(F.trim(f) != "", F.col(f)), F.when(F.trim(f) != "", rank)).alias(f) for f in fields]
     return rows.groupBy("tenant_id", "canonical_customer_id").agg(*best, F.count("*").alias("record_count"), F.min("updated_at").alias("first_seen_at"), F.max("updated_at").alias("last_seen_at"), F.array_join(F.sort_array(F.collect_set("source_system")), "|").alias("source_systems"))
 
 
@@ -124,10 +125,62 @@ def graph_artifacts(toks: DataFrame, resolved: DataFrame) -> dict[str, DataFrame
     return {"nodes": nodes, "edges": edges, "merge_events": merges, "explanations": explain}
 
 
+#: Match rule, strength, confidence, identifiers.
+RULES = [
+    ("exact_normalized_email", "strong", 0.86, "email"),
+    ("exact_normalized_phone", "medium", 0.78, "phone"),
+    ("exact_subscription_id", "strong", 0.99, "subscription_id"),
+    ("exact_external_account_id", "strong", 0.99, "external_account_id"),
+    ("strong_composite_customer_email", "strong", 0.95, "customer_id,email"),
+    ("device_id_behavioral_supporting_match", "weak", 0.62, "device_id"),
+]
+
+
+def match_rules(spark) -> DataFrame:
+    return spark.createDataFrame(RULES, "rule_name string, rule_strength string, match_confidence double, identifiers string")
+
+
+def audit(toks: DataFrame, resolved: DataFrame, at: Column) -> DataFrame:
+    """Per record: its customer, the identifiers by which it matched (sorted, ``|`` between), the rule, its confidence, the time."""
+    own = toks.groupBy("tenant_id", "record_id").agg(F.array_join(F.sort_array(F.collect_set("token")), "|").alias("matched_identifiers"))
+    met = resolved.join(own, ["tenant_id", "record_id"], "left")
+    return met.select("tenant_id", "record_id", "canonical_customer_id", F.coalesce("matched_identifiers", F.lit("")).alias("matched_identifiers"), F.col("match_rule").alias("decision_reason"), F.col("match_confidence").alias("confidence_score"), at.alias("resolved_at"))
+
+
+def map_history(previous: DataFrame | None, records: DataFrame, resolved: DataFrame, at: Column) -> DataFrame:
+    """Versions of each record's customer: (tenant_id, record_id, canonical_customer_id, version, valid_from, valid_to, is_current,
+    change_reason). Without ``previous``, a first version from the record's time; else versions whose customer has changed are
+    closed at ``at`` and the next opened. A deleted record's version isn't current."""
+    keys = ["tenant_id", "record_id"]
+    now = resolved.select(*keys, "canonical_customer_id").join(records.select(*keys, "updated_at", F.coalesce("is_delete", F.lit(False)).alias("gone")), keys)
+    first = now.select(*keys, "canonical_customer_id", F.lit(1).alias("version"), F.col("updated_at").alias("valid_from"), F.lit(None).cast("timestamp_ntz").alias("valid_to"), (~F.col("gone")).alias("is_current"), F.lit("initial_deterministic_link").alias("change_reason"))
+    if previous is None:
+        return first
+    cols = first.columns
+    open_ = previous.where("valid_to is null")
+    met = open_.alias("p").join(now.alias("n"), keys, "full_outer")
+    moved = F.col("p.canonical_customer_id").isNotNull() & F.col("n.canonical_customer_id").isNotNull() & (F.col("p.canonical_customer_id") != F.col("n.canonical_customer_id"))
+    old = met.where(F.col("p.version").isNotNull()).select(
+        *keys, "p.canonical_customer_id", "p.version", "p.valid_from", F.when(moved, at).alias("valid_to"), (~moved & ~F.coalesce("n.gone", ~F.col("p.is_current"))).alias("is_current"), "p.change_reason"
+    )
+    next_ = met.where(moved).select(*keys, "n.canonical_customer_id", (F.col("p.version") + 1).alias("version"), at.alias("valid_from"), F.lit(None).cast("timestamp_ntz").alias("valid_to"), (~F.col("n.gone")).alias("is_current"), F.lit("customer_changed").alias("change_reason"))
+    new = first.join(open_, keys, "left_anti").join(previous, keys, "left_anti")
+    return previous.where("valid_to is not null").select(*cols).unionByName(old.select(*cols)).unionByName(next_.select(*cols)).unionByName(new)
+
+
+def resolution_run(toks: DataFrame, resolved: DataFrame, run_id: str, at: Column) -> DataFrame:
+    """One row: the run's counts of customers, records, graph nodes and edges, and merges."""
+    g = graph_artifacts(toks, resolved)
+    counts = resolved.agg(F.countDistinct("tenant_id", "canonical_customer_id").alias("canonical_customers"), F.count("*").alias("source_records"))
+    for name in ("nodes", "edges", "merge_events"):
+        counts = counts.crossJoin(F.broadcast(g[name].agg(F.count("*").alias(f"graph_{name}"))))  # one row by one row
+    return counts.select(F.lit(run_id).alias("identity_resolution_run_id"), at.alias("resolved_at"), "*", F.lit("success").alias("run_status"))
+
+
 # -- stewardship -------------------------------------------------------------------------------------------------------
 
 #: Decisions and the status they lead to, and the moves a case may make.
-DECISIONS = {"APPROVE_MERGE": "APPROVED", "APPROVE_UNMERGE": "APPROVED", "REJECT_MERGE": "REJECTED", "NEEDS_REVIEW": "IN_REVIEW", "IGNORE_FALSE_POSITIVE": "RESOLVED"}
+DECISIONS = {"APPROVE_MERGE": "APPROVED", "REJECT_MERGE": "REJECTED", "NEEDS_REVIEW": "IN_REVIEW", "APPROVE_UNMERGE": "APPROVED", "IGNORE_FALSE_POSITIVE": "RESOLVED"}
 MOVES = {"OPEN": ["IN_REVIEW", "REJECTED", "RESOLVED"], "IN_REVIEW": ["APPROVED", "REJECTED"], "APPROVED": ["RESOLVED"], "REJECTED": ["RESOLVED"], "RESOLVED": []}
 
 
@@ -143,11 +196,30 @@ def decide(cases: DataFrame, decisions: DataFrame) -> DataFrame:
 
 
 def merge_customers(mapping: DataFrame, pairs: DataFrame) -> DataFrame:
-    """Map rows with the customers of ``pairs`` (tenant_id, from_id, to_id) renamed; other tenants' rows never match."""
-    p = pairs.select("tenant_id", F.col("from_id").alias("canonical_customer_id"), "to_id").distinct()
+    """Map rows with the customers of ``pairs`` (tenant_id, from_id, to_id) renamed. Other tenants' rows never match, and a
+    pair is refused (see ``merge_audit``) unless its tenant has rows of both."""
+    there = mapping.select("tenant_id", F.col("canonical_customer_id").alias("to_id")).distinct()
+    p = pairs.join(there, ["tenant_id", "to_id"], "left_semi").select("tenant_id", F.col("from_id").alias("canonical_customer_id"), "to_id").distinct()
     return mapping.join(p, ["tenant_id", "canonical_customer_id"], "left").withColumn("canonical_customer_id", F.coalesce("to_id", "canonical_customer_id")).drop("to_id").select(*mapping.columns)
 
 
+def merge_audit(mapping: DataFrame, pairs: DataFrame, reviewer: str, reason: str, at: Column) -> DataFrame:
+    """What ``merge_customers`` does with each pair: (merge_audit_id, tenant_id, from_id, to_id, reviewer, reason, occurred_at,
+    outcome). Refused is what has no rows of one side in its tenant: ``refused_cross_tenant`` where another tenant has them,
+    else ``refused_unknown_customer``."""
+    have = mapping.select("tenant_id", "canonical_customer_id").distinct()
+    away = have.groupBy("canonical_customer_id").agg(F.lit(True).alias("anywhere"))
+    out = pairs.select("tenant_id", "from_id", "to_id").distinct()
+    for side in ("from", "to"):
+        here = have.select("tenant_id", F.col("canonical_customer_id").alias(f"{side}_id"), F.lit(True).alias(f"{side}_here"))
+        there = away.select(F.col("canonical_customer_id").alias(f"{side}_id"), F.col("anywhere").alias(f"{side}_any"))
+        out = out.join(here, ["tenant_id", f"{side}_id"], "left").join(there, f"{side}_id", "left")
+    known = F.coalesce("from_here", F.lit(False)) & F.coalesce("to_here", F.lit(False))
+    anywhere = F.coalesce("from_any", F.lit(False)) & F.coalesce("to_any", F.lit(False))
+    ident = F.concat(F.lit("merge_"), F.substring(F.sha1(F.concat_ws("|", "tenant_id", "from_id", "to_id")), 1, 16))
+    return out.select(ident.alias("merge_audit_id"), "tenant_id", "from_id", "to_id", F.lit(reviewer).alias("reviewer"), F.lit(reason).alias("reason"), at.alias("occurred_at"), F.when(known, "merged").when(anywhere, "refused_cross_tenant").otherwise("refused_unknown_customer").alias("outcome"))
+
+
 def unmerge_record(mapping: DataFrame, tenant: str, record: str) -> DataFrame:
     """One record split out to a customer of its own."""
     own = (F.col("tenant_id") == tenant) & (F.col("record_id") == record)
@@ -240,7 +312,13 @@ def golden(observations: DataFrame, overrides: DataFrame | None = None) -> DataF
     return met.select(*keys, F.coalesce("o_value", "value").alias("value"), "source_system", "record_id", F.col("o_value").isNotNull().alias("overridden"), F.when(F.col("o_value").isNotNull(), F.coalesce("before", "value")).alias("previous"))
 
 
+#: What a steward's assistant may see of a case.
+EVIDENCE = ("case_id", "case_type", "score", "conflicts", "match_rule", "kind", "confidence")
+
+
 def assist(cases: DataFrame) -> DataFrame:
-    """A recommendation by fixed rules for a person to confirm: merge from 0.78 without conflicts, don't below 0.25."""
+    """A recommendation by fixed rules for a person to confirm: merge from 0.78 without conflicts, don't below 0.25. Of the
+    case only the fields of ``EVIDENCE`` are read and returned, so no identifier leaves it."""
+    cases = cases.select(*[c for c in cases.columns if c in EVIDENCE])
     r = F.when((F.col("score") >= 0.78) & (F.col("conflicts") == 0), "MERGE").when(F.col("score") < 0.25, "DO_NOT_MERGE").otherwise("NEEDS_MORE_INFORMATION")
     return cases.withColumns({"recommendation": r, "requires_human_review": F.lit(True)})

@@ -27,3 +27,11 @@ def insert_ignore(target: DataFrame, new: DataFrame, *unique: list[str]) -> Data
     for keys in unique:
         out = out.join(target.select(*keys).distinct(), list(keys), "left_anti")
     return out
+
+
+def apply_changes(target: DataFrame, events: DataFrame, keys: list[str], *order: str, operation: str = "operation_type") -> DataFrame:
+    """A plain table after its change events: of each key the newest event's row, none where that is a delete; keys without events
+    stay. ``events`` have the columns of ``target``, those of ``order`` and ``operation``."""
+    cols = target.columns
+    newest = latest(events.select(*cols, *[c for c in order if c not in cols], operation), keys, *order)
+    return target.join(newest.select(*keys), keys, "left_anti").unionByName(newest.where(F.lower(operation) != "delete").select(*cols))

@@ -68,6 +68,41 @@ def timeline(events: DataFrame, mapping: DataFrame, who: Principal, customer: st
     return events.join(own, (events.tenant_id == own.tenant_id) & (events.record_primary_key == own.record_id), "left_semi").orderBy("event_timestamp", "event_id")
 
 
+def history_of(history: DataFrame, who: Principal, customer: str, at=None) -> tuple[DataFrame, DataFrame | None]:
+    """(a customer's intervals, oldest first, and the one that holds at ``at``, if given)."""
+    own = lookup(history, who, customer)
+    held = None if at is None else own.where((F.col("valid_from") <= at) & (F.col("valid_to").isNull() | (F.col("valid_to") > at)))
+    return own.orderBy("valid_from"), held
+
+
+def identity_lineage(explanations: DataFrame, who: Principal, customer: str) -> DataFrame:
+    """Why each record belongs to a customer."""
+    return lookup(explanations, who, customer)
+
+
+def customer_lineage(mapping: DataFrame, events: DataFrame, exports: dict[str, DataFrame], who: Principal, tenant: str, customer: str) -> DataFrame:
+    """(kind, name, at): a customer's source records, their change events and the exports that name it."""
+    own = scoped(mapping, who, tenant).where(F.col("canonical_customer_id") == customer)
+    at = F.lit(None).cast("timestamp_ntz").alias("at")
+    records = own.select(F.lit("source_record").alias("kind"), F.col("record_id").alias("name"), at)
+    cond = (F.col("e.tenant_id") == F.col("m.tenant_id")) & (F.col("e.record_primary_key") == F.col("m.record_id"))
+    seen = events.alias("e").join(own.alias("m"), cond, "left_semi").select(F.lit("cdc_event").alias("kind"), F.col("event_id").alias("name"), F.col("event_timestamp").alias("at"))
+    out = records.unionByName(seen)
+    for name, df in exports.items():
+        here = scoped(df, who, tenant).where(F.col("canonical_customer_id") == customer)
+        out = out.unionByName(here.select(F.lit("activation_output").alias("kind"), F.lit(name).alias("name"), at).distinct())
+    return out
+
+
+def filtered_page(df: DataFrame, who: Principal, order: list[str], tenant: str | None = None, offset: int = 0, limit: int = 100, **equal) -> tuple[DataFrame, DataFrame]:
+    """A page, and its total, of the rows in scope whose columns have the given values; None asks for nothing."""
+    rows = scoped(df, who, tenant)
+    for name, value in equal.items():
+        if value is not None:
+            rows = rows.where(F.col(name) == F.lit(value))
+    return page(rows, order, offset, limit)
+
+
 def deletion_request(customers: DataFrame, requested_at, request_type: str = "gdpr_erasure") -> DataFrame:
     """Requests to erase, one per customer row: id, hashed email, queued."""
     from ..functions.columns import hash_email

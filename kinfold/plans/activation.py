@@ -13,10 +13,10 @@ KEYS = ["tenant_id", "canonical_customer_id"]
 
 #: Destination, export, rows a request, retries, required fields.
 DESTINATIONS = [
-    ("braze", "campaign_target", 4, 3, ["canonical_customer_id", "campaign_target", "customer_segment", "churn_risk_band"]),
-    ("hubspot", "customer_segment", 5, 3, ["canonical_customer_id", "customer_segment"]),
-    ("salesforce", "churn_risk", 4, 3, ["canonical_customer_id", "churn_risk_score", "churn_risk_band"]),
-    ("zendesk", "support_priority", 3, 3, ["canonical_customer_id", "support_priority", "churn_risk_band"]),
+    ("braze", "campaign_target", 4, 3, ["canonical_customer_id", "export_timestamp", "campaign_target", "customer_segment", "churn_risk_band"]),
+    ("hubspot", "customer_segment", 5, 3, ["canonical_customer_id", "export_timestamp", "customer_segment"]),
+    ("salesforce", "churn_risk", 4, 3, ["canonical_customer_id", "export_timestamp", "churn_risk_score", "churn_risk_band"]),
+    ("zendesk", "support_priority", 3, 3, ["canonical_customer_id", "export_timestamp", "support_priority", "churn_risk_band"]),
 ]
 
 
@@ -31,18 +31,24 @@ def attempts(bucket: Column, max_retries: int) -> tuple[Column, Column, Column]:
 
 
 def sync_rows(rows: DataFrame, previous: DataFrame | None, destination: tuple) -> DataFrame:
-    """Each exported row's outcome: key, payload hash, attempts, and inserted, updated, skipped_unchanged or failed."""
+    """Each exported row's outcome: key, payload hash, attempts, and inserted, updated, skipped_unchanged or failed with the
+    reason. The hash covers every exported field, ``export_timestamp`` too, so what is exported again later is updated."""
     name, export, _, retries, required = destination
     fields = [c for c in rows.columns if c not in KEYS]
     key = F.concat_ws(":", F.lit(name), F.lit(export), "canonical_customer_id")
     body = F.sha2(F.to_json(F.struct(*sorted(fields)), {"ignoreNullFields": "false"}), 256)
     r = rows.withColumns({"destination": F.lit(name), "record_key": key, "payload_hash": body})
-    n, limited, failed = attempts(hash_bucket(F.col("record_key"), 1 << 31), retries)
-    absent = F.lit(False)
-    for f in required:
-        absent = absent | blank_to_null(F.col(f).cast("string")).isNull()
-    absent = absent | (F.col("hashed_email").isNull() & F.col("hashed_phone").isNull())
-    r = r.withColumns({"idempotency_key": F.sha2(F.concat_ws(":", "record_key", "payload_hash"), 256), "attempts": F.when(absent, 1).otherwise(n), "rate_limited": F.when(absent, 0).otherwise(limited)})
+    bucket = hash_bucket(F.concat_ws(":", F.lit(name), F.coalesce("tenant_id", F.lit("")), F.coalesce("canonical_customer_id", F.lit(""))), 1 << 31)
+    n, limited, failed = attempts(bucket, retries)
+    have = set(rows.columns)
+    missing = F.array_compact(F.array(*[F.when(blank_to_null(F.col(f).cast("string")).isNull() if f in have else F.lit(True), F.lit(f)) for f in required]))
+    contract = F.size(missing) > 0
+    absent = contract | (F.col("hashed_email").isNull() & F.col("hashed_phone").isNull())
+    why = (
+        F.when(contract, F.concat(F.lit("destination_contract_missing_fields:"), F.array_join(missing, ","))).when(absent, "missing_destination_match_key")
+        .when(bucket % 29 == 0, "destination_validation_error").when(failed, F.when(bucket % 17 == 0, "http_429_rate_limit").otherwise("transient_5xx"))
+    )
+    r = r.withColumns({"idempotency_key": F.sha2(F.concat_ws(":", "record_key", "payload_hash"), 256), "attempts": F.when(absent, 1).otherwise(n), "rate_limited": F.when(absent, 0).otherwise(limited), "failure_reason": why})
     bad = absent | failed
     if previous is None:
         known = F.lit(None).cast("string")
@@ -50,7 +56,28 @@ def sync_rows(rows: DataFrame, previous: DataFrame | None, destination: tuple) -
         r = r.join(previous.select("record_key", F.col("payload_hash").alias("known_hash")), "record_key", "left")
         known = F.col("known_hash")
     status = F.when(bad, "failed").when(known.isNull(), "inserted").when(known == F.col("payload_hash"), "skipped_unchanged").otherwise("updated")
-    return r.select(*KEYS, "destination", "record_key", "payload_hash", "idempotency_key", "attempts", "rate_limited", status.alias("status"))
+    return r.select(*KEYS, "destination", "record_key", "payload_hash", "idempotency_key", "attempts", "rate_limited", status.alias("status"), "failure_reason")
+
+
+def payload_audit(outcomes: DataFrame, run_id: str, at: Column) -> DataFrame:
+    """One row per payload of a run: its keys and hash, how it went, the retries, why it failed."""
+    return outcomes.select(
+        F.lit(run_id).alias("sync_run_id"), "tenant_id", F.col("destination").alias("destination_name"), "canonical_customer_id", "idempotency_key", "payload_hash",
+        F.when(F.col("status") == "updated", "update").otherwise("insert").alias("sync_mode"), F.col("status").alias("sync_status"), (F.col("attempts") - 1).alias("retry_count"), "failure_reason", at.alias("audited_at"),
+    )
+
+
+def failed_rows(outcomes: DataFrame, run_id: str, at: Column) -> DataFrame:
+    """The rows that failed, and whether another run may mend them."""
+    bad = outcomes.where("status = 'failed'")
+    return bad.select(F.lit(run_id).alias("sync_run_id"), "tenant_id", F.col("destination").alias("destination_name"), "canonical_customer_id", "idempotency_key", "failure_reason", "attempts", F.col("failure_reason").isin("http_429_rate_limit", "transient_5xx").alias("is_retryable"), at.alias("failed_at"))
+
+
+def destination_status(logs: DataFrame) -> DataFrame:
+    """Per destination its latest run: ``logs`` are those of ``sync_log`` with ``sync_run_id`` and ``ended_at``."""
+    last = F.max_by(F.struct("sync_run_id", "status", "attempted_count", "success_count", "failed_count", "retry_count", "ended_at"), F.struct("ended_at", "sync_run_id")).alias("x")
+    g = logs.groupBy("destination").agg(last)
+    return g.select(F.col("destination").alias("destination_name"), F.col("x.sync_run_id").alias("latest_sync_run_id"), F.col("x.status").alias("last_sync_status"), "x.attempted_count", "x.success_count", "x.failed_count", "x.retry_count", F.col("x.ended_at").alias("last_synced_at"))
 
 
 def sync_state(previous: DataFrame | None, outcomes: DataFrame) -> DataFrame:

@@ -12,9 +12,16 @@ from ..operators import quality
 
 KEYS = ["tenant_id", "canonical_customer_id"]
 
-#: Named queries over the views ``customer_360``, ``subscription_history``, ``lifecycle_history``, ``eligibility``, ``churn_export``.
+#: Named queries over views named as they say.
 SQL = {
     "serving_view": "SELECT tenant_id, canonical_customer_id, lifecycle_stage, churn_risk_score FROM customer_360 ORDER BY churn_risk_score DESC NULLS LAST, canonical_customer_id",
+    "identity_lineage": "SELECT tenant_id, canonical_customer_id, source_system, record_id, match_rule, match_confidence FROM identity_map ORDER BY canonical_customer_id, source_system, record_id",
+    "quality_summary": "SELECT check, status, failures FROM quality_summary ORDER BY failures DESC, check",
+    "pipeline_health": "SELECT source_table, records, rejected, rejected_rate, health FROM pipeline_health ORDER BY health DESC, rejected_rate DESC, source_table",
+    "masked_mart": "SELECT tenant_id, canonical_customer_id, email AS masked_email, phone AS masked_phone, lifecycle_stage, churn_risk_band FROM customer_360_masked",
+    "subscription_as_of": "SELECT canonical_customer_id, subscription_id, plan_name, subscription_status, valid_from, valid_to FROM subscription_history WHERE canonical_customer_id = :customer AND valid_from <= CAST(:at AS timestamp_ntz) AND coalesce(valid_to, timestamp_ntz'9999-12-31') > CAST(:at AS timestamp_ntz)",
+    "events_known_by": "SELECT e.event_id, e.source_system, e.operation_type, e.event_timestamp FROM raw_events e JOIN (SELECT source_system, record_id FROM identity_map WHERE canonical_customer_id = :customer) r ON r.source_system = e.source_system AND r.record_id = e.record_primary_key WHERE e.event_timestamp <= CAST(:at AS timestamp_ntz) ORDER BY e.event_timestamp, e.event_id",
+    "lineage_behind": "SELECT c.canonical_customer_id, c.email, m.source_system, m.record_id, m.match_rule, m.match_confidence FROM canonical_customers c JOIN identity_map m USING (tenant_id, canonical_customer_id) WHERE c.canonical_customer_id = :customer ORDER BY m.source_system, m.record_id",
     "subscriptions_as_of": "SELECT tenant_id, subscription_id, subscription_status FROM subscription_history WHERE valid_from <= CAST(:at AS timestamp_ntz) AND coalesce(valid_to, timestamp_ntz'9999-12-31') > CAST(:at AS timestamp_ntz)",
     "lifecycle_as_of": "SELECT tenant_id, canonical_customer_id, lifecycle_stage FROM lifecycle_history WHERE stage_started_at <= CAST(:at AS timestamp_ntz) AND coalesce(stage_ended_at, timestamp_ntz'9999-12-31') > CAST(:at AS timestamp_ntz)",
     "churn_export": "SELECT tenant_id, canonical_customer_id, churn_risk_score, churn_risk_band FROM churn_export ORDER BY churn_risk_score DESC, tenant_id, canonical_customer_id",
@@ -29,6 +36,11 @@ def run(spark: SparkSession, name: str, views: dict[str, DataFrame], **args) ->
     return spark.sql(SQL[name], args=args)
 
 
+def quality_summary(checks: DataFrame) -> DataFrame:
+    """``checks`` (check, failures) with ``status``."""
+    return checks.select("check", F.when(F.col("failures") == 0, "pass").otherwise("fail").alias("status"), "failures")
+
+
 def data_tests(exports: dict[str, DataFrame], eligibility: DataFrame, customers: DataFrame, orders: DataFrame, subscriptions: DataFrame) -> DataFrame:
     """(test, failures): nine tests over the models, each with no failing row where the models hold."""
     every = reduce(DataFrame.unionByName, [e.select(F.lit(n).alias("export"), *KEYS) for n, e in exports.items()])

@@ -188,8 +188,15 @@ def activation_rows(view: DataFrame, eligibility: DataFrame) -> DataFrame:
     )
 
 
-def export(rows: DataFrame, name: str) -> DataFrame:
-    return rows.where(F.col("churn_risk_score").isNotNull()).select(*KEYS, "hashed_email", "hashed_phone", *EXPORTS[name])
+def export(rows: DataFrame, name: str, at: Column | None = None) -> DataFrame:
+    """The rows of an export, with ``export_timestamp`` where ``at`` gives it."""
+    when = [] if at is None else [at.alias("export_timestamp")]
+    return rows.where(F.col("churn_risk_score").isNotNull()).select(*KEYS, "hashed_email", "hashed_phone", *when, *EXPORTS[name])
+
+
+def privacy_violations(exported: DataFrame, eligibility: DataFrame) -> DataFrame:
+    """Exported customers that may not be: the gate before a sync is that there are none."""
+    return exported.select(*KEYS).distinct().join(eligibility.where("activation_eligible").select(*KEYS), KEYS, "left_anti")
 
 
 def export_freshness(exports: dict[str, DataFrame], exported_at: Column, now: Column) -> DataFrame:

@@ -41,6 +41,11 @@ def write_csv(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").option("header", True).csv(path)
 
 
+def append_run(df: DataFrame, path: str, run_id: str) -> None:
+    """The rows of one run added to a log kept by ``run_id``; a run that is written again replaces itself."""
+    df.withColumn("run_id", F.lit(run_id)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id").parquet(path)
+
+
 def scaled(events: DataFrame, copies: int) -> DataFrame:
     """A larger source: each event ``copies`` times with suffixed ids, no hash and shifted offsets."""
     n = F.col("__copy")
