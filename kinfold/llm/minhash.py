@@ -71,7 +71,7 @@ def _ranges(rows: DataFrame, least: int) -> list:
     more ranges where they would have more than ``RANGE_BYTES``. One row for a fine range is gathered."""
     total = rows.agg(F.sum("bytes")).first()[0] or 0
     count = max(least, math.ceil(total / RANGE_BYTES))
-    fine = rows.repartitionByRange(8 * count, "key").groupBy(F.spark_partition_id().alias("p")).agg(F.max("key").alias("top"), F.sum("bytes").alias("bytes"))
+    fine = rows.repartitionByRange(4 * count, "key").groupBy(F.spark_partition_id().alias("p")).agg(F.max("key").alias("top"), F.sum("bytes").alias("bytes"))
     tops, held = [], math.inf
     for row in sorted(fine.collect(), key=lambda r: -r.p):
         if held + row.bytes / 2 > total / count:
@@ -173,22 +173,31 @@ def _set(text: Column, shingle: int) -> Column:
     return of(text)
 
 
-def _signed(text: Column, shingle: int, count: int, seed: int) -> Column:
-    """``key``, a hash of the set of shingles (equal for equal sets), and ``sig``, its signature."""
+def _signed(text: Column, shingle: int, count: int, seed: int, key_bits: int) -> Column:
+    """``key`` and ``check``, two hashes of the set of shingles (equal for equal sets), and ``sig``, its signature."""
     a, b = coefficients(count, seed)
 
-    @F.arrow_udf("struct<key: long, sig: binary>")
+    @F.arrow_udf("struct<key: long, check: long, sig: binary>")
     def of(texts: pa.Array) -> pa.Array:
         import xxhash
 
         sets = [np.unique(shingles(t, shingle)) for t in texts.cast(pa.binary()).to_pylist()]
-        keys = np.fromiter((xxhash.xxh64_intdigest(x.tobytes(), 5) for x in sets), np.uint64, len(sets)).view(np.int64)
+        both = np.frombuffer(b"".join(xxhash.xxh3_128_digest(x.tobytes(), 5) for x in sets), np.int64).reshape(-1, 2)
+        key = pa.array(both[:, 0] & ((1 << key_bits) - 1) if key_bits < 64 else np.ascontiguousarray(both[:, 0]))
         sigs = [signature(x >> np.uint64(32), a, b).astype(">u4").tobytes() for x in sets]
-        return pa.StructArray.from_arrays([pa.array(keys), pa.array(sigs, pa.binary())], ["key", "sig"])
+        return pa.StructArray.from_arrays([key, pa.array(np.ascontiguousarray(both[:, 1])), pa.array(sigs, pa.binary())], ["key", "check", "sig"])
 
     return of(text)
 
 
+def _keyed(slim: DataFrame) -> DataFrame:
+    """``slim`` with a ``key`` for each (key, check): where sets that differ share a key, of the two."""
+    twice = slim.groupBy("key").agg(F.min("check").alias("a"), F.max("check").alias("b")).where("a <> b").select("key", F.lit(True).alias("twice"))
+    if twice.isEmpty():
+        return slim
+    return settle(slim.join(twice, "key", "left").withColumn("key", F.when(F.col("twice"), F.xxhash64("key", "check")).otherwise(F.col("key"))).drop("twice"), "signatures")
+
+
 def jaccard(a: np.ndarray, b: np.ndarray) -> float:
     """Of two sorted arrays without repeats; 1 for two empty ones."""
     if not len(a) and not len(b):
@@ -244,17 +253,19 @@ def _joins(comp: np.ndarray, side: np.ndarray, across: bool, sets: list[np.ndarr
     return out
 
 
-def classes(docs: DataFrame, threshold: float = 0.8, bands: int = 25, rows: int = 5, shingle: int = SHINGLE, seed: int = 1, limit: int = 512, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+def classes(docs: DataFrame, threshold: float = 0.8, bands: int = 25, rows: int = 5, shingle: int = SHINGLE, seed: int = 1, limit: int = 512, doc_id: str = "doc_id", text: str = "text", key_bits: int = 64) -> DataFrame:
     """One row per document: ``doc_id``, ``h`` (XXH64 of its text) and ``root``, which is equal for documents that links of
     a Jaccard similarity of at least ``threshold`` (over distinct shingles) connect.
 
-    Signatures are cut into ``bands`` of ``rows`` values; equal shingle sets are one entry, so copies never meet. First the
+    Signatures are cut into ``bands`` of ``rows`` values; equal shingle sets are one entry, so copies never meet (sets that
+    share the key of 64 bits, ``key_bits`` in tests, are told apart by another 64). First the
     sets of each bucket are compared with one of them, which costs a large group of near copies one pass. Where more
     than one component is left in a bucket, all its pairs between components are compared. Every link is an exact
     similarity; a pair that shares a band is left out only when links already connect it.
     """
-    slim = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("h"), _signed(F.col(text), shingle, bands * rows, seed).alias("x"))
-    slim = settle(slim.select("doc_id", "h", "x.key", "x.sig"), "signatures")
+    own, body = F.col(f"`{doc_id}`"), F.col(f"`{text}`")
+    slim = docs.select(own.alias("doc_id"), F.xxhash64(body).alias("h"), _signed(body, shingle, bands * rows, seed, key_bits).alias("x"))
+    slim = _keyed(settle(slim.select("doc_id", "h", "x.key", "x.check", "x.sig"), "signatures"))
     each = F.array(*[F.struct(F.lit(i).alias("t"), F.xxhash64(F.substring("sig", 4 * rows * i + 1, 4 * rows)).alias("k")) for i in range(bands)])
     tables = slim.groupBy("key").agg(F.first("sig").alias("sig")).select("key", F.explode(each).alias("x")).select("key", "x.t", "x.k")
     shared = tables.groupBy("t", "k").agg(F.count("*").alias("n"), F.min("key").alias("pivot")).where("n > 1")
@@ -262,7 +273,7 @@ def classes(docs: DataFrame, threshold: float = 0.8, bands: int = 25, rows: int
 
     named = slim.join(met.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")).alias("r"))
     named = named.select("key", F.col("r.doc_id").alias("__id"), F.col("r.h").alias("__h"))
-    texts = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("h"), F.col(text).alias("text"))
+    texts = docs.select(own.alias("doc_id"), F.xxhash64(body).alias("h"), body.alias("text"))
     sets = texts.join(named, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("h") == F.col("__h")))
     sets = settle(sets.dropDuplicates(["key"]).select("key", _set(F.col("text"), shingle).alias("set")), "shingle-sets")
 

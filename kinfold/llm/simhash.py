@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from ..operators.graph import connected_components
 from ..runtime import settle
-from .common import fresh, shingles, words
+from .common import fresh, words
 
 BITS = 64
 LIMIT = 2048  # fingerprints compared in one task at once
@@ -183,85 +183,11 @@ def components(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shin
     return _components_of(slim, distance, blocks).select("doc_id", "fp", "component_id")
 
 
-# Wide fingerprints find pairs that are near by Hamming distance: 256 bits, shuffled a few times and each time cut
-# into blocks. Pairs that differ in fewer bits than there are blocks share one in every shuffle, farther ones up
-# to ``NEAR`` bits with a probability. A similarity of 0.8 differs in 39 bits on average and in more than ``NEAR``
-# in 9 % of cases, so these decide nothing in ``deduplicate``.
-WIDTH, NEAR, BLOCK, SHUFFLES = 256, 46, 18, 4
-
-
-def wide_fingerprint(text: bytes | None, shingle: int = 5) -> bytes:
-    """``WIDTH``-bit SimHash over shingles of five words; all zeros for null and wordless texts."""
-    x = shingles(text, shingle)
-    if not len(x):
-        return bytes(WIDTH // 8)
-    ones = np.zeros(WIDTH, np.int64)
-    for at in range(0, len(x), 255):
-        part = x[at : at + 255]
-        y = part[:, None] + np.arange(1, WIDTH // 64 + 1, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93)
-        y = (y ^ (y >> np.uint64(32))) * np.uint64(0xBF58476D1CE4E5B9)
-        y ^= y >> np.uint64(29)
-        ones += np.unpackbits(y.view(np.uint8), axis=1, bitorder="little").sum(0, dtype=np.uint8)
-    return np.packbits(ones * 2 > len(x), bitorder="little").tobytes()
-
-
-def wide_simhash(text: Column, shingle: int = 5) -> Column:
-    @F.arrow_udf("binary")
-    def of(texts: pa.Array) -> pa.Array:
-        return pa.array([wide_fingerprint(t, shingle) for t in texts.cast(pa.binary()).to_pylist()], pa.binary())
-
-    return of(text)
-
-
-def block_bits(seed: int = 21) -> np.ndarray:
-    """Bit numbers of each table's block: ``SHUFFLES`` shuffles of all bits, each cut into whole blocks."""
-    rng, per = np.random.default_rng(seed), WIDTH // BLOCK
-    return np.concatenate([rng.permutation(WIDTH)[: per * BLOCK].reshape(per, BLOCK) for _ in range(SHUFFLES)])
-
-
-def wide_links(fps: DataFrame, near: int = NEAR, limit: int = LIMIT) -> DataFrame:
-    """(src, dst): pairs of 64-bit hashes of ``fp`` values that span what chains of steps of at most ``near`` bits
-    connect, among fingerprints that share a block."""
-    bits = block_bits()
-
-    def blocks(batches):
-        for b in batches:
-            if not b.num_rows:
-                continue
-            fp = b.column(0)
-            raw = np.frombuffer(b"".join(fp.to_pylist()), np.uint8).reshape(b.num_rows, -1)
-            each = np.unpackbits(raw, axis=1, bitorder="little")
-            for t, own in enumerate(bits):
-                key = each[:, own].astype(np.int64) @ (1 << np.arange(BLOCK, dtype=np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(b.num_rows, t, np.int32)), pa.array(key.astype(np.int32)), fp], ["t", "k", "fp"])
-
-    tables = fps.select("fp").distinct().mapInArrow(blocks, "t int, k int, fp binary")
-    dealt, keys = _dealt(tables, limit)
-
-    def compare(batches):
-        for rows, cut in _groups(batches, keys):
-            if not len(rows):
-                continue
-            fp = rows.column("fp").to_pylist()
-            each = np.frombuffer(b"".join(fp), "<u8").reshape(len(fp), -1)
-            start, stop = np.concatenate([[0], cut]).astype(np.int64), np.concatenate([cut, [len(fp)]]).astype(np.int64)
-            out = ([], [])
-            for a, b in zip(start[stop - start > 1].tolist(), stop[stop - start > 1].tolist()):
-                for i, j in forest(each[a:b], near):
-                    out[0].append(fp[a + i])
-                    out[1].append(fp[a + j])
-            if out[0]:
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.binary()) for x in out], ["src", "dst"])
-
-    met = dealt.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(compare, "src binary, dst binary")
-    return met.select(F.xxhash64("src").alias("src"), F.xxhash64("dst").alias("dst"))
-
-
 def deduplicate(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 5) -> DataFrame:
     """``docs`` with one document of each near-duplicate group, all its columns kept.
 
-    Near-duplicates have a Jaccard similarity of 0.8 or more over distinct shingles of five words. Hamming distances
-    can't tell that, so pairs are found by ``minhash.classes`` and each link is verified exactly; groups are what the
+    Near-duplicates have a Jaccard similarity of 0.8 or more over distinct shingles of five words. Hamming distances of SimHash
+    fingerprints can't tell that (README has figures), so pairs are found by ``minhash.classes`` and each link is verified exactly; groups are what the
     links connect. The one kept has the smallest id (among rows that repeat that id, the least text hash; whole
     repeats count once). Rows with a null id are grouped like any other; nothing names them, so each group also keeps one
     of its own, the one of the least text hash. Wordless and null texts are copies of each other. An empty table gives an

@@ -142,6 +142,12 @@ def test_near_duplicates_equal_brute_force(spark):
                 parent[b] = a
     got = {r.doc_id: r.class_id for r in minhash.near_duplicates(df, limit=16).collect()}
     assert got == {i: find(i) for i in range(len(texts))}
+    # keys of eight bits: most sets share theirs with another one, and are told apart
+    few = minhash.classes(df, key_bits=8).collect()
+    groups = {}
+    for r in few:
+        groups.setdefault(r.root, set()).add(find(r.doc_id))
+    assert all(len(g) == 1 for g in groups.values()) and len(groups) == len({find(i) for i in range(len(texts))})
     assert minhash.near_duplicates(df.limit(0)).count() == 0
 
 
