@@ -34,6 +34,12 @@ def normalize_phone(x: Column) -> Column:
     return F.when(F.length(digits) == 10, F.concat(F.lit("+1"), digits)).when(F.length(digits) > 10, F.concat(F.lit("+"), digits))
 
 
+def fuzzy_phone(x: Column) -> Column:
+    """The digits, ten of them after a 1; fewer stay as they are, none are null."""
+    digits = F.regexp_replace(x, "[^0-9]", "")
+    return F.when(F.length(digits) == 10, F.concat(F.lit("1"), digits)).when(F.length(digits) > 0, digits)
+
+
 def plain_text(x: Column) -> Column:
     """Lower case, runs of anything but letters and digits as one space, trimmed."""
     return F.trim(F.regexp_replace(F.lower(x), "[^a-z0-9]+", " "))

@@ -335,6 +335,13 @@ def ingestion_summary(classified: DataFrame) -> DataFrame:
     return g.withColumn("status", F.when(F.col("rejected_count") == 0, "success").when(F.col("landed_count") > 0, "partial_success").otherwise("failed"))
 
 
+def load_events(spark, path: str, schema: str, tables: tuple[str, ...], contracts: dict | None = None) -> DataFrame:
+    """The events of a file of JSON lines that pass every check; lines and events that don't are left out without a word."""
+    from ..sources.files import jsonl_lenient
+
+    return accepted(classify(jsonl_lenient(spark, path, schema)[0], tables, contracts))
+
+
 def load_contracts(path: str) -> dict:
     """A contract document (configuration-sized, read by the driver)."""
     with open(path) as f:

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from ..functions.columns import normalize_email, normalize_phone, plain_text
+from ..functions.columns import fuzzy_phone, normalize_email, normalize_phone, plain_text
 from .graph import named_components
 from .merge import latest
 
@@ -268,7 +268,7 @@ def score_pairs(pairs: DataFrame, candidates: DataFrame, now: Column) -> DataFra
     right = candidates.select(F.col("record_id").alias("right_id"), *[F.col(c).alias(f"r_{c}") for c in cols])
     m = pairs.join(left, "left_id").join(right, "right_id")
     le, re_ = normalize_email(F.col("l_email")), normalize_email(F.col("r_email"))
-    lp, rp = normalize_phone(F.col("l_phone")), normalize_phone(F.col("r_phone"))
+    lp, rp = fuzzy_phone(F.col("l_phone")), fuzzy_phone(F.col("r_phone"))
     same_mail, same_phone = F.coalesce(le == re_, F.lit(False)), F.coalesce(lp == rp, F.lit(False))
     domain = F.coalesce(F.split_part(le, F.lit("@"), F.lit(2)) == F.split_part(re_, F.lit("@"), F.lit(2)), F.lit(False))
     trust = (lookup(TRUST, F.col("l_source_system"), OTHER_TRUST) + lookup(TRUST, F.col("r_source_system"), OTHER_TRUST)) / 2

@@ -71,6 +71,24 @@ def freshness(events: DataFrame, keys: list[str], at: Column, now: Column, limit
     return g.select(*keys, "last_us", lag.alias("lag_minutes"), F.when(lag < limit_minutes, "fresh").otherwise("stale").alias("status"))
 
 
+def source_freshness(tables: dict[str, tuple[DataFrame, Column]], now: Column, warn_minutes: int = 120, error_minutes: int = 360) -> DataFrame:
+    """(source, lag_minutes, status) of each table with its time of loading: pass, warn, error; a table without rows is an error."""
+    from ..functions.columns import minutes_between
+
+    parts = [df.agg(F.max(at).alias("at")).select(F.lit(name).alias("source"), F.floor(minutes_between(F.col("at"), now)).cast("bigint").alias("lag_minutes")) for name, (df, at) in tables.items()]
+    lag = F.col("lag_minutes")
+    return reduce(DataFrame.unionByName, parts).withColumn("status", F.when(lag.isNull() | (lag > error_minutes), "error").when(lag > warn_minutes, "warn").otherwise("pass"))
+
+
+def run_log(events: DataFrame, failures: DataFrame, run_id: str, at: Column) -> DataFrame:
+    """A row per tenant and table of what has landed, and one for the checks that failed (of ``failures`` (check, failures))."""
+    landed = events.groupBy("tenant_id", "source_table").agg(F.count("*").alias("row_count"))
+    landed = landed.select("tenant_id", F.concat(F.lit("raw_cdc_"), "source_table").alias("stage_name"), "row_count", F.lit("success").alias("status"), F.concat_ws(" ", F.lit("landed"), F.col("row_count").cast("string"), F.lit("change events for"), "source_table").alias("details"))
+    bad = failures.where("failures > 0").agg(F.count("*").alias("row_count"))
+    checks = bad.select(F.lit("all").alias("tenant_id"), F.lit("quality_checks").alias("stage_name"), "row_count", F.when(F.col("row_count") == 0, "success").otherwise("warning").alias("status"), F.concat(F.lit("validation_failures="), F.col("row_count").cast("string")).alias("details"))
+    return landed.unionByName(checks).select(F.lit(run_id).alias("run_id"), "*", at.alias("ended_at"))
+
+
 def quality_checks(events: DataFrame, customers: DataFrame, mapping: DataFrame, exported: DataFrame, suppressed: DataFrame, tables: list[str], states: list[str]) -> DataFrame:
     """(check, failures), a row for each of seven checks, those that find nothing too."""
     spark = events.sparkSession

@@ -151,6 +151,25 @@ def applied_changes(d):
     return merge.apply_changes(empty, e, ["custkey"], "event_id")
 
 
+@query("""SELECT 'run_1' AS run_id, tenant_id, 'raw_cdc_' || source_table AS stage_name, count(*) AS row_count, 'success' AS status, 'landed ' || count(*) || ' change events for ' || source_table AS details FROM ok GROUP BY tenant_id, source_table
+    UNION ALL SELECT 'run_1', 'all', 'quality_checks', count(*), CASE WHEN count(*) = 0 THEN 'success' ELSE 'warning' END, 'validation_failures=' || count(*) FROM (SELECT batch_id FROM cl WHERE reject_category IS NOT NULL GROUP BY batch_id)""")
+def pipeline_run_log(d):
+    """What has landed, and how many batches had rejects."""
+    bad = classified(d).groupBy(F.col("batch_id").alias("check")).agg(F.count_if(F.col("reject_category").isNotNull()).alias("failures"))
+    return quality.run_log(landed(d), bad, "run_1", F.lit("2024-02-01").cast("timestamp_ntz")).drop("ended_at")
+
+
+@query("""SELECT source, lag AS lag_minutes, CASE WHEN lag IS NULL OR lag > 360 THEN 'error' WHEN lag > 120 THEN 'warn' ELSE 'pass' END AS status FROM (SELECT 'events' AS source, (SELECT CAST(floor((epoch_us(max(ts) + INTERVAL 60 MINUTE) - epoch_us(max(ts))) / 60000000) AS BIGINT) FROM ev) AS lag
+    UNION ALL SELECT 'signups', (SELECT CAST(floor((epoch_us((SELECT max(ts) FROM ev) + INTERVAL 60 MINUTE) - epoch_us(max(ts))) / 60000000) AS BIGINT) FROM ev WHERE event_type = 'signup' AND ts < (SELECT max(ts) FROM ev) - INTERVAL 90 MINUTE) UNION ALL SELECT 'none', NULL)""")
+def source_freshness(d):
+    """Sources that are fresh, late, and empty, an hour after the last event."""
+    e = settle(d.events(), "events")
+    last = e.agg(F.max("ts")).first()[0]
+    now = F.lit(last).cast("timestamp_ntz") + F.make_dt_interval(hours=F.lit(1))
+    old = e.where((F.col("event_type") == "signup") & (F.col("ts") < F.lit(last).cast("timestamp_ntz") - F.make_dt_interval(mins=F.lit(90))))
+    return quality.source_freshness({"events": (e, F.col("ts")), "signups": (old, F.col("ts")), "none": (e.limit(0), F.col("ts"))}, now)
+
+
 # -- snapshots, golden records, decisions --------------------------------------------------------------------------------
 
 
