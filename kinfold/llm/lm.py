@@ -12,9 +12,11 @@ Scale: no model of the corpus is gathered anywhere. Each task cuts the texts it
 which are written once, as word numbers; all that follows reads these, so it doesn't matter how the
 rows were ordered or dealt, nor whether they would come in the same order again. Each block sends its distinct
 n-grams (64-bit hashes, with its own training counts) to shards of the hash range, a shard adds up the counts of
-all blocks and answers each with the totals of what it sent. Block and answer meet again, the block builds the
-automaton of just its own n-grams, and its texts traverse it. So each n-gram moves once per block, not once
-per occurrence; a frequent word is one entry of each block. A block sends a row to each shard that it has an n-gram
+all blocks and answers each with the totals of what it sent, and whether any other block has it. Block and answer meet
+again, the block builds the automaton of just its own n-grams, and its texts traverse it. So each n-gram moves once per
+block, not once per occurrence; a frequent word is one entry of each block. Words and pairs are sent at once; longer
+n-grams, order by order, only where both n-grams of one word less are in other blocks too: all others are in this
+block alone, which then knows their totals. A block sends a row to each shard that it has an n-gram
 for; blocks grow with the square root of the input up to ``MOST_BLOCK_BYTES``, so rows are few, and never more than
 n-grams.
 """
@@ -22,50 +24,53 @@ n-grams.
 from __future__ import annotations
 
 import math
-from itertools import chain
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..runtime import settle
-from .common import partitions, words
+from .common import partitions
 from .quality import held_out
 
-ORDER = 2
-MU, POWER = 5.0, 0.7  # about where held-out likelihood is best on 10,000 documents
+ORDER = 3
+AT_ONCE = 2  # orders whose n-grams are all sent, in the first round
+MU, POWER = 3.0, 0.9  # about where held-out likelihood is best on 10,000 documents
 LEAST_BLOCK_BYTES, MOST_BLOCK_BYTES = 8 << 20, 24 << 20
 SHARD_BYTES = 32 << 20
 LANE = 256  # words that are traversed in one go; a longer text is traversed in several lanes at once
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 END = 0x243F6A8885A308D3  # the hash of the end of a text, which also precedes its first word
-_REMEMBERED = 300_000
 
 
-class _WordHash(dict):
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
+def numbered(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of UTF-8 texts (binary; null is empty): the sorted distinct word hashes, all words as numbers into them, each text's preceded and
+    followed by END, and each text's length with both."""
+    import xxhash
 
-        if len(self) >= _REMEMBERED:
-            self.clear()
-        h = self[word] = xxhash.xxh64_intdigest(word, 11)
-        return h
-
-
-_hashes = _WordHash()
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, b"").view(pa.string())))
+    parts = lists.flatten()
+    full = pc.greater(pc.binary_length(parts), 0).to_numpy(zero_copy_only=False)  # none before leading white space
+    ends = np.concatenate([[0], np.cumsum(full)])
+    offsets = lists.offsets.to_numpy().astype(np.int64)
+    size = np.diff(ends[offsets - offsets[0]]) if len(texts) else np.empty(0, np.int64)
+    coded = parts.filter(pa.array(full)).dictionary_encode()
+    hashes = np.fromiter(map(xxhash.xxh64_intdigest, coded.dictionary.view(pa.binary()).to_pylist(), repeat(11)), np.uint64, len(coded.dictionary))
+    known = np.unique(np.append(hashes, np.uint64(END)))
+    words = np.full(int(size.sum()) + 2 * len(size), np.searchsorted(known, np.uint64(END)), np.int64)
+    doc = np.repeat(np.arange(len(size)), size)
+    words[np.arange(len(doc)) + 2 * doc + 1] = np.searchsorted(known, hashes)[coded.indices.to_numpy()]
+    return known, words, size + 2
 
 
 def stream(texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
     """Word hashes of all texts, each preceded and followed by END, and each text's length with both."""
-    split = [words(t) for t in texts]
-    size = np.fromiter(map(len, split), np.int64, len(split))
-    flat = np.fromiter(map(_hashes.__getitem__, chain.from_iterable(split)), np.uint64, int(size.sum()))
-    out = np.full(len(flat) + 2 * len(split), END, np.uint64)
-    doc = np.repeat(np.arange(len(split)), size)
-    out[np.arange(len(flat)) + 2 * doc + 1] = flat
-    return out, size + 2
+    known, words, size = numbered(pa.array(texts, pa.binary()))
+    return known[words], size
 
 
 def grams(h: np.ndarray, size: np.ndarray, order: int) -> list[tuple[np.ndarray, np.ndarray]]:
@@ -104,6 +109,45 @@ def expand(blob: bytes, kind: str, sorted_keys: bool = False) -> np.ndarray:
     return np.cumsum(x, dtype=x.dtype) if sorted_keys else x
 
 
+class Level:
+    """The distinct n-grams of one order in a block: sorted ``keys``, a place ``first`` where each ends, training counts ``own`` in
+    the block, which are ``asked`` of the shards, and, once answered, ``totals`` and whether others have it (``shared``)."""
+
+    def __init__(self, at: list[tuple[np.ndarray, np.ndarray]], free: np.ndarray | None, below: Level | None):
+        x, ok = at[-1]
+        where = np.flatnonzero(ok)
+        if free is None:
+            self.keys, first = np.unique(x[where], return_index=True)
+        else:
+            self.keys, first, inv = np.unique(x[where], return_index=True, return_inverse=True)
+            self.own = np.bincount(inv, free[where], len(self.keys)).astype(np.int64)
+        self.first = where[first]
+        if below is None:
+            self.asked = np.ones(len(self.keys), bool)
+        else:
+            self.before = np.searchsorted(below.keys, at[-2][0][self.first - 1])  # the context
+            self.suffix = np.searchsorted(below.keys, at[-2][0][self.first])  # the n-gram less its first token
+            self.asked = np.ones(len(self.keys), bool) if len(at) <= AT_ONCE else below.shared[self.before] & below.shared[self.suffix]
+
+    def answer(self, totals: np.ndarray, shared: np.ndarray) -> None:
+        if len(totals) != int(self.asked.sum()):
+            raise RuntimeError("a block's answers are not for its n-grams")
+        self.shared = np.zeros(len(self.keys), bool)
+        self.shared[self.asked] = shared
+        self.totals = totals.astype(np.int64) if self.asked.all() else self.own.copy()
+        self.totals[self.asked] = totals
+
+
+def levels(at: list[tuple[np.ndarray, np.ndarray]], free: np.ndarray, answers: list[tuple[np.ndarray, np.ndarray]]) -> list[Level]:
+    """The levels that ``answers`` (totals, shared) are for, answered."""
+    out: list[Level] = []
+    for m, (totals, shared) in enumerate(answers):
+        level = Level(at[: m + 1], free if m >= AT_ONCE else None, out[-1] if out else None)
+        level.answer(totals, shared)
+        out.append(level)
+    return out
+
+
 class Automaton:
     """States, arcs and failure arcs for the texts of one block.
 
@@ -113,15 +157,9 @@ class Automaton:
     failure arcs, by state. ``start`` is the state of the opening END.
     """
 
-    def __init__(self, at: list[tuple[np.ndarray, np.ndarray]], counts: list[np.ndarray], tokens: int, types: int, mu: float, power: float = 0.0):
-        """``at``: what ``grams`` gives for the block; ``counts``: training counts of its sorted distinct n-grams."""
-        order = len(at)
-        keys, first = [], []
-        for x, ok in at:
-            where = np.flatnonzero(ok)
-            k, f = np.unique(x[where], return_index=True)
-            keys.append(k)
-            first.append(where[f])  # a place where the n-gram ends
+    def __init__(self, own: list[Level], tokens: int, types: int, mu: float, power: float = 0.0):
+        """``own``: the block's n-grams by order, with their totals."""
+        order, keys, counts = len(own), [x.keys for x in own], [x.totals for x in own]
         self.words, n = keys[0], len(keys[0])
         self.root_weight = np.log10((counts[0] + 1.0) / (tokens + types + 1.0))
         # states: n-grams of each order below the last that training has seen
@@ -137,9 +175,9 @@ class Automaton:
         self.fail_to, self.fail_weight = np.zeros(made, np.int64), np.zeros(made)
         arc_key, arc_weight, arc_to, low = [], [], [], self.root_weight
         for m in range(1, order):  # n-grams of order m + 1 are arcs of the states of order m
-            before = np.searchsorted(keys[m - 1], at[m - 1][0][first[m] - 1])  # the context
-            suffix = np.searchsorted(keys[m - 1], at[m - 1][0][first[m]])  # the n-gram less its first token
-            word = np.searchsorted(keys[0], at[0][0][first[m]])
+            before, suffix = own[m].before, own[m].suffix
+            word = suffix if m == 1 else own[m - 1].word[suffix]
+            own[m].word = word
             mass = mu * np.maximum(counts[m - 1], 1.0) ** power
             weight = np.log10((counts[m] + mass[before] * 10.0 ** low[suffix]) / (counts[m - 1][before] + mass[before]))
             arc = counts[m] > 0
@@ -147,8 +185,8 @@ class Automaton:
             arc_key.append((state[m - 1][before] * n + word)[arc])
             arc_weight.append(weight[arc])
             arc_to.append(to[arc])
-            own = state[m - 1] > 0
-            self.fail_weight[state[m - 1][own]] = np.log10(mass[own] / (counts[m - 1][own] + mass[own]))
+            seen = state[m - 1] > 0
+            self.fail_weight[state[m - 1][seen]] = np.log10(mass[seen] / (counts[m - 1][seen] + mass[seen]))
             if m < order - 1:
                 self.fail_to[state[m][arc]] = state[m - 1][suffix[arc]]
             low = weight
@@ -240,112 +278,146 @@ def score(docs: DataFrame, order: int = ORDER, mu: float = MU, power: float = PO
 
     def cut(batches):
         """Blocks of texts: their ids, and their words as numbers into the block's sorted word hashes."""
-        ids, texts, held, held_bytes, made = [], [], [], 0, TaskContext.get().partitionId() << 32
+        parts, held_bytes, made = [], 0, TaskContext.get().partitionId() << 32
 
         def block():
-            h, size = stream(texts)
-            known, word = np.unique(h, return_inverse=True)
-            each = pa.concat_arrays(ids)
+            whole = pa.Table.from_batches(parts).combine_chunks()
+            ids, texts, held = (whole.column(i).chunk(0) for i in range(3))
+            known, word, size = numbered(texts)
             return pa.RecordBatch.from_arrays(
                 [
-                    pa.array([made], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(each)], pa.int32()), each), pa.array([squeeze(np.array(held, np.uint8))], pa.binary()),
+                    pa.array([made], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids), pa.array([squeeze(held.to_numpy(zero_copy_only=False).astype(np.uint8))], pa.binary()),
                     pa.array([squeeze(size)], pa.binary()), pa.array([squeeze(known, True)], pa.binary()), pa.array([squeeze(word.astype("<u4"))], pa.binary()),
                 ],
                 ["block", "ids", "held", "sizes", "known", "words"],
             )
 
         for b in batches:
-            some, flags = b.column(1).to_pylist(), b.column(2).to_pylist()
+            upto = held_bytes + np.cumsum(pc.fill_null(pc.binary_length(b.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 8)
             at = 0
-            for i, t in enumerate(some):
-                texts.append(t)
-                held.append(flags[i])
-                held_bytes += len(t or b"") + 8
-                if held_bytes >= most:
-                    ids.append(b.column(0).slice(at, i + 1 - at))
-                    yield block()
-                    made, at, held_bytes = made + 1, i + 1, 0
-                    ids.clear(), texts.clear(), held.clear()
-            if at < len(some):
-                ids.append(b.column(0).slice(at))
-        if texts:
+            for i in np.flatnonzero(np.diff(upto // most, prepend=held_bytes // most)).tolist():
+                parts.append(b.slice(at, i + 1 - at))
+                yield block()
+                made, at = made + 1, i + 1
+                parts.clear()
+            if at < b.num_rows:
+                parts.append(b.slice(at))
+            held_bytes = int(upto[-1]) if len(upto) else held_bytes
+        if parts:
             yield block()
 
     blocks = settle(rows.mapInArrow(cut, f"block long, ids array<{kind}>, held binary, sizes binary, known binary, words binary"), "lm-blocks")
 
+    def opened(held: bytes, sizes: bytes, known: bytes, words: bytes, upto: int):
+        """(n-grams by order, which words train, words as numbers, lengths, held) of a block."""
+        size, out, word = expand(sizes, "<i8"), expand(held, "u1").astype(bool), expand(words, "<u4")
+        return grams(expand(known, "<u8", True)[word], size, upto), np.repeat(~out, size), word, size, out
+
+    def sent(block: int, each: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
+        """Keys and counts of each order, cut by shard."""
+        each = [(k, c.astype("<u4"), [0, *np.searchsorted(k, bounds).tolist(), len(k)]) for k, c in each]
+        out = []
+        for s in range(shards):
+            own = [(k[e[s] : e[s + 1]], c[e[s] : e[s + 1]]) for k, c, e in each]
+            if any(len(k) for k, _ in own):
+                out.append((s, [squeeze(k, True) for k, _ in own], [squeeze(c) for _, c in own]))
+        s, k, c = zip(*out) if out else ((), (), ())
+        binary = pa.list_(pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array([block] * len(out), pa.int64()), pa.array(s, pa.int32()), pa.array(k, binary), pa.array(c, binary)], ["block", "shard", "keys", "counts"])
+
     def ask(batches):
-        """Each block's distinct n-grams with its training counts, cut by shard."""
+        """Each block's n-grams of the first orders, all of them."""
         for b in batches:
-            for number, held, sizes, known, word in zip(*(b.column(i).to_pylist() for i in range(5))):
-                size = expand(sizes, "<i8")
-                free = np.repeat(expand(held, "u1") == 0, size)
-                each = []
-                for x, ok in grams(expand(known, "<u8", True)[expand(word, "<u4")], size, order):
-                    keys, inv = np.unique(x[ok], return_inverse=True)
-                    counts = np.bincount(inv, free[ok], len(keys)).astype("<u4")
-                    each.append((keys, counts, [0, *np.searchsorted(keys, bounds).tolist(), len(keys)]))
-                sent = []
-                for s in range(shards):
-                    own = [(k[e[s] : e[s + 1]], c[e[s] : e[s + 1]]) for k, c, e in each]
-                    if any(len(k) for k, _ in own):
-                        sent.append((s, [squeeze(k, True) for k, _ in own], [squeeze(c) for _, c in own]))
-                s, k, c = zip(*sent)
-                binary = pa.list_(pa.binary())
-                yield pa.RecordBatch.from_arrays([pa.array([number] * len(sent), pa.int64()), pa.array(s, pa.int32()), pa.array(k, binary), pa.array(c, binary)], ["block", "shard", "keys", "counts"])
+            for number, *row in zip(*(b.column(i).to_pylist() for i in range(5))):
+                at, free, *_ = opened(*row, min(order, AT_ONCE))
+                first = [Level(at[:1], free, None)]
+                first += [Level(at[: m + 1], free, first[0]) for m in range(1, len(at))]
+                yield sent(number, [(x.keys, x.own) for x in first])
+
+    def told(replies: pa.Table) -> list[tuple[np.ndarray, np.ndarray]]:
+        """(totals, shared) by order, of a block's replies."""
+        out = []
+        for r in sorted(set(replies["round"].to_pylist())):
+            own = replies.filter(pc.equal(replies["round"], r)).sort_by("shard").to_pylist()
+            for m in range(len(own[0]["totals"])):
+                totals = [expand(x["totals"][m], "<u4") for x in own]
+                shared = [np.unpackbits(np.frombuffer(x["shared"][m], np.uint8), count=len(t)).astype(bool) for x, t in zip(own, totals)]
+                out.append((np.concatenate(totals), np.concatenate(shared)))
+        return out
+
+    def ask_longer(upto):
+        """Each block's n-grams of one more order, those that may be elsewhere."""
+
+        def run(key, left, right):
+            at, free, *_ = opened(*(left[c][0].as_py() for c in ("held", "sizes", "known", "words")), upto)
+            answers = told(right)
+            answers += [(np.empty(0, "<u4"), np.empty(0, bool))] * (upto - 1 - len(answers))  # nothing was asked of an order
+            below = levels(at, free, answers)
+            level = Level(at, free, below[-1])
+            return pa.Table.from_batches([sent(key[0].as_py(), [(level.keys[level.asked], level.own[level.asked])])], schema=asked_schema)
+
+        return run
 
     def add_up(key, sent_here):
-        """One shard: totals of each n-gram over the blocks, answered in the order in which each block sent."""
+        """One shard: totals of each n-gram over the blocks, and whether several have it, in the order in which each block sent."""
         got = list(zip(*(sent_here[c].to_pylist() for c in ("block", "keys", "counts"))))
-        answers = [[] for _ in got]
+        answers, others = [[] for _ in got], [[] for _ in got]
         stats = [0, 0]
-        for m in range(order):
+        for m in range(len(got[0][1])):
             each = [expand(g[1][m], "<u8", True) for g in got]
             keys, inv = np.unique(np.concatenate(each), return_inverse=True)
             counts = np.bincount(inv, np.concatenate([expand(g[2][m], "<u4") for g in got]), len(keys))
             if m == 0:
                 stats = [int(counts.sum()), int((counts > 0).sum())]
             all_ = np.minimum(counts[inv], 0xFFFFFFFF).astype("<u4")
+            shared = (np.bincount(inv, minlength=len(keys)) > 1)[inv]
             at = 0
-            for a, e in zip(answers, each):
+            for a, o, e in zip(answers, others, each):
                 a.append(squeeze(all_[at : at + len(e)]))
+                o.append(np.packbits(shared[at : at + len(e)]).tobytes())
                 at += len(e)
-        shard = key[0].as_py()
+        shard, binary = key[0].as_py(), pa.list_(pa.binary())
         return pa.Table.from_arrays(
             [
-                pa.array([g[0] for g in got] + [None], pa.int64()), pa.array([shard] * (len(got) + 1), pa.int32()), pa.array([*answers, None], pa.list_(pa.binary())),
+                pa.array([g[0] for g in got] + [None], pa.int64()), pa.array([shard] * (len(got) + 1), pa.int32()), pa.array([*answers, None], binary), pa.array([*others, None], binary),
                 pa.array([None] * len(got) + [stats[0]], pa.int64()), pa.array([None] * len(got) + [stats[1]], pa.int64()),
             ],
-            ["block", "shard", "totals", "tokens", "types"],
+            ["block", "shard", "totals", "shared", "tokens", "types"],
         )
 
-    asked = blocks.select("block", "held", "sizes", "known", "words").mapInArrow(ask, "block long, shard int, keys array<binary>, counts array<binary>")
-    answers = asked.repartition(shards, "shard").groupBy("shard").applyInArrow(add_up, "block long, shard int, totals array<binary>, tokens long, types long")
-    answers = settle(answers, "lm-answers")
-    tokens, types = answers.where("block is null").agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("types"), F.lit(0))).first()
+    binary = pa.list_(pa.binary())
+    asked_schema = pa.schema([("block", pa.int64()), ("shard", pa.int32()), ("keys", binary), ("counts", binary)])
+    question = "block long, shard int, keys array<binary>, counts array<binary>"
+    columns = ["held", "sizes", "known", "words"]
+    tasks = max(partitions(docs), math.ceil(total / most / 4))  # a few blocks each, at any size
+
+    def answered(asked: DataFrame, number: int) -> DataFrame:
+        found = asked.repartition(shards, "shard").groupBy("shard").applyInArrow(add_up, "block long, shard int, totals array<binary>, shared array<binary>, tokens long, types long")
+        return settle(found.withColumn("round", F.lit(number)), "lm-answers")
+
+    first = answered(blocks.select("block", *columns).mapInArrow(ask, question), 0)
+    tokens, types = first.where("block is null").agg(F.coalesce(F.sum("tokens"), F.lit(0)), F.coalesce(F.sum("types"), F.lit(0))).first()
+    reply = ["block", "shard", "round", "totals", "shared"]
+    replies = first.where("block is not null").select(*reply)
+    for m in range(AT_ONCE + 1, order + 1):
+        dealt = blocks.select("block", *columns).repartition(tasks, "block").groupBy("block")
+        asked = dealt.cogroup(replies.repartition(tasks, "block").groupBy("block")).applyInArrow(ask_longer(m), question)
+        replies = replies.unionByName(answered(asked, m).where("block is not null").select(*reply))
 
     def read(key, left, right):
-        row = {c: left[c][0].as_py() for c in ("held", "sizes", "known", "words")}
-        size, known = expand(row["sizes"], "<i8"), expand(row["known"], "<u8", True)
-        word = expand(row["words"], "<u4").astype(np.int64)
-        at = grams(known[word], size, order)
-        totals = right.sort_by("shard")["totals"].to_pylist()
-        counts = [np.concatenate([expand(t[m], "<u4") for t in totals]) for m in range(order)]
-        machine = Automaton(at, counts, tokens, types, mu, power)
-        for (x, ok), c, m in zip(at, counts, range(order)):
-            if m == 0 and len(c) != len(machine.words):
-                raise RuntimeError("a block's answers are not for its n-grams")
-        ok = at[0][1]
+        at, free, word, size, held = opened(*(left[c][0].as_py() for c in columns), order)
+        answers = told(right)
+        answers += [(np.empty(0, "<u4"), np.empty(0, bool))] * (order - len(answers))
+        own = levels(at, free, answers)
+        machine = Automaton(own, tokens, types, mu, power)
+        word, ok = word.astype(np.int64), at[0][1]
         doc = np.repeat(np.arange(len(size)), size)
         base = np.bincount(doc[ok], machine.root_weight[word[ok]], len(size))
-        seen = np.bincount(doc[ok], counts[0][word[ok]] > 0, len(size)).astype(np.int64)
-        held = expand(row["held"], "u1").astype(bool)
-        ids = left["ids"].combine_chunks().flatten()
+        seen = np.bincount(doc[ok], own[0].totals[word[ok]] > 0, len(size)).astype(np.int64)
         return pa.Table.from_arrays(
-            [ids, pa.array(held), pa.array(size - 1), pa.array(seen), pa.array(np.full(len(size), tokens, np.int64)), pa.array(base), pa.array(machine.traverse(word, size))],
+            [left["ids"].combine_chunks().flatten(), pa.array(held), pa.array(size - 1), pa.array(seen), pa.array(np.full(len(size), tokens, np.int64)), pa.array(base), pa.array(machine.traverse(word, size))],
             ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
         )
 
     schema = f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    replies = answers.where("block is not null").select("block", "shard", "totals")
-    tasks = max(partitions(docs), math.ceil(total / most / 4))  # a few blocks each, at any size
     return blocks.repartition(tasks, "block").groupBy("block").cogroup(replies.repartition(tasks, "block").groupBy("block")).applyInArrow(read, schema)

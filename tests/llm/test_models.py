@@ -21,7 +21,7 @@ def toks(t):
     return (t or "").encode().lower().split() + [None]
 
 
-@pytest.mark.parametrize("order", [1, 2, 3])
+@pytest.mark.parametrize("order", [1, 2, 3, 5])
 def test_scores_equal_a_plain_model(spark, order):
     rnd = random.Random(7)
     texts = TEXTS + [" ".join(rnd.choice("abcdefghij") for _ in range(rnd.randrange(30))) for _ in range(60)]
@@ -194,7 +194,11 @@ def test_traversal_in_lanes_equals_one_lane_and_the_definition(order):
             low = np.unique(at[m - 1][0][at[m - 1][1]])
             parts = [counts[m - 1][np.searchsorted(low, at[m - 1][0][q])] for q in (p - 1, p)]
             counts[m][i] = min(counts[m][i], *parts)
-    machine = lm.Automaton(at, counts, int(counts[0].sum()), int((counts[0] > 0).sum()), 3.0)
+    own = []
+    for m in range(order):
+        own.append(lm.Level(at[: m + 1], None, own[-1] if own else None))
+        own[-1].answer(counts[m], np.ones(len(counts[m]), bool))
+    machine = lm.Automaton(own, int(counts[0].sum()), int((counts[0] > 0).sum()), 3.0)
     word = np.searchsorted(machine.words, h)
     whole = machine.traverse(word, size, lane=10**6)
     for lane in (max(1, order - 1), 7, 64):
@@ -210,6 +214,14 @@ def test_traversal_in_lanes_equals_one_lane_and_the_definition(order):
     assert (machine.fail_to[1:] < np.arange(1, machine.states)).all() and machine.states == 1 + sum(int((c > 0).sum()) for c in counts[: order - 1])
 
 
+def test_words_equal_a_plain_split():
+    texts = [" a\tB\nc \x0b\x0c\r", "a\x85b\xa0c d", "", None, "\x1cx Y", "a  b", "ÄÖ é", " ", "x" * 9000]
+    known, words, size = lm.numbered(lm.pa.array([None if t is None else t.encode() for t in texts], lm.pa.binary()))
+    plain = [[lm.END, *(xxhash.xxh64_intdigest(w, 11) for w in (t or "").encode().lower().split()), lm.END] for t in texts]
+    assert known[words].tolist() == [h for p in plain for h in p] and size.tolist() == [len(p) for p in plain] and known.tolist() == sorted({h for p in plain for h in p})
+    assert [len(x) for x in lm.numbered(lm.pa.array([], lm.pa.binary()))] == [1, 0, 0]
+
+
 def test_scores_do_not_depend_on_order_or_partitions(spark, tmp_path):
     rng = np.random.default_rng(3)
     rows = [(i, " ".join(rng.choice([f"w{j}" for j in range(50)], rng.integers(0, 60)))) for i in range(300)]
