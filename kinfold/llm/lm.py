@@ -109,25 +109,46 @@ def expand(blob: bytes, kind: str, sorted_keys: bool = False) -> np.ndarray:
     return np.cumsum(x, dtype=x.dtype) if sorted_keys else x
 
 
+def distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The sorted distinct values, an order that sorts ``x``, and where in it each value begins."""
+    by = np.argsort(x)
+    s = x[by]
+    begin = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]])) if len(s) else np.empty(0, np.int64)
+    return s[begin], by, begin
+
+
+def numbers(by: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """For each value its number among the distinct ones, from what ``distinct`` gives."""
+    mark = np.zeros(len(by), np.int64)
+    mark[begin[1:]] = 1
+    out = np.empty(len(by), np.int64)
+    out[by] = np.cumsum(mark)
+    return out
+
+
 class Level:
-    """The distinct n-grams of one order in a block: sorted ``keys``, a place ``first`` where each ends, training counts ``own`` in
-    the block, which are ``asked`` of the shards, and, once answered, ``totals`` and whether others have it (``shared``)."""
+    """The distinct n-grams of one order in a block: sorted ``keys``, a place ``first`` where each ends, the number of the n-gram that ends
+    at each place (``number``), training counts ``own`` in the block, which are ``asked`` of the shards, and, once answered,
+    ``totals`` and whether others have it (``shared``)."""
 
     def __init__(self, at: list[tuple[np.ndarray, np.ndarray]], free: np.ndarray | None, below: Level | None):
         x, ok = at[-1]
         where = np.flatnonzero(ok)
-        if free is None:
-            self.keys, first = np.unique(x[where], return_index=True)
-        else:
-            self.keys, first, inv = np.unique(x[where], return_index=True, return_inverse=True)
-            self.own = np.bincount(inv, free[where], len(self.keys)).astype(np.int64)
-        self.first = where[first]
+        self.keys, by, begin = distinct(x[where])
+        self.first = where[by[begin]]
+        self.number = np.zeros(len(x), np.int64)
+        self.number[where] = numbers(by, begin)
         if below is None:
-            self.asked = np.ones(len(self.keys), bool)
-        else:
-            self.before = np.searchsorted(below.keys, at[-2][0][self.first - 1])  # the context
-            self.suffix = np.searchsorted(below.keys, at[-2][0][self.first])  # the n-gram less its first token
-            self.asked = np.ones(len(self.keys), bool) if len(at) <= AT_ONCE else below.shared[self.before] & below.shared[self.suffix]
+            # the opening END is no n-gram that is predicted, but a context
+            self.number[~ok] = np.searchsorted(self.keys, np.uint64(END))
+        if free is not None:
+            self.own = np.add.reduceat(free[where[by]].astype(np.int64), begin) if len(begin) else np.empty(0, np.int64)
+        self.asked = np.ones(len(self.keys), bool)
+        if below is not None:
+            self.before = below.number[self.first - 1]  # the context
+            self.suffix = below.number[self.first]  # the n-gram less its first token
+            if len(at) > AT_ONCE:
+                self.asked = below.shared[self.before] & below.shared[self.suffix]
 
     def answer(self, totals: np.ndarray, shared: np.ndarray) -> None:
         if len(totals) != int(self.asked.sum()):
@@ -152,8 +173,8 @@ class Automaton:
     """States, arcs and failure arcs for the texts of one block.
 
     State 0 is the root. Every other state is an n-gram of at most ``order - 1`` tokens with a training count.
-    ``arc_key`` holds ``state * words + word`` of all arcs but the root's, sorted, with ``arc_weight`` (log10) and
-    ``arc_to``; the root's are ``root_weight`` and ``root_to``, by word. ``fail_to`` and ``fail_weight`` are the
+    ``arc_key`` holds ``state * words + word`` of all arcs but the root's, with ``arc_weight`` (log10) and ``arc_to``; ``slot`` is
+    their hash table (open addressing). The root's are ``root_weight`` and ``root_to``, by word. ``fail_to`` and ``fail_weight`` are the
     failure arcs, by state. ``start`` is the state of the opening END.
     """
 
@@ -190,12 +211,33 @@ class Automaton:
             if m < order - 1:
                 self.fail_to[state[m][arc]] = state[m - 1][suffix[arc]]
             low = weight
-        by = np.argsort(np.concatenate(arc_key)) if arc_key else np.empty(0, np.int64)
-        self.arc_key, self.arc_weight, self.arc_to = (np.concatenate(x)[by] if x else np.empty(0) for x in (arc_key, arc_weight, arc_to))
+        self.arc_key, self.arc_weight, self.arc_to = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (arc_key, arc_weight, arc_to))
+        self.bits = max(1, (2 * len(self.arc_key)).bit_length())
+        self.slot = np.full(1 << self.bits, -1, np.int64)
+        todo, at = np.arange(len(self.arc_key)), self._home(self.arc_key)
+        while len(todo):
+            free = self.slot[at] < 0
+            self.slot[at[free]] = todo[free]
+            lost = self.slot[at] != todo
+            todo, at = todo[lost], (at[lost] + 1) & (len(self.slot) - 1)
         self.depth = order - 1
         end = np.searchsorted(keys[0], np.uint64(END))
         self.start = int(self.root_to[end]) if end < n and keys[0][end] == END else 0
 
+    def _home(self, key: np.ndarray) -> np.ndarray:
+        return ((key.astype(np.uint64) * _M1) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def find(self, key: np.ndarray) -> np.ndarray:
+        """Number of the arc of each key, -1 where there is none."""
+        at = self._home(key)
+        out = self.slot[at]
+        wrong = np.flatnonzero((out >= 0) & (self.arc_key[out] != key))
+        while len(wrong):
+            at[wrong] = (at[wrong] + 1) & (len(self.slot) - 1)
+            out[wrong] = self.slot[at[wrong]]
+            wrong = wrong[(out[wrong] >= 0) & (self.arc_key[out[wrong]] != key[wrong])]
+        return out
+
     def step(self, state: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Weights of reading ``word`` in ``state`` (failure arcs included), and the states it leads to."""
         weight, to, n = np.zeros(len(state)), np.zeros(len(state), np.int64), len(self.words)
@@ -207,9 +249,8 @@ class Automaton:
                 weight[rooted] += self.root_weight[word[rooted]]
                 to[rooted] = self.root_to[word[rooted]]
                 open_, at = open_[inner], at[inner]
-            key = at * n + word[open_]
-            found = np.minimum(np.searchsorted(self.arc_key, key), len(self.arc_key) - 1)
-            hit = self.arc_key[found] == key
+            found = self.find(at * n + word[open_])
+            hit = found >= 0
             weight[open_[hit]] += self.arc_weight[found[hit]]
             to[open_[hit]] = self.arc_to[found[hit]]
             open_, at = open_[~hit], at[~hit]
@@ -365,7 +406,8 @@ def score(docs: DataFrame, order: int = ORDER, mu: float = MU, power: float = PO
         stats = [0, 0]
         for m in range(len(got[0][1])):
             each = [expand(g[1][m], "<u8", True) for g in got]
-            keys, inv = np.unique(np.concatenate(each), return_inverse=True)
+            keys, by, begin = distinct(np.concatenate(each))
+            inv = numbers(by, begin)
             counts = np.bincount(inv, np.concatenate([expand(g[2][m], "<u4") for g in got]), len(keys))
             if m == 0:
                 stats = [int(counts.sum()), int((counts > 0).sum())]
