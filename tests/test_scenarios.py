@@ -93,3 +93,25 @@ def test_events_are_loaded_leniently(spark, tmp_path):
 def test_fuzzy_phones(spark):
     df = spark.createDataFrame([("(555) 123-4567",), ("123",), ("+44 20 7946 0000 1",), ("x",), (None,)], "p string")
     assert [r[0] for r in df.select(C.fuzzy_phone(F.col("p"))).collect()] == ["15551234567", "123", "4420794600001", None, None]
+
+
+def test_the_newest_record_with_a_payload(spark):
+    rows = [("t", "s", "k", "e1", T, '{"a":1}', None), ("t", "s", "k", "e2", T, None, '{"a":2}'), ("t", "s", "k", "e3", T, "{}", None), ("t", "s", "j", "e4", T, None, None)]
+    df = spark.createDataFrame(rows, "tenant_id string, source_system string, record_primary_key string, event_id string, event_timestamp timestamp_ntz, payload_after string, payload_before string")
+    assert [(r.record_primary_key, r.event_id, r.payload) for r in identity.latest_records(df).collect()] == [("k", "e2", '{"a":2}')]
+
+
+def test_classes_of_fields_and_policies(spark):
+    from kinfold.plans import access, analyst
+
+    df = spark.createDataFrame([("Email",), ("last_name",), ("device_id",), ("mrr",)], "f string")
+    assert [r[0] for r in df.select(C.pii_class(F.col("f"))).collect()] == ["direct_contact", "personal", "pseudonymous", "none"]
+    rows = spark.createDataFrame([("a", 1), ("b", 2)], "tenant_id string, n int")
+    policy = spark.createDataFrame([("ann", "a"), ("bob", "b")], "principal string, tenant_id string")
+    assert [r.n for r in access.by_policy(rows, policy, "ann").collect()] == [1] and access.by_policy(rows, policy, "eve").count() == 0
+    checks = {r.check: r.status for r in analyst.health_checks({"rows": rows, "none": rows.limit(0)}, {"bad": rows}).collect()}
+    assert checks == {"rows_not_empty": "pass", "none_not_empty": "fail", "bad_empty": "fail"}
+    jobs = spark.createDataFrame([("j", ["a"], ["b"])], "job_name string, inputs array<string>, outputs array<string>")
+    events = [json.loads(r.event) for r in analyst.run_events(jobs, F.lit(T)).collect()]
+    assert [e["eventType"] for e in events] == ["START", "COMPLETE"] and len({e["run"]["runId"] for e in events}) == 1 and events[0]["inputs"] == ["a"]
+    assert analyst.survivorship_rules(spark).count() == len(identity.PRIORITY) and identity.match_rules(spark).count() == 6
