@@ -130,7 +130,8 @@ def health_band(score: Column) -> Column:
 
 def lifecycle_stage(status: Column) -> Column:
     return (
-        F.when(status == "canceled", "churned").when(status == "past_due", "at_risk").when(status == "active", "active_customer").when(status == "trialing", "trial_or_lead").otherwise("unknown")
+        F.when(status == "canceled", "churned").when(status == "past_due", "at_risk").when(status == "active",
+            "active_customer").when(status == "trialing", "trial_or_lead").otherwise("unknown")
     )
 
 

@@ -87,14 +87,17 @@ def contract_diff(old: DataFrame, new: DataFrame) -> DataFrame:
     enum_keys = [*keys, "value"]
     enums = old.where("kind = 'enum'").withColumn("o", F.lit(1)).join(new.where("kind = 'enum'").withColumn("n", F.lit(1)), enum_keys, "full_outer")
     enums = enums.withColumn("change", F.when(F.col("o").isNull(), "added").when(F.col("n").isNull(), "removed")).where("change is not null").drop("o", "n")
-    both = old.where("kind = 'table'").select("source_table").join(new.where("kind = 'table'").select("source_table"), "source_table", "left_semi").withColumn("kept", F.lit(True))
+    both = old.where("kind = 'table'").select("source_table").join(new.where("kind = 'table'").select("source_table"), "source_table",
+        "left_semi").withColumn("kept", F.lit(True))
     needed = old.where("kind = 'required'").union(new.where("kind = 'required'")).select("source_table", "field").distinct().withColumn("needed", F.lit(True))
     rows = flat.unionByName(enums).join(both, "source_table", "left").join(needed, ["source_table", "field"], "left")
     rows = rows.where((F.col("kind") == "table") | F.col("kept"))  # a new or removed table is one finding
     kind, ch, need = F.col("kind"), F.col("change"), F.coalesce("needed", F.lit(False))
     verdict = (
-        F.when((kind == "table") & (ch == "added"), "compatible").when(kind == "table", "breaking").when(kind == "required", "breaking").when(kind == "nullable", "compatible")
-        .when((kind == "type") & (ch == "changed"), "breaking").when(kind == "type", F.when(need, "breaking").when(ch == "removed", "review").otherwise("compatible"))
+        F.when((kind == "table") & (ch == "added"), "compatible").when(kind == "table", "breaking").when(kind == "required",
+            "breaking").when(kind == "nullable", "compatible")
+        .when((kind == "type") & (ch == "changed"), "breaking").when(kind == "type",
+            F.when(need, "breaking").when(ch == "removed", "review").otherwise("compatible"))
         .when(ch == "removed", "breaking").otherwise("review")
     )
     return rows.select("source_table", "kind", "field", "value", "change", verdict.alias("verdict"))
@@ -141,8 +144,11 @@ def rejection_records(classified: DataFrame, stage: str, rejected_at: Column) ->
     """Dead-letter rows of what failed, with the raw event as JSON; schema failures can't be retried unrepaired."""
     raw = [c for c in classified.columns if not c.startswith("reject_")]
     return classified.where("reject_category is not null").select(
-        "event_id", "tenant_id", "source_system", "source_table", "batch_id", F.lit(stage).alias("failure_stage"), F.col("reject_category").alias("failure_category"), F.col("reject_detail").alias("error_detail"),
-        F.coalesce("event_id", F.sha2(F.to_json(F.struct(*raw)), 256)).alias("event_reference"), F.col("reject_category").isin("UNKNOWN_OPERATION", "INVALID_PAYLOAD", "SCHEMA_INVALID").alias("retry_eligible"), F.to_json(F.struct(*raw)).alias("raw_event"), rejected_at.alias("rejected_at"),
+        "event_id", "tenant_id", "source_system", "source_table", "batch_id", F.lit(stage).alias("failure_stage"),
+            F.col("reject_category").alias("failure_category"), F.col("reject_detail").alias("error_detail"),
+        F.coalesce("event_id", F.sha2(F.to_json(F.struct(*raw)), 256)).alias("event_reference"),
+            F.col("reject_category").isin("UNKNOWN_OPERATION", "INVALID_PAYLOAD", "SCHEMA_INVALID").alias("retry_eligible"),
+                F.to_json(F.struct(*raw)).alias("raw_event"), rejected_at.alias("rejected_at"),
     )
 
 
@@ -159,7 +165,8 @@ def repair(rejected: DataFrame, defaults: dict[str, dict[str, str]]) -> DataFram
     payload = F.from_json("payload_after", "map<string,string>")
     for t, fields in defaults.items():
         for f, value in fields.items():
-            need = (F.col("source_table") == t) & F.col("payload_after").isNotNull() & (F.coalesce(F.trim(F.get_json_object("payload_after", f"$.{f}")), F.lit("")) == "")
+            need = (F.col("source_table") == t) & F.col("payload_after").isNotNull() & (F.coalesce(F.trim(F.get_json_object("payload_after",
+                f"$.{f}")), F.lit("")) == "")
             payload = F.when(need, F.map_concat(_without(payload, f), F.create_map(F.lit(f), F.lit(value)))).otherwise(payload)
             actions.append(F.when(need, F.lit(f"default_{f}")))
     fixed = F.when(F.col("payload_after").isNotNull(), F.to_json(payload))
@@ -182,17 +189,22 @@ def from_debezium(messages: DataFrame, systems: dict[str, str], keys: dict[str,
     m = messages.withColumn("__v", F.coalesce(F.get_json_object(value, "$.payload"), F.col(value))).withColumn("__m", F.from_json("__v", DEBEZIUM))
     image = F.coalesce("__m.after", "__m.before")
     name = F.coalesce("__m.source.table", F.element_at(F.split(topic, r"\."), -1))
-    key = F.coalesce(*[F.when(name == t, F.get_json_object(image, f"$.{k}")) for t, k in keys.items()], *[F.get_json_object(image, f"$.{k}") for k in ("id", "customer_id", "subscription_id", "order_id")])
+    key = F.coalesce(*[F.when(name == t, F.get_json_object(image, f"$.{k}")) for t, k in keys.items()],
+        *[F.get_json_object(image, f"$.{k}") for k in ("id", "customer_id", "subscription_id", "order_id")])
     op = F.element_at(F.create_map(*[F.lit(x) for x in ("c", "insert", "r", "insert", "u", "update", "d", "delete")]), F.col("__m.op"))
     ts = F.coalesce("__m.source.ts_ms", "__m.ts_ms")
     ident = F.concat_ws("|", "__m.source.connector", "__m.source.db", "__m.source.schema", name, key, "__m.op", "__m.source.lsn", "__m.source.txId", ts)
     system = F.element_at(F.create_map(*[F.lit(x) for kv in systems.items() for x in kv]), name)
     at = F.timestamp_millis(ts)
     return m.select(
-        F.concat(F.lit("dbz_"), F.substring(F.sha2(ident, 256), 1, 24)).alias("event_id"), F.coalesce(F.get_json_object(image, "$.tenant_id"), F.lit("tenant_unknown")).alias("tenant_id"),
-        F.coalesce(system, F.lit("unknown")).alias("source_system"), name.alias("source_table"), F.coalesce(op, F.col("__m.op")).alias("operation_type"), at.alias("event_timestamp"), key.alias("record_primary_key"),
-        F.col("__m.before").alias("payload_before"), F.col("__m.after").alias("payload_after"), F.concat(F.lit("debezium_"), F.date_format(at, "yyyyMMdd")).alias("batch_id"), F.lit(1).alias("schema_version"),
-        F.coalesce("__m.source.lsn", F.lit(0)).cast("bigint").alias("event_sequence_number"), F.col("__m.source.txId").cast("string").alias("source_transaction_id"), at.alias("source_commit_timestamp"), F.col(topic).alias("kafka_topic"),
+        F.concat(F.lit("dbz_"), F.substring(F.sha2(ident, 256), 1, 24)).alias("event_id"),
+            F.coalesce(F.get_json_object(image, "$.tenant_id"), F.lit("tenant_unknown")).alias("tenant_id"),
+        F.coalesce(system, F.lit("unknown")).alias("source_system"), name.alias("source_table"),
+            F.coalesce(op, F.col("__m.op")).alias("operation_type"), at.alias("event_timestamp"), key.alias("record_primary_key"),
+        F.col("__m.before").alias("payload_before"), F.col("__m.after").alias("payload_after"),
+            F.concat(F.lit("debezium_"), F.date_format(at, "yyyyMMdd")).alias("batch_id"), F.lit(1).alias("schema_version"),
+        F.coalesce("__m.source.lsn", F.lit(0)).cast("bigint").alias("event_sequence_number"),
+            F.col("__m.source.txId").cast("string").alias("source_transaction_id"), at.alias("source_commit_timestamp"), F.col(topic).alias("kafka_topic"),
     )
 
 
@@ -225,8 +237,10 @@ def mark_duplicates(events: DataFrame, order: str = "arrival_ordinal") -> DataFr
     offset = F.concat_ws("|", "kafka_topic", "kafka_partition", "kafka_offset")
     whole = F.col("kafka_topic").isNotNull() & F.col("kafka_partition").isNotNull() & F.col("kafka_offset").isNotNull()
     rows = events.select(F.col(order).cast("bigint").alias("n"), "event_id", "event_hash", F.when(whole, offset).alias("at"))
-    keys = rows.select("n", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col(c).alias("v")) for i, c in enumerate(("event_id", "event_hash", "at"))])).alias("k")).select("n", "k.i", "k.v").where("v is not null")
-    shared = settle(keys.join(keys.groupBy("i", "v").agg(F.min("n").alias("first"), F.count("*").alias("c")).where("c > 1"), ["i", "v"]).select(F.col("n").alias("src"), F.col("first").alias("dst")), "shared-keys")
+    keys = rows.select("n", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col(c).alias("v")) for i,
+        c in enumerate(("event_id", "event_hash", "at"))])).alias("k")).select("n", "k.i", "k.v").where("v is not null")
+    shared = settle(keys.join(keys.groupBy("i", "v").agg(F.min("n").alias("first"), F.count("*").alias("c")).where("c > 1"),
+        ["i", "v"]).select(F.col("n").alias("src"), F.col("first").alias("dst")), "shared-keys")
     comp = connected_components(shared).select(F.col("node").alias("n"), "component")
     rest = rows.join(comp, "n")
 
@@ -245,12 +259,14 @@ def mark_duplicates(events: DataFrame, order: str = "arrival_ordinal") -> DataFr
 
         return step
 
-    folded = _in_order(rest.select("component", "n", "event_id", "event_hash", "at"), ["component"], "n", fold, "component long, n long, event_id string, event_hash string, at string, outcome string")
+    folded = _in_order(rest.select("component", "n", "event_id", "event_hash", "at"), ["component"], "n", fold,
+        "component long, n long, event_id string, event_hash string, at string, outcome string")
     alone = rows.join(comp, "n", "left_anti").select("event_id", "n", F.lit(None).cast("string").alias("duplicate_key"))
     return folded.select("event_id", "n", F.col("outcome").alias("duplicate_key")).unionByName(alone).withColumnRenamed("n", order)
 
 
-def ordering_anomalies(events: DataFrame, keys: list[str], order: str = "arrival_ordinal", seq: str = "event_sequence_number", commit: str = "commit_us") -> DataFrame:
+def ordering_anomalies(events: DataFrame, keys: list[str], order: str = "arrival_ordinal", seq: str = "event_sequence_number",
+    commit: str = "commit_us") -> DataFrame:
     """(keys, arrival ordinal, sequence, commit, anomaly): events that, in order of arrival, fall behind the last regular one of
     their record: by a sequence number other than 0, else by commit time. Anomalies don't advance the record.
 
@@ -297,17 +313,20 @@ def latest_state(events: DataFrame, keys: list[str]) -> DataFrame:
 def watermarks(events: DataFrame) -> DataFrame:
     """Per (tenant, system, table): the newest event by (time, id), as the high-water mark."""
     keys = ["tenant_id", "source_system", "source_table"]
-    return events.groupBy(*keys).agg(F.max_by(F.struct("event_timestamp", "event_id"), F.struct("event_timestamp", "event_id")).alias("x"), F.count("*").alias("event_count")).select(
+    return events.groupBy(*keys).agg(F.max_by(F.struct("event_timestamp", "event_id"), F.struct("event_timestamp", "event_id")).alias("x"),
+        F.count("*").alias("event_count")).select(
         *keys, F.col("x.event_timestamp").alias("high_watermark"), F.col("x.event_id").alias("last_event_id"), "event_count"
     )
 
 
 def offset_checkpoints(events: DataFrame) -> DataFrame:
     keys = ["kafka_topic", "kafka_partition"]
-    return events.groupBy(*keys).agg(F.max(F.struct("kafka_offset", "event_id")).alias("x")).select(*keys, F.col("x.kafka_offset").alias("last_offset"), F.col("x.event_id").alias("last_event_id"))
+    return events.groupBy(*keys).agg(F.max(F.struct("kafka_offset", "event_id")).alias("x")).select(*keys,
+        F.col("x.kafka_offset").alias("last_offset"), F.col("x.event_id").alias("last_event_id"))
 
 
-def select_replay(events: DataFrame, replay_id: str, start: Column | None = None, end: Column | None = None, batches: list[str] | None = None, tables: list[str] | None = None) -> DataFrame:
+def select_replay(events: DataFrame, replay_id: str, start: Column | None = None, end: Column | None = None, batches: list[str] | None = None,
+    tables: list[str] | None = None) -> DataFrame:
     """Events from ``start`` up to ``end`` (excluded), of the given batches and tables, marked as a replay."""
     cond = F.lit(True)
     if start is not None:
@@ -331,7 +350,8 @@ def reset_checkpoints(checkpoints: DataFrame, replayed: DataFrame) -> tuple[Data
 def ingestion_summary(classified: DataFrame) -> DataFrame:
     """Per (batch, system, table, version): read, landed, rejected and the status. One aggregate."""
     bad = F.count_if(F.col("reject_category").isNotNull())
-    g = classified.groupBy("batch_id", "source_system", "source_table", "schema_version").agg(F.count("*").alias("record_count"), (F.count("*") - bad).alias("landed_count"), bad.alias("rejected_count"))
+    g = classified.groupBy("batch_id", "source_system", "source_table", "schema_version").agg(F.count("*").alias("record_count"),
+        (F.count("*") - bad).alias("landed_count"), bad.alias("rejected_count"))
     return g.withColumn("status", F.when(F.col("rejected_count") == 0, "success").when(F.col("landed_count") > 0, "partial_success").otherwise("failed"))
 
 

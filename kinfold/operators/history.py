@@ -19,7 +19,8 @@ def scd2(changes: DataFrame, keys: list[str], at: str, event_id: str, deleted: s
     rows = rows.withColumn("__next", F.lead(at).over(part.orderBy(at, event_id)))
     rows = rows.where(F.col("__next").isNull() | (F.col("__next") > F.col(at)))  # the last of an instant
     gone = F.coalesce(F.col(deleted), F.lit(False)) if deleted else F.lit(False)
-    return rows.withColumn("valid_from", F.col(at)).withColumn("valid_to", F.col("__next")).withColumn("is_current", F.col("__next").isNull() & ~gone).drop("__next")
+    return rows.withColumn("valid_from", F.col(at)).withColumn("valid_to", F.col("__next")).withColumn("is_current",
+        F.col("__next").isNull() & ~gone).drop("__next")
 
 
 def as_of(history: DataFrame, keys: list[str], at: Column, deleted: str | None = None, tie: str | None = None) -> DataFrame:
@@ -41,7 +42,8 @@ def as_of_join(facts: DataFrame, history: DataFrame, on: list[str], at: str) ->
     none = F.lit(None)
     f, h = F.struct(*[F.col(f"`{c}`") for c in facts.columns]), F.struct(*[F.col(f"`{c}`") for c in rest])
     fact_type, hist_type = facts.select(f.alias("x")).schema[0].dataType, history.select(h.alias("x")).schema[0].dataType
-    starts = history.where(" and ".join(f"`{c}` is not null" for c in [*on, "valid_from"])).select(*on, F.col("valid_from").alias("__t"), F.lit(0).alias("__side"), none.cast(fact_type).alias("__f"), h.alias("__h"))
+    starts = history.where(" and ".join(f"`{c}` is not null" for c in [*on, "valid_from"])).select(*on, F.col("valid_from").alias("__t"),
+        F.lit(0).alias("__side"), none.cast(fact_type).alias("__f"), h.alias("__h"))
     asked = facts.where(keyed).select(*on, F.col(at).alias("__t"), F.lit(1).alias("__side"), f.alias("__f"), none.cast(hist_type).alias("__h"))
     by = Window.partitionBy(*on).orderBy("__t", "__side").rowsBetween(Window.unboundedPreceding, 0)
     met = starts.unionByName(asked).withColumn("__last", F.last("__h", ignorenulls=True).over(by)).where("__side = 1")
@@ -81,7 +83,9 @@ def snapshot(previous: DataFrame, current: DataFrame, keys: list[str], updated_a
     here, was = F.coalesce(F.col("c.__here"), F.lit(False)), F.col("p.snap_from").isNotNull()
     changed = here & (~was | (F.col(f"c.{updated_at}") > F.col(f"p.{updated_at}")))
     closes = was & (~here | changed)
-    old = met.where(was).select(*[F.col(f"p.{c}") for c in cols], F.col("p.snap_from"), F.when(closes, F.when(here, F.col(f"c.{updated_at}")).otherwise(as_of)).alias("snap_to"))
-    new = met.where(changed).select(*[F.col(f"c.{c}") for c in cols], F.col(f"c.{updated_at}").alias("snap_from"), F.lit(None).cast(dict(previous.dtypes)["snap_to"]).alias("snap_to"))
+    old = met.where(was).select(*[F.col(f"p.{c}") for c in cols], F.col("p.snap_from"),
+        F.when(closes, F.when(here, F.col(f"c.{updated_at}")).otherwise(as_of)).alias("snap_to"))
+    new = met.where(changed).select(*[F.col(f"c.{c}") for c in cols], F.col(f"c.{updated_at}").alias("snap_from"),
+        F.lit(None).cast(dict(previous.dtypes)["snap_to"]).alias("snap_to"))
     closed = previous.where("snap_to is not null").select(*cols, "snap_from", "snap_to")
     return closed.unionByName(old).unionByName(new)

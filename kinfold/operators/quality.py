@@ -41,11 +41,14 @@ def parity(source: DataFrame, target: DataFrame | None, keys: list[str], digits:
     if target is None:
         return source.sparkSession.createDataFrame([("NOT_RUN", 0, 0, 0)], "status string, missing bigint, extra bigint, mismatched bigint")
     rest = [c for c in source.columns if c not in keys]
-    norm = lambda df: F.struct(*[F.round(c, digits).alias(c) if dict(df.dtypes)[c] in ("double", "float") or dict(df.dtypes)[c].startswith("decimal") else F.col(c) for c in rest])
+    norm = lambda df: F.struct(*[F.round(c, digits).alias(c) if dict(df.dtypes)[c] in ("double",
+        "float") or dict(df.dtypes)[c].startswith("decimal") else F.col(c) for c in rest])
     s, t = source.select(*keys, norm(source).alias("s")), target.select(*keys, norm(target).alias("t"))
     met = s.join(t, keys, "full_outer")
-    g = met.agg(F.count_if(F.col("t").isNull()).alias("missing"), F.count_if(F.col("s").isNull()).alias("extra"), F.count_if(F.col("s").isNotNull() & F.col("t").isNotNull() & ~F.col("s").eqNullSafe(F.col("t"))).alias("mismatched"))
-    return g.select(F.when(F.col("missing") + F.col("extra") + F.col("mismatched") == 0, "PASS").otherwise("FAIL").alias("status"), "missing", "extra", "mismatched")
+    g = met.agg(F.count_if(F.col("t").isNull()).alias("missing"), F.count_if(F.col("s").isNull()).alias("extra"),
+        F.count_if(F.col("s").isNotNull() & F.col("t").isNotNull() & ~F.col("s").eqNullSafe(F.col("t"))).alias("mismatched"))
+    return g.select(F.when(F.col("missing") + F.col("extra") + F.col("mismatched") == 0, "PASS").otherwise("FAIL").alias("status"), "missing", "extra",
+        "mismatched")
 
 
 #: Weights of the scorecard's domains.
@@ -75,21 +78,27 @@ def source_freshness(tables: dict[str, tuple[DataFrame, Column]], now: Column, w
     """(source, lag_minutes, status) of each table with its time of loading: pass, warn, error; a table without rows is an error."""
     from ..functions.columns import minutes_between
 
-    parts = [df.agg(F.max(at).alias("at")).select(F.lit(name).alias("source"), F.floor(minutes_between(F.col("at"), now)).cast("bigint").alias("lag_minutes")) for name, (df, at) in tables.items()]
+    parts = [df.agg(F.max(at).alias("at")).select(F.lit(name).alias("source"),
+        F.floor(minutes_between(F.col("at"), now)).cast("bigint").alias("lag_minutes")) for name, (df, at) in tables.items()]
     lag = F.col("lag_minutes")
-    return reduce(DataFrame.unionByName, parts).withColumn("status", F.when(lag.isNull() | (lag > error_minutes), "error").when(lag > warn_minutes, "warn").otherwise("pass"))
+    return reduce(DataFrame.unionByName, parts).withColumn("status",
+        F.when(lag.isNull() | (lag > error_minutes), "error").when(lag > warn_minutes, "warn").otherwise("pass"))
 
 
 def run_log(events: DataFrame, failures: DataFrame, run_id: str, at: Column) -> DataFrame:
     """A row per tenant and table of what has landed, and one for the checks that failed (of ``failures`` (check, failures))."""
     landed = events.groupBy("tenant_id", "source_table").agg(F.count("*").alias("row_count"))
-    landed = landed.select("tenant_id", F.concat(F.lit("raw_cdc_"), "source_table").alias("stage_name"), "row_count", F.lit("success").alias("status"), F.concat_ws(" ", F.lit("landed"), F.col("row_count").cast("string"), F.lit("change events for"), "source_table").alias("details"))
+    landed = landed.select("tenant_id", F.concat(F.lit("raw_cdc_"), "source_table").alias("stage_name"), "row_count", F.lit("success").alias("status"),
+        F.concat_ws(" ", F.lit("landed"), F.col("row_count").cast("string"), F.lit("change events for"), "source_table").alias("details"))
     bad = failures.where("failures > 0").agg(F.count("*").alias("row_count"))
-    checks = bad.select(F.lit("all").alias("tenant_id"), F.lit("quality_checks").alias("stage_name"), "row_count", F.when(F.col("row_count") == 0, "success").otherwise("warning").alias("status"), F.concat(F.lit("validation_failures="), F.col("row_count").cast("string")).alias("details"))
+    checks = bad.select(F.lit("all").alias("tenant_id"), F.lit("quality_checks").alias("stage_name"), "row_count",
+        F.when(F.col("row_count") == 0, "success").otherwise("warning").alias("status"),
+            F.concat(F.lit("validation_failures="), F.col("row_count").cast("string")).alias("details"))
     return landed.unionByName(checks).select(F.lit(run_id).alias("run_id"), "*", at.alias("ended_at"))
 
 
-def quality_checks(events: DataFrame, customers: DataFrame, mapping: DataFrame, exported: DataFrame, suppressed: DataFrame, tables: list[str], states: list[str]) -> DataFrame:
+def quality_checks(events: DataFrame, customers: DataFrame, mapping: DataFrame, exported: DataFrame, suppressed: DataFrame, tables: list[str],
+    states: list[str]) -> DataFrame:
     """(check, failures), a row for each of seven checks, those that find nothing too."""
     spark = events.sparkSession
     keys = ["tenant_id", "canonical_customer_id"]
@@ -99,7 +108,8 @@ def quality_checks(events: DataFrame, customers: DataFrame, mapping: DataFrame,
         "broken_mapping": relationship_failures(mapping, customers, keys),
         "missing_source_key": events.where("record_primary_key is null or record_primary_key = ''"),
         "table_without_inserts": per_table,
-        "invalid_subscription_state": events.where(F.col("source_table") == "subscriptions").where(~F.coalesce(F.get_json_object("payload_after", "$.subscription_status").isin(*states), F.lit(True))),
+        "invalid_subscription_state": events.where(F.col("source_table") == "subscriptions").where(~F.coalesce(F.get_json_object("payload_after",
+            "$.subscription_status").isin(*states), F.lit(True))),
         "missing_refresh_time": customers.where("last_seen_at is null") if "last_seen_at" in customers.columns else customers.limit(0),
         "suppressed_exported": exported.join(suppressed, keys, "left_semi"),
     }

@@ -11,7 +11,8 @@ from . import cdc
 
 
 def run_replay(
-    events: DataFrame, replay_id: str, at: Column, output: str | None = None, start: Column | None = None, end: Column | None = None, batches: list[str] | None = None, tables: list[str] | None = None,
+    events: DataFrame, replay_id: str, at: Column, output: str | None = None, start: Column | None = None, end: Column | None = None,
+        batches: list[str] | None = None, tables: list[str] | None = None,
     checkpoints: DataFrame | None = None, again: Callable[[DataFrame], None] | None = None, dry_run: bool = False,
 ) -> tuple[DataFrame, DataFrame | None, DataFrame | None]:
     """(manifest, checkpoints left, alerts).
@@ -34,8 +35,10 @@ def run_replay(
             again(chosen)
     none = F.lit(None).cast("timestamp_ntz")
     manifest = chosen.agg(F.count("*").alias("selected_count")).select(
-        F.lit(replay_id).alias("replay_run_id"), F.lit(output).alias("output_path"), "selected_count", (none if start is None else start).alias("start_timestamp"), (none if end is None else end).alias("end_timestamp"),
-        F.lit(",".join(sorted(batches or []))).alias("batch_ids"), F.lit(",".join(sorted(tables or []))).alias("source_tables"), F.lit(checkpoints is not None and not dry_run).alias("reset_checkpoints"),
+        F.lit(replay_id).alias("replay_run_id"), F.lit(output).alias("output_path"), "selected_count",
+            (none if start is None else start).alias("start_timestamp"), (none if end is None else end).alias("end_timestamp"),
+        F.lit(",".join(sorted(batches or []))).alias("batch_ids"), F.lit(",".join(sorted(tables or []))).alias("source_tables"),
+            F.lit(checkpoints is not None and not dry_run).alias("reset_checkpoints"),
         at.alias("replayed_at"), F.lit("dry_run" if dry_run else "success").alias("status"),
     )
     return manifest, left, alerts

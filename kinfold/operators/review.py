@@ -92,7 +92,8 @@ class ReviewQueue:
                 return  # done by a run that broke off
             raise ValueError("the candidate has no rows in the tenant")
         self._note(case, "merge", case["candidate_customer_id"], case["canonical_customer_id"], None, None, reviewer, reason)
-        self.mapping.replace(rows.withColumn("canonical_customer_id", F.when(own, F.lit(case["canonical_customer_id"])).otherwise(F.col("canonical_customer_id"))))
+        self.mapping.replace(rows.withColumn("canonical_customer_id",
+            F.when(own, F.lit(case["canonical_customer_id"])).otherwise(F.col("canonical_customer_id"))))
 
     def _unmerge(self, case: dict, reviewer: str, reason: str) -> None:
         """One record becomes a customer of its own; no other row is touched."""

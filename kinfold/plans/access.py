@@ -58,14 +58,16 @@ def profile(view: DataFrame, exports: dict[str, DataFrame], who: Principal, cust
     out = lookup(view, who, customer)
     for name, df in exports.items():
         keep = [c for c in df.columns if c not in view.columns and not c.startswith("hashed_")]
-        out = out.join(lookup(df, who, customer).select("tenant_id", "canonical_customer_id", *keep), ["tenant_id", "canonical_customer_id"], "left") if keep else out
+        out = out.join(lookup(df, who, customer).select("tenant_id", "canonical_customer_id", *keep), ["tenant_id", "canonical_customer_id"],
+            "left") if keep else out
     return out
 
 
 def timeline(events: DataFrame, mapping: DataFrame, who: Principal, customer: str) -> DataFrame:
     """The events of a customer's records, oldest first."""
     own = lookup(mapping, who, customer).select("tenant_id", "record_id")
-    return events.join(own, (events.tenant_id == own.tenant_id) & (events.record_primary_key == own.record_id), "left_semi").orderBy("event_timestamp", "event_id")
+    return events.join(own, (events.tenant_id == own.tenant_id) & (events.record_primary_key == own.record_id), "left_semi").orderBy("event_timestamp",
+        "event_id")
 
 
 def history_of(history: DataFrame, who: Principal, customer: str, at=None) -> tuple[DataFrame, DataFrame | None]:
@@ -86,7 +88,8 @@ def customer_lineage(mapping: DataFrame, events: DataFrame, exports: dict[str, D
     at = F.lit(None).cast("timestamp_ntz").alias("at")
     records = own.select(F.lit("source_record").alias("kind"), F.col("record_id").alias("name"), at)
     cond = (F.col("e.tenant_id") == F.col("m.tenant_id")) & (F.col("e.record_primary_key") == F.col("m.record_id"))
-    seen = events.alias("e").join(own.alias("m"), cond, "left_semi").select(F.lit("cdc_event").alias("kind"), F.col("event_id").alias("name"), F.col("event_timestamp").alias("at"))
+    seen = events.alias("e").join(own.alias("m"), cond, "left_semi").select(F.lit("cdc_event").alias("kind"), F.col("event_id").alias("name"),
+        F.col("event_timestamp").alias("at"))
     out = records.unionByName(seen)
     for name, df in exports.items():
         here = scoped(df, who, tenant).where(F.col("canonical_customer_id") == customer)
@@ -94,7 +97,8 @@ def customer_lineage(mapping: DataFrame, events: DataFrame, exports: dict[str, D
     return out
 
 
-def filtered_page(df: DataFrame, who: Principal, order: list[str], tenant: str | None = None, offset: int = 0, limit: int = 100, **equal) -> tuple[DataFrame, DataFrame]:
+def filtered_page(df: DataFrame, who: Principal, order: list[str], tenant: str | None = None, offset: int = 0, limit: int = 100,
+    **equal) -> tuple[DataFrame, DataFrame]:
     """A page, and its total, of the rows in scope whose columns have the given values; None asks for nothing."""
     rows = scoped(df, who, tenant)
     for name, value in equal.items():
@@ -108,4 +112,5 @@ def deletion_request(customers: DataFrame, requested_at, request_type: str = "gd
     from ..functions.columns import hash_email
 
     ident = F.concat(F.lit("del_"), F.substring(F.sha1(F.concat_ws("|", "tenant_id", "canonical_customer_id", F.lit(request_type))), 1, 16))
-    return customers.select(ident.alias("deletion_request_id"), "tenant_id", "canonical_customer_id", hash_email(F.col("email")).alias("hashed_email"), F.lit(request_type).alias("request_type"), F.lit("queued").alias("status"), requested_at.alias("requested_at"))
+    return customers.select(ident.alias("deletion_request_id"), "tenant_id", "canonical_customer_id", hash_email(F.col("email")).alias("hashed_email"),
+        F.lit(request_type).alias("request_type"), F.lit("queued").alias("status"), requested_at.alias("requested_at"))

@@ -48,7 +48,8 @@ def sync_rows(rows: DataFrame, previous: DataFrame | None, destination: tuple) -
         F.when(contract, F.concat(F.lit("destination_contract_missing_fields:"), F.array_join(missing, ","))).when(absent, "missing_destination_match_key")
         .when(bucket % 29 == 0, "destination_validation_error").when(failed, F.when(bucket % 17 == 0, "http_429_rate_limit").otherwise("transient_5xx"))
     )
-    r = r.withColumns({"idempotency_key": F.sha2(F.concat_ws(":", "record_key", "payload_hash"), 256), "attempts": F.when(absent, 1).otherwise(n), "rate_limited": F.when(absent, 0).otherwise(limited), "failure_reason": why})
+    r = r.withColumns({"idempotency_key": F.sha2(F.concat_ws(":", "record_key", "payload_hash"), 256), "attempts": F.when(absent, 1).otherwise(n),
+        "rate_limited": F.when(absent, 0).otherwise(limited), "failure_reason": why})
     bad = absent | failed
     if previous is None:
         known = F.lit(None).cast("string")
@@ -62,22 +63,29 @@ def sync_rows(rows: DataFrame, previous: DataFrame | None, destination: tuple) -
 def payload_audit(outcomes: DataFrame, run_id: str, at: Column) -> DataFrame:
     """One row per payload of a run: its keys and hash, how it went, the retries, why it failed."""
     return outcomes.select(
-        F.lit(run_id).alias("sync_run_id"), "tenant_id", F.col("destination").alias("destination_name"), "canonical_customer_id", "idempotency_key", "payload_hash",
-        F.when(F.col("status") == "updated", "update").otherwise("insert").alias("sync_mode"), F.col("status").alias("sync_status"), (F.col("attempts") - 1).alias("retry_count"), "failure_reason", at.alias("audited_at"),
+        F.lit(run_id).alias("sync_run_id"), "tenant_id", F.col("destination").alias("destination_name"), "canonical_customer_id", "idempotency_key",
+            "payload_hash",
+        F.when(F.col("status") == "updated", "update").otherwise("insert").alias("sync_mode"), F.col("status").alias("sync_status"),
+            (F.col("attempts") - 1).alias("retry_count"), "failure_reason", at.alias("audited_at"),
     )
 
 
 def failed_rows(outcomes: DataFrame, run_id: str, at: Column) -> DataFrame:
     """The rows that failed, and whether another run may mend them."""
     bad = outcomes.where("status = 'failed'")
-    return bad.select(F.lit(run_id).alias("sync_run_id"), "tenant_id", F.col("destination").alias("destination_name"), "canonical_customer_id", "idempotency_key", "failure_reason", "attempts", F.col("failure_reason").isin("http_429_rate_limit", "transient_5xx").alias("is_retryable"), at.alias("failed_at"))
+    return bad.select(F.lit(run_id).alias("sync_run_id"), "tenant_id", F.col("destination").alias("destination_name"), "canonical_customer_id",
+        "idempotency_key", "failure_reason", "attempts", F.col("failure_reason").isin("http_429_rate_limit", "transient_5xx").alias("is_retryable"),
+            at.alias("failed_at"))
 
 
 def destination_status(logs: DataFrame) -> DataFrame:
     """Per destination its latest run: ``logs`` are those of ``sync_log`` with ``sync_run_id`` and ``ended_at``."""
-    last = F.max_by(F.struct("sync_run_id", "status", "attempted_count", "success_count", "failed_count", "retry_count", "ended_at"), F.struct("ended_at", "sync_run_id")).alias("x")
+    last = F.max_by(F.struct("sync_run_id", "status", "attempted_count", "success_count", "failed_count", "retry_count", "ended_at"),
+        F.struct("ended_at", "sync_run_id")).alias("x")
     g = logs.groupBy("destination").agg(last)
-    return g.select(F.col("destination").alias("destination_name"), F.col("x.sync_run_id").alias("latest_sync_run_id"), F.col("x.status").alias("last_sync_status"), "x.attempted_count", "x.success_count", "x.failed_count", "x.retry_count", F.col("x.ended_at").alias("last_synced_at"))
+    return g.select(F.col("destination").alias("destination_name"), F.col("x.sync_run_id").alias("latest_sync_run_id"),
+        F.col("x.status").alias("last_sync_status"), "x.attempted_count", "x.success_count", "x.failed_count", "x.retry_count",
+            F.col("x.ended_at").alias("last_synced_at"))
 
 
 def sync_state(previous: DataFrame | None, outcomes: DataFrame) -> DataFrame:
@@ -93,14 +101,18 @@ def sync_log(outcomes: DataFrame, destinations: list[tuple] = DESTINATIONS) -> D
     per = F.element_at(F.create_map(*[F.lit(x) for d in destinations for x in (d[0], d[2])]), F.col("destination"))
     c = lambda s: F.count_if(F.col("status") == s)
     g = outcomes.groupBy("destination").agg(
-        F.count("*").alias("attempted_count"), c("inserted").alias("inserted_count"), c("updated").alias("updated_count"), c("skipped_unchanged").alias("skipped_count"), c("failed").alias("failed_count"), F.sum(F.col("attempts") - 1).alias("retry_count"), F.sum("rate_limited").alias("limited")
+        F.count("*").alias("attempted_count"), c("inserted").alias("inserted_count"), c("updated").alias("updated_count"),
+            c("skipped_unchanged").alias("skipped_count"), c("failed").alias("failed_count"), F.sum(F.col("attempts") - 1).alias("retry_count"),
+                F.sum("rate_limited").alias("limited")
     )
-    g = g.withColumns({"success_count": F.col("attempted_count") - F.col("failed_count"), "rate_limit_events": F.floor((F.col("attempted_count") - 1) / per).cast("bigint") + F.col("limited")}).drop("limited")
+    g = g.withColumns({"success_count": F.col("attempted_count") - F.col("failed_count"),
+        "rate_limit_events": F.floor((F.col("attempted_count") - 1) / per).cast("bigint") + F.col("limited")}).drop("limited")
     return g.withColumn("status", F.when(F.col("failed_count") == 0, "success").when(F.col("success_count") > 0, "partial_success").otherwise("failed"))
 
 
 def sync_health(log: DataFrame) -> DataFrame:
-    g = log.groupBy("destination").agg(F.sum("attempted_count").alias("attempted"), F.sum("success_count").alias("succeeded"), F.sum("failed_count").alias("failed"), F.sum("retry_count").alias("retries"), F.sum("rate_limit_events").alias("rate_limits"))
+    g = log.groupBy("destination").agg(F.sum("attempted_count").alias("attempted"), F.sum("success_count").alias("succeeded"),
+        F.sum("failed_count").alias("failed"), F.sum("retry_count").alias("retries"), F.sum("rate_limit_events").alias("rate_limits"))
     return g.withColumn("status", F.when(F.col("failed") > 0, "degraded").when(F.col("rate_limits") > 0, "rate_limited").otherwise("healthy"))
 
 
@@ -109,13 +121,16 @@ def reconcile(outcomes: DataFrame, exported: DataFrame, eligibility: DataFrame)
     base = eligibility.groupBy("tenant_id").agg(F.count("*").alias("total"), F.count_if(F.col("suppression_reason").isNotNull()).alias("suppressed_count"))
     rows = exported.groupBy("destination", "tenant_id").agg(F.count("*").alias("export_count"))
     c = lambda *s: F.count_if(F.col("status").isin(*s))
-    out = outcomes.groupBy("destination", "tenant_id").agg(F.count("*").alias("audited"), c("inserted", "updated").alias("success_count"), c("failed").alias("failed_count"), c("skipped_unchanged").alias("duplicate_count"))
+    out = outcomes.groupBy("destination", "tenant_id").agg(F.count("*").alias("audited"), c("inserted", "updated").alias("success_count"),
+        c("failed").alias("failed_count"), c("skipped_unchanged").alias("duplicate_count"))
     m = rows.join(out, ["destination", "tenant_id"], "full_outer").join(base, "tenant_id")
     n = lambda x: F.coalesce(F.col(x), F.lit(0))
-    m = m.select("destination", "tenant_id", "total", *[n(x).alias(x) for x in ("export_count", "audited", "success_count", "failed_count", "duplicate_count", "suppressed_count")])
+    m = m.select("destination", "tenant_id", "total", *[n(x).alias(x) for x in ("export_count", "audited", "success_count", "failed_count",
+        "duplicate_count", "suppressed_count")])
     m = m.withColumn("skipped_count", F.greatest(F.lit(0), F.col("export_count") - F.col("audited")))
     explained = F.col("success_count") + F.col("failed_count") + F.col("suppressed_count") + F.col("skipped_count") + F.col("duplicate_count")
-    return m.withColumns({"variance": F.col("total") - explained, "explained_pct": F.round(100.0 * explained / F.nullif(F.col("total"), F.lit(0)), 2)}).drop("audited")
+    return m.withColumns({"variance": F.col("total") - explained,
+        "explained_pct": F.round(100.0 * explained / F.nullif(F.col("total"), F.lit(0)), 2)}).drop("audited")
 
 
 def findings(exported: DataFrame, outcomes: DataFrame, eligibility: DataFrame) -> DataFrame:
@@ -134,7 +149,8 @@ def findings(exported: DataFrame, outcomes: DataFrame, eligibility: DataFrame) -
         ("duplicate_customer_export", "medium"): exported.groupBy(*key).count().where("count > 1").select(*key),
         ("missing_hashed_identifier", "medium"): exported.where("hashed_email is null and hashed_phone is null").select(*key).distinct(),
         ("wrong_tenant_row", "critical"): wrong,
-        ("duplicate_idempotency_key", "medium"): outcomes.join(outcomes.groupBy("idempotency_key").count().where("count > 1"), "idempotency_key", "left_semi").select(*key).distinct(),
+        ("duplicate_idempotency_key", "medium"): outcomes.join(outcomes.groupBy("idempotency_key").count().where("count > 1"), "idempotency_key",
+            "left_semi").select(*key).distinct(),
     }
     parts = [df.select(F.lit(n).alias("finding"), F.lit(s).alias("severity"), *key) for (n, s), df in kinds.items()]
     return reduce(DataFrame.unionByName, parts)

@@ -66,13 +66,16 @@ def run_events(jobs: DataFrame, at: Column) -> DataFrame:
     """START and COMPLETE events of each job (job_name, inputs, outputs) for a lineage collector, as JSON."""
     kinds = jobs.withColumn("event_type", F.explode(F.array(F.lit("START"), F.lit("COMPLETE"))))
     run_id = F.sha1(F.concat_ws("|", "job_name", at.cast("string")))
-    return kinds.select("job_name", "event_type", F.to_json(F.struct(F.col("event_type").alias("eventType"), at.cast("string").alias("eventTime"), F.struct(run_id.alias("runId")).alias("run"), F.struct(F.col("job_name").alias("name")).alias("job"), "inputs", "outputs")).alias("event"))
+    return kinds.select("job_name", "event_type", F.to_json(F.struct(F.col("event_type").alias("eventType"), at.cast("string").alias("eventTime"),
+        F.struct(run_id.alias("runId")).alias("run"), F.struct(F.col("job_name").alias("name")).alias("job"), "inputs", "outputs")).alias("event"))
 
 
 def health_checks(tables: dict[str, DataFrame], none_expected: dict[str, DataFrame]) -> DataFrame:
     """(check, value, status): tables that must have rows, and findings that must have none."""
-    parts = [df.agg(F.count("*").alias("value")).select(F.lit(f"{n}_not_empty").alias("check"), "value", F.when(F.col("value") > 0, "pass").otherwise("fail").alias("status")) for n, df in tables.items()]
-    parts += [df.agg(F.count("*").alias("value")).select(F.lit(f"{n}_empty").alias("check"), "value", F.when(F.col("value") == 0, "pass").otherwise("fail").alias("status")) for n, df in none_expected.items()]
+    parts = [df.agg(F.count("*").alias("value")).select(F.lit(f"{n}_not_empty").alias("check"), "value",
+        F.when(F.col("value") > 0, "pass").otherwise("fail").alias("status")) for n, df in tables.items()]
+    parts += [df.agg(F.count("*").alias("value")).select(F.lit(f"{n}_empty").alias("check"), "value",
+        F.when(F.col("value") == 0, "pass").otherwise("fail").alias("status")) for n, df in none_expected.items()]
     return reduce(DataFrame.unionByName, parts)
 
 

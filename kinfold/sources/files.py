@@ -14,7 +14,8 @@ def jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
 def jsonl_lenient(spark: SparkSession, path: str, schema: str) -> tuple[DataFrame, DataFrame]:
     """(rows, lines that aren't JSON objects)."""
     lines = spark.read.text(path).where(F.trim("value") != "")
-    parsed = lines.withColumn("e", F.from_json("value", schema, {"mode": "PERMISSIVE"})).withColumn("ok", F.try_parse_json("value").isNotNull() & F.trim("value").startswith("{"))
+    parsed = lines.withColumn("e", F.from_json("value", schema, {"mode": "PERMISSIVE"})).withColumn("ok",
+        F.try_parse_json("value").isNotNull() & F.trim("value").startswith("{"))
     return parsed.where("ok").select("e.*"), parsed.where("not ok").select("value")
 
 

@@ -24,10 +24,12 @@ def manifest(spark: SparkSession) -> DataFrame:
 
 def unexpected(events: DataFrame) -> DataFrame:
     """Events that the manifest doesn't foresee: of a table it doesn't have, or of another system, topic or operation than it says."""
-    m = manifest(events.sparkSession).select("source_table", F.col("source_system").alias("__system"), F.col("topic").alias("__topic"), F.col("expected_operations").alias("__ops"))
+    m = manifest(events.sparkSession).select("source_table", F.col("source_system").alias("__system"), F.col("topic").alias("__topic"),
+        F.col("expected_operations").alias("__ops"))
     met = events.join(m, "source_table", "left")
     why = (
         F.when(F.col("__system").isNull(), "unknown_table").when(F.col("source_system") != F.col("__system"), "other_system")
-        .when(F.col("kafka_topic").isNotNull() & ~F.col("kafka_topic").isin("") & (F.col("kafka_topic") != F.col("__topic")), "other_topic").when(~F.array_contains("__ops", F.lower("operation_type")), "other_operation")
+        .when(F.col("kafka_topic").isNotNull() & ~F.col("kafka_topic").isin("") & (F.col("kafka_topic") != F.col("__topic")),
+            "other_topic").when(~F.array_contains("__ops", F.lower("operation_type")), "other_operation")
     )
     return met.withColumn("reason", why).where("reason is not null").select("event_id", "source_table", "reason")

@@ -28,9 +28,12 @@ def from_files(spark: SparkSession, path: str, schema: str = WIRE, fmt: str = "j
 
 def from_kafka(spark: SparkSession, servers: str, topics: str, schema: str = WIRE, per_trigger: int = 1_000_000) -> DataFrame:
     """A topic's JSON values as the same columns; needs the Kafka connector on the class path."""
-    raw = spark.readStream.format("kafka").option("kafka.bootstrap.servers", servers).option("subscribe", topics).option("startingOffsets", "earliest").option("maxOffsetsPerTrigger", per_trigger).load()
-    at = raw.select(F.from_json(F.col("value").cast("string"), schema).alias("e"), F.col("topic").alias("t"), F.col("partition").alias("p"), F.col("offset").alias("o"))
-    return at.select("e.*", "t", "p", "o").drop("kafka_topic", "kafka_partition", "kafka_offset").withColumnsRenamed({"t": "kafka_topic", "p": "kafka_partition", "o": "kafka_offset"})
+    raw = spark.readStream.format("kafka").option("kafka.bootstrap.servers", servers).option("subscribe", topics).option("startingOffsets",
+        "earliest").option("maxOffsetsPerTrigger", per_trigger).load()
+    at = raw.select(F.from_json(F.col("value").cast("string"), schema).alias("e"), F.col("topic").alias("t"), F.col("partition").alias("p"),
+        F.col("offset").alias("o"))
+    return at.select("e.*", "t", "p", "o").drop("kafka_topic", "kafka_partition",
+        "kafka_offset").withColumnsRenamed({"t": "kafka_topic", "p": "kafka_partition", "o": "kafka_offset"})
 
 
 class Buckets:
@@ -97,7 +100,8 @@ def landed_keys(spark: SparkSession, path: str, count: int = 256) -> Buckets:
     return Buckets(spark, path, "kind int, value string", ["kind", "value"], count)
 
 
-def ingest(stream: DataFrame, tables: tuple[str, ...], landed: str, rejected: str, latest: Buckets, known: Buckets, checkpoint: str, contracts: dict | None = None, after: Callable[[DataFrame], None] | None = None, newest: tuple[str, ...] = NEWEST, **trigger) -> StreamingQuery:
+def ingest(stream: DataFrame, tables: tuple[str, ...], landed: str, rejected: str, latest: Buckets, known: Buckets, checkpoint: str,
+    contracts: dict | None = None, after: Callable[[DataFrame], None] | None = None, newest: tuple[str, ...] = NEWEST, **trigger) -> StreamingQuery:
     """Run the stream: failed events go to ``rejected``, new ones to ``landed``, and each batch's newest event per record, by
     ``newest``, is merged into ``latest``. ``after`` gets the landed rows of each batch.
 
@@ -113,14 +117,16 @@ def ingest(stream: DataFrame, tables: tuple[str, ...], landed: str, rejected: st
             dead = cdc.rejection_records(checked.drop("__place"), "stream", F.current_timestamp())
             dead.withColumn("batch", F.lit(number)).write.mode("overwrite").parquet(f"{rejected}/batch={number}")
             good = cdc.accepted(checked)
-            keys = good.select("__place", F.explode(F.array(F.struct(F.lit(0).alias("kind"), F.col("event_id").alias("value")), F.struct(F.lit(1).alias("kind"), F.col("event_hash").alias("value")))).alias("k")).select("__place", "k.*").where("value is not null")
+            keys = good.select("__place", F.explode(F.array(F.struct(F.lit(0).alias("kind"), F.col("event_id").alias("value")),
+                F.struct(F.lit(1).alias("kind"), F.col("event_hash").alias("value")))).alias("k")).select("__place", "k.*").where("value is not null")
             seen = keys.join(known.matching(keys, number), ["kind", "value"], "left_semi").select("__place").distinct()
             fresh = good.join(seen, "__place", "left_anti")
             repeated = fresh.join(_shared(keys), "__place", "left_semi")
             second = cdc.mark_duplicates(repeated, "__place").where("duplicate_key is not null").select("__place")
             fresh.join(second, "__place", "left_anti").select(*df.columns).write.mode("overwrite").parquet(f"{landed}/batch={number}")
             own = spark.read.schema(df.schema).parquet(f"{landed}/batch={number}")
-            new = own.select(F.lit(0).alias("kind"), F.col("event_id").alias("value")).unionByName(own.select(F.lit(1).alias("kind"), F.col("event_hash").alias("value"))).where("value is not null")
+            new = own.select(F.lit(0).alias("kind"), F.col("event_id").alias("value")).unionByName(own.select(F.lit(1).alias("kind"),
+                F.col("event_hash").alias("value"))).where("value is not null")
             known.change(new, number, lambda old, more: old.unionByName(more).distinct())
             latest.change(own, number, lambda old, more: merge.upsert(old, more, STATE, *newest))
             if after is not None:
@@ -162,7 +168,8 @@ def stateful_order(stream: DataFrame, keys: list[str], timeout: str = "NoTimeout
             state.update(tuple(last))
         yield pd.DataFrame(found, columns=[*keys, "event_id", "anomaly"])
 
-    return stream.groupBy(*keys).applyInPandasWithState(step, f"{key_schema}, event_id string, anomaly string", "seq bigint, commit_us bigint", "append", timeout)
+    return stream.groupBy(*keys).applyInPandasWithState(step, f"{key_schema}, event_id string, anomaly string", "seq bigint, commit_us bigint",
+        "append", timeout)
 
 
 def publishable(events: DataFrame, tables: tuple[str, ...], contracts: dict | None = None) -> tuple[DataFrame, DataFrame]:
@@ -178,4 +185,5 @@ def dry_run_counts(events: DataFrame) -> DataFrame:
 
 def to_messages(events: DataFrame) -> DataFrame:
     """(topic, key, value) for a Kafka sink, keyed by system and record so that a record keeps its order."""
-    return events.select(F.col("kafka_topic").alias("topic"), F.concat_ws(":", "source_system", "record_primary_key").alias("key"), F.to_json(F.struct("*")).alias("value"))
+    return events.select(F.col("kafka_topic").alias("topic"), F.concat_ws(":", "source_system", "record_primary_key").alias("key"),
+        F.to_json(F.struct("*")).alias("value"))

@@ -12,13 +12,17 @@ SCHEMA = (
     "batch_id string, schema_version int, event_sequence_number long, event_hash string, kafka_topic string, kafka_partition int, kafka_offset long, arrival_ordinal long, commit_us long"
 )
 TABLES = ("customers", "orders")
-CONTRACTS = {"customers": {"required": ["customer_id", "customer_status"], "nullable": ["email"], "types": {"customer_id": "string", "email": "string", "score": "number", "age": "integer", "vip": "boolean"}, "enums": {"customer_status": ["lead", "active"]}}}
+CONTRACTS = {"customers": {"required": ["customer_id", "customer_status"], "nullable": ["email"],
+    "types": {"customer_id": "string", "email": "string", "score": "number", "age": "integer", "vip": "boolean"},
+        "enums": {"customer_status": ["lead", "active"]}}}
 
 
 def event(n, **over):
     row = dict(
-        event_id=f"e{n}", tenant_id="t", source_system="s", source_table="customers", operation_type="insert", event_timestamp=T + dt.timedelta(minutes=n), record_primary_key="k", payload_before=None,
-        payload_after=json.dumps({"customer_id": "c", "customer_status": "lead", "score": 1.5, "age": 3, "vip": True}), batch_id="b", schema_version=1, event_sequence_number=n, event_hash=f"h{n}", kafka_topic="x", kafka_partition=0, kafka_offset=n, arrival_ordinal=n, commit_us=n,
+        event_id=f"e{n}", tenant_id="t", source_system="s", source_table="customers", operation_type="insert",
+            event_timestamp=T + dt.timedelta(minutes=n), record_primary_key="k", payload_before=None,
+        payload_after=json.dumps({"customer_id": "c", "customer_status": "lead", "score": 1.5, "age": 3, "vip": True}), batch_id="b", schema_version=1,
+            event_sequence_number=n, event_hash=f"h{n}", kafka_topic="x", kafka_partition=0, kafka_offset=n, arrival_ordinal=n, commit_us=n,
     )
     return tuple((row | over)[c.split()[0]] for c in SCHEMA.split(", "))
 
@@ -30,10 +34,14 @@ def frame(spark, *rows):
 def test_reject_classes(spark):
     body = lambda **k: json.dumps({"customer_id": "c", "customer_status": "lead", "score": 1, "age": 3, "vip": True} | k)
     cases = {
-        "SCHEMA_INVALID": [dict(source_system=None), dict(source_table="nope"), dict(payload_after=body(customer_status="odd")), dict(payload_after=body(customer_id=5)), dict(payload_after=body(vip=1)), dict(payload_after=body(age=1.5)), dict(payload_after=body(customer_id=None)), dict(payload_after="{not json")],
-        "UNKNOWN_OPERATION": [dict(operation_type="upsert")], "UNSUPPORTED_SCHEMA_VERSION": [dict(schema_version=99)], "MISSING_SOURCE_KEY": [dict(record_primary_key=""), dict(record_primary_key="None"), dict(record_primary_key=None)],
+        "SCHEMA_INVALID": [dict(source_system=None), dict(source_table="nope"), dict(payload_after=body(customer_status="odd")),
+            dict(payload_after=body(customer_id=5)), dict(payload_after=body(vip=1)), dict(payload_after=body(age=1.5)),
+                dict(payload_after=body(customer_id=None)), dict(payload_after="{not json")],
+        "UNKNOWN_OPERATION": [dict(operation_type="upsert")], "UNSUPPORTED_SCHEMA_VERSION": [dict(schema_version=99)],
+            "MISSING_SOURCE_KEY": [dict(record_primary_key=""), dict(record_primary_key="None"), dict(record_primary_key=None)],
         "INVALID_TENANT": [dict(tenant_id=None)], "INVALID_PAYLOAD": [dict(payload_after=None), dict(operation_type="delete")],
-        None: [dict(), dict(operation_type="UPDATE"), dict(payload_after=body(extra=1, email=None)), dict(operation_type="delete", payload_before=body()), dict(source_table="orders", payload_after="{}")],
+        None: [dict(), dict(operation_type="UPDATE"), dict(payload_after=body(extra=1, email=None)),
+            dict(operation_type="delete", payload_before=body()), dict(source_table="orders", payload_after="{}")],
     }
     rows, want, n = [], {}, 0
     for category, overs in cases.items():
@@ -50,7 +58,8 @@ def test_reject_classes(spark):
 def test_repair_makes_upserts_pass(spark):
     bad = frame(spark, event(1, operation_type="upsert", payload_after='{"customer_id":"c","customer_status":""}'))
     row = cdc.classify(cdc.repair(bad, {"customers": {"customer_status": "lead"}}), TABLES, {"customers": {"required": ["customer_status"]}}).first()
-    assert row.reject_category is None and row.operation_type == "insert" and row.repair_actions == ["operation_from_upsert", "default_customer_status"] and row.batch_id == "b_dlq_reprocessed"
+    assert row.reject_category is None and row.operation_type == "insert" and row.repair_actions == ["operation_from_upsert",
+        "default_customer_status"] and row.batch_id == "b_dlq_reprocessed"
 
 
 def test_duplicates_by_each_key_and_greedily(spark):
@@ -61,7 +70,8 @@ def test_duplicates_by_each_key_and_greedily(spark):
 
 
 def test_late_event_is_an_anomaly_and_state_is_protected(spark):
-    rows = frame(spark, event(1, event_sequence_number=20), event(2, event_sequence_number=10), event(3, event_sequence_number=30, commit_us=0), event(4, event_sequence_number=0, commit_us=9))
+    rows = frame(spark, event(1, event_sequence_number=20), event(2, event_sequence_number=10), event(3, event_sequence_number=30, commit_us=0),
+        event(4, event_sequence_number=0, commit_us=9))
     got = {r.arrival_ordinal: r.anomaly for r in cdc.ordering_anomalies(rows, ["tenant_id", "record_primary_key"]).collect()}
     assert got == {2: "out_of_order_sequence", 3: "late_arriving_commit"}
     assert cdc.latest_state(rows, ["record_primary_key"]).first().event_sequence_number == 30
@@ -73,15 +83,19 @@ def test_contract_diff(spark):
     d = cdc.contract_diff(cdc.contract_rows(spark, old), cdc.contract_rows(spark, new))
     got = {(r.source_table, r.kind, r.field, r.value, r.change): r.verdict for r in d.collect()}
     assert got == {
-        ("a", "required", "x", "", "removed"): "breaking", ("a", "nullable", "z", "", "added"): "compatible", ("a", "type", "x", "integer", "changed"): "breaking", ("a", "type", "y", "number", "removed"): "review",
-        ("a", "type", "n", "string", "added"): "compatible", ("a", "enum", "s", "p", "removed"): "breaking", ("a", "enum", "s", "r", "added"): "review", ("gone", "table", "", "", "removed"): "breaking", ("fresh", "table", "", "", "added"): "compatible",
+        ("a", "required", "x", "", "removed"): "breaking", ("a", "nullable", "z", "", "added"): "compatible",
+            ("a", "type", "x", "integer", "changed"): "breaking", ("a", "type", "y", "number", "removed"): "review",
+        ("a", "type", "n", "string", "added"): "compatible", ("a", "enum", "s", "p", "removed"): "breaking",
+            ("a", "enum", "s", "r", "added"): "review", ("gone", "table", "", "", "removed"): "breaking", ("fresh", "table", "", "", "added"): "compatible",
     }
     assert {r.source_table: r.status for r in cdc.contract_summary(d).collect()} == {"a": "breaking", "gone": "breaking", "fresh": "compatible"}
 
 
 def test_debezium(spark):
-    body = {"op": "u", "ts_ms": 1, "source": {"connector": "postgresql", "db": "d", "schema": "public", "table": "orders", "lsn": 77, "txId": 5, "ts_ms": 1704067200000}, "before": None, "after": {"order_id": "o1", "gross_amount": "12.50", "tenant_id": "t"}}
-    msgs = spark.createDataFrame([(json.dumps({"payload": body}), "x.public.orders"), (json.dumps(body | {"op": "d", "before": {"order_id": "o2"}, "after": None}), "x.public.orders")], "value string, topic string")
+    body = {"op": "u", "ts_ms": 1, "source": {"connector": "postgresql", "db": "d", "schema": "public", "table": "orders", "lsn": 77, "txId": 5,
+        "ts_ms": 1704067200000}, "before": None, "after": {"order_id": "o1", "gross_amount": "12.50", "tenant_id": "t"}}
+    msgs = spark.createDataFrame([(json.dumps({"payload": body}), "x.public.orders"),
+        (json.dumps(body | {"op": "d", "before": {"order_id": "o2"}, "after": None}), "x.public.orders")], "value string, topic string")
     a, b = cdc.from_debezium(msgs, {"orders": "commerce_platform"}, {"orders": "order_id"}).orderBy("record_primary_key").collect()
     assert (a.operation_type, a.record_primary_key, a.tenant_id, a.source_system, a.event_sequence_number) == ("update", "o1", "t", "commerce_platform", 77)
     assert json.loads(a.payload_after)["gross_amount"] == "12.50" and a.event_id.startswith("dbz_") and len(a.event_id) == 28 and a.batch_id == "debezium_20240101"
@@ -108,4 +122,5 @@ def test_merge(spark):
 @pytest.mark.parametrize("n", [0, 1])
 def test_empty_tables(spark, n):
     ev = frame(spark, *[event(i) for i in range(n)]) if n else spark.createDataFrame([], SCHEMA)
-    assert cdc.mark_duplicates(ev).count() == n and cdc.ordering_anomalies(ev, ["tenant_id"]).count() == 0 and cdc.ingestion_summary(cdc.classify(ev, TABLES)).count() == n
+    assert cdc.mark_duplicates(ev).count() == n and cdc.ordering_anomalies(ev,
+        ["tenant_id"]).count() == 0 and cdc.ingestion_summary(cdc.classify(ev, TABLES)).count() == n

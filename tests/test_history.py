@@ -51,14 +51,16 @@ def test_invariants_find_problems(spark):
 
 def test_as_of_join(spark, changes):
     h = history.scd2(changes, KEYS, "at", "event_id").select(*KEYS, "state", "valid_from", "valid_to")
-    facts = spark.createDataFrame([("t", "e", 1, ts(4)), ("t", "e", 2, ts(20)), ("u", "e", 3, ts(4))], "tenant_id string, entity string, n int, seen timestamp_ntz")
+    facts = spark.createDataFrame([("t", "e", 1, ts(4)), ("t", "e", 2, ts(20)), ("u", "e", 3, ts(4))],
+        "tenant_id string, entity string, n int, seen timestamp_ntz")
     got = {r.n: r.state for r in history.as_of_join(facts, h, KEYS, "seen").collect()}
     assert got == {1: "active", 2: "canceled", 3: None}
 
 
 def test_snapshot_opens_changes_and_closes(spark):
     cur = "id int, v string, updated timestamp_ntz"
-    first = history.snapshot(spark.createDataFrame([], cur + ", snap_from timestamp_ntz, snap_to timestamp_ntz"), spark.createDataFrame([(1, "a", ts(1)), (2, "b", ts(1))], cur), ["id"], "updated", F.lit(ts(1)))
+    first = history.snapshot(spark.createDataFrame([], cur + ", snap_from timestamp_ntz, snap_to timestamp_ntz"),
+        spark.createDataFrame([(1, "a", ts(1)), (2, "b", ts(1))], cur), ["id"], "updated", F.lit(ts(1)))
     second = history.snapshot(first, spark.createDataFrame([(1, "a2", ts(2)), (3, "c", ts(2))], cur), ["id"], "updated", F.lit(ts(2)).cast("timestamp_ntz"))
     got = sorted((r.id, r.v, r.snap_from.day, r.snap_to and r.snap_to.day) for r in second.collect())
     assert got == [(1, "a", 1, 2), (1, "a2", 2, None), (2, "b", 1, 2), (3, "c", 2, None)]

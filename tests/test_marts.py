@@ -31,7 +31,8 @@ def test_eligibility_fails_closed(spark):
 
 def rows(spark, n=60):
     return spark.range(n).select(
-        F.lit("t").alias("tenant_id"), F.concat(F.lit("c"), "id").alias("canonical_customer_id"), F.when(F.col("id") != 3, F.lit("h")).alias("hashed_email"), F.lit(None).cast("string").alias("hashed_phone"), F.lit("seg").alias("customer_segment")
+        F.lit("t").alias("tenant_id"), F.concat(F.lit("c"), "id").alias("canonical_customer_id"),
+            F.when(F.col("id") != 3, F.lit("h")).alias("hashed_email"), F.lit(None).cast("string").alias("hashed_phone"), F.lit("seg").alias("customer_segment")
     )
 
 
@@ -53,7 +54,8 @@ def test_sync_is_idempotent_and_reconciles(spark):
     assert kinds(exported, first, el) == {"missing_hashed_identifier"}
     no = el.withColumn("activation_eligible", F.col("canonical_customer_id") != "c1")
     bad = exported.where("canonical_customer_id <> 'c2'").unionByName(exported.where("canonical_customer_id = 'c5'")).unionByName(exported.where("canonical_customer_id = 'c6'").withColumn("tenant_id", F.lit("u")))
-    assert kinds(bad, first.union(first.limit(1)), no) == {"missing_hashed_identifier", "privacy_suppressed_row_exported", "missing_eligible_row", "duplicate_customer_export", "unexpected_exported_row", "wrong_tenant_row", "duplicate_idempotency_key"}
+    assert kinds(bad, first.union(first.limit(1)), no) == {"missing_hashed_identifier", "privacy_suppressed_row_exported", "missing_eligible_row",
+        "duplicate_customer_export", "unexpected_exported_row", "wrong_tenant_row", "duplicate_idempotency_key"}
 
 
 def test_access(spark):
@@ -78,5 +80,6 @@ def test_parity_and_expectations(spark):
     a = spark.createDataFrame([(1, 1.0), (2, 2.0)], "k int, v double")
     assert quality.parity(a, a, ["k"]).first().status == "PASS" and quality.parity(a, None, ["k"]).first().status == "NOT_RUN"
     assert tuple(quality.parity(a, spark.createDataFrame([(1, 9.0), (3, 1.0)], "k int, v double"), ["k"]).first()) == ("FAIL", 1, 1, 1)
-    got = {r.check: r.failures for r in quality.expectations(spark.createDataFrame([(1, "a"), (1, None)], "k int, s string"), [("unique", "k"), ("not_null", "s"), ("in_set", "s", ["b"]), ("row_count_between", 5, 9)]).collect()}
+    got = {r.check: r.failures for r in quality.expectations(spark.createDataFrame([(1, "a"), (1, None)], "k int, s string"),
+        [("unique", "k"), ("not_null", "s"), ("in_set", "s", ["b"]), ("row_count_between", 5, 9)]).collect()}
     assert got == {"unique": 1, "not_null": 1, "in_set": 1, "row_count_between": 1}

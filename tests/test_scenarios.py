@@ -14,7 +14,8 @@ from kinfold.streaming import ingest as I
 T = dt.datetime(2024, 1, 1)
 CONTRACTS = {
     "customers": {"required": ["customer_id"], "types": {"customer_id": "string", "email": "string"}, "nullable": ["email"]},
-    "subscriptions": {"required": ["subscription_status"], "types": {"subscription_status": "string"}, "enums": {"subscription_status": ["active", "canceled"]}},
+    "subscriptions": {"required": ["subscription_status"], "types": {"subscription_status": "string"},
+        "enums": {"subscription_status": ["active", "canceled"]}},
     "engagement_events": {"required": ["event_count"], "types": {"event_count": "integer"}},
 }
 ENV = "event_id string, tenant_id string, source_system string, source_table string, operation_type string, event_timestamp timestamp_ntz, record_primary_key string, payload_before string, payload_after string, batch_id string, schema_version int"
@@ -44,21 +45,26 @@ def test_incident_breaking_contract(spark):
 
 
 def test_incident_repeated_delivery(spark):
-    df = spark.createDataFrame([(0, "e1", "h"), (1, "e2", "h")], "arrival_ordinal long, event_id string, event_hash string").withColumns({"kafka_topic": F.lit(None).cast("string"), "kafka_partition": F.lit(None).cast("int"), "kafka_offset": F.lit(None).cast("bigint")})
+    df = spark.createDataFrame([(0, "e1", "h"), (1, "e2", "h")],
+        "arrival_ordinal long, event_id string, event_hash string").withColumns({"kafka_topic": F.lit(None).cast("string"),
+            "kafka_partition": F.lit(None).cast("int"), "kafka_offset": F.lit(None).cast("bigint")})
     assert {r.event_id: r.duplicate_key for r in cdc.mark_duplicates(df).collect()} == {"e1": None, "e2": "event_hash"}
 
 
 def test_incident_shared_device_and_tenants(spark):
     rec = "tenant_id string, record_id string, customer_id string, email string, device_id string"
-    r = spark.createDataFrame([("a", "1", "c1", None, "d"), ("a", "2", "c2", None, "d"), ("a", "3", None, "p@z.com", None), ("b", "4", None, "p@z.com", None)], rec)
+    r = spark.createDataFrame([("a", "1", "c1", None, "d"), ("a", "2", "c2", None, "d"), ("a", "3", None, "p@z.com", None),
+        ("b", "4", None, "p@z.com", None)], rec)
     t = identity.tokens(r)
     x = identity.resolve(t, r)
     assert identity.review_cases(identity.weak_links(t, x)).count() == 1 and x.select("canonical_customer_id").distinct().count() == 4
 
 
 def test_incident_missing_disposition(spark):
-    el = spark.createDataFrame([("t", f"c{i}", True, None) for i in range(10)], "tenant_id string, canonical_customer_id string, activation_eligible boolean, suppression_reason string")
-    out = spark.createDataFrame([("d", "t", f"c{i}", "inserted") for i in range(9)], "destination string, tenant_id string, canonical_customer_id string, status string")
+    el = spark.createDataFrame([("t", f"c{i}", True, None) for i in range(10)],
+        "tenant_id string, canonical_customer_id string, activation_eligible boolean, suppression_reason string")
+    out = spark.createDataFrame([("d", "t", f"c{i}", "inserted") for i in range(9)],
+        "destination string, tenant_id string, canonical_customer_id string, status string")
     assert activation.reconcile(out, out, el).first().variance == 1
 
 
@@ -71,7 +77,8 @@ def test_incident_stale_table(spark):
 def test_seeded_events(spark):
     e = seeded.events(spark, people=7, days=5)
     rows = e.collect()
-    assert sorted(map(str, rows)) == sorted(map(str, seeded.events(spark, people=7, days=5).repartition(3).collect())) != sorted(map(str, seeded.events(spark, seed=1, people=7, days=5).collect()))
+    assert sorted(map(str, rows)) == sorted(map(str, seeded.events(spark, people=7, days=5).repartition(3).collect())) != sorted(map(str,
+        seeded.events(spark, seed=1, people=7, days=5).collect()))
     assert len(rows) == 35 == len({r.event_id for r in rows}) == len({r.arrival_ordinal for r in rows})
     from kinfold.sources.bridge import SYSTEMS
 
@@ -85,7 +92,8 @@ def test_seeded_events(spark):
 
 
 def test_events_are_loaded_leniently(spark, tmp_path):
-    rows = [{"event_id": "1", "tenant_id": "t", "source_system": "s", "source_table": "customers", "operation_type": "insert", "event_timestamp": "2024-01-01T00:00:00", "record_primary_key": "k", "payload_after": "{}", "batch_id": "b", "schema_version": v} for v in (1, 9)]
+    rows = [{"event_id": "1", "tenant_id": "t", "source_system": "s", "source_table": "customers", "operation_type": "insert",
+        "event_timestamp": "2024-01-01T00:00:00", "record_primary_key": "k", "payload_after": "{}", "batch_id": "b", "schema_version": v} for v in (1, 9)]
     (tmp_path / "e.jsonl").write_text("\n".join(map(json.dumps, rows)) + "\nnot json\n")
     assert cdc.load_events(spark, str(tmp_path / "e.jsonl"), I.WIRE, ("customers",)).count() == 1
 
@@ -96,7 +104,8 @@ def test_fuzzy_phones(spark):
 
 
 def test_the_newest_record_with_a_payload(spark):
-    rows = [("t", "s", "k", "e1", T, '{"a":1}', None), ("t", "s", "k", "e2", T, None, '{"a":2}'), ("t", "s", "k", "e3", T, "{}", None), ("t", "s", "j", "e4", T, None, None)]
+    rows = [("t", "s", "k", "e1", T, '{"a":1}', None), ("t", "s", "k", "e2", T, None, '{"a":2}'), ("t", "s", "k", "e3", T, "{}", None),
+        ("t", "s", "j", "e4", T, None, None)]
     df = spark.createDataFrame(rows, "tenant_id string, source_system string, record_primary_key string, event_id string, event_timestamp timestamp_ntz, payload_after string, payload_before string")
     assert [(r.record_primary_key, r.event_id, r.payload) for r in identity.latest_records(df).collect()] == [("k", "e2", '{"a":2}')]
 

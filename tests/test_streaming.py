@@ -10,7 +10,9 @@ from kinfold.streaming import ingest as I
 
 def event(n, **over):
     row = dict(
-        event_id=f"e{n}", tenant_id="t", source_system="s", source_table="orders", operation_type="insert", event_timestamp=f"2024-01-01T00:{n:02d}:00", record_primary_key=f"k{n % 2}", payload_before=None, payload_after="{}", batch_id="b", schema_version=1,
+        event_id=f"e{n}", tenant_id="t", source_system="s", source_table="orders", operation_type="insert",
+            event_timestamp=f"2024-01-01T00:{n:02d}:00", record_primary_key=f"k{n % 2}", payload_before=None, payload_after="{}", batch_id="b",
+                schema_version=1,
         event_sequence_number=n, event_hash=f"h{n}", kafka_topic="orders", kafka_partition=0, kafka_offset=n,
     )
     return row | over
@@ -26,7 +28,8 @@ def test_stream_lands_rejects_and_merges_once(spark, tmp_path):
     latest = I.Buckets(spark, f"{out}/latest", I.WIRE, I.STATE, 4)
     known = I.landed_keys(spark, f"{out}/keys", 4)
     # an id's first arrival lands, not its greatest sequence; what a rejected event has blocks nothing
-    put(src / "1.json", event(1), event(2), event(2, event_sequence_number=99, event_hash="h7"), event(3, operation_type="upsert"), event(8, event_hash="h1"), event(8, event_hash="h8"))
+    put(src / "1.json", event(1), event(2), event(2, event_sequence_number=99, event_hash="h7"), event(3, operation_type="upsert"),
+        event(8, event_hash="h1"), event(8, event_hash="h8"))
 
     def run():
         q = I.ingest(I.from_files(spark, str(src)), ("orders",), f"{out}/landed", f"{out}/rejected", latest, known, f"{out}/cp")
@@ -67,14 +70,17 @@ def test_stateful_order(spark, tmp_path):
 def test_stateful_order_equals_the_batch_form(spark, tmp_path):
     rnd = random.Random(4)
     rows = [(i, rnd.choice([None, 0, 1, 5, 9, 20, 30]), rnd.choice([None, None, 3, 8, 12]), f"k{i % 7}") for i in range(300)]
-    put(tmp_path / "in" / "1.json", *[event(i % 60, event_id=f"e{i}", event_sequence_number=s, record_primary_key=k, kafka_offset=i, batch_id=str(-1 if c is None else c)) for i, s, c, k in rows])
+    put(tmp_path / "in" / "1.json", *[event(i % 60, event_id=f"e{i}", event_sequence_number=s, record_primary_key=k, kafka_offset=i,
+        batch_id=str(-1 if c is None else c)) for i, s, c, k in rows])
     commit = F.nullif(F.col("batch_id").cast("bigint"), F.lit(-1))
     more = {"arrival_ordinal": F.col("kafka_offset"), "commit_us": commit}
-    q = I.stateful_order(I.from_files(spark, str(tmp_path / "in")).withColumns(more), ["tenant_id", "record_primary_key"]).writeStream.format("memory").queryName("odd").outputMode("append").trigger(availableNow=True).start()
+    q = I.stateful_order(I.from_files(spark, str(tmp_path / "in")).withColumns(more),
+        ["tenant_id", "record_primary_key"]).writeStream.format("memory").queryName("odd").outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination(120)
     whole = spark.read.schema(I.WIRE).json(str(tmp_path / "in")).withColumns(more)
     batch = cdc.ordering_anomalies(whole, ["tenant_id", "record_primary_key"]).collect()
-    assert sorted((r.event_id, r.anomaly) for r in spark.table("odd").collect()) == sorted((f"e{r.arrival_ordinal}", r.anomaly) for r in batch) and len({r.anomaly for r in batch}) == 2
+    assert sorted((r.event_id, r.anomaly) for r in spark.table("odd").collect()) == sorted((f"e{r.arrival_ordinal}",
+        r.anomaly) for r in batch) and len({r.anomaly for r in batch}) == 2
 
 
 def test_files(spark, tmp_path):
