@@ -37,10 +37,10 @@ from ..runtime import settle
 from .common import partitions
 from .quality import held_out
 
-ORDER = 3
+ORDER = 2
 AT_ONCE = 2  # orders whose n-grams are all sent, in the first round
-MU, POWER = 3.0, 0.9  # about where held-out likelihood is best on 10,000 documents
-LEAST_BLOCK_BYTES, MOST_BLOCK_BYTES = 8 << 20, 24 << 20
+MU, POWER = 3.0, 0.8  # about where held-out likelihood is best on 10,000 documents
+LEAST_BLOCK_BYTES, MOST_BLOCK_BYTES = 4 << 20, 8 << 20  # a block's automaton takes about 40 times as much memory
 SHARD_BYTES = 32 << 20
 LANE = 256  # words that are traversed in one go; a longer text is traversed in several lanes at once
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
@@ -119,10 +119,10 @@ def distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def numbers(by: np.ndarray, begin: np.ndarray) -> np.ndarray:
     """For each value its number among the distinct ones, from what ``distinct`` gives."""
-    mark = np.zeros(len(by), np.int64)
+    mark = np.zeros(len(by), np.int32)
     mark[begin[1:]] = 1
-    out = np.empty(len(by), np.int64)
-    out[by] = np.cumsum(mark)
+    out = np.empty(len(by), np.int32)
+    out[by] = np.cumsum(mark, dtype=np.int32)
     return out
 
 
@@ -135,14 +135,14 @@ class Level:
         x, ok = at[-1]
         where = np.flatnonzero(ok)
         self.keys, by, begin = distinct(x[where])
-        self.first = where[by[begin]]
-        self.number = np.zeros(len(x), np.int64)
+        self.first = where[by[begin]].astype(np.int32)
+        self.number = np.zeros(len(x), np.int32)
         self.number[where] = numbers(by, begin)
         if below is None:
             # the opening END is no n-gram that is predicted, but a context
             self.number[~ok] = np.searchsorted(self.keys, np.uint64(END))
         if free is not None:
-            self.own = np.add.reduceat(free[where[by]].astype(np.int64), begin) if len(begin) else np.empty(0, np.int64)
+            self.own = np.add.reduceat(free[where[by]].astype(np.uint32), begin) if len(begin) else np.empty(0, np.uint32)
         self.asked = np.ones(len(self.keys), bool)
         if below is not None:
             self.before = below.number[self.first - 1]  # the context
@@ -155,8 +155,9 @@ class Level:
             raise RuntimeError("a block's answers are not for its n-grams")
         self.shared = np.zeros(len(self.keys), bool)
         self.shared[self.asked] = shared
-        self.totals = totals.astype(np.int64) if self.asked.all() else self.own.copy()
-        self.totals[self.asked] = totals
+        self.totals = totals if self.asked.all() else self.own
+        if self.totals is not totals:
+            self.totals[self.asked] = totals
 
 
 def levels(at: list[tuple[np.ndarray, np.ndarray]], free: np.ndarray, answers: list[tuple[np.ndarray, np.ndarray]]) -> list[Level]:
@@ -179,21 +180,21 @@ class Automaton:
     """
 
     def __init__(self, own: list[Level], tokens: int, types: int, mu: float, power: float = 0.0):
-        """``own``: the block's n-grams by order, with their totals."""
+        """``own``: the block's n-grams by order, with their totals. States and n-grams are numbered in 32 bits."""
         order, keys, counts = len(own), [x.keys for x in own], [x.totals for x in own]
         self.words, n = keys[0], len(keys[0])
         self.root_weight = np.log10((counts[0] + 1.0) / (tokens + types + 1.0))
         # states: n-grams of each order below the last that training has seen
         state, made = [], 1
         for m in range(order - 1):
-            s = np.zeros(len(keys[m]), np.int64)
+            s = np.zeros(len(keys[m]), np.int32)
             seen = counts[m] > 0
             s[seen] = np.arange(made, made + int(seen.sum()))
             made += int(seen.sum())
             state.append(s)
         self.states = made
-        self.root_to = state[0] if state else np.zeros(n, np.int64)
-        self.fail_to, self.fail_weight = np.zeros(made, np.int64), np.zeros(made)
+        self.root_to = state[0] if state else np.zeros(n, np.int32)
+        self.fail_to, self.fail_weight = np.zeros(made, np.int32), np.zeros(made)
         arc_key, arc_weight, arc_to, low = [], [], [], self.root_weight
         for m in range(1, order):  # n-grams of order m + 1 are arcs of the states of order m
             before, suffix = own[m].before, own[m].suffix
@@ -203,7 +204,7 @@ class Automaton:
             weight = np.log10((counts[m] + mass[before] * 10.0 ** low[suffix]) / (counts[m - 1][before] + mass[before]))
             arc = counts[m] > 0
             to = state[m] if m < order - 1 else state[m - 1][suffix]
-            arc_key.append((state[m - 1][before] * n + word)[arc])
+            arc_key.append(state[m - 1][before[arc]].astype(np.int64) * n + word[arc])
             arc_weight.append(weight[arc])
             arc_to.append(to[arc])
             seen = state[m - 1] > 0
@@ -213,8 +214,8 @@ class Automaton:
             low = weight
         self.arc_key, self.arc_weight, self.arc_to = (np.concatenate(x) if x else np.empty(0, np.int64) for x in (arc_key, arc_weight, arc_to))
         self.bits = max(1, (2 * len(self.arc_key)).bit_length())
-        self.slot = np.full(1 << self.bits, -1, np.int64)
-        todo, at = np.arange(len(self.arc_key)), self._home(self.arc_key)
+        self.slot = np.full(1 << self.bits, -1, np.int32)
+        todo, at = np.arange(len(self.arc_key), dtype=np.int32), self._home(self.arc_key)
         while len(todo):
             free = self.slot[at] < 0
             self.slot[at[free]] = todo[free]
@@ -240,7 +241,7 @@ class Automaton:
 
     def step(self, state: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Weights of reading ``word`` in ``state`` (failure arcs included), and the states it leads to."""
-        weight, to, n = np.zeros(len(state)), np.zeros(len(state), np.int64), len(self.words)
+        weight, to, n = np.zeros(len(state)), np.zeros(len(state), np.int32), len(self.words)
         open_, at = np.arange(len(state)), state
         while len(open_) and len(self.arc_key):
             inner = at > 0
@@ -249,7 +250,7 @@ class Automaton:
                 weight[rooted] += self.root_weight[word[rooted]]
                 to[rooted] = self.root_to[word[rooted]]
                 open_, at = open_[inner], at[inner]
-            found = self.find(at * n + word[open_])
+            found = self.find(at.astype(np.int64) * n + word[open_])
             hit = found >= 0
             weight[open_[hit]] += self.arc_weight[found[hit]]
             to[open_[hit]] = self.arc_to[found[hit]]
@@ -276,7 +277,7 @@ class Automaton:
         b = np.minimum(a + lane, (begin + size)[text])
         by = np.argsort(a - b, kind="stable")  # the longest first: those still open are the first ones
         a, b, text, nth = a[by], b[by], text[by], nth[by]
-        state = np.where(nth == 0, self.start, 0)
+        state = np.where(nth == 0, self.start, 0).astype(np.int32)
         for back in range(self.depth, 0, -1):
             i = np.flatnonzero(nth > 0)
             at = a[i] - back
@@ -450,12 +451,13 @@ def score(docs: DataFrame, order: int = ORDER, mu: float = MU, power: float = PO
         at, free, word, size, held = opened(*(left[c][0].as_py() for c in columns), order)
         answers = told(right)
         answers += [(np.empty(0, "<u4"), np.empty(0, bool))] * (order - len(answers))
-        own = levels(at, free, answers)
-        machine = Automaton(own, tokens, types, mu, power)
-        word, ok = word.astype(np.int64), at[0][1]
-        doc = np.repeat(np.arange(len(size)), size)
+        own, ok = levels(at, free, answers), at[0][1]
+        del at, answers
+        machine, trained = Automaton(own, tokens, types, mu, power), own[0].totals > 0
+        del own
+        doc = np.repeat(np.arange(len(size), dtype=np.int32), size)
         base = np.bincount(doc[ok], machine.root_weight[word[ok]], len(size))
-        seen = np.bincount(doc[ok], own[0].totals[word[ok]] > 0, len(size)).astype(np.int64)
+        seen = np.bincount(doc[ok], trained[word[ok]], len(size)).astype(np.int64)
         return pa.Table.from_arrays(
             [left["ids"].combine_chunks().flatten(), pa.array(held), pa.array(size - 1), pa.array(seen), pa.array(np.full(len(size), tokens, np.int64)), pa.array(base), pa.array(machine.traverse(word, size))],
             ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
