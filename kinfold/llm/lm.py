@@ -16,9 +16,9 @@ all blocks and answers each with the totals of what it sent, and whether any oth
 again, the block builds the automaton of just its own n-grams, and its texts traverse it. So each n-gram moves once per
 block, not once per occurrence; a frequent word is one entry of each block. Words and pairs are sent at once; longer
 n-grams, order by order, only where both n-grams of one word less are in other blocks too: all others are in this
-block alone, which then knows their totals. A block sends a row to each shard that it has an n-gram
-for; blocks grow with the square root of the input up to ``MOST_BLOCK_BYTES``, so rows are few, and never more than
-n-grams.
+block alone, which then knows their totals. A block sends a row to each shard that it has an n-gram for. Where there would
+be more than ``FAN`` shards, it sends to ranges of them, and cells of as many blocks merge what they have for a range before
+it goes to the shards: rows grow with the input then, not with its square.
 """
 
 from __future__ import annotations
@@ -42,6 +42,7 @@ AT_ONCE = 2  # orders whose n-grams are all sent, in the first round
 MU, POWER = 3.0, 0.8  # about where held-out likelihood is best on 10,000 documents
 LEAST_BLOCK_BYTES, MOST_BLOCK_BYTES = 4 << 20, 8 << 20  # a block's automaton takes about 40 times as much memory
 SHARD_BYTES = 32 << 20
+FAN = 4096  # shards that a block sends to, and blocks that a cell merges
 LANE = 256  # words that are traversed in one go; a longer text is traversed in several lanes at once
 _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 END = 0x243F6A8885A308D3  # the hash of the end of a text, which also precedes its first word
@@ -299,7 +300,7 @@ def block_bytes_for(total: int) -> int:
     return int(min(MOST_BLOCK_BYTES, max(LEAST_BLOCK_BYTES, math.sqrt(total * 128e3))))
 
 
-def score(docs: DataFrame, order: int = ORDER, mu: float = MU, power: float = POWER, held_modulus: int = 7, held_remainder: int = 2, doc_id: str = "doc_id", text: str = "text", block_bytes: int | None = None) -> DataFrame:
+def score(docs: DataFrame, order: int = ORDER, mu: float = MU, power: float = POWER, held_modulus: int = 7, held_remainder: int = 2, doc_id: str = "doc_id", text: str = "text", block_bytes: int | None = None, fan: int = FAN) -> DataFrame:
     """One row per document: ``doc_id``, ``held_out``, ``n_tokens``, ``n_known``, ``train_tokens``, ``base_score``, ``score``.
 
     The model learns from all documents that are not held out: those whose crc32(doc_id as text) modulo
@@ -315,6 +316,10 @@ def score(docs: DataFrame, order: int = ORDER, mu: float = MU, power: float = PO
     shards = max(partitions(docs), math.ceil(total / SHARD_BYTES))
     rows = rows.withColumn("held", held_out(F.col("doc_id"), held_modulus, held_remainder))
     kind = dict(rows.dtypes)["doc_id"]
+    # beyond ``fan`` shards, ranges of ``subs`` shards each
+    subs = 1 if shards <= fan else math.ceil(math.sqrt(shards))
+    shards = math.ceil(shards / subs)
+    cells = max(1, math.ceil(total / most / fan))
     step = (1 << 64) // shards + 1
     bounds = np.array([step * i for i in range(1, shards)], np.uint64)
 
@@ -355,14 +360,15 @@ def score(docs: DataFrame, order: int = ORDER, mu: float = MU, power: float = PO
         size, out, word = expand(sizes, "<i8"), expand(held, "u1").astype(bool), expand(words, "<u4")
         return grams(expand(known, "<u8", True)[word], size, upto), np.repeat(~out, size), word, size, out
 
+    def parted(each: list[tuple[np.ndarray, ...]], at: np.ndarray) -> list[tuple[int, list[tuple[np.ndarray, ...]]]]:
+        """Sorted keys, and what goes with them, of each order, cut at ``at``: those cuts in which there are any."""
+        ends = [[0, *np.searchsorted(x[0], at).tolist(), len(x[0])] for x in each]
+        cuts = ((s, [tuple(c[e[s] : e[s + 1]] for c in x) for x, e in zip(each, ends)]) for s in range(len(at) + 1))
+        return [(s, own) for s, own in cuts if any(len(x[0]) for x in own)]
+
     def sent(block: int, each: list[tuple[np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-        """Keys and counts of each order, cut by shard."""
-        each = [(k, c.astype("<u4"), [0, *np.searchsorted(k, bounds).tolist(), len(k)]) for k, c in each]
-        out = []
-        for s in range(shards):
-            own = [(k[e[s] : e[s + 1]], c[e[s] : e[s + 1]]) for k, c, e in each]
-            if any(len(k) for k, _ in own):
-                out.append((s, [squeeze(k, True) for k, _ in own], [squeeze(c) for _, c in own]))
+        """Keys and counts of each order, cut by shard (or range of shards)."""
+        out = [(s, [squeeze(k, True) for k, _ in own], [squeeze(c) for _, c in own]) for s, own in parted([(k, c.astype("<u4")) for k, c in each], bounds)]
         s, k, c = zip(*out) if out else ((), (), ())
         binary = pa.list_(pa.binary())
         return pa.RecordBatch.from_arrays([pa.array([block] * len(out), pa.int64()), pa.array(s, pa.int32()), pa.array(k, binary), pa.array(c, binary)], ["block", "shard", "keys", "counts"])
@@ -428,14 +434,76 @@ def score(docs: DataFrame, order: int = ORDER, mu: float = MU, power: float = PO
             ["block", "shard", "totals", "shared", "tokens", "types"],
         )
 
+    def united(rows: list[dict], m: int):
+        """(distinct keys, their order and beginnings, counts, whether several have them) of what rows hold of one order."""
+        keys, by, begin = distinct(np.concatenate([expand(r["keys"][m], "<u8", True) for r in rows]))
+        counts = np.concatenate([expand(r["counts"][m], "<u4") for r in rows]).astype(np.int64)[by]
+        counts = np.add.reduceat(counts, begin) if len(begin) else counts
+        return keys, by, begin, np.minimum(counts, 0xFFFFFFFF).astype("<u4"), np.diff(begin, append=len(by)) > 1
+
+    def merge(key, sent_here):
+        """One cell's n-grams of a range of shards, cut by shard."""
+        shard, cell, rows = key[0].as_py(), key[1].as_py(), sent_here.to_pylist()
+        each = [(k, c, several) for k, _, _, c, several in (united(rows, m) for m in range(len(rows[0]["keys"])))]
+        inner = np.array([step * shard + step // subs * i for i in range(1, subs)], np.uint64)
+        out = [(shard, cell, s, [squeeze(k, True) for k, _, _ in own], [squeeze(c) for _, c, _ in own], [np.packbits(v).tobytes() for _, _, v in own]) for s, own in parted(each, inner)]
+        return pa.Table.from_pylist([dict(zip(merged_schema.names, r)) for r in out], schema=merged_schema)
+
+    def add_cells(key, sent_here):
+        """One shard: totals over the cells, answered in the order in which each cell sent."""
+        shard, sub, rows = key[0].as_py(), key[1].as_py(), sent_here.to_pylist()
+        out = [{"shard": shard, "cell": r["cell"], "sub": sub, "totals": [], "shared": []} for r in rows]
+        stats = {"shard": shard, "sub": sub, "tokens": 0, "types": 0}
+        for m in range(len(rows[0]["keys"])):
+            keys, by, begin, counts, several = united(rows, m)
+            size = [len(expand(r["keys"][m], "<u8", True)) for r in rows]
+            inv = numbers(by, begin)
+            flags = np.concatenate([np.unpackbits(np.frombuffer(r["several"][m], np.uint8), count=n) for r, n in zip(rows, size)])
+            shared = several | (np.bincount(inv, flags, len(keys)) > 0)
+            if m == 0:
+                stats |= {"tokens": int(counts.sum(dtype=np.int64)), "types": int((counts > 0).sum())}
+            for o, i in zip(out, np.split(inv, np.cumsum(size)[:-1])):
+                o["totals"].append(squeeze(counts[i]))
+                o["shared"].append(np.packbits(shared[i]).tobytes())
+        return pa.Table.from_pylist([*out, stats], schema=summed_schema)
+
+    def hand_back(key, sent_here, summed):
+        """The totals of a cell's n-grams, for each of its blocks in the order in which it sent."""
+        rows, sums = sent_here.to_pylist(), summed.sort_by("sub").to_pylist()
+        out = [{"block": r["block"], "shard": r["shard"], "totals": [], "shared": []} for r in rows]
+        for m in range(len(rows[0]["keys"])):
+            _, by, begin, _, _ = united(rows, m)
+            totals = [expand(x["totals"][m], "<u4") for x in sums]
+            shared = np.concatenate([np.unpackbits(np.frombuffer(x["shared"][m], np.uint8), count=len(t)) for x, t in zip(sums, totals)])
+            totals, inv = np.concatenate(totals), numbers(by, begin)
+            size = [len(expand(r["keys"][m], "<u8", True)) for r in rows]
+            for o, i in zip(out, np.split(inv, np.cumsum(size)[:-1])):
+                o["totals"].append(squeeze(totals[i]))
+                o["shared"].append(np.packbits(shared[i]).tobytes())
+        return pa.Table.from_pylist(out, schema=reply_schema)
+
     binary = pa.list_(pa.binary())
+    merged_schema = pa.schema([("shard", pa.int32()), ("cell", pa.int32()), ("sub", pa.int32()), ("keys", binary), ("counts", binary), ("several", binary)])
+    summed_schema = pa.schema([("shard", pa.int32()), ("cell", pa.int32()), ("sub", pa.int32()), ("totals", binary), ("shared", binary), ("tokens", pa.int64()), ("types", pa.int64())])
+    reply_schema = pa.schema([("block", pa.int64()), ("shard", pa.int32()), ("totals", binary), ("shared", binary), ("tokens", pa.int64()), ("types", pa.int64())])
     asked_schema = pa.schema([("block", pa.int64()), ("shard", pa.int32()), ("keys", binary), ("counts", binary)])
     question = "block long, shard int, keys array<binary>, counts array<binary>"
     columns = ["held", "sizes", "known", "words"]
     tasks = max(partitions(docs), math.ceil(total / most / 4))  # a few blocks each, at any size
 
     def answered(asked: DataFrame, number: int) -> DataFrame:
-        found = asked.repartition(shards, "shard").groupBy("shard").applyInArrow(add_up, "block long, shard int, totals array<binary>, shared array<binary>, tokens long, types long")
+        reply = "block long, shard int, totals array<binary>, shared array<binary>, tokens long, types long"
+        if subs == 1:
+            found = asked.repartition(shards, "shard").groupBy("shard").applyInArrow(add_up, reply)
+        else:
+            asked = settle(asked.withColumn("cell", F.pmod(F.xxhash64("block"), F.lit(cells)).cast("int")), "lm-asked")
+            merged = asked.repartition(shards * cells, "shard", "cell").groupBy("shard", "cell").applyInArrow(merge, "shard int, cell int, sub int, keys array<binary>, counts array<binary>, several array<binary>")
+            sums = merged.repartition(shards * subs, "shard", "sub").groupBy("shard", "sub").applyInArrow(add_cells, "shard int, cell int, sub int, totals array<binary>, shared array<binary>, tokens long, types long")
+            sums = settle(sums, "lm-sums")
+            back = sums.where("cell is not null").repartition(shards * cells, "shard", "cell").groupBy("shard", "cell")
+            found = asked.repartition(shards * cells, "shard", "cell").groupBy("shard", "cell").cogroup(back).applyInArrow(hand_back, reply)
+            none = F.lit(None)
+            found = found.unionByName(sums.where("cell is null").select(none.cast("long").alias("block"), "shard", none.cast("array<binary>").alias("totals"), none.cast("array<binary>").alias("shared"), "tokens", "types"))
         return settle(found.withColumn("round", F.lit(number)), "lm-answers")
 
     first = answered(blocks.select("block", *columns).mapInArrow(ask, question), 0)

@@ -36,6 +36,10 @@ def test_scores_equal_a_plain_model(spark, order):
                 grams[m - 1].update(tuple(s[k - m + 1 : k + 1]) for k in range(max(1, m - 1), len(s)))
     n, v = sum(grams[0].values()), len(grams[0])
     got = {r.doc_id: r for r in lm.score(df, order=order, mu=5.0, power=0.6, block_bytes=3000).collect()}
+    # ranges of shards, and cells of blocks that merge what they send there
+    again = {r.doc_id: r for r in lm.score(df, order=order, mu=5.0, power=0.6, block_bytes=1000, fan=2).collect()}
+    rounded = lambda rows: {k: (*r[:5], round(r[5], 9), round(r[6], 9)) for k, r in rows.items()}
+    assert rounded(again) == rounded(got)
     assert len(got) == len(rows) and any(held.values())
     for i, t in rows:
         s, base, total = [None, *toks(t)], 0.0, 0.0
