@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,6 +17,18 @@ def words(text: bytes | None) -> list[bytes]:
     return text.lower().split() if text else []
 
 
+_holder: list = [None, None]
+
+
+def claim(name: str, forget: Callable[[], object]) -> None:
+    """A worker process serves many stages, and remembers words for the operator that it serves now only: what another one
+    remembered is forgotten as soon as this one starts."""
+    if _holder[0] != name:
+        if _holder[1] is not None:
+            _holder[1]()
+        _holder[:] = name, forget
+
+
 class _WordHash(dict):
     """Hashes of the words seen last, as many as a worker may remember."""
 
@@ -38,6 +52,7 @@ def shingles(text: bytes | None, size: int) -> np.ndarray:
     w = words(text)
     if not w:
         return np.empty(0, np.uint64)
+    claim("shingles", _hashes.clear)
     h = np.fromiter(map(_hashes.__getitem__, w), np.uint64, len(w))
     k = min(size, len(w))
     n = len(w) - k + 1

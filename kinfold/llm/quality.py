@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import claim
+
 BUCKETS = 1 << 16
 DIM = 8
 SAMPLE = 4096  # labelled rows that training uses at most
@@ -221,6 +223,7 @@ def score(text: Column, model: Model) -> Column:
 
     @F.arrow_udf("double")
     def of(texts: pa.Array) -> pa.Array:
+        claim("quality", _Scorer.kept.clear)
         if key not in _Scorer.kept:
             _Scorer.kept.clear()
             _Scorer.kept[key] = _Scorer(each.astype(np.float64), bias)

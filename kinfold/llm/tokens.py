@@ -2,8 +2,7 @@
 
 ``Encoder`` gives exactly the tokenizer's ids. The pre-tokenizer starts a new pre-token at
 every space that precedes a character other than white space, whatever stands around it,
-so a text can be cut there and each part looked up in a bounded cache; a part that misses is put together
-from its pre-tokens where it has plain characters only, and what is still unknown is encoded together.
+so a text can be cut there and each part looked up in a bounded cache; parts that miss are encoded together.
 
 ``EditedCount`` keeps the pre-tokens of one document as leaves of a sum tree: those between two such spaces
 are one leaf unless they are long. An edit re-encodes the leaves that it touches plus the boundary context that the
@@ -20,12 +19,14 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from .common import claim
+
 CUT = re.compile(r" (?=\S)")
 ODD = re.compile(r" \s| \Z")
 #: The same for RE2, whose \s is ASCII.
 ODD_RE2 = r" [\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]| \z"
 BATCH_BYTES = 8 << 20
-CACHE = 600_000
+CACHE = 400_000
 LONG = 64  # characters
 
 # Characters whose class (letter, digit, other) every version of the pre-tokenizer's tables agrees on: ASCII, and ranges that
@@ -33,9 +34,6 @@ LONG = 64  # characters
 _L = "A-Za-zÀ-ÖØ-öø-ǵΑ-ΡΣ-ωА-яא-תء-غف-يぁ-ゔァ-ヺ一-龥가-힣"
 _D = "0-9"
 _P = "!-&(-/:-@\\[-`{-~、。〈-』！，：；？"  # without the apostrophe
-UNCERTAIN = re.compile(f"[^ \n\t\r{_L}{_D}{_P}]")
-#: The pre-tokens of a text without uncertain characters.
-PRETOKEN = re.compile(rf" ?[{_L}]+| ?[{_D}]+| ?[{_P}]+|\s+(?!\S)|\s+")
 #: Places where a pre-token ends whatever stands around, told by the two characters before and the one behind. The last
 #: character of a longer run of white space is a pre-token of its own, so no cut is made after one.
 FIRM = re.compile(rf"(?<=\S)(?=[\n\t\r])|(?<=\S[\n\t\r])(?=\S)|(?<=[{_L}])(?=[{_P}{_D}'])|(?<=[{_D}])(?=[{_L}{_P}'])|(?<=[{_P}])(?=[{_L}{_D}])")
@@ -49,6 +47,13 @@ def default_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def slices(texts: pa.Array) -> list[tuple[int, int]]:
+    """(start, number) of runs of texts of about ``BATCH_BYTES``."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    cuts = [0, *(np.flatnonzero(np.diff(ends // BATCH_BYTES)) + 1).tolist(), len(texts)]
+    return [(a, b - a) for a, b in zip(cuts, cuts[1:]) if b > a]
+
+
 class Encoder:
     """Ids (as little-endian unsigned 32-bit bytes) of whole UTF-8 texts.
 
@@ -78,10 +83,16 @@ class Encoder:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        claim("tokens", cls._forget)
         if path not in cls._kept:
             cls._kept[path] = cls(path)
         return cls._kept[path]
 
+    @classmethod
+    def _forget(cls) -> None:
+        for e in cls._kept.values():
+            e.parts, e.before = {}, {}
+
     def split(self, text: str) -> list[str]:
         """Parts whose ids don't depend on one another: each later part starts with a space."""
         parts = CUT.split(text) if ODD.search(text) else text.split(" ")
@@ -96,29 +107,8 @@ class Encoder:
 
     def learn(self, missing: set[str]) -> dict[str, bytes]:
         """The ids of parts that ``parts`` doesn't have."""
-        old, known = self.before.get, self.parts.get
-        out, new, built = {}, {}, []
-        for p in missing:
-            v = old(p)
-            if v is not None:
-                out[p] = v
-            elif p[1:].isalpha() or UNCERTAIN.search(p) or len(some := PRETOKEN.findall(p)) < 2:
-                new[p] = None
-            else:
-                built.append((p, some))
-        have = {}
-        for u in {u for _, some in built for u in some}:
-            if u not in new:
-                v = known(u) or old(u)
-                if v is None:
-                    new[u] = None
-                else:
-                    have[u] = v
-        out.update(self._encoded(list(new)))
-        have.update(out)
-        get = have.__getitem__
-        for p, some in built:
-            out[p] = b"".join(map(get, some))
+        out = {p: v for p in missing if (v := self.before.get(p)) is not None} if self.before else {}
+        out.update(self._encoded([p for p in missing if p not in out] if out else list(missing)))
         self._keep(out)
         return out
 
@@ -171,15 +161,14 @@ class Encoder:
 
     def column(self, texts: pa.Array, end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, one after another, and how many each has; null has none. ``end`` is put behind each."""
-        texts = pc.fill_null(texts.cast(pa.string()), "")
-        bytes_ = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False).astype(np.int64))
-        cuts = [0, *np.flatnonzero(np.diff(bytes_ // BATCH_BYTES)).tolist(), len(texts)]
-        each = [self._some(texts.slice(a, b - a), end) for a, b in zip(cuts, cuts[1:]) if b > a]
+        each = [self.slice(texts.slice(a, n), end) for a, n in slices(texts)]
         if not each:
             return np.empty(0, "<u4"), np.empty(0, np.int64)
         return np.concatenate([x for x, _ in each]), np.concatenate([n for _, n in each])
 
-    def _some(self, texts: pa.Array, end: int | None) -> tuple[np.ndarray, np.ndarray]:
+    def slice(self, texts: pa.Array, end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """The same for texts of few bytes, at once."""
+        texts = pc.fill_null(texts.cast(pa.string()), "")
         odd = pc.match_substring_regex(texts, ODD_RE2).to_numpy(zero_copy_only=False)
         even = np.flatnonzero(~odd)
         size = np.zeros(len(texts), np.int64)

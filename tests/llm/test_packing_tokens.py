@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from kinfold.llm import packing, tokens
+from kinfold.llm import common, packing, tokens
 
 PARTS = [" ", "  ", "\n", " \n", "a", "the", " b", "'s", "1", "22", "!", "\t", "é", "<|endoftext|>", "\x1c", "\u3000x", "\x85"]
 
@@ -28,6 +28,16 @@ def test_encoder_equals_the_tokenizer():
     assert e.many([None]) == [b""] and all(len(p) <= 64 for p in e.parts)
 
 
+def test_a_worker_remembers_for_one_operator_only():
+    e = tokens.Encoder.cached()
+    e.counts(["a", " b"])
+    assert e.parts
+    common.shingles(b"one two three", 2)
+    assert not e.parts and common._hashes and e.counts([" b"]) == [1]
+    tokens.Encoder.cached()
+    assert not common._hashes
+
+
 def test_character_classes_are_the_tokenizers():
     cut = tokens.Encoder.cached().tokenizer.pre_tokenizer.pre_tokenize_str
     for own, others in ((tokens._L, "b5!"), (tokens._D, "7b!"), (tokens._P, "?b5")):
