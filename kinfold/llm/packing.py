@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StructType
 
 from ..runtime import settle
-from .tokens import Encoder
+from .tokens import Encoder, slices
 
 LENGTH = 1024
 OPEN = 1024
@@ -117,9 +117,9 @@ def pack(docs: DataFrame, tokenizer: str | None = None, keep: list[str] | None =
             seq = table.column(seq_at).to_numpy() + part if close else pa.nulls(len(table), pa.int64())
             return table.set_column(seq_at, "sequence_id", pa.array(seq, pa.int64()))
 
-        for batch in batches:
+        for batch in (b.slice(a, n) for b in batches for a, n in slices(b.column(made))):
             row, out, parts = [], [[] for _ in range(6)], []
-            data, size = encode.column(batch.column(made), end_id)
+            data, size = encode.slice(batch.column(made), end_id)
             for r, (begin, total) in enumerate(zip((np.cumsum(size) - size).tolist(), size.tolist())):
                 for k, (start, n) in enumerate(pieces(total, length)):
                     own = data[begin + start : begin + start + n]
