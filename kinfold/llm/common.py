@@ -26,9 +26,23 @@ def claim(name: str, forget: Callable[[], object]) -> None:
     if _holder[0] != name:
         if _holder[1] is not None:
             _holder[1]()
+            release()
         _holder[:] = name, forget
 
 
+def release() -> None:
+    """Give the memory that this worker has freed back to the system."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
+
+
 class _WordHash(dict):
     """Hashes of the words seen last, as many as a worker may remember."""
 

@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, LongType, StructType
 
 from ..runtime import settle
+from .common import release
 from .tokens import Encoder, slices
 
 LENGTH = 1024
@@ -137,6 +138,8 @@ def pack(docs: DataFrame, tokenizer: str | None = None, keep: list[str] | None =
             open_ = np.isin(now.column(seq_at).to_numpy(), bins.opened())
             kept = now.filter(pa.array(open_)).combine_chunks()
             yield from placed(now.filter(pa.array(~open_)), True).to_batches()
+            del data, now, cols, out
+            release()
         if kept is not None:
             full = np.isin(kept.column(seq_at).to_numpy(), bins.opened(), invert=True)
             yield from placed(kept.filter(pa.array(full)), True).to_batches()

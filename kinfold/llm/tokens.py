@@ -26,7 +26,7 @@ ODD = re.compile(r" \s| \Z")
 #: The same for RE2, whose \s is ASCII.
 ODD_RE2 = r" [\s\x0b\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]| \z"
 BATCH_BYTES = 8 << 20
-CACHE = 400_000
+CACHE = 300_000
 LONG = 64  # characters
 
 # Characters whose class (letter, digit, other) every version of the pre-tokenizer's tables agrees on: ASCII, and ranges that
@@ -195,21 +195,22 @@ class Encoder:
         lists = pc.split_pattern(texts, " ")
         parts, first = lists.flatten(), lists.offsets.to_numpy()[:-1].astype(np.int64) - lists.offsets[0].as_py()
         coded = parts.dictionary_encode()
-        at = coded.indices.to_numpy().astype(np.int64)
+        at = coded.indices.to_numpy()
         later = np.ones(len(at), bool)
         later[first] = False
         used = np.zeros(len(coded.dictionary), bool)
         used[at[later]] = True
         names = [" " + p for p in coded.dictionary.filter(pa.array(used)).to_pylist()]
-        place = np.cumsum(used) - 1
+        place = (np.cumsum(used) - 1).astype(np.int32)
         at = place[at]
-        at[first] = len(names) + np.arange(len(texts))  # the first part of a text has no space before it
+        at[first] = len(names) + np.arange(len(texts), dtype=np.int32)  # the first part of a text has no space before it
         values = self.values(names + parts.take(pa.array(first)).to_pylist())
-        size = np.fromiter(map(len, values), np.int64, len(values)) // 4
-        begin = np.cumsum(size) - size
+        size = np.fromiter(map(len, values), np.int32, len(values)) // 4
+        begin = np.cumsum(size, dtype=np.int32) - size
         n = size[at]
-        ids = np.frombuffer(b"".join(values), "<u4")[np.repeat(begin[at] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))]
-        return ids, np.add.reduceat(n, first)
+        place = np.repeat(begin[at] - (np.cumsum(n, dtype=np.int32) - n), n)  # a slice has far fewer than 2^31 ids
+        place += np.arange(len(place), dtype=np.int32)
+        return np.frombuffer(b"".join(values), "<u4")[place], np.add.reduceat(n, first, dtype=np.int64)
 
     def pieces(self, run: str, size: int = 32) -> list[tuple[str, int]]:
         """One long pre-token cut between tokens into pieces of about ``size`` tokens, with their counts. Any stretch of
