@@ -270,18 +270,24 @@ def classes(docs: DataFrame, threshold: float = 0.8, bands: int = 25, rows: int
     tables = slim.groupBy("key").agg(F.first("sig").alias("sig")).select("key", F.explode(each).alias("x")).select("key", "x.t", "x.k")
     shared = tables.groupBy("t", "k").agg(F.count("*").alias("n"), F.min("key").alias("pivot")).where("n > 1")
     met = settle(tables.join(shared, ["t", "k"]), "minhash-bands")
+    return verified_classes(docs, slim, met, threshold, shingle, limit, doc_id, text)
 
+
+def verified_classes(docs: DataFrame, slim: DataFrame, met: DataFrame, threshold: float, shingle: int, limit: int, doc_id: str, text: str) -> DataFrame:
+    """``doc_id``, ``h`` and ``root`` for ``slim`` (doc_id, h, key) whose sets ``met`` in buckets (t, k, key, n, pivot): ``n`` sets
+    are in a bucket, ``pivot`` is one of them. Links are pairs of a bucket whose Jaccard similarity, computed exactly, is at least ``threshold``."""
+    own, body = F.col(f"`{doc_id}`"), F.col(f"`{text}`")
     named = slim.join(met.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")).alias("r"))
     named = named.select("key", F.col("r.doc_id").alias("__id"), F.col("r.h").alias("__h"))
     texts = docs.select(own.alias("doc_id"), F.xxhash64(body).alias("h"), body.alias("text"))
     sets = texts.join(named, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("h") == F.col("__h")))
     sets = settle(sets.dropDuplicates(["key"]).select("key", _set(F.col("text"), shingle).alias("set")), "shingle-sets")
 
-    first = settle(_verified(met.where("key <> pivot").select(F.col("key").alias("a"), F.col("pivot").alias("b")).distinct(), sets, threshold), "minhash-links")
-    comps = settle(connected_components(first).select(F.col("node").alias("key"), "component"), "minhash-components")
+    first = settle(_verified(met.where("key <> pivot").select(F.col("key").alias("a"), F.col("pivot").alias("b")).distinct(), sets, threshold), "verified-links")
+    comps = settle(connected_components(first).select(F.col("node").alias("key"), "component"), "verified-components")
     left = met.where("n > 2").join(comps, "key", "left").select("t", "k", "key", "n", F.coalesce("component", "key").alias("comp"))
     mixed = left.groupBy("t", "k").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).where("a < b").select("t", "k")
-    rest = settle(left.join(mixed, ["t", "k"], "left_semi"), "minhash-rest")
+    rest = settle(left.join(mixed, ["t", "k"], "left_semi"), "unlinked")
     keys = ["t", "k", "lo", "hi"]
     dealt = _chunked(rest, limit).join(sets, "key").select(*keys, "side", "key", "comp", "set")
 

@@ -129,3 +129,55 @@ def test_copies_without_an_id_are_kept_once(spark):
     rows = [(1, a)] + [(None, a)] * 3 + [(None, b)] + [(None, c)] * 4 + [(None, d)]
     kept = simhash.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert [r.doc_id for r in kept].count(1) == 1 and len(kept) == 3 and sum(r.text in (c, d) for r in kept) == 1
+
+
+def test_the_stage_finds_its_pairs_by_simhash(spark, monkeypatch):
+    from kinfold.llm import minhash
+
+    def never(*_, **__):
+        raise AssertionError("pairs must come from SimHash fingerprints")
+
+    monkeypatch.setattr(minhash, "classes", never)
+    monkeypatch.setattr(minhash, "_signed", never)
+    texts = pairs_at(160, 20, 20, 9)
+    kept = {r.doc_id for r in simhash.deduplicate(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert kept == set(range(0, 40, 2))
+
+
+def wide_clusters(count, size, seed):
+    """Wide fingerprints around ``count`` centres, up to 30 bits from them."""
+    rng, out = np.random.default_rng(seed), []
+    for centre in rng.integers(0, 2, (count, simhash.WIDTH), dtype=np.uint8):
+        for _ in range(size):
+            own = centre.copy()
+            own[rng.choice(simhash.WIDTH, rng.integers(0, 31), replace=False)] ^= 1
+            out.append(own)
+    return np.packbits(np.array(out), axis=1, bitorder="little").view("<u8").astype(np.uint64)
+
+
+def test_reach_equals_brute_force():
+    fps = wide_clusters(40, 5, 2)
+    for near in (0, 40, simhash.NEAR):
+        close, seen = simhash._apart(fps, fps) <= near, np.arange(len(fps))
+        for _ in range(len(fps)):
+            seen = np.where(close, seen, len(fps)).min(1)
+        label = simhash.reach(fps, near, block=3)
+        assert ((label[:, None] == label) == (seen[:, None] == seen)).all()
+    # further blocks miss a pair with a probability, and connect nothing else
+    label, whole = simhash.reach_in(fps, 4, part=50), simhash.reach(fps)
+    assert len(set(zip(label.tolist(), whole.tolist()))) == len(set(label.tolist())) <= 60
+
+
+def test_buckets_hold_every_near_pair_of_a_block(spark):
+    fps = wide_clusters(12, 8, 4)
+    df = spark.createDataFrame([(i, *map(int, f)) for i, f in enumerate(fps.view(np.int64))], "key long, w0 long, w1 long, w2 long, w3 long")
+    meet = (((fps.view(np.uint8)[:, None] ^ fps.view(np.uint8)) & 63) == 0).any(2) & (simhash._apart(fps, fps) <= simhash.NEAR)
+    for crowd in (simhash.CROWD, 4):
+        held, sizes = {}, {}
+        for r in simhash.wide_buckets(df, crowd=crowd).collect():
+            held.setdefault(r.k, set()).add(r.key)
+            sizes[r.k] = r.n
+            assert r.pivot // 8 == r.key // 8
+        assert all(len(held[k]) == n for k, n in sizes.items())
+        got = {(a, b) for s in held.values() for a in s for b in s}
+        assert all((i, j) in got for i, j in np.argwhere(meet).tolist())
