@@ -29,6 +29,8 @@ PERMUTATIONS = 128
 SHINGLE = 5
 RANGE_BYTES = 64 << 20
 EMPTY = np.uint32(0xFFFFFFFF)
+TASK = 8  # a task takes buckets of up to this many times ``limit`` sets whole
+WAYS = 8  # larger ones are cut into this many chunks at most (see ``_chunked``)
 
 
 def coefficients(count: int = PERMUTATIONS, seed: int = 1) -> tuple[np.ndarray, np.ndarray]:
@@ -225,15 +227,19 @@ def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
 
 
 def _chunked(rest: DataFrame, limit: int) -> DataFrame:
-    """``rest`` (t, k, key, comp, n) as (t, k, lo, hi, side, key, comp): whole buckets, or pairs of chunks of a bucket of
-    more than ``limit`` sets. A component that would fill chunks has its own, which are never paired with each other."""
-    half = max(1, limit // 2)
-    whole = rest.where(F.col("n") <= limit).select("t", "k", F.lit(0).alias("lo"), F.lit(0).alias("hi"), F.lit(0).alias("side"), "key", "comp")
-    hot = rest.where(F.col("n") > limit)
-    sizes = hot.groupBy("t", "k", "comp").agg(F.count("*").alias("m"))
-    big = F.col("m") > half
-    number = F.when(big, F.pmod(F.xxhash64("key"), F.ceil(F.col("m") / half))).otherwise(F.pmod(F.xxhash64("comp"), F.ceil(F.col("n") / half)))
-    placed = hot.join(sizes, ["t", "k", "comp"]).withColumn("c", F.struct(big.alias("big"), F.when(big, F.col("comp")).otherwise(0).alias("of"), number.alias("number")))
+    """``rest`` (t, k, key, comp, n) as (t, k, lo, hi, side, key, comp): whole buckets, or pairs of chunks of a bucket of more than
+    ``TASK`` times ``limit`` sets. A component that would fill chunks has its own, which are never paired with each other. Chunks grow
+    with their bucket, so it has at most 3 times ``WAYS`` (``WAYS`` of large components, as many cut short, ``WAYS`` of the rest): a
+    row is copied that often at most, however large its bucket is."""
+    whole = rest.where(F.col("n") <= TASK * limit).select("t", "k", F.lit(0).alias("lo"), F.lit(0).alias("hi"), F.lit(0).alias("side"), "key", "comp")
+    per = F.greatest(F.lit(TASK * limit // 2), F.ceil(F.col("n") / WAYS))
+    hot = rest.where(F.col("n") > TASK * limit).withColumn("per", per)
+    sizes = hot.groupBy("t", "k", "comp").agg(F.count("*").alias("m"), F.first("per").alias("per")).withColumn("big", F.col("m") > F.col("per"))
+    small = sizes.groupBy("t", "k").agg(F.sum(F.when(F.col("big"), 0).otherwise(F.col("m"))).alias("small"))
+    big = F.col("big")
+    into = F.ceil(F.when(big, F.col("m")).otherwise(F.col("small")) / F.col("per"))
+    number = F.pmod(F.when(big, F.xxhash64("key")).otherwise(F.xxhash64("comp")), into)
+    placed = hot.join(sizes.drop("per"), ["t", "k", "comp"]).join(small, ["t", "k"]).withColumn("c", F.struct(big.alias("big"), F.when(big, F.col("comp")).otherwise(0).alias("of"), number.alias("number")))
     lists = placed.groupBy("t", "k").agg(F.array_sort(F.collect_set("c")).alias("all"))  # a few entries for each bucket
     pairs = placed.join(lists, ["t", "k"]).withColumn("own", (F.array_position("all", F.col("c")) - 1).cast("int"))
     pairs = pairs.select("t", "k", "key", "comp", "own", "c", F.posexplode("all").alias("p", "d")).where(~(F.col("c.big") & F.col("d.big") & (F.col("c.of") == F.col("d.of"))))
@@ -241,15 +247,48 @@ def _chunked(rest: DataFrame, limit: int) -> DataFrame:
     return whole.unionByName(pairs.select("t", "k", lo.alias("lo"), F.greatest("own", "p").alias("hi"), F.when(F.col("own") == lo, 0).otherwise(1).alias("side"), "key", "comp"))
 
 
-def _joins(comp: np.ndarray, side: np.ndarray, across: bool, sets: list[np.ndarray], threshold: float) -> list[tuple[int, int]]:
+def _joins(comp: np.ndarray, side: np.ndarray, across: bool, sets: list[np.ndarray], threshold: float, limit: int = 512) -> list[tuple[int, int]]:
     """Index pairs that are alike and connect components (of each side with the other only, if ``across``), as few as
-    connect all that such pairs connect."""
-    comp, at, out = comp.copy(), np.arange(len(comp)), []
-    for i in range(len(comp)):
-        for j in np.flatnonzero((at > i) & (comp != comp[i]) & ((side != side[i]) if across else True)).tolist():
-            if comp[j] != comp[i] and _alike(sets[i], sets[j], threshold):
-                out.append((i, j))
-                comp[comp == comp[j]] = comp[i]
+    connect all that such pairs connect. ``limit`` sets at once are held against as many; each of them is counted against all of the
+    others in one pass, as often as they have shingles."""
+    comp, out = np.unique(comp, return_inverse=True)[1], []
+    size = np.fromiter(map(len, sets), np.int64, len(sets))
+
+    def blocks(at: np.ndarray) -> list[np.ndarray]:
+        return [at[i : i + limit] for i in range(0, len(at), limit)]
+
+    if across:
+        met = [(a, b) for a in blocks(np.flatnonzero(side == 0)) for b in blocks(np.flatnonzero(side == 1))]
+    else:
+        every = blocks(np.arange(len(sets)))
+        met = [(a, b) for i, a in enumerate(every) for b in every[i:]]
+    for a, b in met:
+        if (comp[a] == comp[b[0]]).all() and (comp[b] == comp[b[0]]).all():
+            continue
+        own = a if a is b else np.concatenate([a, b])
+        _, word, times = np.unique(np.concatenate([sets[i] for i in own.tolist()]), return_inverse=True, return_counts=True)
+        shared = times[word] > 1  # what a single set has is in no intersection
+        ends = np.concatenate([[0], np.cumsum(shared)])[np.concatenate([[0], np.cumsum(size[own])])]
+        word, mark, first = word[shared].astype(np.int32), np.zeros(len(times), bool), len(own) - len(b)
+        for x, i in enumerate(a.tolist()):
+            skip = x + 1 if a is b else 0
+            then = b[skip:]
+            able = (comp[then] != comp[i]) & (np.minimum(size[then], size[i]) >= threshold * np.maximum(size[then], size[i]) - 1e-6)
+            if not able.any():
+                continue
+            cuts = ends[first + skip :]
+            mine = word[ends[x] : ends[x + 1]]
+            mark[mine] = True
+            count = np.zeros(len(word) - cuts[0] + 1, np.int32)
+            np.cumsum(mark[word[cuts[0] :]], out=count[1:])
+            both = np.diff(count[cuts - cuts[0]])
+            mark[mine] = False
+            of = size[then] + size[i] - both
+            hit = then[able & (np.divide(both, of, out=np.ones(len(then)), where=of > 0) >= threshold)]
+            if len(hit):
+                joined, which = np.unique(comp[hit], return_index=True)
+                out += [(i, j) for j in hit[which].tolist()]
+                comp[np.isin(comp, joined)] = comp[i]
     return out
 
 
@@ -296,10 +335,10 @@ def verified_classes(docs: DataFrame, slim: DataFrame, met: DataFrame, threshold
             if not len(part):
                 continue
             lo, hi, side, key, comp = (part.column(c).to_numpy() for c in ("lo", "hi", "side", "key", "comp"))
-            sets = [np.frombuffer(s, np.uint64) for s in part.column("set").to_pylist()]
+            sets = [np.frombuffer(s.as_buffer(), np.uint64) for s in part.column("set")]
             src, dst = [], []
             for a, b in zip([0, *cut.tolist()], [*cut.tolist(), len(key)]):
-                for i, j in _joins(comp[a:b], side[a:b], lo[a] != hi[a], sets[a:b], threshold):
+                for i, j in _joins(comp[a:b], side[a:b], lo[a] != hi[a], sets[a:b], threshold, limit):
                     src.append(key[a + i])
                     dst.append(key[a + j])
             if src:

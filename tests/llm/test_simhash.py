@@ -181,3 +181,69 @@ def test_buckets_hold_every_near_pair_of_a_block(spark):
         assert all(len(held[k]) == n for k, n in sizes.items())
         got = {(a, b) for s in held.values() for a in s for b in s}
         assert all((i, j) in got for i, j in np.argwhere(meet).tolist())
+
+
+def test_rows_of_a_bucket_grow_with_its_size_not_its_square(spark):
+    """Every pair of a bucket between components meets, though a row is copied a bounded number of times."""
+    from kinfold.llm import minhash
+
+    def bucket(n):  # a few large components, many of one set
+        return spark.createDataFrame([(0, 7, i, i % 3 if i % 2 else i, n) for i in range(n)], "t int, k long, key long, comp long, n long")
+
+    assert minhash._chunked(bucket(2000), 512).count() == 2000
+    for n in (300, 1200):
+        rows = minhash._chunked(bucket(n), 4).collect()
+        assert n < len(rows) <= 3 * minhash.WAYS * n
+        pairs, comp = set(), {r.key: r.comp for r in rows}
+        sides = {}
+        for r in rows:
+            sides.setdefault((r.lo, r.hi), ([], []))[r.side].append(r.key)
+        for (lo, hi), (a, b) in sides.items():
+            pairs |= {frozenset((x, y)) for x in a for y in (a if lo == hi else b) if x != y}
+        assert len(comp) == n and all(frozenset((x, y)) in pairs for x in range(n) for y in range(x) if comp[x] != comp[y])
+
+
+def test_a_group_of_near_copies_has_the_classes_of_all_pairs(spark):
+    from kinfold.llm import minhash
+    from kinfold.llm.common import shingles
+
+    rng = np.random.default_rng(12)
+    base, texts = [f"b{i}" for i in range(120)], []
+    for i in range(150):  # 0.6 to 0.9 alike, some linked by chains only
+        own = list(base)
+        for at in rng.choice(120, rng.integers(1, 5), replace=False):
+            own[at] = f"x{rng.integers(0, 40)}"
+        texts.append(" ".join(own))
+    sets = [np.unique(shingles(t.encode(), 5)) for t in texts]
+    root = np.arange(len(texts))
+    for i in range(len(texts)):
+        for j in range(i):
+            if minhash.jaccard(sets[i], sets[j]) >= 0.8:
+                root[root == root[j]] = root[i]
+    assert 5 < len(set(root.tolist())) < 150
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for limit in (2, 512):
+        got = {r.doc_id: r.root for r in simhash.classes(df, limit=limit).collect()}
+        assert len(set(zip(root.tolist(), (got[i] for i in range(150))))) == len(set(root.tolist())) == len(set(got.values()))
+
+
+@pytest.mark.parametrize("across", [False, True])
+def test_joins_connect_what_all_pairs_connect(across):
+    from kinfold.llm import minhash
+
+    rng = np.random.default_rng(13)
+    for limit in (1, 3, 512):
+        for _ in range(30):
+            n, words = int(rng.integers(1, 30)), rng.integers(0, 1 << 63, 20, dtype=np.uint64)
+            sets = [np.unique(rng.choice(words, rng.integers(0, 20), replace=False)) for _ in range(n)]
+            comp, side = rng.integers(0, n, n), rng.integers(0, 2, n)
+            want = comp.copy()
+            for i in range(n):
+                for j in range(i):
+                    if (not across or side[i] != side[j]) and minhash.jaccard(sets[i], sets[j]) >= 0.6:
+                        want[want == want[j]] = want[i]
+            got = comp.copy()
+            for i, j in minhash._joins(comp, side, across, sets, 0.6, limit):
+                assert minhash.jaccard(sets[i], sets[j]) >= 0.6 and got[i] != got[j] and (not across or side[i] != side[j])
+                got[got == got[j]] = got[i]
+            assert len(set(zip(want.tolist(), got.tolist()))) == len(set(want.tolist())) == len(set(got.tolist()))
