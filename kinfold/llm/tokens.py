@@ -2,7 +2,8 @@
 
 ``Encoder`` gives exactly the tokenizer's ids. The pre-tokenizer starts a new pre-token at
 every space that precedes a character other than white space, whatever stands around it,
-so a text can be cut there and each part looked up in a bounded cache; parts that miss are encoded together.
+so a text can be cut there and each part, or its pre-tokens where their ends are sure, looked up in a bounded cache; those
+that miss are encoded together.
 
 ``EditedCount`` keeps the pre-tokens of one document as leaves of a sum tree: those between two such spaces
 are one leaf unless they are long. An edit re-encodes the leaves that it touches plus the boundary context that the
@@ -39,6 +40,9 @@ _P = "!-&(-/:-@\\[-`{-~、。〈-』！，：；？"  # without the apostrophe
 FIRM = re.compile(rf"(?<=\S)(?=[\n\t\r])|(?<=\S[\n\t\r])(?=\S)|(?<=[{_L}])(?=[{_P}{_D}'])|(?<=[{_D}])(?=[{_L}{_P}'])|(?<=[{_P}])(?=[{_L}{_D}])")
 #: What lies in one pre-token.
 ONE = re.compile(f" ?(?:[{_L}]+|[{_D}]+|[{_P}]+)")
+#: Parts, less their space, of such characters and single line feeds between them, and their pre-tokens.
+SURE_RE2 = rf"\A[{_L}{_D}{_P}]+(?:\n[{_L}{_D}{_P}]+)*\z"
+UNIT = re.compile(f" ?[{_L}]+| ?[{_D}]+| ?[{_P}]+|\n")
 
 
 def default_path() -> str:
@@ -54,6 +58,13 @@ def slices(texts: pa.Array) -> list[tuple[int, int]]:
     return [(a, b - a) for a, b in zip(cuts, cuts[1:]) if b > a]
 
 
+def ranges(begin: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """The numbers from each ``begin`` on, as many as ``n`` says; in a slice they are far fewer than 2^31."""
+    out = np.repeat((begin - (np.cumsum(n) - n)).astype(np.int32), n)
+    out += np.arange(len(out), dtype=np.int32)
+    return out
+
+
 class Encoder:
     """Ids (as little-endian unsigned 32-bit bytes) of whole UTF-8 texts.
 
@@ -65,10 +76,13 @@ class Encoder:
 
     def __init__(self, path: str | None = None):
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import CharDelimiterSplit
 
         path = path or default_path()
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.model = Tokenizer(self.tokenizer.model)  # the same, for pre-tokens cut already and written in the vocabulary's characters
+        self.model.pre_tokenizer = CharDelimiterSplit("\n")
         self.parts: dict[str, bytes] = {}
         self.before: dict[str, bytes] = {}  # an older generation
         with open(path) as f:
@@ -77,6 +91,11 @@ class Encoder:
         self.bytes_of = np.zeros(max(vocabulary.values()) + 1, np.int64)
         for word, i in vocabulary.items():
             self.bytes_of[i] = len(word)
+        # printable bytes are their own characters, the others those from 256 on; a zero byte stands between pre-tokens
+        self.letters = np.arange(256, dtype="<u2")
+        other = [*range(33), *range(127, 161), 173]
+        self.letters[other] = np.arange(256, 256 + len(other))
+        self.letters[0] = ord("\n")
 
     @classmethod
     def cached(cls, path: str | None = None) -> Encoder:
@@ -113,31 +132,42 @@ class Encoder:
         return out
 
     def _encoded(self, parts: list[str]) -> dict[str, bytes]:
-        """Short parts are encoded together, as one text in which each is its own run of pre-tokens."""
-        spaced, bare, rest = [], [], []
+        """Short parts are encoded together: those that are one pre-token by the model alone, others that start with a space as
+        one text in which each is its own run of pre-tokens."""
+        single, spaced, rest = [], [], []
         for p in parts:
             if len(p) > LONG or not p:
                 rest.append(p)
-            elif p[0] == " ":
-                (rest if len(p) < 2 or p[1].isspace() else spaced).append(p)
+            elif ONE.fullmatch(p):
+                single.append(p)
             else:
-                (bare if ONE.fullmatch(p) else rest).append(p)
+                (rest if p[0] != " " or len(p) < 2 or p[1].isspace() else spaced).append(p)
         out = {}
-        for some, between in ((spaced, ""), (bare, "\n")):  # a single line feed is one token of one byte
+        for some, together in ((single, self._single), (spaced, self._spaced)):
             for at in range(0, len(some), 20_000):
                 own = some[at : at + 20_000]
-                ids = np.array(self.tokenizer.encode_batch_fast([between.join(own)], add_special_tokens=False)[0].ids, "<u4")
-                ends = np.cumsum(self.bytes_of[ids])
-                size = np.fromiter((len(p.encode()) for p in own), np.int64, len(own)) + len(between)
-                stop = np.cumsum(size) - len(between)
-                last = np.searchsorted(ends, stop, "left") + 1
-                first = np.concatenate([[0], last[:-1] + len(between)])
-                data = ids.tobytes()
-                for p, a, b in zip(own, (first * 4).tolist(), (last * 4).tolist()):
+                ids, stop = together(own)
+                last = (np.searchsorted(np.cumsum(self.bytes_of[ids]), stop, "left") + 1) * 4
+                data, a = ids.tobytes(), 0
+                for p, b in zip(own, last.tolist()):
                     out[p] = data[a:b]
+                    a = b
         out.update(zip(rest, self.plain(rest)))
         return out
 
+    def _single(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all, and the bytes up to the end of each."""
+        raw = np.frombuffer("\0".join(parts).encode(), np.uint8)
+        stop = np.append(np.flatnonzero(raw == 0), len(raw)) - np.arange(len(parts))
+        return self._ids(self.model, self.letters[raw].tobytes().decode("utf-16-le")), stop
+
+    def _spaced(self, parts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        return self._ids(self.tokenizer, "".join(parts)), np.cumsum(np.fromiter((len(p.encode()) for p in parts), np.int64, len(parts)))
+
+    @staticmethod
+    def _ids(tokenizer, text: str) -> np.ndarray:
+        return np.array(tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+
     def plain(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
@@ -185,7 +215,7 @@ class Encoder:
         out = np.full(int((size + more).sum()), end or 0, "<u4")
         for where, own in ((even, ids), (np.flatnonzero(odd), np.frombuffer(b"".join(joined), "<u4"))):
             n = size[where]
-            out[np.repeat(begin[where] - (np.cumsum(n) - n), n) + np.arange(len(own))] = own
+            out[ranges(begin[where], n)] = own
         return out, size + more
 
     def _even(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -200,17 +230,34 @@ class Encoder:
         later[first] = False
         used = np.zeros(len(coded.dictionary), bool)
         used[at[later]] = True
-        names = [" " + p for p in coded.dictionary.filter(pa.array(used)).to_pylist()]
-        place = (np.cumsum(used) - 1).astype(np.int32)
+        names = coded.dictionary.filter(pa.array(used))
+        sure = pc.match_substring_regex(names, SURE_RE2).to_numpy(zero_copy_only=False)
+        # sure parts come first, then the others, then the first part of each text, which has no space before it
+        place = np.zeros(len(used), np.int32)
+        place[used] = np.where(sure, np.cumsum(sure), sure.sum() + np.cumsum(~sure)) - 1
         at = place[at]
-        at[first] = len(names) + np.arange(len(texts), dtype=np.int32)  # the first part of a text has no space before it
-        values = self.values(names + parts.take(pa.array(first)).to_pylist())
+        at[first] = len(names) + np.arange(len(texts), dtype=np.int32)
+        ids, size = self._sure(names.filter(pa.array(sure)))
+        values = self.values([" " + p for p in names.filter(pa.array(~sure)).to_pylist()] + parts.take(pa.array(first)).to_pylist())
+        ids = np.concatenate([ids, np.frombuffer(b"".join(values), "<u4")])
+        size = np.concatenate([size, np.fromiter(map(len, values), np.int32, len(values)) // 4])
+        n = size[at]
+        return ids[ranges((np.cumsum(size) - size)[at], n)], np.add.reduceat(n, first, dtype=np.int64)
+
+    def _sure(self, parts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of parts that ``SURE_RE2`` matches, a space before each, and how many each has: each distinct pre-token is
+        looked up once."""
+        if not len(parts):
+            return np.empty(0, "<u4"), np.empty(0, np.int32)
+        units = UNIT.findall(" " + pc.binary_join(pa.ListArray.from_arrays([0, len(parts)], parts), " ")[0].as_py())
+        known = {u: i for i, u in enumerate(dict.fromkeys(units))}
+        at = np.fromiter(map(known.__getitem__, units), np.int32, len(units))
+        first = np.flatnonzero(np.array([u[0] == " " for u in known])[at])  # a part has no other space
+        values = self.values(list(known))
         size = np.fromiter(map(len, values), np.int32, len(values)) // 4
-        begin = np.cumsum(size, dtype=np.int32) - size
         n = size[at]
-        place = np.repeat(begin[at] - (np.cumsum(n, dtype=np.int32) - n), n)  # a slice has far fewer than 2^31 ids
-        place += np.arange(len(place), dtype=np.int32)
-        return np.frombuffer(b"".join(values), "<u4")[place], np.add.reduceat(n, first, dtype=np.int64)
+        ids = np.frombuffer(b"".join(values), "<u4")[ranges((np.cumsum(size) - size)[at], n)]
+        return ids, np.add.reduceat(n, first, dtype=np.int32)
 
     def pieces(self, run: str, size: int = 32) -> list[tuple[str, int]]:
         """One long pre-token cut between tokens into pieces of about ``size`` tokens, with their counts. Any stretch of

@@ -28,6 +28,28 @@ def test_encoder_equals_the_tokenizer():
     assert e.many([None]) == [b""] and all(len(p) <= 64 for p in e.parts)
 
 
+def test_words_with_marks_and_lines_are_encoded_by_pretokens():
+    e = tokens.Encoder()
+    texts = ["a" + "".join(f" word{x}" for x in (",", ".", "%%%", ".\nAnd", "", "7", "\n", "\n\nAnd", "'s", "\tx", "\0y", "é,\n漢字、7", "\u0378", "x" * 90 + "!")), "b word, word.\nAnd", "", "c"]
+    for t in texts:
+        got, size = e.slice(tokens.pa.array([t.encode()]))
+        assert got.tolist() == plain(t) and size.tolist() == [len(plain(t))]
+    got, size = e.slice(tokens.pa.array([t.encode() for t in texts]), 2)
+    assert got.tolist() == [x for t in texts for x in plain(t) + [2]] and size.tolist() == [len(plain(t)) + 1 for t in texts]
+    # a word beside marks or before a line feed is not remembered again for each of them
+    assert {" word", ",", ".", "%%%", "And"} <= e.parts.keys() and not {" word,", " word.", " word%%%", " word.\nAnd"} & e.parts.keys()
+
+
+def test_sure_parts_are_the_tokenizers():
+    rnd, e = random.Random(8), tokens.Encoder()
+    some = ["a", "Word", "é", "漢字", "7", "22", ",", "!?", "、", "\n", "\n\n", " ", "  ", "'", "'s", "\t", "\0", "\u0378", "\x85", "x" * 70, "_-_"]
+    texts = ["".join(rnd.choice(some) for _ in range(rnd.randrange(40))) for _ in range(3000)]
+    assert sum(not tokens.ODD.search(t) for t in texts) > 300
+    got, size = e.slice(tokens.pa.array([t.encode() for t in texts]))
+    want = [plain(t) for t in texts]
+    assert size.tolist() == list(map(len, want)) and got.tolist() == [x for w in want for x in w]
+
+
 def test_a_worker_remembers_for_one_operator_only():
     e = tokens.Encoder.cached()
     e.counts(["a", " b"])
